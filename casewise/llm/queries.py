@@ -5,13 +5,14 @@ from __future__ import annotations
 from casewise.llm.bpe import op8_byte_bpe
 from casewise.llm.fingerprints import op4_prefix_hashes
 from casewise.llm.packing import op5_best_fit
+from casewise.llm.repeats import op7_run_index
 from casewise.llm.sharding import op9_sharding
 from casewise.llm.toxicity import op1_toxicity
 from casewise.llm.warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op4_prefix_hashes": op4_prefix_hashes, "op5_best_fit": op5_best_fit, "op8_byte_bpe": op8_byte_bpe, "op9_sharding": op9_sharding, "op10_warc": op10_warc}
+    return {"op1_toxicity": op1_toxicity, "op4_prefix_hashes": op4_prefix_hashes, "op5_best_fit": op5_best_fit, "op7_run_index": op7_run_index, "op8_byte_bpe": op8_byte_bpe, "op9_sharding": op9_sharding, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
