@@ -8,13 +8,14 @@ from casewise.llm.fingerprints import op4_prefix_hashes
 from casewise.llm.jaccard import op6_jaccard
 from casewise.llm.packing import op5_best_fit
 from casewise.llm.repeats import op7_run_index
+from casewise.llm.secrets import op3_secrets
 from casewise.llm.sharding import op9_sharding
 from casewise.llm.toxicity import op1_toxicity
 from casewise.llm.warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_pigeonhole": op2_pigeonhole, "op4_prefix_hashes": op4_prefix_hashes, "op5_best_fit": op5_best_fit, "op6_jaccard": op6_jaccard, "op7_run_index": op7_run_index, "op8_byte_bpe": op8_byte_bpe, "op9_sharding": op9_sharding, "op10_warc": op10_warc}
+    return {"op1_toxicity": op1_toxicity, "op2_pigeonhole": op2_pigeonhole, "op3_secrets": op3_secrets, "op4_prefix_hashes": op4_prefix_hashes, "op5_best_fit": op5_best_fit, "op6_jaccard": op6_jaccard, "op7_run_index": op7_run_index, "op8_byte_bpe": op8_byte_bpe, "op9_sharding": op9_sharding, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
