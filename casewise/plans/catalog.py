@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casewise.plans import selection
+from casewise.plans import metrics, selection, voxels
 
-MODULES = [selection]
+MODULES = [selection, voxels, metrics]
 
 
 def queries() -> dict:
