@@ -37,6 +37,8 @@ EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\`~"
 
 
 STEMS = (4, 5, 6, 7, 8)
+#: Texts whose features are held at once.
+ROWS = 100
 
 
 def features_of(text: str | None, stems: tuple[int, ...] = STEMS) -> dict[str, float]:
@@ -115,15 +117,16 @@ def fit(documents: DataFrame, labels: DataFrame, prior: float | None = None, max
     if not toxic or not 0 < prior < 1:
         return Model({}, 40.0 if prior >= 1 else float(np.log(prior / (1 - prior))) if prior > 0 else -40.0, prior)
 
+    sample = stored(texts.join(F.broadcast(chosen), "doc_id").select("p", "text"), "sample")
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(features_of(t).items()) for t in b.column(1).to_pylist()], pa.map_(pa.string(), pa.float64()))], names=["p", "words"])
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(features_of(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["p", "words"])
 
-    sample = stored(texts.join(F.broadcast(chosen), "doc_id").select("p", "text").mapInArrow(split, "p int, words map<string,double>"), "sample")
     np_, nu = (sample.where(f"p = {k}").count() for k in (1, 0))
     if not np_ or not nu:
         return Model({}, float(np.log(prior / (1 - prior))), prior)
-    counts = sample.select("p", F.explode(F.map_keys("words")).alias("word")).groupBy("word").agg(F.sum("p").alias("a"), F.count("*").alias("n"))
+    counts = sample.mapInArrow(split, "p int, words array<string>").select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("a"), F.count("*").alias("n"))
     a, b = F.col("a") / np_, (F.col("n") - F.col("a")) / nu
     both = F.col("n") / (np_ + nu)
     z = F.abs(a - b) / F.sqrt(both * (1 - both) * (1 / np_ + 1 / nu) + 1e-12)
@@ -131,8 +134,8 @@ def fit(documents: DataFrame, labels: DataFrame, prior: float | None = None, max
     place = {w: k for k, w in enumerate(sorted(top))}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [sorted((place[w], v) for w, v in ws if w in place) for ws in b.column(1).to_pylist()]
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            found = [sorted((place[w], v) for w, v in features_of(t).items() if w in place) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[v for _, v in f] for f in found], pa.list_(pa.float64()))], names=["p", "f", "v"])
 
     rows: pd.DataFrame = sample.mapInArrow(index, "p int, f array<int>, v array<double>").toPandas()  # max_positive + max_unlabelled rows at most
