@@ -103,7 +103,7 @@ def v8(spark, d):
     return V.close_mask(_vox(spark, d), "gt", SPACING, SHAPE)
 
 
-@query("v9_lesion_candidates")
+@query("v9_lesion_candidates", VOX + CLOSE + comp_sql("m", 3, "c", source="closed", where="true") + " select case_id, x, y, z, comp from cc_c")
 def v9(spark, d):
     return V.lesion_candidates(_vox(spark, d), "gt", SPACING, SHAPE)
 

@@ -10,18 +10,20 @@ from casewise.sources.fixtures import TABLES
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or (isinstance(v, float) and v != v):
         return None
     if hasattr(v, "dtype"):
         v = v.item()
     if type(v).__name__ == "Decimal":
         v = float(v)
-    return str(round(v, 5) + 0.0) if isinstance(v, float) else str(v)
+    if isinstance(v, float):
+        return str(int(v)) if v == int(v) else str(round(v, 5))
+    return str(v)
 
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(map(plain, r)) for r in df.itertuples(index=False)), list(df.columns)
+    return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=repr), list(df.columns)
 
 
 @pytest.fixture(scope="module")
