@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +37,6 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(total_bytes: float, each: int, least: int) -> int:
-    """How many partitions hold total_bytes at about `each` bytes apiece."""
-    return int(max(least, -(-int(total_bytes or 0) // each)))
-
-
-def default_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected edge list: rows (id, component_id), for the vertices that have an edge.
 
