@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from casewise.llm.common import connected, stored, table
 
-#: Added to every share, for the rounding of single precision in rotated coordinates.
-SLACK = 1e-5
+#: Rotated coordinates travel as 16-bit integers of this scale; SLACK, added to every share, is above their rounding.
+SCALE = 32767
+SLACK = 1e-4
 
 
 def rotation(dims: int, seed: int = 3) -> np.ndarray:
@@ -56,7 +57,7 @@ def _cells(x: np.ndarray, radius: float, side: float) -> Iterator[tuple[np.ndarr
         yield np.flatnonzero(near), cell[near], not shift.any()
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int = 8, grid_dims: int = 2, chunk: int = 20_000) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int = 8, grid_dims: int = 2, chunk: int = 100_000) -> DataFrame:
     """vec_id, n_links, component_id, kept, class_id: one row per vector; links join vectors whose cosine is at least `cosine`."""
     value = F.col("embedding").cast("array<double>")
     finite = F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(value, lambda v: v != 0)
@@ -80,34 +81,36 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int =
                 raw = np.asarray([batch.column(2)[k].as_py() for k in at.tolist()], np.float64)
                 scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
                 unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-                turned = (unit @ turns.setdefault(dims, rotation(dims))).astype(np.float32)
+                turned = np.rint(unit @ turns.setdefault(dims, rotation(dims)) * SCALE).astype("<i2")
                 own = (ids[at] * 2_654_435_761 % 4_294_967_291) % parts
                 for b, start in enumerate(range(0, dims, block_dims)):
-                    block = turned[:, start : start + block_dims].astype(np.float64)
+                    block = turned[:, start : start + block_dims] / SCALE
                     radius = sqrt(budget * block.shape[1] / dims + SLACK)
                     for rows_, cell, home in _cells(block[:, :grid_dims], radius, 2 * radius):
                         if not len(rows_):
                             continue
-                        names = np.char.add(f"{dims} {b} ", np.asarray([" ".join(map(str, c)) for c in cell.tolist()]))
+                        names = np.full(len(cell), dims * 4096 + b, np.int64)
+                        for c in cell.T:
+                            names = names * 2048 + c + 1024
                         k, mine = at[rows_], own[rows_]
                         vectors = [pa.array([x[j].tobytes() for j in rows_.tolist()], pa.binary()) for x in (raw.astype(given), turned)]
                         for part in range(parts):  # a home vector meets the whole cell in its own chunk, and comes to the others as a guest
                             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(k), part, np.int32)), pa.array(np.full(len(k), b, np.int32)), pa.array((mine == part) & home), pa.array(ids[k]), pa.array(size[k]), *vectors], names=["cell", "part", "b", "home", "class_id", "size", "raw", "turned"])
 
-    placed = found.select("class_id", "size", "embedding").mapInArrow(place, "cell string, part int, b int, home boolean, class_id long, size long, raw binary, turned binary")
+    placed = found.select("class_id", "size", "embedding").mapInArrow(place, "cell long, part int, b int, home boolean, class_id long, size long, raw binary, turned binary")
 
     def join(t: pa.Table) -> pa.Table:
         home = np.asarray(t.column("home").to_pylist(), bool)
         ids, size = (np.asarray(t.column(k).to_pylist(), np.int64) for k in ("class_id", "size"))
         b = t.column("b")[0].as_py()
         raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), given).reshape(len(ids), -1).astype(np.float64)
-        turned = np.frombuffer(b"".join(t.column("turned").to_pylist()), np.float32).reshape(len(ids), -1)
+        turned = np.frombuffer(b"".join(t.column("turned").to_pylist()), "<i2").reshape(len(ids), -1)
         dims = raw.shape[1]
         bounds = [(s, min(dims, s + block_dims)) for s in range(0, dims, block_dims)]
         share = [budget * (e - s) / dims + SLACK for s, e in bounds]
         order = np.argsort(ids, kind="stable")
         ids, size, raw, turned, home = ids[order], size[order], raw[order], turned[order], home[order]
-        block = np.ascontiguousarray(turned[:, slice(*bounds[b])])
+        block = (turned[:, slice(*bounds[b])] / SCALE).astype(np.float32)
         norm2 = (block.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
         scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
         length = np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
@@ -121,7 +124,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int =
             left, right = h[i], j + first
             left, right = left[ids[left] < ids[right]], right[ids[left] < ids[right]]
             for s, e in [*bounds[:b], bounds[b]]:  # decided in the first block whose share the pair keeps
-                d = ((turned[left, s:e].astype(np.float64) - turned[right, s:e].astype(np.float64)) ** 2).sum(axis=1)
+                d = ((turned[left, s:e].astype(np.int64) - turned[right, s:e]) ** 2).sum(axis=1) / SCALE**2
                 keep = d <= share[b] if s == bounds[b][0] else d > share[bounds.index((s, e))]
                 left, right = left[keep], right[keep]
             cos = np.einsum("ij,ij->i", scaled[left], scaled[right]) / (length[left] * length[right])
