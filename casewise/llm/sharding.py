@@ -4,7 +4,8 @@ Documents with equal texts are linked. Every round joins each linked document
 with the votes of its group (bytes by shard, summed with partial aggregation)
 and moves documents to the shard that most of the group is in, as far as that
 shard's quota allows; groups move whole unless one is large against a shard.
-Then linked documents beyond a shard's capacity and all unlinked ones fill the
+Then linked documents beyond a shard's capacity, groups still apart and all
+unlinked documents fill the
 shards' remaining room along one line of cumulative bytes, so sizes differ by
 less than two documents. All sums run over buckets of keys; only tables of at
 most shards x buckets rows are joined by broadcast.
@@ -39,12 +40,15 @@ def _running(df: DataFrame, by: list[str], value: Column, name: str) -> DataFram
     return rows.join(F.broadcast(starts), [*by, "bucket", "part"]).withColumn(name, F.col("_from") + F.col("_in")).drop("_own", "_in", "_from")
 
 
-def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
-    """linked: key, doc_id, nth, size, large, shard. The same rows with their shard after the given number of rounds."""
+def propagate(linked: DataFrame, groups: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
+    """linked: key, doc_id, nth, size, large, shard; groups: key, large. The same rows with their shard after the given number of rounds."""
     for k in range(rounds):
         votes = linked.groupBy("key", "shard").agg(F.sum("size").alias("w"))
         want = votes.groupBy("key").agg(F.max_by("shard", F.struct("w", -F.col("shard"))).alias("want"))
-        rows = stored(linked.join(want, "key"), "votes")
+        # large groups are fewer than 128, so their wishes go by broadcast and a hot group is not one task's
+        big = want.join(groups.where("large").select("key"), "key", "left_semi")
+        rows = linked.where("large").join(F.broadcast(big), "key").unionByName(linked.where("not large").join(want, "key"))
+        rows = stored(rows, "votes")
         flow = rows.groupBy("shard", "want").agg(F.sum("size").alias("w")).collect()  # shards x shards rows
         load, inflow, out = [0.0] * shards, [0.0] * shards, [0.0] * shards
         for r in flow:
@@ -54,7 +58,7 @@ def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int) -> D
                 out[r.shard] += r.w
         if not any(inflow):
             return linked
-        share = F.array(*[F.lit(min(1.0, max(0.0, capacity - load[t]) / inflow[t]) if inflow[t] else 1.0) for t in range(shards)])
+        share = F.array(*[F.lit(min(1.0, max(0.0, capacity - load[t] + out[t]) / inflow[t]) if inflow[t] else 1.0) for t in range(shards)])
         drawn = F.pmod(F.when(F.col("large"), F.xxhash64("key", "doc_id", "nth", F.lit(k))).otherwise(F.xxhash64("key", F.lit(k))), F.lit(1 << 20)) / F.lit(float(1 << 20))
         linked = rows.withColumn("shard", F.when(drawn < F.element_at(share, F.col("want") + 1), F.col("want")).otherwise(F.col("shard"))).drop("want")
     return linked
@@ -68,14 +72,19 @@ def balanced_shards(documents: DataFrame, shards: int = 8, rounds: int = 3) -> D
     total = rows.agg(F.sum("size")).first()[0] or 0
     capacity = total / shards
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("group_size")).where("n > 1").select("key", (F.col("group_size") > total / 128).alias("large"))
+    groups = stored(groups, "groups")
     rows = rows.join(groups, "key", "left").withColumn("part", F.when(F.col("large"), F.pmod(F.xxhash64("doc_id", "nth"), F.lit(PARTS))).otherwise(F.lit(0)))
     rows = stored(rows.withColumn("bucket", F.pmod(F.col("key"), F.lit(BUCKETS))), "linked")
     start = F.pmod(F.xxhash64("doc_id", "nth"), F.lit(shards)).cast("int")
-    linked = propagate(rows.where("large is not null").withColumn("shard", start), shards, capacity, rounds)
-    held = stored(_running(linked, ["shard"], F.col("size"), "upto"), "held")
+    linked = propagate(rows.where("large is not null").withColumn("shard", start), groups, shards, capacity, rounds)
+    # small groups that quotas have left apart give up their places and fill in as wholes, by key
+    apart = linked.where("not large").groupBy("key").agg((F.min("shard") < F.max("shard")).alias("apart")).where("apart")
+    linked = stored(linked.join(apart, "key", "left"), "rounds")
+    loose = linked.where("apart is not null").drop("apart", "shard")
+    held = stored(_running(linked.where("apart is null").drop("apart"), ["shard"], F.col("size"), "upto"), "held")
     keeps = (F.col("upto") + F.col("size")) <= F.lit(capacity)
     used = {r.shard: r.w for r in held.where(keeps).groupBy("shard").agg(F.sum("size").alias("w")).collect()}  # one row per shard
-    free = rows.where("large is null").unionByName(held.where(~keeps).drop("shard", "upto"))
+    free = rows.where("large is null").unionByName(held.where(~keeps).drop("shard", "upto")).unionByName(loose)
     edges, at = [], 0.0
     for t in range(shards - 1):
         at += max(0.0, capacity - used.get(t, 0))
