@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Each partition packs its own pieces online with a bounded number of open
-bins. The open bins stand in a bitset keyed by free space, so the tightest
-fit is one shift and one lowest-bit step; when all are open and none fits,
-the fullest closes first. Bins still open at a partition's end are few (at
-most ``open_bins`` each) and are merged among themselves afterwards.
+Each partition packs its own pieces online, batch by batch and longest first
+within a batch, with a fixed number of open bins. The open bins stand in a
+bitset keyed by free space, so the tightest fit is one shift and one
+lowest-bit step; when all are open and none fits, the fullest closes first.
+Bins still open at a partition's end (at most ``open_bins`` each) are merged
+among themselves afterwards, in groups of bounded size.
 
 Defined results: null and empty texts are the end id alone; documents longer
 than a sequence are cut, first piece shorter; repeated rows are packed as
@@ -122,15 +123,16 @@ def pieces(documents: DataFrame, json_path: str, ranks_path: str, capacity: int,
         bins = Bins(capacity, open_bins, TaskContext.get().partitionId() << 36)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("open_used", pa.int32())])
         for batch in batches:
-            out: list[tuple] = []
+            cut: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = memoryview(encode(text.as_py() or "") + tail)
                 n, start = len(ids) // 4, 0
                 for k in range(count := -(-n // capacity)):
                     end = n - capacity * (count - 1 - k)
-                    b, offset = bins.put(end - start)
-                    out.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), b, offset, None))
+                    cut.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
                     start = end
+            cut.sort(key=lambda p: -p[3])  # the batch at hand goes in longest first
+            out = [(*p, *bins.put(p[3]), None) for p in cut]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         if left := list(bins.rest()):
@@ -157,7 +159,7 @@ def merge_bins(left: DataFrame, capacity: int, group: int = 50_000) -> DataFrame
     return keyed.groupBy("g").applyInPandas(pack, "bin long, into long, shift long")
 
 
-def best_fit_pack(documents: DataFrame, json_path: str, ranks_path: str, capacity: int = 2048, open_bins: int = 256, end_id: int = 0) -> DataFrame:
+def best_fit_pack(documents: DataFrame, json_path: str, ranks_path: str, capacity: int = 2048, open_bins: int = 8192, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of each document."""
     rows = stored(pieces(documents, json_path, ranks_path, capacity, open_bins, end_id), "pieces")
     moves = stored(merge_bins(rows.where("open_used is not null").select("bin", "open_used"), capacity), "moves")
