@@ -52,11 +52,11 @@ def least_agreements(checks: list[int], threshold: float, tolerance: float) -> l
 
 
 def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
-    """One signed 64-bit key per band of `rows` MinHash values."""
-    v = values.astype(np.uint64).reshape(-1, rows)
-    key = np.arange(len(v), dtype=np.uint64) + np.uint64(1)
+    """One signed 64-bit key per band of `rows` MinHash values, along the last axis."""
+    v = values.astype(np.uint64).reshape(*values.shape[:-1], -1, rows)
+    key = np.arange(v.shape[-2], dtype=np.uint64) + np.uint64(1)
     for k in range(rows):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + v[:, k])
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + v[..., k])
     return key.view(np.int64)
 
 
@@ -76,9 +76,10 @@ class Verifier:
 
     def candidates(self, sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (left, right) whose first common band is this one and that the comparison of values does not rule out."""
+        keys = band_keys(sig[:, : band * self.rows], self.rows)  # what the groups were built from
         for k in range(band):
-            same = (sig[left, k * self.rows : (k + 1) * self.rows] == sig[right, k * self.rows : (k + 1) * self.rows]).all(axis=1)
-            left, right = left[~same], right[~same]
+            new = keys[left, k] != keys[right, k]
+            left, right = left[new], right[new]
         agree = np.zeros(len(left), np.int64)
         for n, least in zip(self.checks, self.least, strict=True):
             agree += (sig[left, n - self.step : n] == sig[right, n - self.step : n]).sum(axis=1)
@@ -160,19 +161,19 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
             for c, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(text.as_py(), words)
                 if class_number(s, None) == c and len(s):
-                    out.append((c, (minhash(s) & np.uint32(0xFFFF)).astype("<u2").tobytes(), s.astype("<u8").tobytes()))
+                    out.append((c, minhash(s).astype("<u4").tobytes(), s.astype("<u8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["c", "sig", "terms"])
 
     needed = classes.join(groups.select("c").distinct(), "c").select("c", "class_id", "size")
     sets = texts.join(needed, texts.doc_id == needed.class_id).select("c", "text").mapInArrow(describe_sets, "c long, sig binary, terms binary")
     sets = stored(needed.join(sets.dropDuplicates(["c"]), "c"), "sets")
-    weight = groups.join(sets.select("c", F.octet_length("terms").alias("w")), "c").agg(F.sum(F.col("w") + count * 2)).first()[0] or 0
+    weight = groups.join(sets.select("c", F.octet_length("terms").alias("w")), "c").agg(F.sum(F.col("w") + count * 4)).first()[0] or 0
     bins = int(max(8, -(-weight // bin_bytes)))
     verifier = Verifier(count, rows, threshold, tolerance)
 
     def verify(t: pa.Table) -> pa.Table:
         t = t.sort_by([(k, "ascending") for k in ("key", "i", "j", "side", "c")])
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, count)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, count)
         terms = [np.frombuffer(x, "<u8") for x in t.column("terms").to_pylist()]
         ids, size, band = (np.asarray(t.column(k).to_pylist(), np.int64) for k in ("class_id", "size", "band"))
         name = list(zip(*(t.column(k).to_pylist() for k in ("key", "i", "j")), strict=True))

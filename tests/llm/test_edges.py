@@ -185,6 +185,16 @@ def test_bayes_bounds_keep_what_may_reach_the_threshold():
     assert least == sorted(least) and least[-1] < 0.8 * 128 and least[0] < 0.8 * 16
 
 
+def test_jaccard_keeps_pairs_whose_earlier_band_agrees_in_low_bits_only(spark):
+    text = " ".join(f"word{i}" for i in range(12))
+    data = [(i, f"{text} end{i}", "en", "s", 1) for i in (15, 835, 299, 1444)]
+    sig = [jaccard.MinHash(128)(shingles(r[1])).reshape(32, 4) for r in data]
+    for a, b in ((0, 1), (2, 3)):
+        assert (sig[a][0] & 0xFFFF == sig[b][0] & 0xFFFF).all() and (sig[a][0] != sig[b][0]).any() and (sig[a][1] == sig[b][1]).all()
+        out = rows(jaccard.near_duplicates(spark.createDataFrame([data[a], data[b]], SCHEMA)), "doc_id", "n_links", "component_id")
+        assert out == [(data[a][0], 1, data[a][0]), (data[b][0], 1, data[a][0])]
+
+
 def test_many_near_copies_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rng = np.random.default_rng(0)
