@@ -7,9 +7,11 @@ neighbouring words. The forest learns from labelled findings, a table that the
 caller gives; ``rule_labels`` makes one from formats that leave no doubt, for
 a corpus that has no reviewed findings.
 
-Fitting reads at most ``max_findings`` labelled rows and a dictionary of at
-most ``dictionary`` words from at most ``sample`` documents; scanning covers
-every whole text.
+The dictionary is the ``most`` words that stand in most distinct texts of the
+whole corpus. Labels are given to the candidates of every text; the forest learns
+from at most ``max_findings`` of them, distinct by candidate and neighbourhood
+and drawn per label in proportion, but for a tenth at least where a label has
+that many. Scanning covers every whole text.
 
 Defined results: null and empty texts have no findings; equal candidates of a
 text are one; repeated rows give the same result each; a null path is the
@@ -83,16 +85,28 @@ class Scanner:
         return self.model.transform(featured(found, self.words)).withColumn("score", vector_to_array("probability")[1])
 
 
-def common_words(documents: DataFrame, sample: int = 2000, most: int = 2000) -> list[str]:
-    """The words in most documents, of a bounded sample taken by a hash of the text."""
-    texts = documents.select("text").where("text is not null").orderBy(F.xxhash64("text")).limit(sample)
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where("length(w) >= 3")
-    return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()]
+def common_words(documents: DataFrame, most: int = 2000) -> list[str]:
+    """The words that stand in most distinct texts."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), lambda w: F.length(w) >= 3)
+    texts = documents.where("text is not null").select(F.xxhash64("text").alias("t"), words.alias("words"))
+    texts = texts.groupBy("t").agg(F.any_value("words").alias("words")).select(F.explode("words").alias("w"))
+    return [r.w for r in texts.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()]
+
+
+def drawn(findings: DataFrame, max_findings: int) -> DataFrame:
+    """At most max_findings of the distinct labelled findings, by label: in proportion, but for a tenth at least where a label has that many."""
+    rows = stored(findings.groupBy("candidate", "before", "after", "label").agg(F.min("path").alias("path")), "labelled")
+    total = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    yes, no = (total.get(v, 0) for v in (1.0, 0.0))
+    least = [min(n, max_findings // 10) for n in (yes, no)]
+    share = min(max(round(max_findings * yes / max(1, yes + no)), least[0]), max_findings - least[1])
+    by_label = [rows.where(F.col("label") == v).orderBy(F.xxhash64("candidate", "before", "after")).limit(n) for v, n in ((1.0, share), (0.0, max_findings - share))]
+    return by_label[0].union(by_label[1])
 
 
 def fit(findings: DataFrame, words: list[str], max_findings: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 1) -> Scanner:
     """Learns from findings with a label (1 a secret, 0 a false positive): columns candidate, before, after, path, label."""
-    rows = stored(featured(findings.orderBy(F.xxhash64("candidate", "before", "after"), "label").limit(max_findings), words), "findings")
+    rows = stored(featured(drawn(findings, max_findings), words), "findings")
     labels = [r.label for r in rows.select("label").distinct().collect()]
     if len(labels) < 2:
         return Scanner(words, None, labels[0] if labels else 0.0)
@@ -115,11 +129,9 @@ def scan(documents: DataFrame, scanner: Scanner, path: Column, threshold: float
     return rows.withColumns({"n_candidates": F.coalesce("n_candidates", F.lit(0)), "secrets": secrets, "redacted": redacted})
 
 
-def fitted(documents: DataFrame, path: Column, sample: int = 20_000) -> Scanner:
-    """A scanner for a corpus without reviewed findings: rule labels on a bounded sample of texts that hold candidates."""
-    some = documents.where(F.regexp_count("text", F.lit(CANDIDATE)) > 0).orderBy(F.xxhash64("text"), F.xxhash64("doc_id")).limit(sample)
-    some = stored(some.select("doc_id", "text", path.alias("path")), "sample")
-    return fit(rule_labels(candidates(some, F.col("path"))), common_words(some))
+def fitted(documents: DataFrame, path: Column) -> Scanner:
+    """A scanner for a corpus without reviewed findings: rule labels on the candidates of all texts."""
+    return fit(rule_labels(candidates(documents, path)), common_words(documents))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

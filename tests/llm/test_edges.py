@@ -114,6 +114,15 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs, secrets.fitted(none, F.col("source")), F.col("source")).where("size(secrets) > 0").count() == 0
 
 
+def test_secrets_fit_on_distinct_texts_and_both_labels(spark):
+    texts = ["alpha beta"] * 3000 + [f"gamma text {i}" for i in range(5)]
+    assert secrets.common_words(spark.createDataFrame([(t,) for t in texts], "text string"))[0] == "gamma"
+    found = spark.range(50).select(F.format_string("candidate%05d", "id").alias("candidate"), F.lit("a ").alias("before"), F.lit(" b").alias("after"), F.lit("s").alias("path"))
+    first, *others = found.orderBy(F.xxhash64("candidate", "before", "after")).collect()
+    labelled = spark.createDataFrame([(*first, 1.0)] * 300 + [(*r, 0.0) for r in others], "candidate string, before string, after string, path string, label double")
+    assert secrets.fit(labelled, ["gamma"], max_findings=20, trees=1).model is not None
+
+
 def test_fingerprints(spark, docs, none):
     out = rows(fingerprints.fingerprint_edits(docs), "doc_id", "n_chars", "edited_sha256", "fingerprint")
     order = sorted([*TEXTS, TWICE], key=lambda r: -r[0])
