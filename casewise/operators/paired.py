@@ -49,7 +49,7 @@ def with_p(summary: DataFrame) -> pd.DataFrame:
     return out
 
 
-def bootstrap_ci(pairs: DataFrame, by: list[str], draws: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap_ci(pairs: DataFrame, by: list[str], draws: int = 10_000, seed: int = 0) -> DataFrame:
     """low, high: 2.5 and 97.5 percentiles of resampled means by group.
 
     Draw b gives pair i a weight from a hash of (seed, b, i): Poisson(1), cut

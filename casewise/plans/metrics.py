@@ -359,7 +359,7 @@ def t3(spark, d):
 
 @query("t4_bootstrap_ci")
 def t4(spark, d):
-    return _r(T.bootstrap_ci(_pairs(spark, d), ["metric"], 200))
+    return _r(T.bootstrap_ci(_pairs(spark, d), ["metric"]))
 
 
 @query("t5_noninferiority", PAIRS + " select metric, count(*) as n, round(avg(diff), 6) as mean, round(stddev_samp(diff) / sqrt(count(*)), 6) as se, round((avg(diff) - 0.05) / (stddev_samp(diff) / sqrt(count(*))), 6) as t_margin from pt group by 1")

@@ -161,7 +161,7 @@ def e16(spark, d):
 
 @query("e17_kmeans")
 def e17(spark, d):
-    return S.kmeans_clusters(fixture(spark, d, "fx_cases"), 4, starts=3)
+    return S.kmeans_clusters(fixture(spark, d, "fx_cases"), 4)
 
 
 @query("e18_distance_histogram", DIST + ", e as (select tracer, min(d) as lo, max(d) as hi from dist group by tracer) select tracer, cast(least(floor((d - lo) / (hi - lo) * 20), 19) as int) as bin, count(*) as n from dist join e using (tracer) group by 1, 2")
@@ -190,7 +190,9 @@ def x2(spark, d):
 
 @query("x3_dpp_splits")
 def x3(spark, d):
-    return X.dpp_splits(S.dpp_greedy(_pool(spark, d), 6), _seed(spark, d), [2, 4, 6])
+    every, seed, counts = fixture(spark, d, "fx_cases"), _seed(spark, d), [2, 4, 6]
+    added = X.dpp_splits(S.dpp_greedy(_pool(spark, d), 6), seed, counts).withColumn("form", F.lit("added"))
+    return added.union(X.dpp_splits(S.dpp_greedy(every, 6), seed.where("false"), counts).withColumn("form", F.lit("fresh")))
 
 
 @query("x4_random_splits", CASES + ", p as (select case_id, tracer, s, row_number() over (partition by s, tracer order by md5(s::varchar || ':' || case_id::varchar), case_id) as rn from fx_cases, (select unnest([42, 43, 44, 45]) as s) where not is_seed), n as (select tracer, count(*) as n from fx_cases where is_seed group by tracer) select s as seed, tracer, case_id from p join n using (tracer) where rn <= n")

@@ -108,3 +108,45 @@ def test_quantile_group_sizes(spark):
 def test_overlap_threshold_is_strict():
     assert not 1 / 100 * 100 > voxels.OVERLAP_PERCENT
     assert math.isclose(voxels.HIGH_RISK_MM3, 4180)
+
+
+def test_bootstrap_takes_ten_thousand_draws(spark, sf):
+    from casewise.plans import metrics
+
+    data = [(f"case{i}", m, float(i * i % 7) + k) for i in range(5) for k, m in enumerate(("dice", "vol"))]
+    got = {r.metric: (r.low, r.high) for r in paired.bootstrap_ci(spark.createDataFrame(data, "case_name string, metric string, diff double"), ["metric"]).collect()}
+    cases = spark.createDataFrame([(f"case{i}",) for i in range(5)], "case_name string")
+    hashed = spark.range(1, 10_001).select(F.col("id").cast("int").alias("draw")).crossJoin(cases).select("draw", "case_name", F.pmod(F.xxhash64(F.lit(0), "draw", "case_name"), F.lit(1_000_003)).alias("u")).toPandas()
+    u = hashed.pivot(index="draw", columns="case_name", values="u").to_numpy() / 1_000_003
+    steps = np.round(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(6)]), 8)
+    w = np.searchsorted(steps, u, side="right")
+    for k, m in enumerate(("dice", "vol")):
+        diff = np.array([float(i * i % 7) + k for i in range(5)])
+        means = (w @ diff)[w.sum(axis=1) > 0] / w.sum(axis=1)[w.sum(axis=1) > 0]
+        assert got[m] == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-9)
+    want = metrics._r(paired.bootstrap_ci(metrics._pairs(spark, sf), ["metric"], 10_000))
+    assert sorted(map(tuple, metrics.t4(spark, sf).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_kmeans_takes_the_best_of_ten_starts(spark, sf, monkeypatch):
+    from casewise.plans import selection as plans
+
+    x = [[0.0, 0.0], [0.0, 1.0], [4.0, 0.0], [4.0, 1.0], [9.0, 5.0], [9.0, 6.0], [1.0, 9.0]]
+    got = {r.case_id: r.cluster for r in selection.kmeans_clusters(spark.createDataFrame(list(enumerate(x)), "case_id long, embedding array<double>"), 3).collect()}
+
+    def cost(label):
+        return sum(((p - p.mean(axis=0)) ** 2).sum() for k in set(label) for p in [np.array([v for v, c in zip(x, label, strict=True) if c == k])])
+
+    assert cost([got[i] for i in range(7)]) == pytest.approx(min(cost(c) for c in itertools.product(range(3), repeat=7)))
+    seeds, fitted = [], selection.KMeans
+    monkeypatch.setattr(selection, "KMeans", lambda **kw: seeds.append(kw["seed"]) or fitted(**kw))
+    plans.e17(spark, sf).count()
+    assert len(set(seeds)) == 10
+
+
+def test_dpp_splits_have_the_fresh_form_too(spark, sf):
+    from casewise.plans import selection as plans
+
+    picks = selection.dpp_greedy(plans.fixture(spark, sf, "fx_cases"), 6).collect()
+    got = {(r.budget, r.case_id) for r in plans.x3(spark, sf).where("form = 'fresh'").collect()}
+    assert got == {(k, r.case_id) for k in (2, 4, 6) for r in picks if r.pick <= k}
