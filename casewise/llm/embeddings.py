@@ -12,8 +12,9 @@ is verified in double precision on the vectors as given.
 Pairs never become rows: a pair is decided where the vector with the smaller
 number is at home, in the first block whose share it keeps, and a cell
 returns, per vector, how many vectors it links to and the least one it is
-connected with. Cells are dealt in chunks of home vectors, so no task holds a
-whole cell of a large corpus.
+connected with. Cells are dealt in chunks of home vectors, but every chunk gets
+all vectors of its cell as guests, so a task holds the whole cell and the links
+of its chunk: memory grows with the fullest cell.
 
 Equal vectors are one class and are compared once.
 
