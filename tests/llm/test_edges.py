@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -258,8 +260,43 @@ def test_repeats_on_random_edits(spark):
     assert got == cut([(i, t.encode()) for i, t in data])
 
 
+def local_removal(data, groups, buckets):
+    """The removal's own steps on one machine: its rows, and the distinct contexts of every bucket."""
+    by = lambda t, name: {k: t.filter(pc.equal(t.column(name), k)) for k in t.column(name).unique().to_pylist()}
+    docs = pa.table({"doc_id": pa.array([d[0] for d in data], pa.int64()), "text": pa.array([d[1] for d in data], pa.binary()), "pid": pa.array([d[0] % groups for d in data], pa.int32())})
+    groups = by(docs, "pid")
+    sent = by(pa.concat_tables([repeats._send_anchors(buckets)(g) for g in groups.values()]), "bucket")
+    bits = pa.concat_tables([repeats._find_repeated(x) for x in sent.values()])
+    contexts = by(pa.concat_tables([repeats._send_contexts(buckets)(g, bits.filter(pc.equal(bits.column("pid"), k))) for k, g in groups.items()]), "bucket")
+    marks = pa.concat_tables([repeats._mark_windows(x) for x in contexts.values()])
+    answers = pa.concat_tables([x.append_column("kind", pa.array([k] * len(x))) for k, x in enumerate((bits, marks))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+    out = [repeats._cut(buckets, False, [], schema)(g, answers.filter(pc.equal(answers.column("pid"), k))) for k, g in groups.items()]
+    return sorted(tuple(r.values())[:5] for t in out for r in t.to_pylist()), [sum(len(x) for x in t.column("lens").to_pylist()) for t in contexts.values()]
+
+
+def test_hot_anchors_are_dealt_again(monkeypatch):
+    rng = np.random.default_rng(7)
+    other = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    line, passage = other(39), other(300)
+    data = [(i, other(120) + (line if i % 2 else passage) + other(100)) for i in range(120)]
+    for marks, contexts in ((10, 1024), (999, 8)):
+        monkeypatch.setattr(repeats, "HOT_MARKS", marks)
+        monkeypatch.setattr(repeats, "HOT_CONTEXTS", contexts)
+        assert local_removal(data, 7, 16)[0] == cut(data)
+
+
+def test_fullest_bucket_does_not_grow_with_copies_of_a_line(monkeypatch):
+    rng = np.random.default_rng(8)
+    other = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    line, passage = other(39), other(200)
+    data = [(i, other(100) + line + other(100) + passage + other(60)) for i in range(4000)]
+    fullest = {n: max(local_removal(data[:n], 8, n // 4)[1]) for n in (1000, 4000)}
+    assert fullest[4000] < 1.5 * fullest[1000] + 100, fullest
+
+
 def test_run_index():
-    index = repeats.RunIndex([b"banana", b"bananas", b"xyz"])
+    index = repeats.RunIndex(pa.array([b"banana", b"bananas", b"xyz"], pa.large_binary()))
     text = [index.order.tolist(), index.statistics()[index.order].tolist()]
     assert sorted(text[0]) == list(range(len(index.order)))
     assert len(index.run_start) < len(index.order)
