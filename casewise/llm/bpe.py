@@ -3,14 +3,25 @@
 A batch's words that are not yet known become token-position rows. Each step
 of the recursion joins neighbouring tokens with the merge table and contracts,
 in every word, the leftmost pair of least rank, until no word has a pair left;
-an ordered aggregation turns the rows into ids and into decoded bytes. Where
-no longer token containing the merged one has a lower rank, the later pairs of
-the same rank would be next in turn, and the step contracts them too, so runs
-of one character take few steps.
+an ordered aggregation turns the rows into ids. Where no longer token containing
+the merged one has a lower rank, the later pairs of the same rank would be next
+in turn, and the step contracts them too, so runs of one character take few steps.
+
+A long word is encoded in overlapping chunks. No merge crosses the border of
+two tokens of a finished encoding, and whether a border holds depends on its two
+tokens alone; so where two chunks' encodings have one token in common, the left
+one up to it and the right one after it are the encoding of both. Chunks without
+a common token are encoded again as longer ones, at last the word as a whole.
+The recursion keeps every step, so long words take bounded numbers of steps a
+query, each going on from the last state of the one before.
+
+Decoding starts from the emitted ids: token-position rows of every document
+join the token table, and an ordered aggregation puts their bytes together.
 
 Defined results: null and empty texts have no tokens (hashes of nothing);
-special strings are ordinary text; repeated rows repeat; further columns are
-ignored; an empty table gives no rows.
+special strings are ordinary text; texts and words of any length are encoded
+whole; repeated rows repeat; further columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +29,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import duckdb
@@ -33,6 +45,10 @@ CACHE = 1_000_000
 STEP_BYTES = 400_000
 #: Words up to this many bytes contract one pair a step; longer ones contract every safe repeat of it.
 SHORT = 48
+#: Bytes of a chunk of a long word and of what it shares with the next; rows that a query over long words may keep; token rows decoded at once.
+CHUNK, OVERLAP = 128, 64
+KEPT_ROWS = 4_000_000
+DECODED_ROWS = 1_000_000
 STEPS = """
 with recursive state as (
   select word, g, nxt, tok, 0 as step from start
@@ -44,21 +60,22 @@ with recursive state as (
     ), {best}
     select s.word, s.g, case when t.g is null then s.nxt else t.nxt2 end, case when t.g is null then s.tok else t.merged end, s.step + 1
     from state s join (select distinct word from take) w using (word) left join take t on s.g = t.g
-    where s.g not in (select g2 from take)
+    where s.g not in (select g2 from take) and s.step < {limit}
   )
+), last as (
+  select s.* from state s join (select word, max(step) as step from state group by word) using (word, step)
 )
-select s.word, string_agg(cast(s.tok as varchar), ',' order by s.g) as ids, string_agg(t.hex, '' order by s.g) as decoded
-from state s join (select word, max(step) as step from state group by word) using (word, step) join tokens t using (tok)
-group by s.word
 """
 #: The leftmost pair of least rank in each word.
-ONE = STEPS.format(best="""least as (
+ONE = STEPS.format(limit="$steps", best="""least as (
       select word, min(merged::bigint * 4294967296 + g) as k from pair group by word
     ), take as (
       select p.* from pair p join least l on p.word = l.word and p.merged::bigint * 4294967296 + p.g = l.k
-    )""")
+    )""") 
+IDS = "select word, string_agg(cast(tok as varchar), ',' order by g) as ids from last group by word"
+STATE = "select word, g, nxt, tok, step from last order by g"
 #: The same and, where that is what the next steps would do, the later pairs of that rank: every second one of a run that overlaps.
-ALL = STEPS.format(best="""hit as (
+ALL = STEPS.format(limit="$steps", best="""hit as (
       select * from pair qualify merged = min(merged) over (partition by word)
     ), run as (
       select *, sum(fresh) over (partition by word order by g) as run
@@ -68,6 +85,8 @@ ALL = STEPS.format(best="""hit as (
       qualify case when safe then row_number() over (partition by word, run order by g) % 2 = 1
                    else row_number() over (partition by word order by g) = 1 end
     )""")
+#: Bytes of each run of tokens, in order: one thread aggregates the rows as they come.
+DECODE = "select run, unhex(string_agg(hex, '')) from (select run, hex from ids join tokens using (tok) order by run, nth) group by run"
 
 
 def merge_rows(ranks: dict[bytes, int]) -> tuple[list[tuple], set[int]]:
@@ -97,41 +116,109 @@ class Encoder:
         self.con.register("t", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": [x.hex() for x in ranks]}))
         self.con.execute("create table tokens as select * from t")
         self.bytes = np.asarray([ranks[bytes([x])] for x in range(256)], np.int32)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(x) for x in ranks]
         self.split, self.cache, self.words = regex.compile(pattern), {}, {}
 
-    def _encode(self, words: list[str]) -> dict[str, str]:
-        """Ids of each word of this list, by one recursive query for about STEP_BYTES bytes of words at a time; whole tokens need none.
+    def _rows(self, words: list[bytes]) -> pa.Table:
+        """Token-position rows of these words, a token a byte."""
+        lens = np.asarray([len(w) for w in words])
+        nxt = np.arange(1, lens.sum() + 1)
+        nxt[np.cumsum(lens) - 1] = -1
+        tok = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        return pa.table({"word": np.repeat(np.arange(len(words)), lens), "g": np.arange(len(tok)), "nxt": nxt, "tok": tok})
 
-        The ordered aggregation also decodes the ids; a word that doesn't come
-        back as it was is an error, so a text's decoded bytes are its words'.
-        """
+    def _query(self, sql: str, start: pa.Table, **parameters: int):
+        self.con.register("start", start)
+        try:
+            return self.con.execute(sql, parameters or None).fetchnumpy()
+        finally:
+            self.con.unregister("start")
+
+    def _encode(self, words: list[str]) -> dict[str, str]:
+        """Ids of each word of this list, by one recursive query for about STEP_BYTES bytes of words at a time; whole tokens need none."""
         out, raw, rest = {}, {}, []
         for w in words:
             if (tok := self.ranks.get(x := w.encode())) is not None:
                 out[w] = str(tok)
-            else:
+            elif len(x) <= SHORT:
                 raw[w] = x
                 rest.append(w)
-        rest.sort(key=lambda w: len(raw[w]))
+            else:
+                out[w] = ",".join(map(str, self._encode_long(x)))
         k = 0
         while k < len(rest):
-            end, size, short = k, 0, len(raw[rest[k]]) <= SHORT
-            while end < len(rest) and (end == k or size + len(raw[rest[end]]) <= STEP_BYTES and (len(raw[rest[end]]) <= SHORT) == short):
+            end, size = k, 0
+            while end < len(rest) and size < STEP_BYTES:
                 size, end = size + len(raw[rest[end]]), end + 1
-            lens = np.asarray([len(raw[w]) for w in rest[k:end]])
-            nxt = np.arange(1, size + 1)
-            nxt[np.cumsum(lens) - 1] = -1
-            self.con.register("start", pa.table({"word": np.repeat(np.arange(end - k), lens), "g": np.arange(size), "nxt": nxt, "tok": self.bytes[np.frombuffer(b"".join([raw[w] for w in rest[k:end]]), np.uint8)]}))
-            for w, ids, decoded in self.con.execute(ONE if short else ALL).fetchall():
-                if bytes.fromhex(decoded) != raw[rest[k + w]]:
-                    raise ValueError(f"{rest[k + w]!r} does not decode to itself")
-                out[rest[k + w]] = ids
-            self.con.unregister("start")
+            found = self._query(ONE + IDS, self._rows([raw[w] for w in rest[k:end]]), steps=SHORT)
+            out.update(zip([rest[k + w] for w in found["word"].tolist()], found["ids"], strict=True))
             k = end
         return out
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """(ids as decimals joined by commas, decoded bytes) of each text.
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of these words, by queries of so many steps that KEPT_ROWS rows are kept at most."""
+        out: list = [None] * len(words)
+        start = self._rows(words)
+        while start.num_rows:
+            steps = max(4, KEPT_ROWS // start.num_rows)
+            found = self._query((ONE if start.num_rows <= 4 * CHUNK * len(words) else ALL) + STATE, start, steps=steps)
+            done = found["step"] < steps
+            word, tok = found["word"][done], found["tok"][done]
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            for w, end, begin in zip(word[first].tolist(), np.append(first, len(word))[1:].tolist(), first.tolist(), strict=True):
+                out[w] = tok[begin:end]
+            start = pa.table({c: found[c][~done] for c in ("word", "g", "nxt", "tok")})
+        return out
+
+    def _encode_long(self, word: bytes) -> list[int]:
+        """Ids of a long word, from the encodings of its chunks; equal chunks are encoded once.
+
+        Where a chunk has no token in common with the one before, it is encoded
+        again from a border of that one's tokens, further back each time.
+        """
+        cuts = [(a, min(len(word), a + CHUNK + OVERLAP)) for a in range(0, max(1, len(word) - OVERLAP), CHUNK)]
+        new, codes = list({word[a:b] for a, b in cuts}), {}
+        for k in range(0, len(new), STEP_BYTES // 4 // CHUNK):
+            part = new[k : k + STEP_BYTES // 4 // CHUNK]
+            codes.update(zip(part, self._contract(part), strict=True))
+        out = codes[word[: cuts[0][1]]].tolist()
+        ends = np.cumsum(self.size[out]).tolist()
+        for a, b in cuts[1:]:
+            back = OVERLAP
+            while True:
+                if word[a:b] not in codes:
+                    codes[word[a:b]] = self._contract([word[a:b]])[0]
+                right = codes[word[a:b]]
+                to = a + np.cumsum(self.size[right])
+                since = bisect_right(ends, a)
+                _, x, y = np.intersect1d(ends[since:], to, assume_unique=True, return_indices=True)
+                same = np.flatnonzero(np.asarray(out[since:])[x] == right[y])
+                if a == 0 or len(same):
+                    break
+                border = bisect_right(ends, a - back)
+                a, back = ends[border - 1] if border else 0, back * 2
+            keep, skip = (since + x[same[0]] + 1, y[same[0]] + 1) if len(same) else (0, 0)
+            out[keep:], ends[keep:] = right[skip:].tolist(), to[skip:].tolist()
+        return out
+
+    def decode(self, ids: list[str]) -> list[bytes]:
+        """The bytes of each text, from its ids as decimals joined by commas."""
+        counts = np.asarray([x.count(",") + 1 if x else 0 for x in ids], np.int64)
+        tok = np.fromstring(",".join([x for x in ids if x]), np.int32, sep=",")
+        doc = np.repeat(np.arange(len(ids)), counts)
+        nth = np.arange(len(tok)) - np.repeat(np.cumsum(counts) - counts, counts)
+        out: list = [[] for _ in ids]
+        for k in range(0, len(tok), DECODED_ROWS):
+            run = doc[k : k + DECODED_ROWS]
+            self.con.register("ids", pa.table({"run": run, "nth": nth[k : k + DECODED_ROWS], "tok": tok[k : k + DECODED_ROWS]}))
+            for d, found in self.con.execute(DECODE).fetchall():
+                out[d].append(found)
+            self.con.unregister("ids")
+        return [b"".join(x) for x in out]
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text, as decimals joined by commas.
 
         A text without double spaces is split at its spaces first: no match of
         the pattern reaches across one from the left.
@@ -147,13 +234,13 @@ class Encoder:
         known.update(self._encode(list({w for ws in parts.values() for w in ws if w not in known})))
         for u, ws in parts.items():
             cache[u] = ",".join([known[w] for w in ws])
-        for t, us in zip(texts, units, strict=True):
-            yield ",".join([cache[u] for u in us]), t.encode()
+        out = [",".join([cache[u] for u in us]) for us in units]
         for u in new:  # long ones don't stay
             if len(u) > 64:
                 for w in parts[u]:
                     known.pop(w, None)
                 del cache[u]
+        return out
 
 
 @functools.cache
@@ -172,10 +259,15 @@ def encode_decode(documents: DataFrame, ranks_path: str, pattern: str, batch_cha
                 end, size = k, 0
                 while end < len(texts) and (end == k or size + len(texts[end]) <= batch_chars):
                     size, end = size + len(texts[end]), end + 1
-                rows = list(enc.encode_batch(texts[k:end]))
+                coded = enc.encode(texts[k:end])
+                decoded = enc.decode(coded)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(k, end - k), pa.array([r[0].count(",") + (r[0] > "") for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([hashlib.sha256(r[0].encode()).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string()),
+                    ids.slice(k, end - k),
+                    pa.array([x.count(",") + (x > "") for x in coded], pa.int64()),
+                    pa.array(coded, pa.string()),
+                    pa.array(decoded, pa.binary()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in coded], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
                 ], names=["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
                 k = end
 

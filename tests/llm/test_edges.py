@@ -302,7 +302,7 @@ def test_run_index():
     assert len(index.run_start) < len(index.order)
 
 
-def test_bpe(spark, docs, none):
+def reference_bpe():
     import base64
 
     import tiktoken
@@ -310,7 +310,33 @@ def test_bpe(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_of_words_of_any_length():
+    path, enc = reference_bpe()
+    own, rng = bpe.Encoder(path, public_tokenizers.PATTERN), np.random.default_rng(0)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    han = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 5000, 20_000))
+    few = [letters(n, "ab") for n in range(49, 1200, 37)]
+    texts = [letters(20_000, "abcdefghijklmnopqrstuvwxyz"), letters(1_000_000, "acgt"), han, "xyz" + "a" * 100_001, "q" + "ab" * 30_001, "abc" * 3000, "=" * 5001, *few]
+    ids = own.encode(texts)
+    assert ids == [",".join(map(str, enc.encode_ordinary(t))) for t in texts]
+    assert own.decode(ids) == [t.encode() for t in texts]
+
+
+def test_bpe_decodes_ids_not_texts(monkeypatch):
+    path, _ = reference_bpe()
+    own = bpe.Encoder(path, public_tokenizers.PATTERN)
+    ids = own.encode(["one two", "", "three one"])
+    monkeypatch.setattr(bpe, "DECODED_ROWS", 2)
+    assert own.decode(ids) == [b"one two", b"", b"three one"]
+    own.con.execute("update tokens set hex = '7a' where tok = ?", [int(ids[0].split(",")[0])])
+    assert own.decode(ids)[0] == b"z two"
+
+
+def test_bpe(spark, docs, none):
+    path, enc = reference_bpe()
     out = rows(bpe.encode_decode(docs, path, public_tokenizers.PATTERN), "doc_id", "n_tokens", "ids", "decoded")
     want = []
     for r in [*TEXTS, TWICE]:
