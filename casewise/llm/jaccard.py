@@ -17,8 +17,11 @@ every band with a probability of 5e-8.
 
 Defined results: a text of fewer than `words` words is one shingle, a text
 without words (null, empty) links with nothing; repeated rows are documents of
-one class; a null doc_id is a member of its text's class and never its
-smallest; an empty table gives no rows; further columns are ignored.
+one class, and so are texts under one doc_id with equal shingles; a null doc_id
+is a member of its text's class and never its smallest, and classes whose ids
+are all null are compared like any other (their class_id is null); texts of any
+length are compared whole; an empty table gives no rows; further columns are
+ignored unless named in ``carry``.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from casewise.llm.common import connected, stored, table
 from casewise.llm.shingles import MinHash, mixed, shingles
@@ -119,14 +124,16 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.n
         low = new
 
 
-def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5, count: int = 128, rows: int = 4, tolerance: float = 1e-6, bin_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, class_id, n_links, component_id, kept: one row per document.
+def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5, count: int = 128, rows: int = 4, tolerance: float = 1e-6, bin_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, class_id, n_links, component_id, kept, component, and the columns of `carry`: one row per document.
 
     class_id is the least doc_id with the same shingles, n_links the number of
     other documents with similarity of at least `threshold`, component_id the
-    least doc_id that links lead to, kept whether the row is that document.
+    least doc_id that links lead to, kept whether the row is that document;
+    component names the group even where doc_ids are null or stand twice.
     """
-    texts = documents.select("doc_id", "text")
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"), *carry)
+    carried = to_arrow_schema(texts.select(*carry).schema)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(count)
@@ -136,10 +143,17 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
                 s = shingles(text.as_py(), words)
                 c.append(class_number(s, doc_id))
                 bands.append(band_keys(minhash(s), rows) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "c", "bands"])
-
-    meta = stored(texts.mapInArrow(describe, "doc_id long, c long, bands array<long>"), "shingles")
-    classes = stored(meta.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.any_value("bands").alias("bands")), "classes")
+            columns = [b.column(0), b.column(2), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *b.columns[3:]], names=["doc_id", "mark", "c", "bands", *carried.names])
+
+    result = StructType.fromDDL("doc_id long, mark long, c long, bands array<long>")
+    for name in carry:
+        result = result.add(texts.schema[name])
+    meta = stored(texts.mapInArrow(describe, result), "shingles")
+    # the row that stands for a class: one with its least doc_id
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("class_id"), "mark")).alias("first")
+    classes = meta.groupBy("c").agg(first, F.count("*").alias("size"), F.any_value("bands").alias("bands"))
+    classes = stored(classes.select("c", "first.class_id", "first.mark", "size", "bands"), "classes")
 
     keyed = classes.select("c", F.posexplode("bands").alias("band", "key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -164,9 +178,10 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
                     out.append((c, minhash(s).astype("<u4").tobytes(), s.astype("<u8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["c", "sig", "terms"])
 
-    needed = classes.join(groups.select("c").distinct(), "c").select("c", "class_id", "size")
-    sets = texts.join(needed, texts.doc_id == needed.class_id).select("c", "text").mapInArrow(describe_sets, "c long, sig binary, terms binary")
-    sets = stored(needed.join(sets.dropDuplicates(["c"]), "c"), "sets")
+    needed = classes.join(groups.select("c").distinct(), "c").select("c", "class_id", "mark", "size")
+    of_class = (F.coalesce(texts.doc_id, F.lit(-1)) == F.coalesce(needed.class_id, F.lit(-1))) & (texts.mark == needed.mark)
+    sets = texts.join(needed, of_class).select("c", "text").mapInArrow(describe_sets, "c long, sig binary, terms binary")
+    sets = stored(needed.select("c", "size").join(sets.dropDuplicates(["c"]), "c"), "sets")
     weight = groups.join(sets.select("c", F.octet_length("terms").alias("w")), "c").agg(F.sum(F.col("w") + count * 4)).first()[0] or 0
     bins = int(max(8, -(-weight // bin_bytes)))
     verifier = Verifier(count, rows, threshold, tolerance)
@@ -175,10 +190,10 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
         t = t.sort_by([(k, "ascending") for k in ("key", "i", "j", "side", "c")])
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, count)
         terms = [np.frombuffer(x, "<u8") for x in t.column("terms").to_pylist()]
-        ids, size, band = (np.asarray(t.column(k).to_pylist(), np.int64) for k in ("class_id", "size", "band"))
+        ids, size, band = (np.asarray(t.column(k).to_pylist(), np.int64) for k in ("c", "size", "band"))
         name = list(zip(*(t.column(k).to_pylist() for k in ("key", "i", "j")), strict=True))
         side = np.asarray(t.column("side").to_pylist(), np.int64)
-        out: dict = {"class_id": [], "links": [], "root": []}
+        out: dict = {"c": [], "links": [], "root": []}
         a = 0
         while a < len(name):
             b = a
@@ -191,20 +206,24 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, words: int = 5
                 count_ = np.bincount(left, size[a:b][right], n) + np.bincount(right, size[a:b][left], n)
                 root = _roots(n, left, right, ids[a:b])
                 hit = np.flatnonzero(count_)
-                out["class_id"] += ids[a:b][hit].tolist()
+                out["c"] += ids[a:b][hit].tolist()
                 out["links"] += count_[hit].astype(np.int64).tolist()
                 out["root"] += root[hit].tolist()
             a = b
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     dealt = groups.join(sets, "c").withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
-    found = stored(dealt.groupBy("bin").applyInArrow(verify, "class_id long, links long, root long"), "links")
-    links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    parts = connected(found, "class_id", "root").withColumnRenamed("id", "class_id")
-    per_class = classes.select("c", "class_id", "size").join(links, "class_id", "left").join(parts, "class_id", "left")
-    out = meta.select("doc_id", "c").join(per_class, "c")
-    own = F.coalesce("component_id", "class_id")
-    return out.select("doc_id", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
+    found = stored(dealt.groupBy("bin").applyInArrow(verify, "c long, links long, root long"), "links")
+    links = found.groupBy("c").agg(F.sum("links").alias("links"))
+    parts = stored(connected(found, "c", "root").select(F.col("id").alias("c"), F.col("component_id").alias("component")), "parts")
+    low = parts.join(classes.select("c", "class_id"), "c").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    per_class = classes.select("c", "class_id", "size").join(links, "c", "left").join(parts, "c", "left").join(low, "component", "left")
+    out = meta.select("doc_id", "c", *carry).join(per_class, "c")
+    own = F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id"))
+    return out.select(
+        "doc_id", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), own.alias("component_id"),
+        F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"), F.coalesce("component", "c").alias("component"), *carry,
+    )
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

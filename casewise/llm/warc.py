@@ -7,8 +7,10 @@ records are framed by Content-Length, the payload digest is recomputed.
 
 Defined results: null html is an empty payload; a null url is written as the
 page's own urn; a null page_id is kept and never referred to; rows repeated
-under the smallest page_id are all responses; an empty table gives no rows;
-further columns of the input are ignored.
+under the smallest page_id are all responses; a page_id that stands with several
+payloads is decided for each payload on its own; payloads of any length are
+written and read whole; an empty table gives no rows; further columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ def mark_revisits(pages: DataFrame, least_revisit: int = 100) -> DataFrame:
     long_enough = F.octet_length("html") >= least_revisit
     first = rows.where(long_enough).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     ids = rows.where(long_enough).select("page_id", "payload_digest").join(first, "payload_digest").where("page_id > first_id")
-    ids = ids.select("page_id", F.col("first_id").alias("refers_to")).distinct()
-    return rows.join(ids, "page_id", "left")
+    ids = ids.select("page_id", "payload_digest", F.col("first_id").alias("refers_to")).distinct()
+    return rows.join(ids, ["page_id", "payload_digest"], "left")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:

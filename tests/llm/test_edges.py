@@ -206,6 +206,15 @@ def test_jaccard_keeps_pairs_whose_earlier_band_agrees_in_low_bits_only(spark):
         assert out == [(data[a][0], 1, data[a][0]), (data[b][0], 1, data[a][0])]
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    near, far = BASE.replace("word30", "other"), " ".join(f"far{i}" for i in range(60))
+    data = [(None, BASE), (None, BASE), (None, near), (5, far), (5, far.upper()), (6, far.replace("far30", "x")), (7, far.upper() + " y")]
+    out = sorted(((r.doc_id is None, r.doc_id or 0, r.n_links, r.component_id, r.component) for r in jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()), key=str)
+    assert [r[2] for r in out] == [1, 1, 1, 1, 2, 2, 2]
+    assert [r[3] for r in out] == [5, 5, 5, 5, None, None, None]
+    assert len({r[4] for r in out}) == 3
+
+
 def test_many_near_copies_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rng = np.random.default_rng(0)
@@ -383,6 +392,19 @@ def test_warc(spark):
     assert warc.archive_pages(df).count() == len(data) and warc.archive_pages(df.where("false")).count() == 0
 
 
+def test_warc_of_repeated_page_ids(spark, tmp_path):
+    import duckdb
+
+    a, b, c = ("<p>" + x * 200 for x in "abc")
+    data = [(3, "u", a), (7, "u", a), (7, "u", b), (8, "u", b), (8, "u", c), (9, "u", c), (10, "u", b), (10, "u", c), (11, "u", "s"), (11, "u", "s"), (None, "u", b), (12, None, None)]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = warc.op10_warc(spark, f"file://{tmp_path}")
+    assert got.count() == len(data)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, con.execute(warc.OP10_SQL).fetchall()))
+
+
 def test_warc_reader_finds_damage():
     import gzip
 

@@ -34,3 +34,19 @@ def test_pipeline(spark, tmp_path):
     assert "0123456789abcdef01" in cut[1004].text and "[SECRET]" in red[1004].text and "0123456789abcdef01" not in red[1004].text
     packed = P.pack(spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(red)
+
+
+def test_near_duplicates_go_by_row(spark):
+    base, other = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    near = base.replace("word30", "x")
+    data = [(1, base), (5, base), (5, other), (7, other + " end"), (8, "few words"), (8, "few words"), (None, near), (None, "alone"), (None, "alone"), (9, None), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted([(r.doc_id, r.text) for r in out], key=str) == sorted([(1, base), (5, other), (8, "few words"), (None, "alone"), (9, None), (10, "")], key=str)
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    none.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert P.run(spark, f"file://{tmp_path}").count() == 0
