@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; run() writes each result as Parquet to the shared folder and reads it
 for the next one. All stages but the last return the columns of documents.
+
+Defined results: null and empty texts pass every stage (they are no one's near
+duplicate) and end as the end id alone; of rows with equal doc_id and text one
+stays, and texts that share a doc_id are judged each on its own; a null doc_id
+counts as the greatest; ties of near duplicates go to the least doc_id; texts of
+any length are treated whole; further columns are dropped; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the least doc_id stays."""
-    gone = jaccard.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of every group of near duplicates one row stays, one with the least doc_id; rows are told apart by id and text."""
+    marks = [F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_b")]
+    rows = docs.select(*COLUMNS, *marks)
+    found = jaccard.near_duplicates(rows, carry=("_a", "_b"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_a", "_b")).alias("best")
+    stay = found.groupBy("component").agg(best).select("best._a", "best._b")
+    return rows.join(stay, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
