@@ -1,15 +1,17 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Each partition packs its own pieces online, batch by batch and longest first
-within a batch, with a fixed number of open bins. The open bins stand in a
-bitset keyed by free space, so the tightest fit is one shift and one
-lowest-bit step; when all are open and none fits, the fullest closes first.
-Bins still open at a partition's end (at most ``open_bins`` each) are merged
-among themselves afterwards, in groups of bounded size.
+Each partition packs its own pieces online, in order of arrival, with a fixed
+number of open bins. The open bins stand in a bitset keyed by free space, so the
+tightest fit is one shift and one lowest-bit step; when all are open and none
+fits, the fullest closes first. Bins still open at a partition's end (at most
+``open_bins`` each) go through the same packing once more, as pieces of their
+own, in groups of bounded size.
 
 Defined results: null and empty texts are the end id alone; documents longer
-than a sequence are cut, first piece shorter; repeated rows are packed as
-often as they occur; an empty table gives no rows; further columns are ignored.
+than a sequence are cut, first piece shorter, whatever their length; of bins
+with the same free space (ties) the one used last is taken; repeated rows are
+packed as often as they occur; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -97,7 +99,7 @@ class Bins:
             free = size + (fits & -fits).bit_length() - 1
             found = self._take(free)
         else:
-            if self.open >= self.limit:
+            if self.open >= self.limit and size < self.capacity:
                 self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             found, free = self.next, self.capacity
             self.next += 1
@@ -123,16 +125,14 @@ def pieces(documents: DataFrame, json_path: str, ranks_path: str, capacity: int,
         bins = Bins(capacity, open_bins, TaskContext.get().partitionId() << 36)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("open_used", pa.int32())])
         for batch in batches:
-            cut: list[tuple] = []
+            out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = memoryview(encode(text.as_py() or "") + tail)
                 n, start = len(ids) // 4, 0
                 for k in range(count := -(-n // capacity)):
                     end = n - capacity * (count - 1 - k)
-                    cut.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                    out.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), *bins.put(end - start), None))
                     start = end
-            cut.sort(key=lambda p: -p[3])  # the batch at hand goes in longest first
-            out = [(*p, *bins.put(p[3]), None) for p in cut]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         if left := list(bins.rest()):
@@ -143,13 +143,13 @@ def pieces(documents: DataFrame, json_path: str, ranks_path: str, capacity: int,
     return documents.select("doc_id", "text").mapInArrow(pack, PIECES)
 
 
-def merge_bins(left: DataFrame, capacity: int, group: int = 50_000) -> DataFrame:
-    """bin -> (into, shift): leftover bins packed into one another, fullest first, in groups of bounded size."""
+def merge_bins(left: DataFrame, capacity: int, open_bins: int, group: int = 50_000) -> DataFrame:
+    """bin -> (into, shift): leftover bins packed into one another online, in groups of bounded size."""
     groups = -(-left.count() // group)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["open_used", "bin"], ascending=[False, True])
-        bins, names, rows = Bins(capacity, len(pdf) + 1), {}, []
+        pdf = pdf.sort_values("bin")  # partitions in turn: the same result when a task runs again
+        bins, names, rows = Bins(capacity, open_bins), {}, []
         for b, used in zip(pdf["bin"].tolist(), pdf["open_used"].tolist(), strict=True):
             k, shift = bins.put(used)
             rows.append((b, names.setdefault(k, b), shift))
@@ -159,10 +159,10 @@ def merge_bins(left: DataFrame, capacity: int, group: int = 50_000) -> DataFrame
     return keyed.groupBy("g").applyInPandas(pack, "bin long, into long, shift long")
 
 
-def best_fit_pack(documents: DataFrame, json_path: str, ranks_path: str, capacity: int = 2048, open_bins: int = 8192, end_id: int = 0) -> DataFrame:
+def best_fit_pack(documents: DataFrame, json_path: str, ranks_path: str, capacity: int = 2048, open_bins: int = 64, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of each document."""
     rows = stored(pieces(documents, json_path, ranks_path, capacity, open_bins, end_id), "pieces")
-    moves = stored(merge_bins(rows.where("open_used is not null").select("bin", "open_used"), capacity), "moves")
+    moves = stored(merge_bins(rows.where("open_used is not null").select("bin", "open_used"), capacity, open_bins), "moves")
     packed = rows.where("open_used is null").join(moves, "bin", "left")
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
