@@ -12,20 +12,25 @@ is verified in double precision on the vectors as given.
 Pairs never become rows: a pair is decided where the vector with the smaller
 number is at home, in the first block whose share it keeps, and a cell
 returns, per vector, how many vectors it links to and the least one it is
-connected with. Cells are dealt in chunks of home vectors, but every chunk gets
-all vectors of its cell as guests, so a task holds the whole cell and the links
-of its chunk: memory grows with the fullest cell.
+connected with. Inside a cell the home vectors are halved along their widest
+coordinate again and again, and vectors outside a half's reach drop out, so far
+fewer pairs are compared than the cell has. A cell with more than ``chunk``
+vectors is dealt in parts, each with itself and every other, so a task holds
+two parts at most; the grid takes a further coordinate where that makes fewer
+rows. Links become counts and roots step by step.
 
 Equal vectors are one class and are compared once.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths never link; a row
-whose vec_id is null is a member of its vector's class; an empty table gives
-no rows; further columns are ignored.
+whose vec_id is null is a member of its vector's class, and a class without any
+vec_id is compared like the others (its ids are null); ties and repeated rows
+are one class; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import sqrt
 
@@ -35,12 +40,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewise.llm.common import connected, stored, table
+from casewise.llm.shingles import mixed
 
 #: Rotated coordinates travel as 16-bit integers of this scale; SLACK, added to every share, is above their rounding.
 SCALE = 32767
 SLACK = 1e-4
+#: So many home vectors are compared at once.
+LEAF = 32
 
 
+@functools.cache
 def rotation(dims: int, seed: int = 3) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng([seed, dims]).normal(size=(dims, dims)))
     return q * np.sign(np.diag(r))
@@ -58,100 +67,180 @@ def _cells(x: np.ndarray, radius: float, side: float) -> Iterator[tuple[np.ndarr
         yield np.flatnonzero(near), cell[near], not shift.any()
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int = 8, grid_dims: int = 2, chunk: int = 100_000) -> DataFrame:
+def _cell_names(cells: np.ndarray, dims: int, b: int) -> np.ndarray:
+    """One 64-bit name per cell of block b of vectors of `dims` components."""
+    name = np.full(len(cells), dims * 4096 + b, np.uint64)
+    for c in cells.T:
+        name = mixed(name * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+    return name.view(np.int64)
+
+
+def _union(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Merges the trees of linked members; every root is its tree's least member."""
+    while True:
+        a, b = parent[left], parent[right]
+        new = a != b
+        if not new.any():
+            return
+        left, right, a, b = left[new], right[new], a[new], b[new]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+
+
+def _close(block: np.ndarray, homes: np.ndarray, others: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (home, other) within the squared distance `reach` in a block, a few homes at a time.
+
+    Homes are halved along their widest coordinate; others too far from the box
+    of a half are left out before it is halved again.
+    """
+    part = block[homes]
+    low, high = part.min(axis=0), part.max(axis=0)
+    others = others[(np.maximum(0, np.maximum(low - block[others], block[others] - high)) ** 2).sum(axis=1) <= reach]
+    if not len(others):
+        return
+    if len(homes) > LEAF:
+        order = np.argsort(part[:, np.argmax(high - low)], kind="stable")
+        for half in (order[: len(order) // 2], order[len(order) // 2 :]):
+            yield from _close(block, homes[half], others, reach)
+        return
+    other = block[others]
+    near = (part**2).sum(axis=1)[:, None] + (other**2).sum(axis=1)[None, :] - 2 * (part @ other.T) <= reach
+    i, j = np.nonzero(near)
+    yield homes[i], others[j]
+
+
+class Layout:
+    """How vectors of any length are turned, cut into blocks and put into cells; travels to the tasks."""
+
+    def __init__(self, budget: float, block_dims: int, grid_dims: int) -> None:
+        self.budget, self.block_dims, self.grid_dims = budget, block_dims, grid_dims
+
+    def bounds(self, dims: int) -> list[tuple[int, int]]:
+        return [(s, min(dims, s + self.block_dims)) for s in range(0, dims, self.block_dims)]
+
+    def shares(self, dims: int) -> list[float]:
+        return [self.budget * (e - s) / dims + SLACK for s, e in self.bounds(dims)]
+
+    def placed(self, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, bool]]:
+        """(their places in the batch, raw and turned vectors of one length, block, of these the rows that reach some cells, those cells, whether they are home)."""
+        lens = np.asarray([len(v) for v in vectors])
+        for dims in np.unique(lens).tolist():
+            at = np.flatnonzero(lens == dims)
+            raw = np.asarray([vectors[k].as_py() for k in at.tolist()], np.float64)
+            scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+            unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+            turned = np.rint(unit @ rotation(dims) * SCALE).astype("<i2")
+            for b, ((s, e), share) in enumerate(zip(self.bounds(dims), self.shares(dims), strict=True)):
+                for rows, cell, home in _cells(turned[:, s:e][:, : self.grid_dims] / SCALE, sqrt(share), 2 * sqrt(share)):
+                    if len(rows):
+                        yield at, raw, turned, b, rows, _cell_names(cell, dims, b), home
+
+
+def _cell_sizes(found: DataFrame, layout: Layout) -> DataFrame:
+    """cell, n: how many vectors reach each cell."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, names, _ in layout.placed(batch.column(0)):
+                cell, n = np.unique(names, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+    return found.select("embedding").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _laid_out(found: DataFrame, budget: float, block_dims: int, most_grid_dims: int, chunk: int) -> tuple[Layout, dict[int, int]]:
+    """The layout that makes fewest rows, and the parts of cells that hold more than a chunk.
+
+    Cells are few by geometry: at most (1 / radius + 1) ** grid_dims a block.
+    """
+    best = None
+    for grid_dims in range(2, most_grid_dims + 1):
+        layout = Layout(budget, block_dims, grid_dims)
+        sizes = stored(_cell_sizes(found, layout), "cells")
+        made = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / chunk))).first()[0] or 0
+        if best and made >= best[0]:
+            break
+        best = made, layout, sizes
+    parts = best[2].where(F.col("n") > chunk).select("cell", F.ceil(F.col("n") / chunk).alias("parts"))
+    return best[1], {r.cell: r.parts for r in parts.collect()}
+
+
+def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int = 16, most_grid_dims: int = 3, chunk: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept, class_id: one row per vector; links join vectors whose cosine is at least `cosine`."""
     value = F.col("embedding").cast("array<double>")
     finite = F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(value, lambda v: v != 0)
     rows = embeddings.select("vec_id", F.when(F.coalesce(finite, F.lit(False)), F.col("embedding")).alias("embedding"))
     name = F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.size("embedding")))
     rows = stored(rows.select("vec_id", "embedding", F.coalesce(name, F.xxhash64(F.lit("none"), "vec_id")).alias("c")), "vectors")
-    classes = stored(rows.groupBy("c").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"), F.any_value("embedding").alias("embedding")), "classes")
-    found = classes.where("embedding is not null and class_id is not null")
-    total = found.count()
-    budget, parts = 2 - 2 * cosine, max(1, -(-total // chunk))
-
+    classes = rows.groupBy("c").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"), F.any_value("embedding").alias("embedding"))
+    classes = stored(classes, "classes")
+    found = classes.where("embedding is not null")
+    layout, parts = _laid_out(found, 2 - 2 * cosine, block_dims, most_grid_dims, chunk)
+    parts = embeddings.sparkSession.sparkContext.broadcast(parts)
     given = np.float32 if dict(embeddings.dtypes)["embedding"] == "array<float>" else np.float64
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, size = (np.asarray(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
-            lens = np.asarray([len(v) for v in batch.column(2)])
-            for dims in np.unique(lens).tolist():
-                at = np.flatnonzero(lens == dims)
-                raw = np.asarray([batch.column(2)[k].as_py() for k in at.tolist()], np.float64)
-                scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
-                unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-                turned = np.rint(unit @ turns.setdefault(dims, rotation(dims)) * SCALE).astype("<i2")
-                own = (ids[at] * 2_654_435_761 % 4_294_967_291) % parts
-                for b, start in enumerate(range(0, dims, block_dims)):
-                    block = turned[:, start : start + block_dims] / SCALE
-                    radius = sqrt(budget * block.shape[1] / dims + SLACK)
-                    for rows_, cell, home in _cells(block[:, :grid_dims], radius, 2 * radius):
-                        if not len(rows_):
-                            continue
-                        names = np.full(len(cell), dims * 4096 + b, np.int64)
-                        for c in cell.T:
-                            names = names * 2048 + c + 1024
-                        k, mine = at[rows_], own[rows_]
-                        vectors = [pa.array([x[j].tobytes() for j in rows_.tolist()], pa.binary()) for x in (raw.astype(given), turned)]
-                        for part in range(parts):  # a home vector meets the whole cell in its own chunk, and comes to the others as a guest
-                            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(k), part, np.int32)), pa.array(np.full(len(k), b, np.int32)), pa.array((mine == part) & home), pa.array(ids[k]), pa.array(size[k]), *vectors], names=["cell", "part", "b", "home", "class_id", "size", "raw", "turned"])
-
-    placed = found.select("class_id", "size", "embedding").mapInArrow(place, "cell long, part int, b int, home boolean, class_id long, size long, raw binary, turned binary")
+            ids, size = (batch.column(k).to_numpy() for k in (0, 1))
+            for at, raw, turned, b, rows_, names, home in layout.placed(batch.column(2)):
+                many = np.asarray([parts.value.get(k, 1) for k in names.tolist()])
+                own = ids[at[rows_]] % many
+                for other in range(int(many.max())):  # a part of a large cell meets itself and every other
+                    k = np.flatnonzero(other < many)
+                    raw_, turned_ = (pa.array([x[j].tobytes() for j in rows_[k].tolist()], pa.binary()) for x in (raw.astype(given), turned))
+                    columns = {"cell": names[k], "i": np.minimum(own[k], other), "j": np.maximum(own[k], other), "own": own[k], "b": np.full(len(k), b), "home": np.full(len(k), home)}
+                    columns |= {"c": ids[at[rows_[k]]], "size": size[at[rows_[k]]], "raw": raw_, "turned": turned_}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "cell long, i long, j long, own long, b long, home boolean, c long, size long, raw binary, turned binary"
+    placed = found.select("c", "size", "embedding").mapInArrow(place, schema)
 
     def join(t: pa.Table) -> pa.Table:
-        home = np.asarray(t.column("home").to_pylist(), bool)
-        ids, size = (np.asarray(t.column(k).to_pylist(), np.int64) for k in ("class_id", "size"))
-        b = t.column("b")[0].as_py()
+        t = t.sort_by("c")
+        home, ids, size, own = (t.column(k).to_numpy() for k in ("home", "c", "size", "own"))
+        b, i, j = (t.column(k)[0].as_py() for k in ("b", "i", "j"))
         raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), given).reshape(len(ids), -1).astype(np.float64)
         turned = np.frombuffer(b"".join(t.column("turned").to_pylist()), "<i2").reshape(len(ids), -1)
-        dims = raw.shape[1]
-        bounds = [(s, min(dims, s + block_dims)) for s in range(0, dims, block_dims)]
-        share = [budget * (e - s) / dims + SLACK for s, e in bounds]
-        order = np.argsort(ids, kind="stable")
-        ids, size, raw, turned, home = ids[order], size[order], raw[order], turned[order], home[order]
+        bounds, share = layout.bounds(raw.shape[1]), layout.shares(raw.shape[1])
         block = (turned[:, slice(*bounds[b])] / SCALE).astype(np.float32)
-        norm2 = (block.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
         scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
         length = np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
-        lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        homes = np.flatnonzero(home)
-        for a in range(0, len(homes), 512):
-            h = homes[a : a + 512]
-            first = int(h[0]) + 1
-            near = norm2[h][:, None] + norm2[None, first:] - 2 * (block[h] @ block[first:].T) <= np.float32(share[b] + SLACK)
-            i, j = np.nonzero(near)
-            left, right = h[i], j + first
-            left, right = left[ids[left] < ids[right]], right[ids[left] < ids[right]]
-            for s, e in [*bounds[:b], bounds[b]]:  # decided in the first block whose share the pair keeps
-                d = ((turned[left, s:e].astype(np.int64) - turned[right, s:e]) ** 2).sum(axis=1) / SCALE**2
-                keep = d <= share[b] if s == bounds[b][0] else d > share[bounds.index((s, e))]
-                left, right = left[keep], right[keep]
-            cos = np.einsum("ij,ij->i", scaled[left], scaled[right]) / (length[left] * length[right])
-            lefts.append(left[cos >= cosine])
-            rights.append(right[cos >= cosine])
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        links = np.bincount(left, size[right], len(ids)) + np.bincount(right, size[left], len(ids))
-        root = ids.copy()
-        while len(left):
-            low = root.copy()
-            np.minimum.at(low, left, root[right])
-            np.minimum.at(low, right, root[left])
-            if (low == root).all():
-                break
-            root = low
+        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        sides = [(home, np.ones(len(ids), bool))] if i == j else [(home & (own == x), own == y) for x, y in ((i, j), (j, i))]
+        for homes, others in (map(np.flatnonzero, x) for x in sides):
+            for left, right in _close(block, homes, others, share[b] + SLACK) if len(homes) else ():
+                left, right = left[ids[left] < ids[right]], right[ids[left] < ids[right]]
+                for k in range(b + 1):  # decided in the first block whose share the pair keeps
+                    s, e = bounds[k]
+                    d = ((turned[left, s:e].astype(np.int64) - turned[right, s:e]) ** 2).sum(axis=1) / SCALE**2
+                    keep = d <= share[k] if k == b else d > share[k]
+                    left, right = left[keep], right[keep]
+                if len(left):
+                    linked = np.einsum("ij,ij->i", scaled[left], scaled[right]) / (length[left] * length[right]) >= cosine
+                    left, right = left[linked], right[linked]
+                    links += (np.bincount(left, size[right], len(ids)) + np.bincount(right, size[left], len(ids))).astype(np.int64)
+                    _union(parent, left, right)
         hit = np.flatnonzero(links)
-        return pa.table({"class_id": ids[hit], "links": links[hit].astype(np.int64), "root": root[hit]})
-
-    links = stored(placed.groupBy("cell", "part").applyInArrow(join, "class_id long, links long, root long"), "links")
-    counts = links.groupBy("class_id").agg(F.sum("links").alias("links"))
-    parts_ = connected(links, "class_id", "root").withColumnRenamed("id", "class_id")
-    per_class = classes.select("c", "class_id", "size", F.col("embedding").isNotNull().alias("sound")).join(counts, "class_id", "left").join(parts_, "class_id", "left")
+        return pa.table({"c": ids[hit], "links": links[hit], "root": ids[parent[hit]]})
+
+    links = stored(placed.groupBy("cell", "i", "j").applyInArrow(join, "c long, links long, root long"), "links")
+    counts = links.groupBy("c").agg(F.sum("links").alias("links"))
+    groups = stored(connected(links, "c", "root").select(F.col("id").alias("c"), F.col("component_id").alias("component")), "groups")
+    low = groups.join(classes.select("c", "class_id"), "c").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    per_class = classes.select("c", "class_id", "size", F.col("embedding").isNotNull().alias("sound"))
+    per_class = per_class.join(counts, "c", "left").join(groups, "c", "left").join(low, "component", "left")
     out = rows.select("vec_id", "c").join(per_class, "c")
     alike = F.when(F.col("sound"), F.col("size") - 1).otherwise(F.lit(0)) + F.coalesce("links", F.lit(0))
-    own = F.when(F.col("sound"), F.coalesce("component_id", "class_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", alike.cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, own.isNull()).alias("kept"), F.when(F.col("sound"), F.col("class_id")).otherwise(F.col("vec_id")).alias("class_id"))
+    least = F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id"))
+    own_id = F.when(F.col("sound"), least).otherwise(F.col("vec_id"))
+    return out.select(
+        "vec_id",
+        alike.cast("long").alias("n_links"),
+        own_id.alias("component_id"),
+        F.coalesce(F.col("vec_id") == own_id, own_id.isNull()).alias("kept"),
+        F.when(F.col("sound"), F.col("class_id")).otherwise(F.col("vec_id")).alias("class_id"),
+    )
 
 
 def op2_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,25 @@ def test_embedding_chunks_agree(spark):
     x = np.random.default_rng(4).normal(size=(50, 16))
     x = np.concatenate([x, x + 0.02])
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    assert rows(embeddings.near_vectors(df), "vec_id", "n_links", "component_id") == rows(embeddings.near_vectors(df, chunk=17), "vec_id", "n_links", "component_id")
+    assert rows(embeddings.near_vectors(df), "vec_id", "n_links", "component_id") == rows(embeddings.near_vectors(df, chunk=7), "vec_id", "n_links", "component_id")
+
+
+def test_embedding_links_are_all_found(spark):
+    """Links planted around the threshold, in a cloud and in one dense group, against all pairs; without ids too."""
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(300, 64)))
+    near = unit(base[:200] + rng.uniform(0.2, 0.36, (200, 1)) * unit(rng.normal(size=(200, 64))))
+    dense = unit(base[:1] + 0.2 * unit(rng.normal(size=(150, 64))))
+    x = np.concatenate([base, near, dense]).astype(np.float32)
+    v = x.astype(float)
+    want = (v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1)) >= 0.95).sum(axis=1) - 1
+    assert 0 < (want[300:500] > 0).sum() < 200 and want.max() > 20
+    df = spark.createDataFrame([(i if i % 7 else None, r.tolist(), i) for i, r in enumerate(x)], "vec_id long, embedding array<float>, row int")
+    for chunk in (8192, 60):
+        got = embeddings.near_vectors(df, chunk=chunk).select("vec_id", "n_links").collect()
+        assert sorted(r.n_links for r in got) == sorted(want.tolist())
+        assert {r.vec_id: r.n_links for r in got if r.vec_id} == {i: n for i, n in enumerate(want.tolist()) if i % 7}
 
 
 def test_secrets(spark, docs, none):
