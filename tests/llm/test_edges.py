@@ -134,6 +134,38 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs, secrets.fitted(none, F.col("source")), F.col("source")).where("size(secrets) > 0").count() == 0
 
 
+def test_secrets_forest_judges_what_rules_leave_open(spark):
+    """Planted keys that no credential word announces, and look-alikes, by a forest that learnt from announced ones."""
+    rng = np.random.default_rng(9)
+    pick = lambda of, n: "".join(rng.choice(list(of), n))
+    hexa, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    base64_ = letters + letters.upper() + "0123456789+/"
+    learn, judge = [], []
+    for i in range(150):
+        key = pick(hexa, 40) if i % 2 else pick(base64_, 32) + "=="
+        learn.append((i, f'the token = "{key}" of {pick(letters, 6)} and {pick(letters.upper(), 14)} from {pick(letters, 5)}{i}@mail.example.com at {pick("0123456789", 16)} end'))
+        other = pick(hexa, 40) if i % 2 else pick(base64_, 32) + "=="
+        fake = (pick(letters.upper(), 15), pick("0123456789", 16), f"{pick(letters, 9)}{i}@host.example.org")[i % 3]
+        judge.append((1000 + i, f"we use {other} and see {fake} here", other, fake))
+    docs = spark.createDataFrame([(i, t, "s") for i, t, *_ in learn + judge], "doc_id long, text string, source string")
+    found = secrets.rule_labels(secrets.candidates(docs.where("doc_id < 1000"), F.col("source")))
+    assert all(v >= 0.95 for v in secrets.held_out(found, secrets.common_words(docs)).values())
+    out = {r.doc_id: r.secrets for r in secrets.fit_and_scan(docs, F.col("source")).collect()}
+    assert np.mean([other in out[i] for i, _, other, _ in judge]) > 0.95
+    assert np.mean([fake in out[i] for i, _, _, fake in judge]) < 0.02
+
+
+def test_secrets_candidates_and_clashing_names(spark):
+    text = 'password: "correct-horse-battery" secret=Pa$$w0rd!x key QUJDREVGR0hJSktMTU5PUFFSU1RVVg12== end'
+    df = spark.createDataFrame([(1, text, "s", 7, "mine", 3, "x")], "doc_id long, text string, source string, h int, secrets string, n_candidates int, n string")
+    found = sorted(r.candidate for r in secrets.candidates(df, F.col("source")).collect())
+    assert found == ["Pa$$w0rd!x", "QUJDREVGR0hJSktMTU5PUFFSU1RVVg12==", "correct-horse-battery"]
+    out = secrets.scan(df, secrets.Scanner([], None, 1.0), F.col("source"))
+    row = out.first()
+    assert (row.h, row.n, row.n_candidates, row.secrets) == (7, "x", 3, sorted(found))
+    assert row.redacted == 'password: "[SECRET]" secret=[SECRET] key [SECRET] end' and out.columns.count("secrets") == 1
+
+
 def test_secrets_fit_on_distinct_texts_and_both_labels(spark):
     texts = ["alpha beta"] * 3000 + [f"gamma text {i}" for i in range(5)]
     assert secrets.common_words(spark.createDataFrame([(t,) for t in texts], "text string"))[0] == "gamma"
