@@ -50,7 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark."""
-    rows = secrets.scan(docs, secrets.fitted(docs, F.col("source")), F.col("source"))
+    rows = secrets.fit_and_scan(docs, F.col("source"))
     return rows.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
