@@ -110,6 +110,23 @@ def _close(block: np.ndarray, homes: np.ndarray, others: np.ndarray, reach: floa
     yield homes[i], others[j]
 
 
+def _bytes_of(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _rows_of(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """The reverse of _bytes_of."""
+    return np.concatenate([np.frombuffer(c.buffers()[2], dtype)[c.offset * (w := len(c[0].as_py()) // np.dtype(dtype).itemsize) :][: len(c) * w].reshape(len(c), w) for c in column.chunks if len(c)])
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of vectors as given, in double precision."""
+    a, b = (x.astype(np.float64) / np.abs(x).max(axis=1, keepdims=True).astype(np.float64) for x in (a, b))
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
+
+
 class Layout:
     """How vectors of any length are turned, cut into blocks and put into cells; travels to the tasks."""
 
@@ -162,11 +179,13 @@ def _laid_out(found: DataFrame, budget: float, block_dims: int, most_grid_dims:
         if best and made >= best[0]:
             break
         best = made, layout, sizes
+        if sizes.where(F.col("n") > chunk).isEmpty():
+            break
     parts = best[2].where(F.col("n") > chunk).select("cell", F.ceil(F.col("n") / chunk).alias("parts"))
     return best[1], {r.cell: r.parts for r in parts.collect()}
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int = 16, most_grid_dims: int = 3, chunk: int = 8192) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int = 16, most_grid_dims: int = 3, chunk: int = 32_768) -> DataFrame:
     """vec_id, n_links, component_id, kept, class_id: one row per vector; links join vectors whose cosine is at least `cosine`."""
     value = F.col("embedding").cast("array<double>")
     finite = F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(value, lambda v: v != 0)
@@ -188,7 +207,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int =
                 own = ids[at[rows_]] % many
                 for other in range(int(many.max())):  # a part of a large cell meets itself and every other
                     k = np.flatnonzero(other < many)
-                    raw_, turned_ = (pa.array([x[j].tobytes() for j in rows_[k].tolist()], pa.binary()) for x in (raw.astype(given), turned))
+                    raw_, turned_ = (_bytes_of(x[rows_[k]]) for x in (raw.astype(given), turned))
                     columns = {"cell": names[k], "i": np.minimum(own[k], other), "j": np.maximum(own[k], other), "own": own[k], "b": np.full(len(k), b), "home": np.full(len(k), home)}
                     columns |= {"c": ids[at[rows_[k]]], "size": size[at[rows_[k]]], "raw": raw_, "turned": turned_}
                     yield pa.RecordBatch.from_pydict(columns)
@@ -200,12 +219,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int =
         t = t.sort_by("c")
         home, ids, size, own = (t.column(k).to_numpy() for k in ("home", "c", "size", "own"))
         b, i, j = (t.column(k)[0].as_py() for k in ("b", "i", "j"))
-        raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), given).reshape(len(ids), -1).astype(np.float64)
-        turned = np.frombuffer(b"".join(t.column("turned").to_pylist()), "<i2").reshape(len(ids), -1)
+        raw, turned = _rows_of(t.column("raw"), given), _rows_of(t.column("turned"), "<i2")
         bounds, share = layout.bounds(raw.shape[1]), layout.shares(raw.shape[1])
         block = (turned[:, slice(*bounds[b])] / SCALE).astype(np.float32)
-        scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
-        length = np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
         links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
         sides = [(home, np.ones(len(ids), bool))] if i == j else [(home & (own == x), own == y) for x, y in ((i, j), (j, i))]
         for homes, others in (map(np.flatnonzero, x) for x in sides):
@@ -217,7 +233,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int =
                     keep = d <= share[k] if k == b else d > share[k]
                     left, right = left[keep], right[keep]
                 if len(left):
-                    linked = np.einsum("ij,ij->i", scaled[left], scaled[right]) / (length[left] * length[right]) >= cosine
+                    linked = _cosines(raw[left], raw[right]) >= cosine
                     left, right = left[linked], right[linked]
                     links += (np.bincount(left, size[right], len(ids)) + np.bincount(right, size[left], len(ids))).astype(np.int64)
                     _union(parent, left, right)
