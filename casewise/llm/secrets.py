@@ -48,13 +48,17 @@ CLASSES = "LUDS"
 MARK = "[SECRET]"
 
 
+def _strings(text: Column) -> Column:
+    """The distinct candidates of a text."""
+    long_ = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda c: F.regexp_replace(c, "[.@/+!-]+$", ""))
+    assigned = F.transform(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)), lambda c: F.regexp_replace(c, "[.!)]+$", ""))
+    return F.array_union(F.filter(long_, lambda c: F.length(c) >= 12), F.filter(assigned, lambda c: F.length(c) >= 8))
+
+
 def candidates(documents: DataFrame, path: Column) -> DataFrame:
     """One row per distinct candidate of a text: h (a hash of the row), candidate, before, after, path."""
     rows = documents.select(F.xxhash64("doc_id", "text", path).alias("h"), "text", F.coalesce(path, F.lit("")).alias("path"))
-    long_ = F.transform(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda c: F.regexp_replace(c, "[.@/+!-]+$", ""))
-    assigned = F.transform(F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1)), lambda c: F.regexp_replace(c, "[.!)]+$", ""))
-    long_, assigned = F.filter(long_, lambda c: F.length(c) >= 12), F.filter(assigned, lambda c: F.length(c) >= 8)
-    rows = rows.withColumn("c", F.explode(F.array_union(long_, assigned)))
+    rows = rows.withColumn("c", F.explode(_strings(F.col("text"))))
     at = F.instr(F.col("text"), F.col("c"))
     before = F.substring("text", F.greatest(at - AROUND, F.lit(1)), F.least(at - 1, F.lit(AROUND)))
     after = F.substring("text", at + F.length("c"), F.lit(AROUND))
@@ -149,7 +153,11 @@ def scan(documents: DataFrame, scanner: Scanner, path: Column, threshold: float
     scored = scanner.scored(candidates(documents, path) if found is None else found)
     finding = F.when(F.col("score") >= threshold, F.col("candidate"))
     by_row = scored.select("h", "candidate", "score").distinct().groupBy("h").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(finding)).alias("strings"))
-    rows = documents.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text", path).alias("h")).join(by_row, "h", "left")
+    rows = documents.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text", path).alias("h"), (F.size(_strings(F.col("text"))) > 0).alias("any"))
+    # only documents with candidates are joined, and shuffled
+    with_ = rows.where("any").drop("any").join(by_row, "h", "left")
+    without = rows.where("not coalesce(any, false)").select("h", "doc", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<string>").alias("strings"))
+    rows = with_.unionByName(without)
     strings = F.coalesce("strings", F.array().cast("array<string>"))
     longest = F.reverse(F.array_sort(F.transform(strings, lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
     redacted = F.aggregate(longest, F.col("doc.text"), lambda t, s: F.replace(t, s["s"], F.lit(MARK)))
