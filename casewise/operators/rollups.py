@@ -69,7 +69,8 @@ def derived_lesion_columns(df: DataFrame) -> DataFrame:
 
 
 def lesion_level(df: DataFrame, by: list[str]) -> DataFrame:
-    d = derived_lesion_columns(df)
+    """Lesion figures of the diseased cases; healthy ones count nowhere in them."""
+    d = derived_lesion_columns(df.where("diseased"))
     gt, hit, pred, false = (F.sum(c) for c in ("num_gt_lesions", "detected", "num_pred_lesions", "false_detected_lesions"))
     return d.groupBy(*by).agg(gt.alias("gt"), hit.alias("detected"), ratio(hit, gt).alias("micro"), F.avg("case_sensitivity").alias("macro"), ratio(false, F.count("*")).alias("fp_per_case"), ratio(false, pred).alias("fdr"))
 
@@ -92,7 +93,7 @@ def arm_summary(df: DataFrame) -> DataFrame:
     """One row per fold: headline patient and lesion figures, and the case-weighted mean dice of the tracers."""
     p = patient_level(df, ["fold"]).select("fold", "dice", "fp_mean", "fn_mean", "sensitivity", "specificity")
     weighted = patient_level(df, ["fold", "tracer"]).groupBy("fold").agg((F.sum(F.col("dice") * F.col("n_diseased")) / F.sum("n_diseased")).alias("weighted_dice"))
-    return p.join(lesion_level(df, ["fold"]).select("fold", "micro", "macro"), "fold").join(weighted, "fold")
+    return p.join(lesion_level(df, ["fold"]).select("fold", "micro", "macro"), "fold", "left").join(weighted, "fold")
 
 
 def fold_summary(df: DataFrame) -> DataFrame:

@@ -28,6 +28,37 @@ def offsets(connectivity: int) -> list[tuple[int, int, int]]:
     return [o for o in product((-1, 0, 1), repeat=3) if 0 < sum(map(abs, o)) <= most]
 
 
+def _labels(c: np.ndarray, half: list[tuple[int, int, int]], region: np.ndarray | None = None) -> np.ndarray:
+    """Component numbers, from 1, of points (rows x, y, z); neighbours of different regions don't connect."""
+    low = c.min(axis=1) - 1
+    sx, sy = (c.max(axis=1) - low + 2)[:2]
+    key = ((c[2] - low[2]) * sy + (c[1] - low[1])) * sx + (c[0] - low[0])
+    order = np.argsort(key)
+    ordered, a, b = key[order], [], []
+    for dx, dy, dz in half:
+        want = ordered + (dz * sy + dy) * sx + dx
+        at = np.minimum(np.searchsorted(ordered, want), len(ordered) - 1)
+        near = ordered[at] == want
+        if region is not None:
+            near &= region[order][at] == region[order]
+        hit = np.flatnonzero(near)
+        a.append(hit)
+        b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(ordered))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, root[a], root[b])
+        np.minimum.at(new, root[b], root[a])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    comp = np.empty(len(ordered), np.int32)
+    comp[order] = np.unique(root, return_inverse=True)[1] + 1
+    return comp
+
+
 def connected_components(vox: DataFrame, mask: str, connectivity: int = 18, by: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """`by`, x, y, z, comp of the voxels whose mask is above 0; comp numbers from 1 in order of the first voxel by (z, y, x)."""
     half = [o for o in offsets(connectivity) if o[::-1] > (0, 0, 0)]
@@ -36,30 +67,7 @@ def connected_components(vox: DataFrame, mask: str, connectivity: int = 18, by:
 
     def label(t: pa.Table) -> pa.Table:
         c = np.asarray([t.column(k).to_numpy() for k in XYZ], np.int64)
-        low = c.min(axis=1) - 1
-        sx, sy = (c.max(axis=1) - low + 2)[:2]
-        key = ((c[2] - low[2]) * sy + (c[1] - low[1])) * sx + (c[0] - low[0])
-        order = np.argsort(key)
-        ordered, a, b = key[order], [], []
-        for dx, dy, dz in half:
-            want = ordered + (dz * sy + dy) * sx + dx
-            at = np.minimum(np.searchsorted(ordered, want), len(ordered) - 1)
-            hit = np.flatnonzero(ordered[at] == want)
-            a.append(hit)
-            b.append(at[hit])
-        a, b = np.concatenate(a), np.concatenate(b)
-        root = np.arange(len(ordered))
-        while True:
-            new = root.copy()
-            np.minimum.at(new, root[a], root[b])
-            np.minimum.at(new, root[b], root[a])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        comp = np.empty(len(ordered), np.int32)
-        comp[order] = np.unique(root, return_inverse=True)[1] + 1
-        return t.append_column("comp", pa.array(comp, pa.int32()))
+        return t.append_column("comp", pa.array(_labels(c, half), pa.int32()))
 
     return rows.groupBy(*by).applyInArrow(label, schema)
 
@@ -75,19 +83,70 @@ def dice(tp: Column, fp: Column, fn: Column, empty: float | None = None) -> Colu
     return F.coalesce(F.try_divide(2.0 * tp, (2 * tp + fp + fn).cast("double")), F.lit(empty).cast("double"))
 
 
-def unmatched_components(vox: DataFrame, mask: str, other: str, connectivity: int = 18, by: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """`by`, n_components, n_unmatched, unmatched_voxels: components of `mask` that no voxel of `other` touches."""
-    comp = connected_components(vox, mask, connectivity, by).join(vox.select(*by, *XYZ, other), [*by, *XYZ])
-    per = comp.groupBy(*by, "comp").agg(F.count("*").alias("n"), F.max(other).alias("hit"))
-    return per.groupBy(*by).agg(F.count("*").alias("n_components"), F.count_if(F.expr("hit = 0")).alias("n_unmatched"), F.sum(F.when(F.col("hit") == 0, F.col("n")).otherwise(0)).alias("unmatched_voxels"))
+def component_counts(vox: DataFrame, pairs: tuple[tuple[str, str], ...], connectivity: int = 18, within: str | None = None) -> DataFrame:
+    """case_id, `within`, mask, n_components, n_unmatched, unmatched_voxels for each (mask, other) of `pairs`.
+
+    Unmatched is a component that no voxel of `other` touches. With `within` (a
+    column of whole numbers such as the region) masks are cut by it before
+    components are formed. One pass and one call per case, whatever the number
+    of masks and regions; groups without a component have no row.
+    """
+    half = [o for o in offsets(connectivity) if o[::-1] > (0, 0, 0)]
+    masks = sorted({m for p in pairs for m in p})
+    region = F.col(within) if within else F.lit(0)
+    rows = vox.select("case_id", *XYZ, region.cast("long").alias("region"), *[F.coalesce(F.col(m) > 0, F.lit(False)).alias(m) for m in masks])
+
+    def count(t: pa.Table) -> pa.Table:
+        c = np.asarray([t.column(k).to_numpy() for k in XYZ], np.int64)
+        names, region = np.unique(t.column("region").to_numpy(), return_inverse=True)
+        has = {m: t.column(m).to_numpy().astype(bool) for m in masks}
+        out: dict = {k: [] for k in ("region", "mask", "n_components", "n_unmatched", "unmatched_voxels")}
+        for mask, other in pairs:
+            at = np.flatnonzero(has[mask])
+            if not len(at):
+                continue
+            comp = _labels(c[:, at], half, region[at]) - 1
+            size, hits, place = np.bincount(comp), np.bincount(comp, has[other][at]), np.empty(comp.max() + 1, np.int64)
+            place[comp] = region[at]
+            n, free = np.bincount(place, minlength=len(names)), hits == 0
+            some = np.flatnonzero(n)
+            out["region"] += names[some].tolist()
+            out["mask"] += [mask] * len(some)
+            out["n_components"] += n[some].tolist()
+            out["n_unmatched"] += np.bincount(place, free, len(names))[some].astype(np.int64).tolist()
+            out["unmatched_voxels"] += np.bincount(place, free * size, len(names))[some].astype(np.int64).tolist()
+        case = t.column("case_id").combine_chunks()[:1].take(pa.array([0] * len(out["mask"]), pa.int32()))
+        kinds = {"mask": pa.string()}
+        return pa.table({"case_id": case} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+
+    schema = f"case_id {dict(vox.dtypes)['case_id']}, region long, mask string, n_components long, n_unmatched long, unmatched_voxels long"
+    found = rows.groupBy("case_id").applyInArrow(count, schema)
+    if not within:
+        return found.drop("region")
+    return found.withColumn("region", F.col("region").cast(dict(vox.dtypes)[within])).withColumnRenamed("region", within)
+
+
+def unmatched_components(vox: DataFrame, mask: str, other: str, connectivity: int = 18, within: str | None = None) -> DataFrame:
+    """case_id, `within`, n_components, n_unmatched, unmatched_voxels: components of `mask` that no voxel of `other` touches."""
+    return component_counts(vox, ((mask, other),), connectivity, within).drop("mask")
+
+
+def _both_sides(vox: DataFrame, voxel_ml: float, names: dict[str, tuple[str, str, str]], within: str | None = None) -> DataFrame:
+    """The counts of both masks against one another in one row per case (and `within`), 0 where a mask has none."""
+    found = component_counts(vox, (("pred", "gt"), ("gt", "pred")), within=within)
+    columns = []
+    for mask, (n, unmatched, volume) in names.items():
+        of = lambda c, mask=mask: F.coalesce(F.max(F.when(F.col("mask") == mask, F.col(c))), F.lit(0))
+        columns += [of("n_components").alias(n), of("n_unmatched").alias(unmatched), (of("unmatched_voxels") * voxel_ml).alias(volume)]
+    return found.groupBy("case_id", *([within] if within else [])).agg(*columns)
 
 
 def case_metrics(vox: DataFrame, cases: DataFrame, voxel_ml: float, grid: int) -> DataFrame:
     """Per case: dice, false volumes in mL, missed and detected counts; cases without voxels from `cases`."""
-    fp = unmatched_components(vox, "pred", "gt").select("case_id", F.col("n_components").alias("pred_lesions"), F.col("n_unmatched").alias("false_detected"), (F.col("unmatched_voxels") * voxel_ml).alias("fp_vol"))
-    fn = unmatched_components(vox, "gt", "pred").select("case_id", F.col("n_components").alias("gt_lesions"), F.col("n_unmatched").alias("missed"), (F.col("unmatched_voxels") * voxel_ml).alias("fn_vol"))
+    names = {"pred": ("pred_lesions", "false_detected", "fp_vol"), "gt": ("gt_lesions", "missed", "fn_vol")}
+    found = _both_sides(vox, voxel_ml, names)
     c = confusion_counts(vox, grid).select("case_id", dice(F.col("tp"), F.col("fp"), F.col("fn"), 0.0).alias("dice"))
-    out = cases.select("case_id").distinct().join(c, "case_id", "left").join(fp, "case_id", "left").join(fn, "case_id", "left")
+    out = cases.select("case_id").distinct().join(c, "case_id", "left").join(found, "case_id", "left")
     return out.na.fill(0)
 
 
@@ -183,10 +242,9 @@ def region_metrics(vox: DataFrame, voxel_ml: float) -> DataFrame:
     """Per case and region: dice and unmatched components, the masks cut by region before components are formed."""
     by = ("case_id", "ts")
     c = confusion_counts(vox, 0, by).select(*by, dice(F.col("tp"), F.col("fp"), F.col("fn")).alias("dice"))
-    fp = unmatched_components(vox, "pred", "gt", by=by).select(*by, F.col("n_components").alias("pred_lesions"), F.col("n_unmatched").alias("fp_lesions"), (F.col("unmatched_voxels") * voxel_ml).alias("fp_vol"))
-    fn = unmatched_components(vox, "gt", "pred", by=by).select(*by, F.col("n_components").alias("gt_lesions"), F.col("n_unmatched").alias("fn_lesions"), (F.col("unmatched_voxels") * voxel_ml).alias("fn_vol"))
-    number = ["pred_lesions", "fp_lesions", "fp_vol", "gt_lesions", "fn_lesions", "fn_vol"]
-    return c.join(fp, list(by), "left").join(fn, list(by), "left").na.fill(0, number)
+    names = {"pred": ("pred_lesions", "fp_lesions", "fp_vol"), "gt": ("gt_lesions", "fn_lesions", "fn_vol")}
+    found = _both_sides(vox, voxel_ml, names, within="ts")
+    return c.join(found, list(by), "left").na.fill(0, [n for part in names.values() for n in part])
 
 
 def merge_region_table(vox: DataFrame, regions: DataFrame, voxel_mm3: float, voxel_ml: float, priority: Column) -> DataFrame:

@@ -91,7 +91,7 @@ def a7(spark, d):
     return _r(A.patient_level(_cm(spark, d), ["fold", "tracer"]))
 
 
-@query("a8_lesion_level", CM + f" select fold, diagnosis, {LES} from fx_case_metrics group by 1, 2")
+@query("a8_lesion_level", CM + f" select fold, diagnosis, {LES} from fx_case_metrics where diseased group by 1, 2")
 def a8(spark, d):
     return _r(A.lesion_level(_cm(spark, d), ["fold", "diagnosis"]))
 
@@ -120,7 +120,7 @@ def a9(spark, d):
     return _r(A.organ_level(A.overlap_gate(_tagged(spark, d), 0.4).withColumn("dice", F.round("dice", 6)), []))
 
 
-@query("a10_arm_summary", CM + f", p as (select fold, {PAT} from fx_case_metrics group by 1), l as (select fold, {LES} from fx_case_metrics group by 1), w as (select fold, round(sum(m * n) / sum(n), 6) as weighted_dice from (select fold, tracer, avg(case when diseased then dice end) as m, count(*) filter (diseased) as n from fx_case_metrics group by 1, 2) group by 1) select fold, dice, fp_mean, fn_mean, sensitivity, specificity, micro, macro, weighted_dice from p join l using (fold) join w using (fold)")
+@query("a10_arm_summary", CM + f", p as (select fold, {PAT} from fx_case_metrics group by 1), l as (select fold, {LES} from fx_case_metrics where diseased group by 1), w as (select fold, round(sum(m * n) / sum(n), 6) as weighted_dice from (select fold, tracer, avg(case when diseased then dice end) as m, count(*) filter (diseased) as n from fx_case_metrics group by 1, 2) group by 1) select fold, dice, fp_mean, fn_mean, sensitivity, specificity, micro, macro, weighted_dice from p left join l using (fold) join w using (fold)")
 def a10(spark, d):
     return _r(A.arm_summary(_cm(spark, d)))
 
@@ -211,7 +211,7 @@ def p6(spark, d):
     return A.annotate_train_size(_cm(spark, d), 2).select("case_name", "fold_num", "tracer", "train_size")
 
 
-@query("a24_efficiency_curve", CM + SIZES + f", s as (select c.*, train_size from fx_case_metrics c join sz on sz.tracer = c.tracer and sz.k = fold_num) select tracer, train_size, {LES}, round(max(sum(num_gt_lesions - false_missed_lesions) / nullif(sum(num_gt_lesions), 0)) over (partition by tracer), 6) as ceiling from s group by 1, 2")
+@query("a24_efficiency_curve", CM + SIZES + f", s as (select c.*, train_size from fx_case_metrics c join sz on sz.tracer = c.tracer and sz.k = fold_num where diseased) select tracer, train_size, {LES}, round(max(sum(num_gt_lesions - false_missed_lesions) / nullif(sum(num_gt_lesions), 0)) over (partition by tracer), 6) as ceiling from s group by 1, 2")
 def a24(spark, d):
     from pyspark.sql import Window
 
