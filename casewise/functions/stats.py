@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import erfc, exp, lgamma, log, sqrt
 
 
@@ -19,7 +20,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
     total = d
-    for m in range(1, 400):
+    for m in range(1, 4000):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + top * d or tiny)
             c = 1 + top / c or tiny
@@ -30,7 +31,9 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 
 
 def t_sf(t: float, df: float) -> float:
-    """P(T > t) of Student's t."""
+    """P(T > t) of Student's t; the normal tail above ten million degrees of freedom."""
+    if df > 1e7:
+        return normal_sf(t)
     tail = incomplete_beta(df / 2, 0.5, df / (df + t * t)) / 2
     return tail if t >= 0 else 1 - tail
 
@@ -43,8 +46,8 @@ def t_quantile(p: float, df: float) -> float:
     return (low + high) / 2
 
 
-def wilcoxon_exact_sf(w: float, n: int) -> float:
-    """P(W+ >= w) of the signed-rank statistic without ties or zeros."""
+@lru_cache(maxsize=64)
+def _rank_sums(n: int) -> tuple[int, ...]:
     counts = [1]
     for k in range(1, n + 1):
         new = [0] * (len(counts) + k)
@@ -52,4 +55,9 @@ def wilcoxon_exact_sf(w: float, n: int) -> float:
             new[i] += c
             new[i + k] += c
         counts = new
-    return sum(c for i, c in enumerate(counts) if i >= w) / 2**n
+    return tuple(counts)
+
+
+def wilcoxon_exact_sf(w: float, n: int) -> float:
+    """P(W+ >= w) of the signed-rank statistic without ties or zeros."""
+    return sum(c for i, c in enumerate(_rank_sums(n)) if i >= w) / 2**n

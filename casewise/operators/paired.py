@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from casewise.functions.stats import normal_sf, t_quantile, t_sf, wilcoxon_exact_sf
+from casewise.operators.rollups import rank_quartile, ranked
+
+#: Signed-rank p is exact up to this many pairs.
+EXACT_PAIRS = 50
+LOWER_IS_BETTER = ("false_pos_vol", "false_neg_vol", "num_pred_lesions", "false_missed_lesions", "false_detected_lesions")
 
 
 def paired_table(df: DataFrame, random_folds: list[int], selected: int, metrics: list[str]) -> DataFrame:
@@ -18,62 +24,109 @@ def paired_table(df: DataFrame, random_folds: list[int], selected: int, metrics:
     return long.withColumn("diff", F.col("b") - F.col("a"))
 
 
-def paired_t(pairs: DataFrame, by: list[str], least: int = 2) -> DataFrame:
-    """n, mean, sd, t of the differences by group; no row for groups below `least`."""
+@F.pandas_udf(DoubleType())
+def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_sf(a, b) if pd.notna(a) and b > 0 else None for a, b in zip(t, df, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _t_point(p: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_quantile(a, b) if b > 0 else None for a, b in zip(p, df, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _normal_tail(z: pd.Series) -> pd.Series:
+    return pd.Series([normal_sf(a) if pd.notna(a) else None for a in z], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _rank_tail(w: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([wilcoxon_exact_sf(a, int(b)) if b <= EXACT_PAIRS else None for a, b in zip(w, n, strict=True)], dtype="float64")
+
+
+def direction(metric: str = "metric") -> Column:
+    """1 for metrics where a higher value is better, -1 where a lower one is."""
+    return F.when(F.col(metric).isin(*LOWER_IS_BETTER), -1).otherwise(1)
+
+
+def paired_t(pairs: DataFrame, by: list[str], least: int = 2, sign: Column | None = None) -> DataFrame:
+    """n, mean, sd, t of the differences by group, two-sided p, and with `sign` the one-sided p_better; no row for groups below `least`.
+
+    The probabilities are computed on the summary rows alone.
+    """
     out = pairs.groupBy(*by).agg(F.count("diff").alias("n"), F.avg("diff").alias("mean"), F.stddev_samp("diff").alias("sd")).where(F.col("n") >= least)
-    return out.withColumn("t", F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt(F.col("n").cast("double")))))
+    out = out.withColumn("t", F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt(F.col("n").cast("double")))))
+    df = (F.col("n") - 1).cast("double")
+    out = out.withColumn("p", 2 * _t_tail(F.abs("t"), df))
+    return out if sign is None else out.withColumn("p_better", _t_tail(sign * F.col("t"), df))
+
 
+def wilcoxon(pairs: DataFrame, by: list[str], sign: Column | None = None) -> DataFrame:
+    """n, w_plus, z of the signed-rank test by group, two-sided p, and with `sign` the one-sided p_better.
 
-def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """n, w_plus, z of the signed-rank test by group: zeros dropped, tied ranks averaged; null z where nothing is left to vary."""
-    size = F.round(F.abs("diff"), 9)
-    rows = pairs.withColumn("size", size).where("size > 0")
-    level = Window.partitionBy(*by).orderBy("size")
-    same = Window.partitionBy(*by, "size")
+    Zeros are dropped, tied ranks averaged; z and p are null where nothing is
+    left to vary. p is exact for up to 50 pairs without ties or zeros, else from
+    the normal tail.
+    """
+    rows = pairs.withColumn("size", F.round(F.abs("diff"), 9)).withColumn("zero", F.col("size") == 0)
+    same, level = Window.partitionBy(*by, "size"), Window.partitionBy(*by, "zero").orderBy("size")
     rows = rows.withColumn("ties", F.count("*").over(same)).withColumn("rank", F.rank().over(level) + (F.col("ties") - 1) / 2)
-    t = F.col("ties").cast("double")
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("diff") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(t * t - 1).alias("tie_term"))
+    t, some = F.col("ties").cast("double"), ~F.col("zero")
+    out = rows.groupBy(*by).agg(
+        F.count_if(some).alias("n"),
+        F.count_if("zero").alias("zeros"),
+        F.sum(F.when(some & (F.col("diff") > 0), F.col("rank")).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(some, t * t - 1).otherwise(0.0)).alias("tie_term"),
+    )
+    out = out.where("n > 0")
     n = F.col("n").cast("double")
+    most = n * (n + 1) / 2
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
-    return out.withColumn("z", F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var))).withColumn("tied", F.col("tie_term") > 0).drop("tie_term")
-
-
-def with_p(summary: DataFrame) -> pd.DataFrame:
-    """The summary rows (a few per comparison) with two-sided p: exact for up to 50 pairs without ties, else normal; t where there is a t."""
-    out = summary.toPandas()
-    if "t" in out:
-        out["p"] = [None if pd.isna(t) else 2 * t_sf(abs(t), n - 1) for t, n in zip(out.t, out.n, strict=True)]
-    else:
-        exact = lambda w, n: min(1.0, 2 * min(wilcoxon_exact_sf(w, n), wilcoxon_exact_sf(n * (n + 1) / 2 - w, n)))
-        out["p"] = [None if pd.isna(z) else exact(w, int(n)) if n <= 50 and not tied else 2 * normal_sf(abs(z)) for z, w, n, tied in zip(out.z, out.w_plus, out.n, out.tied, strict=True)]
-    return out
+    out = out.withColumn("z", F.when(var > 0, (F.col("w_plus") - most / 2) / F.sqrt(var))).withColumn("tied", F.col("tie_term") > 0)
+    exact = (F.col("n") <= EXACT_PAIRS) & ~F.col("tied") & (F.col("zeros") == 0)
+    out = out.withColumns({"up": _rank_tail("w_plus", n), "down": _rank_tail(most - F.col("w_plus"), n)})
+    two = F.when(exact, F.least(F.lit(1.0), 2 * F.least("up", "down"))).otherwise(2 * _normal_tail(F.abs("z")))
+    out = out.withColumn("p", F.when(F.col("z").isNotNull(), two))
+    if sign is not None:
+        one = F.when(exact, F.when(sign > 0, F.col("up")).otherwise(F.col("down"))).otherwise(_normal_tail(sign * F.col("z")))
+        out = out.withColumn("p_better", F.when(F.col("z").isNotNull(), one))
+    return out.drop("tie_term", "zeros", "up", "down")
 
 
 def bootstrap_ci(pairs: DataFrame, by: list[str], draws: int = 10_000, seed: int = 0) -> DataFrame:
     """low, high: 2.5 and 97.5 percentiles of resampled means by group.
 
     Draw b gives pair i a weight from a hash of (seed, b, i): Poisson(1), cut
-    at six, so that no index is joined and each pair meets each draw once.
+    at six, so that no index is joined and each pair meets each draw once. The
+    hash is squarings modulo a prime of the pair's md5 and the draw's number.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "case_name"), F.lit(1_000_003)) / 1_000_003
+    prime = F.lit(2_147_483_647)
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_name").cast("string"))), 1, 7), 16, 10).cast("long")
+    rows = pairs.withColumn("h", h).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
+    rows = rows.withColumn("x", (F.col("h") + F.col("draw") * 1_000_003) % prime)
+    rows = rows.withColumn("x", (F.col("x") * F.col("x") + F.col("h")) % prime)
+    u = ((F.col("x") * F.col("x") + F.col("draw")) % prime).cast("double") / prime.cast("double")
     weight = F.expr("0")
-    for k, c in enumerate((0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)):
-        weight = weight + F.when(u >= c, 1).otherwise(0)
-    rows = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582):
+        weight = weight + F.when(F.col("u") >= c, 1).otherwise(0)
+    rows = rows.withColumn("u", u).withColumn("w", weight)
     means = rows.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("diff")), F.sum("w").cast("double")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
-def noninferiority(pairs: DataFrame, by: list[str], margin: float) -> DataFrame:
-    """t = (mean - margin) / se by group."""
-    out = paired_t(pairs, by).withColumn("se", F.col("sd") / F.sqrt(F.col("n").cast("double")))
-    return out.withColumn("t_margin", F.try_divide(F.col("mean") - margin, F.col("se"))).select(*by, "n", "mean", "se", "t_margin")
+def run_many(pairs: DataFrame, by: list[str], draws: int = 10_000, sign: Column | None = None) -> DataFrame:
+    """The t test, the signed-rank test and the bootstrap interval of every group side by side; the data set is one of the keys."""
+    t = paired_t(pairs, by, sign=sign).withColumnsRenamed({"p": "t_p", "p_better": "t_p_better"})
+    w = wilcoxon(pairs, by, sign).select(*by, "w_plus", "z", F.col("p").alias("w_p"), *([F.col("p_better").alias("w_p_better")] if sign is not None else []))
+    return t.join(w, by, "left").join(bootstrap_ci(pairs, by, draws), by, "left")
 
 
-def noninferiority_verdict(summary: DataFrame, margin: float, alpha: float = 0.05) -> pd.DataFrame:
-    out = summary.toPandas()
-    out["ucl"] = [m + t_quantile(1 - alpha, n - 1) * s for m, n, s in zip(out["mean"], out.n, out.se, strict=True)]
-    return out.assign(noninferior=out.ucl < margin)
+def noninferiority(pairs: DataFrame, by: list[str], margin: float, alpha: float = 0.05) -> DataFrame:
+    """t = (mean - margin) / se by group, the upper confidence limit of the mean, and whether it stays below the margin."""
+    out = paired_t(pairs, by).withColumn("se", F.col("sd") / F.sqrt(F.col("n").cast("double")))
+    out = out.withColumn("t_margin", F.try_divide(F.col("mean") - margin, F.col("se")))
+    ucl = F.col("mean") + _t_point(F.lit(1 - alpha), (F.col("n") - 1).cast("double")) * F.col("se")
+    return out.withColumn("ucl", ucl).select(*by, "n", "mean", "se", "t_margin", "ucl", (F.col("ucl") < margin).alias("noninferior"))
 
 
 def subgroup_members(pairs: DataFrame, cases: DataFrame) -> DataFrame:
@@ -82,10 +135,27 @@ def subgroup_members(pairs: DataFrame, cases: DataFrame) -> DataFrame:
     return pairs.join(cases.select("case_name", "tracer", "diseased").distinct(), "case_name").withColumn("subgroup", F.explode(tags))
 
 
-def subgroup_summary(members: DataFrame, by: list[str]) -> DataFrame:
+def subgroup_summary(members: DataFrame, by: list[str], least: int = 3, least_p: int = 5) -> DataFrame:
+    """n, mean, median, quartiles, win rate and signed-rank p by group; differences up to 1e-9 are left out, groups below `least` skipped, p null below `least_p`."""
     d = members.where(F.abs("diff") > 1e-9)
     q = lambda p: F.percentile("diff", F.lit(p))
-    return d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.avg((F.col("diff") > 0).cast("int")).alias("win_rate")).where("n >= 3")
+    out = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.avg((F.col("diff") > 0).cast("int")).alias("win_rate")).where(F.col("n") >= least)
+    p = wilcoxon(d, by).where(F.col("n") >= least_p).select(*by, "p")
+    return out.join(p, by, "left")
+
+
+def stratified_improvement(members: DataFrame, by: list[str], least: int = 8) -> DataFrame:
+    """By group and quartile of the baseline `a`, worst first (q 1): n, median improvement, win percent, signed-rank p, baseline median.
+
+    Improvement is the difference with its sign flipped where a lower value is
+    better; groups below `least` pairs are skipped.
+    """
+    rows = members.withColumn("gain", direction() * F.col("diff")).withColumn("level", F.round(direction() * F.col("a"), 9))
+    rows = ranked(rows, by, "level", "case_name").withColumn("c", F.count("*").over(Window.partitionBy(*by))).where(F.col("c") >= least)
+    rows = rows.withColumn("q", rank_quartile(F.col("rank"), F.col("c")))
+    keys = [*by, "q"]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("gain", F.lit(0.5)).alias("median"), (F.avg((F.col("gain") > 0).cast("int")) * 100).alias("win"), F.percentile("a", F.lit(0.5)).alias("baseline"))
+    return out.join(wilcoxon(rows.drop("rank").withColumn("diff", F.col("gain")), keys).select(*keys, "p"), keys, "left")
 
 
 def method_disagreement(df: DataFrame, a: str, b: str, columns: list[str]) -> DataFrame:

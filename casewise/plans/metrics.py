@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casewise.operators import paired as T
 from casewise.operators import rollups as A
 from casewise.operators import voxels as V
+from casewise.plans import tails as TL
 from casewise.plans.voxels import GRID, MM3, OVER, REGM, _flags
 from casewise.sources import files as S
 from casewise.sources.fixtures import VOXEL_ML, ctes, fixture
@@ -341,33 +342,31 @@ def t1(spark, d):
     return _r(_pairs(spark, d))
 
 
-PT = "count(*) as n, round(avg(diff), 6) as mean, round(stddev_samp(diff), 6) as sd, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 6) as t"
-
-
-@query("t2_paired_t", PAIRS + f" select metric, {PT} from pt group by 1")
+@query("t2_paired_t", PAIRS + TL.t_columns("metric") + f" select metric, {TL.T_OUT} from tt")
 def t2(spark, d):
-    return _r(T.paired_t(_pairs(spark, d), ["metric"]))
-
+    return _r(T.paired_t(_pairs(spark, d), ["metric"], sign=T.direction()))
 
-WX = ", z as (select *, round(abs(diff), 9) as size from pt), zz as (select {by}, size, diff, count(*) over (partition by {by}, size) as ties, rank() over (partition by {by} order by size) as r from z where size > 0), zr as (select *, r + (ties - 1) / 2 as rk from zz), zs as (select {by}, count(*) as n, sum(case when diff > 0 then rk else 0 end) as w_plus, sum(ties * ties - 1) as tt from zr group by {by}) select {by}, n, round(w_plus, 6) as w_plus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tt / 48), 6) as z, tt > 0 as tied from zs"
 
-
-@query("t3_wilcoxon", PAIRS + WX.format(by="metric"))
+@query("t3_wilcoxon", PAIRS + TL.rank_columns("metric") + f" select metric, {TL.W_OUT} from wx")
 def t3(spark, d):
-    return _r(T.wilcoxon(_pairs(spark, d), ["metric"]))
+    return _r(T.wilcoxon(_pairs(spark, d), ["metric"], T.direction()))
 
 
-@query("t4_bootstrap_ci")
+@query("t4_bootstrap_ci", PAIRS + TL.bootstrap("metric", "pt", 10_000) + " select metric, round(low, 6) as low, round(high, 6) as high from bt")
 def t4(spark, d):
     return _r(T.bootstrap_ci(_pairs(spark, d), ["metric"]))
 
 
-@query("t5_noninferiority", PAIRS + " select metric, count(*) as n, round(avg(diff), 6) as mean, round(stddev_samp(diff) / sqrt(count(*)), 6) as se, round((avg(diff) - 0.05) / (stddev_samp(diff) / sqrt(count(*))), 6) as t_margin from pt group by 1")
+# The quantile by halving: fifty steps over (-100, 100).
+UCL = f", s as (select metric, count(*) as n, avg(diff) as mean, stddev_samp(diff) / sqrt(count(*)) as se from pt group by 1), qt(metric, n, k, lo, hi) as (select metric, n, 0, -100::double, 100::double from s union all select metric, n, k + 1, case when up then mid else lo end, case when up then hi else mid end from (select *, {TL.t_sf('mid', '(n - 1)')} > 0.05 as up from (select *, (lo + hi) / 2 as mid from qt where k < 50))), u as (select s.*, mean + (lo + hi) / 2 * se as ucl from s join qt using (metric) where k = 50)"
+
+
+@query("t5_noninferiority", PAIRS + UCL + " select metric, n, round(mean, 6) as mean, round(se, 6) as se, round((mean - 0.05) / se, 6) as t_margin, round(ucl, 6) as ucl, ucl < 0.05 as noninferior from u")
 def t5(spark, d):
     return _r(T.noninferiority(_pairs(spark, d), ["metric"], 0.05))
 
 
-ARM = CM + ", pt as (" + " union all ".join(f"select a.fold_num as k, '{m}' as metric, a.case_name, b.{m} - a.{m} as diff from fx_case_metrics a join fx_case_metrics b on a.case_name = b.case_name and b.fold_num = a.fold_num + 2 where a.{m} is not null and b.{m} is not null" for m in METRICS) + ")"
+ARM = CM + ", pt as (" + " union all ".join(f"select a.fold_num as k, '{m}' as metric, a.case_name, a.{m} as a, b.{m} - a.{m} as diff from fx_case_metrics a join fx_case_metrics b on a.case_name = b.case_name and b.fold_num = a.fold_num + 2 where a.{m} is not null and b.{m} is not null" for m in METRICS) + ")"
 
 
 def _arm_pairs(spark, d):
@@ -376,37 +375,36 @@ def _arm_pairs(spark, d):
     return long(0).withColumnRenamed("v", "a").join(long(2).withColumnRenamed("v", "b"), ["case_name", "k", "metric"]).where("a is not null and b is not null").withColumn("diff", F.col("b") - F.col("a"))
 
 
-@query("t6_arm_tests", ARM + f" select k, metric, {PT} from pt group by 1, 2")
+@query("t6_arm_tests", ARM + TL.t_columns("k, metric") + f" select k, metric, {TL.T_OUT} from tt")
 def t6(spark, d):
-    return _r(T.paired_t(_arm_pairs(spark, d), ["k", "metric"]))
+    return _r(T.paired_t(_arm_pairs(spark, d), ["k", "metric"], sign=T.direction()))
+
+
+CASE = "(select distinct case_name, tracer, diseased from fx_case_metrics)"
 
 
-@query("t9_run_many", ARM + WX.format(by="k, metric"))
+@query("t9_run_many", PAIRS + f", ds as (select p.*, tracer as dataset from pt p join {CASE} c using (case_name))" + TL.t_columns("dataset, metric", "ds") + TL.rank_columns("dataset, metric", "ds") + TL.bootstrap("dataset, metric", "ds", 10_000) + " select dataset, metric, tt.n, round(mean, 6) as mean, round(sd, 6) as sd, round(t, 6) as t, round(tt.p, 6) as t_p, round(tt.p_better, 6) as t_p_better, round(w_plus, 6) as w_plus, round(z, 6) as z, round(wx.p, 6) as w_p, round(wx.p_better, 6) as w_p_better, round(low, 6) as low, round(high, 6) as high from tt left join wx using (dataset, metric) left join bt using (dataset, metric)")
 def t9(spark, d):
-    return _r(T.wilcoxon(_arm_pairs(spark, d), ["k", "metric"]))
+    c = _cm(spark, d).select("case_name", F.col("tracer").alias("dataset")).distinct()
+    return _r(T.run_many(_pairs(spark, d).join(c, "case_name"), ["dataset", "metric"], sign=T.direction()))
 
 
-SUB = PAIRS + ", m as (select p.*, unnest(['overall', c.tracer, c.tracer || '/' || case when diseased then 'diseased' else 'healthy' end]) as subgroup from pt p join (select distinct case_name, tracer, diseased from fx_case_metrics) c using (case_name))"
+MEMBERS = f", mb as (select p.*, unnest(['overall', c.tracer, c.tracer || '/' || case when diseased then 'diseased' else 'healthy' end]) as subgroup from pt p join {CASE} c using (case_name))"
 
 
-@query("t7_subgroup_tests", SUB + " select metric, subgroup, count(*) as n, round(avg(diff), 6) as mean, round(quantile_cont(diff, 0.5), 6) as median, round(quantile_cont(diff, 0.25), 6) as q1, round(quantile_cont(diff, 0.75), 6) as q3, round(avg((diff > 0)::int), 6) as win_rate from m where abs(diff) > 1e-9 group by 1, 2 having count(*) >= 3")
+@query("t7_subgroup_tests", PAIRS + MEMBERS + ", sb as (select * from mb where abs(diff) > 1e-9::double)" + TL.rank_columns("metric, subgroup", "sb") + ", s as (select metric, subgroup, count(*) as n, round(avg(diff), 6) as mean, round(quantile_cont(diff, 0.5), 6) as median, round(quantile_cont(diff, 0.25), 6) as q1, round(quantile_cont(diff, 0.75), 6) as q3, round(avg((diff > 0)::int), 6) as win_rate from sb group by 1, 2 having count(*) >= 3) select s.*, case when wx.n >= 5 then round(p, 6) end as p from s left join wx using (metric, subgroup)")
 def t7(spark, d):
     return _r(T.subgroup_summary(T.subgroup_members(_pairs(spark, d), _cm(spark, d)), ["metric", "subgroup"]))
 
 
-@query("t8_stratified_improvement", PAIRS + ", r as (select *, row_number() over (partition by metric order by round(a, 9), case_name) as r, count(*) over (partition by metric) as c from pt), q as (select *, cast(greatest(1, ((r - 1) * 4 + c - 2) // greatest(c - 1, 1)) as int) as q from r where c >= 8) select metric, q, count(*) as n, round(quantile_cont(diff, 0.5), 6) as median, round(avg((diff > 0)::int) * 100, 6) as win, round(quantile_cont(a, 0.5), 6) as baseline from q group by 1, 2")
+@query("t8_stratified_improvement", ARM + MEMBERS + f", g as (select *, diff * {TL.SIGN} as gain from mb), r as (select *, row_number() over (partition by subgroup, k, metric order by round(a * {TL.SIGN}, 9), case_name) as r, count(*) over (partition by subgroup, k, metric) as c from g), sq as (select *, cast(greatest(1, ((r - 1) * 4 + c - 2) // greatest(c - 1, 1)) as int) as q from r where c >= 8)" + TL.rank_columns("subgroup, k, metric, q", "sq", "gain") + ", s as (select subgroup, k, metric, q, count(*) as n, round(quantile_cont(gain, 0.5), 6) as median, round(avg((gain > 0)::int) * 100, 6) as win, round(quantile_cont(a, 0.5), 6) as baseline from sq group by 1, 2, 3, 4) select s.*, round(p, 6) as p from s left join wx using (subgroup, k, metric, q)")
 def t8(spark, d):
-    from pyspark.sql import Window
-
-    p = _pairs(spark, d).withColumn("a9", F.round("a", 9))
-    r = A.ranked(p, ["metric"], "a9", "case_name").withColumn("c", F.count("*").over(Window.partitionBy("metric"))).where("c >= 8")
-    r = r.withColumn("q", A.rank_quartile(F.col("rank"), F.col("c")))
-    return _r(r.groupBy("metric", "q").agg(F.count("*").alias("n"), F.percentile("diff", F.lit(0.5)).alias("median"), (F.avg((F.col("diff") > 0).cast("int")) * 100).alias("win"), F.percentile("a", F.lit(0.5)).alias("baseline")))
+    return _r(T.stratified_improvement(T.subgroup_members(_arm_pairs(spark, d), _cm(spark, d)), ["subgroup", "k", "metric"]))
 
 
-@query("t10_per_size_t", ARM + f" select k, {PT} from pt where metric = 'false_pos_vol' group by 1")
+@query("t10_per_size_t", ARM + ", ps as (select * from pt where metric = 'false_pos_vol')" + TL.t_columns("k, metric", "ps") + f" select k, {TL.T_OUT} from tt")
 def t10(spark, d):
-    return _r(T.paired_t(_arm_pairs(spark, d).where("metric = 'false_pos_vol'"), ["k"]))
+    return _r(T.paired_t(_arm_pairs(spark, d).where("metric = 'false_pos_vol'"), ["k", "metric"], sign=T.direction()).drop("metric"))
 
 
 @query("s1_s2_split_files", SPL + ", p as (select split_id, role, cast(row_number() over (partition by split_id, role order by case_id) - 1 as int) as pos, filename as case from fx_splits) select * from p".replace("as case from", 'as "case" from'))

@@ -150,3 +150,38 @@ def test_dpp_splits_have_the_fresh_form_too(spark, sf):
     picks = selection.dpp_greedy(plans.fixture(spark, sf, "fx_cases"), 6).collect()
     got = {(r.budget, r.case_id) for r in plans.x3(spark, sf).where("form = 'fresh'").collect()}
     assert got == {(k, r.case_id) for k in (2, 4, 6) for r in picks if r.pick <= k}
+
+
+def test_signed_rank_p_against_enumeration(spark):
+    d = [0.3, -0.1, 0.7, 1.1, -0.4, 0.9, 0.2]
+    order = np.argsort(np.argsort(np.abs(d))) + 1
+    w = sum(r for r, v in zip(order, d, strict=True) if v > 0)
+    sums = [sum(r for r, s in zip(order, signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=len(d))]
+    up, down = np.mean([s >= w for s in sums]), np.mean([s <= w for s in sums])
+    df = spark.createDataFrame([("dice", str(i), v) for i, v in enumerate(d)] + [("false_pos_vol", str(i), v) for i, v in enumerate(d)], "metric string, case_name string, diff double")
+    got = {r.metric: r for r in paired.wilcoxon(df, ["metric"], paired.direction()).collect()}
+    assert got["dice"].p == pytest.approx(min(1, 2 * min(up, down)))
+    assert (got["dice"].p_better, got["false_pos_vol"].p_better) == (pytest.approx(up), pytest.approx(down))
+
+
+def test_paired_tests_without_spread(spark):
+    df = spark.createDataFrame([("dice", str(i), 0.5) for i in range(3)], "metric string, case_name string, diff double")
+    r = paired.paired_t(df, ["metric"], sign=paired.direction()).first()
+    assert (r.t, r.p, r.p_better) == (None, None, None)
+    assert paired.paired_t(df.limit(1), ["metric"]).count() == 0
+
+
+def test_bootstrap_against_resampling(spark):
+    rng = np.random.default_rng(3)
+    d = rng.normal(0.3, 1.0, 120)
+    df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(d)], "metric string, case_name long, diff double")
+    r = paired.bootstrap_ci(df, ["metric"], 4000).first()
+    want = np.percentile(d[rng.integers(0, len(d), (20_000, len(d)))].mean(axis=1), [2.5, 97.5])
+    assert np.abs(np.array([r.low, r.high]) - want).max() < 0.02
+
+
+def test_noninferiority_verdict(spark):
+    df = spark.createDataFrame([("m", str(i), v) for i, v in enumerate([0.01, -0.02, 0.0, 0.02, -0.01, 0.0])], "metric string, case_name string, diff double")
+    wide, tight = (paired.noninferiority(df, ["metric"], m).first() for m in (0.05, 0.001))
+    assert wide.noninferior and not tight.noninferior
+    assert wide.ucl == pytest.approx(2.0150484 * wide.se, abs=1e-6)
