@@ -93,32 +93,37 @@ def wilcoxon(pairs: DataFrame, by: list[str], sign: Column | None = None) -> Dat
     return out.drop("tie_term", "zeros", "up", "down")
 
 
-def bootstrap_ci(pairs: DataFrame, by: list[str], draws: int = 10_000, seed: int = 0) -> DataFrame:
+def _portable_uniform(seed: int) -> Column:
+    """A number in [0, 1) of (seed, draw, case_name) by squarings modulo a prime; SQL engines without xxhash64 can repeat it."""
+    prime = F.lit(2_147_483_647)
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_name").cast("string"))), 1, 7), 16, 10).cast("long")
+    draw = F.col("draw").cast("long")
+    x = (h + draw * 1_000_003) % prime
+    x = (x * x + h) % prime
+    return ((x * x + draw) % prime).cast("double") / prime.cast("double")
+
+
+def bootstrap_ci(pairs: DataFrame, by: list[str], draws: int = 10_000, seed: int = 0, portable: bool = False) -> DataFrame:
     """low, high: 2.5 and 97.5 percentiles of resampled means by group.
 
     Draw b gives pair i a weight from a hash of (seed, b, i): Poisson(1), cut
-    at six, so that no index is joined and each pair meets each draw once. The
-    hash is squarings modulo a prime of the pair's md5 and the draw's number.
+    at six, so that no index is joined and each pair meets each draw once.
+    `portable` takes the hash from md5 instead of xxhash64.
     """
-    prime = F.lit(2_147_483_647)
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_name").cast("string"))), 1, 7), 16, 10).cast("long")
-    rows = pairs.withColumn("h", h).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
-    rows = rows.withColumn("x", (F.col("h") + F.col("draw") * 1_000_003) % prime)
-    rows = rows.withColumn("x", (F.col("x") * F.col("x") + F.col("h")) % prime)
-    u = ((F.col("x") * F.col("x") + F.col("draw")) % prime).cast("double") / prime.cast("double")
+    u = _portable_uniform(seed) if portable else F.pmod(F.xxhash64(F.lit(seed), "draw", "case_name"), F.lit(1_000_003)) / 1_000_003
     weight = F.expr("0")
     for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582):
         weight = weight + F.when(F.col("u") >= c, 1).otherwise(0)
-    rows = rows.withColumn("u", u).withColumn("w", weight)
+    rows = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("w", weight)
     means = rows.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("diff")), F.sum("w").cast("double")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
-def run_many(pairs: DataFrame, by: list[str], draws: int = 10_000, sign: Column | None = None) -> DataFrame:
+def run_many(pairs: DataFrame, by: list[str], draws: int = 10_000, sign: Column | None = None, portable: bool = False) -> DataFrame:
     """The t test, the signed-rank test and the bootstrap interval of every group side by side; the data set is one of the keys."""
     t = paired_t(pairs, by, sign=sign).withColumnsRenamed({"p": "t_p", "p_better": "t_p_better"})
     w = wilcoxon(pairs, by, sign).select(*by, "w_plus", "z", F.col("p").alias("w_p"), *([F.col("p_better").alias("w_p_better")] if sign is not None else []))
-    return t.join(w, by, "left").join(bootstrap_ci(pairs, by, draws), by, "left")
+    return t.join(w, by, "left").join(bootstrap_ci(pairs, by, draws, portable=portable), by, "left")
 
 
 def noninferiority(pairs: DataFrame, by: list[str], margin: float, alpha: float = 0.05) -> DataFrame:
