@@ -34,10 +34,15 @@ def image_summary(df: DataFrame, names: list[str]) -> DataFrame:
     return out.withColumn("tracer", F.coalesce("tracer", F.lit("All")))
 
 
+#: The columns whose mean and deviation a detection summary adds.
+DETECTION_COLUMNS = ("dice", "false_pos_vol", "false_neg_vol", "num_gt_lesions", "num_pred_lesions", "false_missed_lesions", "false_detected_lesions", "case_sensitivity")
+
+
 def detection_summary(df: DataFrame, by: list[str]) -> DataFrame:
-    """Images, lesions, hits and misses, sensitivity and PPV of lesion counts."""
+    """Images, lesions, hits and misses, sensitivity and PPV of lesion counts; mean and deviation of eight columns."""
     gt, miss, pred, false = (F.sum(c) for c in ("num_gt_lesions", "false_missed_lesions", "num_pred_lesions", "false_detected_lesions"))
-    return df.groupBy(*by).agg(F.countDistinct("case_name").alias("images"), gt.alias("lesions"), (gt - miss).alias("tp"), false.alias("fp"), miss.alias("fn"), ratio(gt - miss, gt).alias("sensitivity"), ratio(pred - false, pred).alias("ppv"))
+    spread = [f(c).alias(f"{c}_{k}") for c in DETECTION_COLUMNS for k, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return derived_lesion_columns(df).groupBy(*by).agg(F.countDistinct("case_name").alias("images"), gt.alias("lesions"), (gt - miss).alias("tp"), false.alias("fp"), miss.alias("fn"), ratio(gt - miss, gt).alias("sensitivity"), ratio(pred - false, pred).alias("ppv"), *spread)
 
 
 def segment_summary(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
@@ -45,9 +50,10 @@ def segment_summary(df: DataFrame, by: list[str], names: list[str]) -> DataFrame
 
 
 def high_risk_summary(flags: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of high-risk regions per image, then their mean and deviation by group."""
-    per = flags.groupBy("case_id", *by).agg(F.count_if(F.col("hr_ground")).alias("hr_gt"), F.count_if(F.col("hr_pred")).alias("hr_pr"))
-    return per.groupBy(*by).agg(*mean_ci("hr_gt"), *mean_ci("hr_pr"))
+    """Counts of high-risk regions and their sensitivity (0 where there is none) per image, then mean, deviation and interval by group."""
+    hit = F.count_if(F.col("hr_ground") & F.col("hr_pred"))
+    per = flags.groupBy("case_id", *by).agg(F.count_if(F.col("hr_ground")).alias("hr_gt"), F.count_if(F.col("hr_pred")).alias("hr_pr"), F.coalesce(ratio(hit, F.count_if(F.col("hr_ground"))), F.lit(0.0)).alias("hr_sens"))
+    return per.groupBy(*by).agg(*mean_ci("hr_gt"), *mean_ci("hr_pr"), *mean_ci("hr_sens"))
 
 
 def liver_summary(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -89,11 +95,60 @@ def organ_level(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("organ", F.explode("tags")).groupBy(*by, "organ").agg(F.count("*").alias("n"), F.avg("dice").alias("dice"), F.avg("fp_vol").alias("fp_mean"), F.sum("fp_vol").alias("fp_total"), F.avg("fn_vol").alias("fn_mean"), F.sum("fn_vol").alias("fn_total"), F.sum("gt_lesions").alias("lesions"))
 
 
-def arm_summary(df: DataFrame) -> DataFrame:
-    """One row per fold: headline patient and lesion figures, and the case-weighted mean dice of the tracers."""
+def arm_summary(df: DataFrame, organs: DataFrame, names: list[str]) -> DataFrame:
+    """One row per fold: headline patient and lesion figures, the case-weighted mean dice of the tracers, and each organ's dice.
+
+    `organs` has fold, organ, n, dice (of organ_level by fold and further
+    keys); an organ's dice is their mean weighted by the number of regions, null
+    where a fold has none.
+    """
     p = patient_level(df, ["fold"]).select("fold", "dice", "fp_mean", "fn_mean", "sensitivity", "specificity")
     weighted = patient_level(df, ["fold", "tracer"]).groupBy("fold").agg((F.sum(F.col("dice") * F.col("n_diseased")) / F.sum("n_diseased")).alias("weighted_dice"))
-    return p.join(lesion_level(df, ["fold"]).select("fold", "micro", "macro"), "fold", "left").join(weighted, "fold")
+    n = F.when(F.col("dice").isNotNull(), F.col("n"))
+    wide = organs.groupBy("fold").agg(*[ratio(F.sum(F.when(F.col("organ") == k, F.col("dice") * n)), F.sum(F.when(F.col("organ") == k, n))).alias(f"{k}_dice") for k in names])
+    return p.join(lesion_level(df, ["fold"]).select("fold", "micro", "macro"), "fold", "left").join(weighted, "fold").join(wide, "fold", "left")
+
+
+def organ_arms(rows: DataFrame, by: list[str]) -> DataFrame:
+    """By arm and organ: mean dice, detection rate 1 - missed / lesions and volume missed per region; rows as for organ_level, with fn_lesions."""
+    rate = 1 - ratio(F.col("fn_lesions"), F.col("gt_lesions"))
+    return rows.withColumn("organ", F.explode("tags")).groupBy(*by, "organ").agg(F.avg("dice").alias("dice"), F.avg(rate).alias("detection_rate"), F.avg("fn_vol").alias("fn"))
+
+
+def region_table(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """organ (overall, liver, lung, bone, hr_bone), tracer (ALL too), dice, fp_vol, fn_vol, n.
+
+    Dice is the cases' own, of those with a region of the organ; the volumes
+    are means of each case's means over its regions. Cases without a label (gt
+    = 0) are left out. rows: case_id, tags, fp_vol, fn_vol; cases: case_id,
+    tracer, dice, gt.
+    """
+    organ = F.explode(F.concat(F.array(F.lit("overall")), F.col("tags")))
+    per = rows.withColumn("organ", organ).groupBy("case_id", "organ").agg(F.avg("fp_vol").alias("fp_vol"), F.avg("fn_vol").alias("fn_vol"))
+    both = per.join(cases.where("gt > 0").select("case_id", "dice", F.explode(F.array(F.lit("ALL"), F.col("tracer"))).alias("tracer")), "case_id")
+    return both.groupBy("organ", "tracer").agg(F.avg("dice").alias("dice"), F.avg("fp_vol").alias("fp_vol"), F.avg("fn_vol").alias("fn_vol"), F.count("*").alias("n"))
+
+
+def resolve_diagnosis(cases: DataFrame, known: DataFrame, lesion_free: DataFrame) -> DataFrame:
+    """case_name, diagnosis, diseased: NEGATIVE and not diseased for known cases without lesions, PROSTATE_CANCER for PSMA, else the metadata's, else null."""
+    free = lesion_free.select("case_name").distinct().withColumn("free", F.lit(True))
+    out = cases.select("case_name", "tracer").distinct().join(known.select("case_name", F.col("diagnosis").alias("known")).dropDuplicates(["case_name"]), "case_name", "left").join(free, "case_name", "left")
+    diagnosis = F.when(F.col("free"), "NEGATIVE").when(F.col("tracer") == "PSMA", "PROSTATE_CANCER").otherwise(F.col("known"))
+    return out.select("case_name", diagnosis.alias("diagnosis"), F.col("free").isNull().alias("diseased"))
+
+
+def non_diseased_cases(*parts: DataFrame) -> DataFrame:
+    """case_name of the distinct cases that have TP + FN = 0 in any of the parts (case_name, tp, fn), such as validation and test."""
+    rows = parts[0].select("case_name", "tp", "fn")
+    for part in parts[1:]:
+        rows = rows.unionByName(part.select("case_name", "tp", "fn"))
+    return rows.where("tp + fn = 0").select("case_name").distinct()
+
+
+def efficiency_curve(df: DataFrame, by: list[str]) -> DataFrame:
+    """Lesion figures by group and train_size, and as `ceiling` the micro sensitivity at the tracer's largest budget."""
+    out = lesion_level(df, [*by, "tracer", "train_size"])
+    return out.withColumn("ceiling", F.max_by("micro", "train_size").over(Window.partitionBy("tracer")))
 
 
 def fold_summary(df: DataFrame) -> DataFrame:
@@ -133,7 +188,7 @@ def diff_heatmap(df: DataFrame, row: str, column: str, values: list, metric: str
 
 def describe(df: DataFrame, name: str, by: list[str]) -> DataFrame:
     q = lambda p: F.percentile(name, F.lit(p))
-    return df.groupBy(*by).agg(F.count(name).alias("n"), F.avg(name).alias("mean"), q(0.5).alias("median"), F.stddev_samp(name).alias("std"), F.var_samp(name).alias("var"), (q(0.75) - q(0.25)).alias("iqr"), F.max(name).alias("max"))
+    return df.groupBy(*by).agg(F.count(name).alias("n"), F.avg(name).alias("mean"), q(0.5).alias("median"), F.stddev_samp(name).alias("std"), F.var_samp(name).alias("var"), (q(0.75) - q(0.25)).alias("iqr"), F.max(name).alias("max"), *[q(k / 10).alias(f"p{k}0") for k in range(1, 10)])
 
 
 def replicate_spread(df: DataFrame, metric: str, by: list[str]) -> DataFrame:

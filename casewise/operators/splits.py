@@ -32,11 +32,19 @@ def dpp_splits(picks: DataFrame, base: DataFrame, counts: list[int]) -> DataFram
     return rows.union(base.select(F.explode(F.array(*[F.lit(c) for c in counts])), "case_id")).distinct()
 
 
-def random_splits(pool: DataFrame, sizes: DataFrame, seeds: list[int]) -> DataFrame:
-    """seed, tracer, case_id: per tracer as many of the pool as `sizes` says, in order of a seeded hash."""
-    rows = pool.select("case_id", "tracer").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+def random_splits(pool: DataFrame, sizes: DataFrame, seeds: list[int], base: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """seed, tracer, case_id: the base cases and, per tracer, as many of the pool as `sizes` says, in order of a seeded hash.
+
+    `existing` (tracer, case_id) is taken over as seed 0.
+    """
+    every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
+    rows = pool.select("case_id", "tracer", every)
     order = Window.partitionBy("seed", "tracer").orderBy(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("case_id").cast("string"))), "case_id")
-    return rows.withColumn("rn", F.row_number().over(order)).join(F.broadcast(sizes), "tracer").where("rn <= n").select("seed", "tracer", "case_id")
+    picks = rows.withColumn("rn", F.row_number().over(order)).join(F.broadcast(sizes), "tracer").where("rn <= n").select("seed", "tracer", "case_id")
+    out = picks.unionByName(base.select("tracer", "case_id", every))
+    if existing is not None:
+        out = out.unionByName(existing.select("tracer", "case_id", F.lit(0).alias("seed")))
+    return out.distinct()
 
 
 def quartile_splits(base: DataFrame, scored: DataFrame) -> DataFrame:
@@ -62,19 +70,29 @@ def common_to_all(splits: DataFrame) -> DataFrame:
     return t.groupBy("case_id").agg(F.countDistinct("split_id").alias("k")).where(F.col("k") == n).select("case_id")
 
 
+def intersection_sizes(splits: DataFrame, chosen: DataFrame) -> DataFrame:
+    """split_id, n: training cases of each split that `chosen` (case_id) holds, 0 included; split_id null counts those common to all splits."""
+    t = splits.where("role = 'train'").select("split_id", "case_id").distinct()
+    mark = chosen.select("case_id").distinct().withColumn("hit", F.lit(1))
+    each = t.join(mark, "case_id", "left").groupBy("split_id").agg(F.count("hit").alias("n"))
+    return each.unionByName(common_to_all(splits).agg(F.count("*").alias("n")).select(F.lit(None).cast("int").alias("split_id"), "n"))
+
+
 def check_leakage(splits: DataFrame, patients: DataFrame) -> DataFrame:
     """split_id, patient_id, n_cases of patients whose scans stand in more than one role."""
     rows = splits.select("split_id", "role", "case_id").join(patients.select("case_id", "patient_id"), "case_id")
     return rows.groupBy("split_id", "patient_id").agg(F.countDistinct("role").alias("roles"), F.countDistinct("case_id").alias("n_cases")).where("roles > 1").drop("roles")
 
 
-def label_manifest(train: DataFrame, validation: DataFrame, everything: DataFrame, listing: DataFrame) -> DataFrame:
-    """case_id, source (hard, pseudo, validation), status (OK, MISSING) of every case."""
+def label_manifest(train: DataFrame, validation: DataFrame, everything: DataFrame, listing: DataFrame, done: DataFrame) -> DataFrame:
+    """case_id, source (hard, pseudo, validation), status of every case: MISSING without a label in the listing, EXISTS where it is linked already, else OK."""
     hard = train.select("case_id", F.lit("hard").alias("source"))
     val = validation.select("case_id", F.lit("validation").alias("source"))
     rest = everything.select("case_id").join(hard.union(val).select("case_id"), "case_id", "left_anti").select("case_id", F.lit("pseudo").alias("source"))
     rows = hard.union(val).union(rest).distinct()
-    return rows.join(listing.select("case_id").distinct().withColumn("there", F.lit(True)), "case_id", "left").select("case_id", "source", F.when(F.col("there"), "OK").otherwise("MISSING").alias("status"))
+    mark = lambda df, name: df.select("case_id").distinct().withColumn(name, F.lit(True))
+    out = rows.join(mark(listing, "there"), "case_id", "left").join(mark(done, "linked"), "case_id", "left")
+    return out.select("case_id", "source", F.when(F.col("there").isNull(), "MISSING").when(F.col("linked"), "EXISTS").otherwise("OK").alias("status"))
 
 
 def compare_splits(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -62,7 +62,10 @@ def a2(spark, d):
 DET = "count(distinct case_name) as images, sum(num_gt_lesions)::bigint as lesions, sum(num_gt_lesions - false_missed_lesions)::bigint as tp, sum(false_detected_lesions)::bigint as fp, sum(false_missed_lesions)::bigint as fn, round(sum(num_gt_lesions - false_missed_lesions) / nullif(sum(num_gt_lesions), 0), 6) as sensitivity, round(sum(num_pred_lesions - false_detected_lesions) / nullif(sum(num_pred_lesions), 0), 6) as ppv"
 
 
-@query("a3_detection_summary", CM + f" select fold, tracer, {DET} from fx_case_metrics group by 1, 2")
+SPREAD = ", ".join(f"round(avg({c}), 6) as {c}_mean, round(stddev_samp({c}), 6) as {c}_std" for c in ("dice", "false_pos_vol", "false_neg_vol", "num_gt_lesions", "num_pred_lesions", "false_missed_lesions", "false_detected_lesions", "case_sensitivity"))
+
+
+@query("a3_detection_summary", CM + f" select fold, tracer, {DET}, {SPREAD} from (select *, (num_gt_lesions - false_missed_lesions) / nullif(num_gt_lesions, 0) as case_sensitivity from fx_case_metrics) group by 1, 2")
 def a3(spark, d):
     return _r(A.detection_summary(_cm(spark, d), ["fold", "tracer"]))
 
@@ -73,7 +76,7 @@ def a4(spark, d):
     return _r(A.segment_summary(o, ["band", "tracer"], ["gt_mm3", "pred_mm3"]))
 
 
-@query("a5_high_risk_summary", REG + OVER + f", p as (select case_id, is_bone, count(*) filter (hr_ground) as hr_gt, count(*) filter (hr_pred) as hr_pr from fl join fx_regions using (label) group by 1, 2) select is_bone, {ci('hr_gt')}, {ci('hr_pr')} from p group by 1")
+@query("a5_high_risk_summary", REG + OVER + f", p as (select case_id, is_bone, count(*) filter (hr_ground) as hr_gt, count(*) filter (hr_pred) as hr_pr, coalesce(count(*) filter (hr_ground and hr_pred) / nullif(count(*) filter (hr_ground), 0), 0) as hr_sens from fl join fx_regions using (label) group by 1, 2) select is_bone, {ci('hr_gt')}, {ci('hr_pr')}, {ci('hr_sens')} from p group by 1")
 def a5(spark, d):
     return _r(A.high_risk_summary(_flags(spark, d).join(F.broadcast(fixture(spark, d, "fx_regions")), "label"), ["is_bone"]))
 
@@ -121,9 +124,14 @@ def a9(spark, d):
     return _r(A.organ_level(A.overlap_gate(_tagged(spark, d), 0.4).withColumn("dice", F.round("dice", 6)), []))
 
 
-@query("a10_arm_summary", CM + f", p as (select fold, {PAT} from fx_case_metrics group by 1), l as (select fold, {LES} from fx_case_metrics where diseased group by 1), w as (select fold, round(sum(m * n) / sum(n), 6) as weighted_dice from (select fold, tracer, avg(case when diseased then dice end) as m, count(*) filter (diseased) as n from fx_case_metrics group by 1, 2) group by 1) select fold, dice, fp_mean, fn_mean, sensitivity, specificity, micro, macro, weighted_dice from p left join l using (fold) join w using (fold)")
+ORGANS = ["liver", "lung", "bone", "hr_bone"]
+WIDE = ", ".join(f"round(sum(d * n) filter (organ = '{k}') / sum(n) filter (organ = '{k}' and d is not null), 6) as {k}_dice" for k in ORGANS)
+
+
+@query("a10_arm_summary", ctes("fx_case_metrics", "fx_vox", "fx_regions") + OVER + REGM + TAGS + f", og as (select 'fold_' || (case_id % 7)::varchar as fold, case_id % 3 as tr, organ, count(*) as n, avg(dice) as d from tg group by 1, 2, 3), wide as (select fold, {WIDE} from og group by 1), p as (select fold, {PAT} from fx_case_metrics group by 1), l as (select fold, {LES} from fx_case_metrics where diseased group by 1), w as (select fold, round(sum(m * n) / sum(n), 6) as weighted_dice from (select fold, tracer, avg(case when diseased then dice end) as m, count(*) filter (diseased) as n from fx_case_metrics group by 1, 2) group by 1) select fold, dice, fp_mean, fn_mean, sensitivity, specificity, micro, macro, weighted_dice, liver_dice, lung_dice, bone_dice, hr_bone_dice from p left join l using (fold) join w using (fold) left join wide using (fold)")
 def a10(spark, d):
-    return _r(A.arm_summary(_cm(spark, d)))
+    rows = _tagged(spark, d).withColumns({"dice": F.round("dice", 6), "fold": F.concat(F.lit("fold_"), (F.col("case_id") % 7).cast("string")), "tr": F.col("case_id") % 3})
+    return _r(A.arm_summary(_cm(spark, d), A.organ_level(rows, ["fold", "tr"]), ORGANS))
 
 
 FS = "round(avg(dice), 4) as dice, round(avg(false_pos_vol), 2) as fp_vol, round(avg(false_neg_vol), 2) as fn_vol, count(*) as n"
@@ -139,16 +147,17 @@ def a12(spark, d):
     return A.group_summary(_cm(spark, d), "diagnosis")
 
 
-@query("a13_region_table", REG + OVER + REGM + TAGS + ", t as (select *, case when case_id % 3 = 0 then 'psma' else 'fdg' end as tr from tg) select organ, coalesce(tr, 'ALL') as tracer, round(avg(dice), 6) as dice, round(avg(fp_vol), 6) as fp_vol, round(avg(fn_vol), 6) as fn_vol, count(*) as n from t group by grouping sets ((organ), (organ, tr))")
+@query("a13_region_table", REG + OVER + REGM + TAGS + ", cs as (select case_id, coalesce(2 * sum(gt * pred) / nullif(sum(gt) + sum(pred), 0), 0) as dice, sum(gt) as gt, case when case_id % 3 = 0 then 'psma' else 'fdg' end as tr from fx_vox group by case_id), ro as (select case_id, organ, fp_vol, fn_vol from tg union all select case_id, 'overall', fp_vol, fn_vol from rm), pc as (select case_id, organ, avg(fp_vol) as fp, avg(fn_vol) as fn from ro group by 1, 2) select organ, coalesce(tr, 'ALL') as tracer, round(avg(dice), 6) as dice, round(avg(fp), 6) as fp_vol, round(avg(fn), 6) as fn_vol, count(*) as n from pc join cs using (case_id) where gt > 0 group by grouping sets ((organ), (organ, tr))")
 def a13(spark, d):
-    rows = _tagged(spark, d).withColumn("dice", F.round("dice", 6)).withColumn("tr", F.when(F.col("case_id") % 3 == 0, "psma").otherwise("fdg")).withColumn("organ", F.explode("tags"))
-    out = rows.groupingSets([["organ"], ["organ", "tr"]], "organ", "tr").agg(F.avg("dice").alias("dice"), F.avg("fp_vol").alias("fp_vol"), F.avg("fn_vol").alias("fn_vol"), F.count("*").alias("n"))
-    return _r(out.select("organ", F.coalesce("tr", F.lit("ALL")).alias("tracer"), "dice", "fp_vol", "fn_vol", "n"))
+    v = fixture(spark, d, "fx_vox")
+    tracer = F.when(F.col("case_id") % 3 == 0, "psma").otherwise("fdg")
+    cases = V.confusion_counts(v, GRID).select("case_id", tracer.alias("tracer"), V.dice(F.col("tp"), F.col("fp"), F.col("fn"), 0.0).alias("dice"), (F.col("tp") + F.col("fn")).alias("gt"))
+    return _r(A.region_table(_tagged(spark, d), cases))
 
 
-@query("a14_fold_metrics", CM + " select fold, round(avg(case when num_gt_lesions > 0 then dice end), 6) as dice, round(avg(false_pos_vol), 6) as fp_mean, round(sum(false_pos_vol), 6) as fp_total, sum(num_pred_lesions)::bigint as predicted from fx_case_metrics group by 1")
+@query("a14_fold_metrics", CM + " select fold, round(avg(case when num_gt_lesions > 0 then dice end), 6) as dice, round(avg(false_pos_vol), 6) as fp_mean, round(sum(false_pos_vol), 6) as fp_total, round(avg(false_neg_vol), 6) as fn_mean, round(sum(false_neg_vol), 6) as fn_total, sum(num_pred_lesions)::bigint as predicted from fx_case_metrics group by 1")
 def a14(spark, d):
-    return _r(_cm(spark, d).groupBy("fold").agg(F.avg(F.when(F.col("num_gt_lesions") > 0, F.col("dice"))).alias("dice"), F.avg("false_pos_vol").alias("fp_mean"), F.sum("false_pos_vol").alias("fp_total"), F.sum("num_pred_lesions").alias("predicted")))
+    return _r(_cm(spark, d).groupBy("fold").agg(F.avg(F.when(F.col("num_gt_lesions") > 0, F.col("dice"))).alias("dice"), F.avg("false_pos_vol").alias("fp_mean"), F.sum("false_pos_vol").alias("fp_total"), F.avg("false_neg_vol").alias("fn_mean"), F.sum("false_neg_vol").alias("fn_total"), F.sum("num_pred_lesions").alias("predicted")))
 
 
 @query("a15_only_diseased", CM + " select case_name, fold from fx_case_metrics qualify sum(num_gt_lesions) over (partition by case_name) > 0")
@@ -184,7 +193,7 @@ def a19(spark, d):
     return _r(A.diff_heatmap(_cm(spark, d), "fold", "diagnosis", ["NEGATIVE", "LYMPHOMA"], "false_pos_vol"))
 
 
-@query("a20_describe", CM + " select tracer, count(dice) as n, round(avg(dice), 6) as mean, round(quantile_cont(dice, 0.5), 6) as median, round(stddev_samp(dice), 6) as std, round(var_samp(dice), 6) as var, round(quantile_cont(dice, 0.75) - quantile_cont(dice, 0.25), 6) as iqr, round(max(dice), 6) as max from fx_case_metrics group by 1")
+@query("a20_describe", CM + " select tracer, count(dice) as n, round(avg(dice), 6) as mean, round(quantile_cont(dice, 0.5), 6) as median, round(stddev_samp(dice), 6) as std, round(var_samp(dice), 6) as var, round(quantile_cont(dice, 0.75) - quantile_cont(dice, 0.25), 6) as iqr, round(max(dice), 6) as max, " + ", ".join(f"round(quantile_cont(dice, {k / 10}), 6) as p{k}0" for k in range(1, 10)) + " from fx_case_metrics group by 1")
 def a20(spark, d):
     return _r(A.describe(_cm(spark, d), "dice", ["tracer"]))
 
@@ -212,14 +221,6 @@ def p6(spark, d):
     return A.annotate_train_size(_cm(spark, d), 2).select("case_name", "fold_num", "tracer", "train_size")
 
 
-@query("a24_efficiency_curve", CM + SIZES + f", s as (select c.*, train_size from fx_case_metrics c join sz on sz.tracer = c.tracer and sz.k = fold_num where diseased) select tracer, train_size, {LES}, round(max(sum(num_gt_lesions - false_missed_lesions) / nullif(sum(num_gt_lesions), 0)) over (partition by tracer), 6) as ceiling from s group by 1, 2")
-def a24(spark, d):
-    from pyspark.sql import Window
-
-    out = A.lesion_level(A.annotate_train_size(_cm(spark, d)), ["tracer", "train_size"])
-    return _r(out.withColumn("ceiling", F.max("micro").over(Window.partitionBy("tracer"))))
-
-
 ARMS = "case when fold_num = 5 then 'selected' when fold_num < 5 then 'random' else 'spare' end"
 
 
@@ -228,14 +229,20 @@ def _arms(spark, d):
     return _cm(spark, d).withColumn("arm", F.when(n == 5, "selected").when(n < 5, "random").otherwise("spare"))
 
 
+@query("a24_efficiency_curve", CM + SIZES + f", s as (select c.*, {ARMS} as arm, train_size from fx_case_metrics c join sz on sz.tracer = c.tracer and sz.k = fold_num where diseased), g as (select arm, tracer, train_size, sum(num_gt_lesions - false_missed_lesions) / nullif(sum(num_gt_lesions), 0) as full_micro, {LES} from s group by 1, 2, 3), top as (select tracer, arg_max(full_micro, train_size) as ceiling from g group by 1) select g.* exclude (full_micro), round(ceiling, 6) as ceiling from g join top using (tracer)")
+def a24(spark, d):
+    return _r(A.efficiency_curve(A.annotate_train_size(_arms(spark, d)), ["arm"]))
+
+
 @query("p12_budget_arm", CM + f" select {ARMS} as arm, count(*) as n from fx_case_metrics group by 1")
 def p12(spark, d):
     return _arms(spark, d).groupBy("arm").agg(F.count("*").alias("n"))
 
 
-@query("a25_organ_arms", CM + f" select {ARMS} as arm, diagnosis, round(avg(dice), 6) as dice, round(avg(1 - false_missed_lesions / nullif(num_gt_lesions, 0)), 6) as detection_rate, round(avg(false_neg_vol), 6) as fn from fx_case_metrics group by 1, 2")
+@query("a25_organ_arms", REG + OVER + REGM + TAGS + " select case when case_id % 2 = 0 then 'selected' else 'random' end as arm, organ, round(avg(dice), 6) as dice, round(avg(1 - fn_lesions / nullif(gt_lesions, 0)), 6) as detection_rate, round(avg(fn_vol), 6) as fn from tg group by 1, 2")
 def a25(spark, d):
-    return _r(A.derived_lesion_columns(_arms(spark, d)).groupBy("arm", "diagnosis").agg(F.avg("dice").alias("dice"), F.avg("detection_rate").alias("detection_rate"), F.avg("false_neg_vol").alias("fn")))
+    rows = _tagged(spark, d).withColumn("dice", F.round("dice", 6)).withColumn("arm", F.when(F.col("case_id") % 2 == 0, "selected").otherwise("random"))
+    return _r(A.organ_arms(rows, ["arm"]))
 
 
 @query("p11_derived_lesion_columns", CM + " select case_name, fold, num_gt_lesions - false_missed_lesions as detected, round((num_gt_lesions - false_missed_lesions) / nullif(num_gt_lesions, 0), 6) as case_sensitivity, round(1 - false_missed_lesions / nullif(num_gt_lesions, 0), 6) as detection_rate from fx_case_metrics")
@@ -243,16 +250,17 @@ def p11(spark, d):
     return _r(A.derived_lesion_columns(_cm(spark, d)).select("case_name", "fold", "detected", "case_sensitivity", "detection_rate"))
 
 
-@query("p3_resolve_diagnosis", CM + " select distinct case_name, case when tracer = 'PSMA' then 'PROSTATE_CANCER' when case_name % 4 = 0 then diagnosis end as diagnosis from fx_case_metrics")
+@query("p3_resolve_diagnosis", CM + " select case_name, case when max(num_gt_lesions) = 0 then 'NEGATIVE' when max(tracer) = 'PSMA' then 'PROSTATE_CANCER' when case_name % 4 = 0 then max(diagnosis) end as diagnosis, max(num_gt_lesions) > 0 as diseased from fx_case_metrics group by case_name")
 def p3(spark, d):
-    c = _cm(spark, d).select("case_name", "tracer").distinct()
-    meta = _cm(spark, d).where("case_name % 4 = 0").select("case_name", F.col("diagnosis").alias("known")).distinct()
-    return c.join(meta, "case_name", "left").select("case_name", F.coalesce(F.when(F.col("tracer") == "PSMA", "PROSTATE_CANCER"), "known").alias("diagnosis"))
+    c = _cm(spark, d)
+    free = c.groupBy("case_name").agg(F.max("num_gt_lesions").alias("most")).where("most = 0")
+    return A.resolve_diagnosis(c, c.where("case_name % 4 = 0"), free)
 
 
-@query("p4_non_diseased_cases", ctes("fx_vox") + " select case_id, ts from fx_vox group by 1, 2 having sum(gt) = 0")
+@query("p4_non_diseased_cases", CM + " select case_name from fx_case_metrics where fold_num < 5 and num_gt_lesions = 0 union select case_name from fx_case_metrics where fold_num = 6 and num_gt_lesions = 0")
 def p4(spark, d):
-    return V.confusion_counts(fixture(spark, d, "fx_vox"), GRID, ("case_id", "ts")).where("tp + fn = 0").select("case_id", "ts").distinct()
+    c = _cm(spark, d).select("case_name", "fold_num", (F.col("num_gt_lesions") - F.col("false_missed_lesions")).alias("tp"), F.col("false_missed_lesions").alias("fn"))
+    return A.non_diseased_cases(c.where("fold_num < 5"), c.where("fold_num = 6"))
 
 
 @query("p5_mm3_to_cm3", CM + " select case_name, fold, round(false_pos_vol / 1000, 6) as false_pos_vol, round(false_neg_vol / 1000, 6) as false_neg_vol from fx_case_metrics")

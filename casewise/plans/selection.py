@@ -195,9 +195,10 @@ def x3(spark, d):
     return added.union(X.dpp_splits(S.dpp_greedy(every, 6), seed.where("false"), counts).withColumn("form", F.lit("fresh")))
 
 
-@query("x4_random_splits", CASES + ", p as (select case_id, tracer, s, row_number() over (partition by s, tracer order by md5(s::varchar || ':' || case_id::varchar), case_id) as rn from fx_cases, (select unnest([42, 43, 44, 45]) as s) where not is_seed), n as (select tracer, count(*) as n from fx_cases where is_seed group by tracer) select s as seed, tracer, case_id from p join n using (tracer) where rn <= n")
+@query("x4_random_splits", ctes("fx_cases", "fx_splits") + ", sd as (select unnest([42, 43, 44, 45]) as s), p as (select case_id, tracer, s, row_number() over (partition by s, tracer order by md5(s::varchar || ':' || case_id::varchar), case_id) as rn from fx_cases, sd where not is_seed), n as (select tracer, count(*) as n from fx_cases where is_seed group by tracer) select s as seed, tracer, case_id from p join n using (tracer) where rn <= n union select s, tracer, case_id from fx_cases, sd where is_seed union select 0, tracer, case_id from fx_splits where role = 'train' and split_id = 1")
 def x4(spark, d):
-    return X.random_splits(_pool(spark, d), _seed(spark, d).groupBy("tracer").agg(F.count("*").alias("n")), [42, 43, 44, 45])
+    seed = _seed(spark, d)
+    return X.random_splits(_pool(spark, d), seed.groupBy("tracer").agg(F.count("*").alias("n")), [42, 43, 44, 45], seed, _train(spark, d, 1))
 
 
 SCORED = ", sc as (select case_id, sum(average_uncertainty) as score from fx_uncertainty group by case_id)"
@@ -230,15 +231,20 @@ def x7(spark, d):
     return X.common_to_all(_splits(spark, d))
 
 
+@query("x7_intersection_sizes", ctes("fx_cases", "fx_splits") + DIST[len(CASES):] + ", ch as (" + BY_TRACER + "), tr as (select distinct split_id, case_id from fx_splits where role = 'train') select split_id, count(ch.case_id) as n from tr left join ch using (case_id) group by 1 union all select null, count(*) from (select case_id from tr group by 1 having count(*) = (select count(distinct split_id) from tr))")
+def x7i(spark, d):
+    return X.intersection_sizes(_splits(spark, d), S.top_percent_by_tracer(_dist(spark, d), 0.05))
+
+
 @query("x8_all_minus_train", SPL + " select case_id from fx_cases except select case_id from fx_splits where role = 'train' and split_id = 1")
 def x8(spark, d):
     return S.unlabelled(fixture(spark, d, "fx_cases"), _train(spark, d, 1)).select("case_id")
 
 
-@query("x9_label_manifest", SPL + ", l as (select case_id from fx_cases where case_id % 7 <> 0), h as (select case_id, 'hard' as source from fx_splits where role = 'train' and split_id = 0 union select case_id, 'validation' from fx_splits where role = 'val' and split_id = 0), m as (select * from h union select case_id, 'pseudo' from fx_cases where case_id not in (select case_id from h)) select case_id, source, case when case_id in (select case_id from l) then 'OK' else 'MISSING' end as status from m")
+@query("x9_label_manifest", SPL + ", l as (select case_id from fx_cases where case_id % 7 <> 0), dn as (select case_id from fx_cases where case_id % 5 = 0), h as (select case_id, 'hard' as source from fx_splits where role = 'train' and split_id = 0 union select case_id, 'validation' from fx_splits where role = 'val' and split_id = 0), m as (select * from h union select case_id, 'pseudo' from fx_cases where case_id not in (select case_id from h)) select case_id, source, case when case_id not in (select case_id from l) then 'MISSING' when case_id in (select case_id from dn) then 'EXISTS' else 'OK' end as status from m")
 def x9(spark, d):
     c = fixture(spark, d, "fx_cases")
-    return X.label_manifest(_train(spark, d, 0), _splits(spark, d).where("role = 'val' and split_id = 0"), c, c.where("case_id % 7 <> 0"))
+    return X.label_manifest(_train(spark, d, 0), _splits(spark, d).where("role = 'val' and split_id = 0"), c, c.where("case_id % 7 <> 0"), c.where("case_id % 5 = 0"))
 
 
 @query("x10_check_leakage", SPL + " select split_id, patient_id, count(distinct s.case_id) as n_cases from fx_splits s join fx_cases c using (case_id) group by 1, 2 having count(distinct role) > 1")
