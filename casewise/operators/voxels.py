@@ -178,22 +178,34 @@ def lesion_candidates(vox: DataFrame, mask: str, spacing: tuple, shape: tuple) -
     return connected_components(close_mask(vox, mask, spacing, shape).withColumn("m", F.lit(1)), "m", 26)
 
 
-def lesions(vox: DataFrame, mask: str, other: str, voxel_ml: float) -> DataFrame:
-    """One row per component of `mask`: sizes, volumes, overlap with `other`, its components hit, mean probability and uncertainty, hit or not."""
+#: Maps whose means a lesion table holds: both probabilities and the three uncertainties.
+MAPS = ("p0", "p1", "total", "epistemic", "aleatoric")
+
+
+def lesions(vox: DataFrame, mask: str, other: str, voxel_ml: float, maps: tuple[str, ...] = MAPS, listed: str = "total") -> DataFrame:
+    """One row per component of `mask`: sizes, volumes, overlap with `other`, its components hit, found or not.
+
+    For every map its mean over the lesion, over the part that `other` meets
+    (_hit) and over the rest (_false), null where a part is empty; the rest's
+    values of `listed`, sorted, in `false_values`.
+    """
     own = connected_components(vox, mask).withColumnRenamed("comp", "lesion")
     theirs = connected_components(vox, other).withColumnRenamed("comp", "hit")
-    rows = own.join(theirs, ["case_id", *XYZ], "left").join(vox.select("case_id", *XYZ, "p1_pct", "unc_pct"), ["case_id", *XYZ])
+    rows = own.join(theirs, ["case_id", *XYZ], "left").join(vox.select("case_id", *XYZ, *maps), ["case_id", *XYZ])
     miss = F.col("hit").isNull()
-    per = rows.groupBy("case_id", "lesion").agg(F.count("*").alias("voxels"), F.count("hit").alias("tp_voxels"), F.array_sort(F.collect_set("hit")).alias("ids"), F.avg(F.col("p1_pct") / 100).alias("avg_prob"), F.avg(F.col("unc_pct") / 100).alias("avg_unc"), F.avg(F.when(miss, F.col("unc_pct") / 100)).alias("avg_unc_false"))
+    means = [F.avg(c).alias(f"{m}_{k}") for m in maps for k, c in (("mean", F.col(m)), ("hit", F.when(~miss, F.col(m))), ("false", F.when(miss, F.col(m))))]
+    per = rows.groupBy("case_id", "lesion").agg(F.count("*").alias("voxels"), F.count("hit").alias("tp_voxels"), F.array_sort(F.collect_set("hit")).alias("ids"), *means, F.array_sort(F.collect_list(F.when(miss, F.col(listed)))).alias("false_values"))
     percent = F.col("tp_voxels") * 100.0 / F.col("voxels")
-    return per.withColumns({"false_voxels": F.col("voxels") - F.col("tp_voxels"), "volume": F.col("voxels") * voxel_ml, "overlap_percent": percent, "found": percent > OVERLAP_PERCENT, "ids": F.when(percent > OVERLAP_PERCENT, F.col("ids"))})
+    false = F.col("voxels") - F.col("tp_voxels")
+    return per.withColumns({"false_voxels": false, "volume": F.col("voxels") * voxel_ml, "tp_volume": F.col("tp_voxels") * voxel_ml, "false_volume": false * voxel_ml, "overlap_percent": percent, "found": percent > OVERLAP_PERCENT, "ids": F.when(percent > OVERLAP_PERCENT, F.col("ids"))})
 
 
 def image_metrics(vox: DataFrame, voxel_ml: float, grid: int) -> DataFrame:
     c = confusion_counts(vox, grid)
     g, p = connected_components(vox, "gt").groupBy("case_id").agg(F.max("comp").alias("gt_lesions")), connected_components(vox, "pred").groupBy("case_id").agg(F.max("comp").alias("pred_lesions"))
     bg = F.col("gt") == 0
-    means = vox.groupBy("case_id").agg(F.avg(F.when(F.col("gt") > 0, F.col("unc_pct") / 100)).alias("unc_lesion"), (F.sum(F.when(bg, F.col("unc_pct") / 100)) / (F.lit(grid) - F.count_if(~bg))).alias("unc_background"))
+    mean = lambda c, name: [F.avg(F.when(~bg, F.col(c) / 100)).alias(f"{name}_lesion"), (F.sum(F.when(bg, F.col(c) / 100)) / (F.lit(grid) - F.count_if(~bg))).alias(f"{name}_background")]
+    means = vox.groupBy("case_id").agg(*mean("unc_pct", "unc"), *mean("p1_pct", "prob"))
     out = c.join(g, "case_id", "left").join(p, "case_id", "left").join(means, "case_id")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     zero = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -256,9 +268,10 @@ def merge_region_table(vox: DataFrame, regions: DataFrame, voxel_mm3: float, vox
 
 
 def high_risk_sensitivity(flags: DataFrame, by: list[str]) -> DataFrame:
-    """TP / (TP + FN) over high-risk regions, 0 where there is none."""
+    """kind (All, Organ, Bone), sensitivity: TP / (TP + FN) over the high-risk regions of a kind, 0 where there is none; flags with is_bone and description."""
+    kinds = F.array_compact(F.array(F.lit("All"), F.when(F.col("is_bone"), "Bone").when(F.col("description").rlike("^(liver|lung)"), "Organ")))
     tp, fn = F.count_if(F.expr("hr_ground and hr_pred")), F.count_if(F.expr("hr_ground and not hr_pred"))
-    return flags.groupBy(*by).agg(F.coalesce(F.try_divide(tp.cast("double"), (tp + fn).cast("double")), F.lit(0.0)).alias("sensitivity"))
+    return flags.withColumn("kind", F.explode(kinds)).groupBy(*by, "kind").agg(F.coalesce(F.try_divide(tp.cast("double"), (tp + fn).cast("double")), F.lit(0.0)).alias("sensitivity"))
 
 
 def mask_region_overlap(vox: DataFrame, regions: DataFrame, voxel_ml: float) -> DataFrame:
@@ -269,10 +282,17 @@ def mask_region_overlap(vox: DataFrame, regions: DataFrame, voxel_ml: float) ->
 
 
 def compare_masks(a: DataFrame, b: DataFrame) -> DataFrame:
-    """case_id, same, different, status of two label volumes (case_id, x, y, z, v); absent voxels are 0."""
-    both = a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), ["case_id", *XYZ], "full").na.fill(0, ["va", "vb"])
-    out = both.groupBy("case_id").agg(F.count_if(F.expr("va = vb")).alias("same"), F.count_if(F.expr("va <> vb")).alias("different"))
-    return out.withColumn("status", F.when(F.col("different") == 0, "equal").otherwise("different"))
+    """case_id, same, different, shape_a, shape_b, status of two label volumes (case_id, x, y, z, v); absent voxels are 0.
+
+    Status is missing where a case stands on one side alone. A shape is the
+    extent that the occupied voxels reach, null for a missing side.
+    """
+    both = a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), ["case_id", *XYZ], "full")
+    shape = lambda v: F.when(F.count(v) > 0, F.concat_ws("x", *[F.max(F.when(F.col(v).isNotNull(), F.col(k) + 1)).cast("string") for k in XYZ]))
+    va, vb = F.coalesce("va", F.lit(0)), F.coalesce("vb", F.lit(0))
+    out = both.groupBy("case_id").agg(F.count_if(va == vb).alias("same"), F.count_if(va != vb).alias("different"), shape("va").alias("shape_a"), shape("vb").alias("shape_b"))
+    missing = F.col("shape_a").isNull() | F.col("shape_b").isNull()
+    return out.withColumn("status", F.when(missing, "missing").when(F.col("different") == 0, "equal").otherwise("different"))
 
 
 def crop(vox: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -299,6 +319,19 @@ def permute_axes(vox: DataFrame, order: tuple[int, int, int]) -> DataFrame:
     return vox.withColumns({XYZ[j]: F.col(XYZ[i]) for j, i in enumerate(order)})
 
 
+def align_axes(vox: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The voxels with axes permuted by (2, 1, 0) or (2, 0, 1) where that turns a case's shape into its target; x, y, z null where neither does.
+
+    shapes: case_id, shape, target (arrays of three); equal ones stay as they are.
+    """
+    turned = lambda o: F.array(*[F.col("shape")[i] for i in o])
+    order = F.when(F.col("shape") == F.col("target"), F.array(*[F.lit(i) for i in (0, 1, 2)]))
+    for o in ((2, 1, 0), (2, 0, 1)):
+        order = order.when(turned(o) == F.col("target"), F.array(*[F.lit(i) for i in o]))
+    rows = vox.join(shapes.select("case_id", order.alias("_order")), "case_id").withColumn("_at", F.array(*XYZ))
+    return rows.withColumns({k: F.get("_at", F.get("_order", F.lit(j))) for j, k in enumerate(XYZ)}).drop("_order", "_at")
+
+
 def uncertainty_summary(vox: DataFrame, grid: int) -> DataFrame:
     """Mean uncertainty over the grid, above 0, in predicted and in other voxels; absent voxels are 0."""
     u, p = F.col("unc_pct"), F.col("pred") > 0
@@ -311,10 +344,14 @@ def ensemble_mean(samples: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def decompose_uncertainty(samples: DataFrame) -> DataFrame:
-    """total = H(mean p), aleatoric = mean H(p), epistemic their difference, per voxel over samples of p."""
+    """total = H(mean p), aleatoric = mean H(p), epistemic their difference, per voxel over samples of p; each also from 0 to 1 over the whole table (_scaled, null if constant)."""
     h = lambda p: F.when((p > 0) & (p < 1), -(p * F.log(p) + (1 - p) * F.log(1 - p))).otherwise(0.0)
     out = samples.groupBy("case_id", *XYZ).agg(F.avg("p").alias("m"), F.avg(h(F.col("p"))).alias("aleatoric"))
-    return out.withColumn("total", h(F.col("m"))).withColumn("epistemic", F.col("total") - F.col("aleatoric")).drop("m")
+    out = out.withColumn("total", h(F.col("m"))).withColumn("epistemic", F.col("total") - F.col("aleatoric")).drop("m")
+    names = ("aleatoric", "total", "epistemic")
+    ends = out.agg(*[f(n).alias(f"{n}_{k}") for n in names for k, f in (("low", F.min), ("high", F.max))])
+    scaled = {f"{n}_scaled": F.when(F.col(f"{n}_high") > F.col(f"{n}_low"), (F.col(n) - F.col(f"{n}_low")) / (F.col(f"{n}_high") - F.col(f"{n}_low"))) for n in names}
+    return out.join(F.broadcast(ends)).withColumns(scaled).drop(*ends.columns)  # one row of extremes
 
 
 def project_volume(vox: DataFrame, value: str, how: str, extent: int) -> DataFrame:
@@ -323,7 +360,12 @@ def project_volume(vox: DataFrame, value: str, how: str, extent: int) -> DataFra
     return vox.groupBy("case_id", "y", "z").agg((F.sum(v) / extent if how == "mean" else F.max(v)).alias("v"))
 
 
-def scale_uint8(images: DataFrame) -> DataFrame:
-    """Adds v8: each case's values from its least to its greatest as 0 to 255, truncated; null for a constant image."""
-    ends = images.groupBy("case_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    return images.join(ends, "case_id").withColumn("v8", F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 255)).cast("int")).drop("low", "high")
+def scale_uint8(images: DataFrame, mode: str = "minmax") -> DataFrame:
+    """Adds v8 by mode. minmax: each case's least to greatest value as 0 to 255, truncated; cast: the value truncated; zscore: (v - mean) / population deviation. Null for a constant image but for cast."""
+    if mode == "cast":
+        return images.withColumn("v8", F.floor("v").cast("int"))
+    if mode not in ("minmax", "zscore"):
+        raise ValueError(mode)
+    ends = images.groupBy("case_id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    value = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 255).cast("int") if mode == "minmax" else (F.col("v") - F.col("mean")) / F.col("sd")
+    return images.join(ends, "case_id").withColumn("v8", F.when(F.col("high") > F.col("low"), value)).drop(*ends.columns[1:])

@@ -108,15 +108,23 @@ def v9(spark, d):
     return V.lesion_candidates(_vox(spark, d), "gt", SPACING, SHAPE)
 
 
+MAPCOLS = "1 - p1_pct / 100 as p0, p1_pct / 100 as p1, unc_pct / 100 as total, (p1_pct % 4) * unc_pct / 400 as epistemic, unc_pct / 100 - (p1_pct % 4) * unc_pct / 400 as aleatoric"
+MEANS = {f"{m}_{k}": f"avg({m}){w}" for m in V.MAPS for k, w in (("mean", ""), ("hit", " filter (hit is not null)"), ("false", " filter (hit is null)"))}
+
+
 def lesion_sql(mask: str, other: str) -> str:
-    return VOX + comp_sql(mask, 2, "a") + comp_sql(other, 2, "b") + """, j as (select a.case_id, a.comp as lesion, b.comp as hit, v.p1_pct / 100 as p, v.unc_pct / 100 as u from cc_a a left join cc_b b on a.case_id = b.case_id and a.v = b.v join fx_vox v on v.case_id = a.case_id and v.x = a.x and v.y = a.y and v.z = a.z),
-k as (select case_id, lesion, count(*) as voxels, count(hit) as tp_voxels, avg(p) as ap, avg(u) as au, avg(case when hit is null then u end) as af, list_sort(list(distinct hit) filter (hit is not null)) as ids from j group by 1, 2)
-select case_id, lesion, voxels, tp_voxels, voxels - tp_voxels as false_voxels, (voxels * 16 / 10)::double as volume, round(tp_voxels * 100 / voxels, 6) as overlap_percent, tp_voxels * 100 / voxels > 1 as found, case when tp_voxels * 100 / voxels > 1 then array_to_string(ids, ',') end as ids, round(ap, 6) as avg_prob, round(au, 6) as avg_unc, round(af, 6) as avg_unc_false from k"""
+    return VOX + comp_sql(mask, 2, "a") + comp_sql(other, 2, "b") + f""", j as (select a.case_id, a.comp as lesion, b.comp as hit, v.unc_pct, {MAPCOLS} from cc_a a left join cc_b b on a.case_id = b.case_id and a.v = b.v join fx_vox v on v.case_id = a.case_id and v.x = a.x and v.y = a.y and v.z = a.z),
+k as (select case_id, lesion, count(*) as voxels, count(hit) as tp_voxels, {", ".join(f"round({e}, 6) as {n}" for n, e in MEANS.items())}, array_to_string(list_sort(list(unc_pct) filter (hit is null)), ',') as fv, list_sort(list(distinct hit) filter (hit is not null)) as ids from j group by 1, 2)
+select case_id, lesion, voxels, tp_voxels, voxels - tp_voxels as false_voxels, (voxels * 16 / 10)::double as volume, (tp_voxels * 16 / 10)::double as tp_volume, ((voxels - tp_voxels) * 16 / 10)::double as false_volume, round(tp_voxels * 100 / voxels, 6) as overlap_percent, tp_voxels * 100 / voxels > 1 as found, case when tp_voxels * 100 / voxels > 1 then array_to_string(ids, ',') end as ids, {", ".join(MEANS)}, coalesce(fv, '') as false_values from k"""
 
 
 def _lesions(spark, d, mask, other):
-    out = V.lesions(_vox(spark, d), mask, other, VOXEL_ML)
-    return _r(out, "volume", "overlap_percent", "avg_prob", "avg_unc", "avg_unc_false").withColumn("ids", F.array_join("ids", ","))
+    v = _vox(spark, d)
+    p, u = F.col("p1_pct") / 100, F.col("unc_pct") / 100
+    part = (F.col("p1_pct") % 4) * F.col("unc_pct") / 400
+    out = V.lesions(v.withColumns({"p0": 1 - p, "p1": p, "total": u, "epistemic": part, "aleatoric": u - part}), mask, other, VOXEL_ML)
+    out = out.withColumn("false_values", F.array_join(F.transform("false_values", lambda x: F.round(x * 100).cast("long").cast("string")), ","))
+    return _r(out, "volume", "tp_volume", "false_volume", "overlap_percent", *MEANS).withColumn("ids", F.array_join("ids", ","))
 
 
 @query("v10_predicted_lesions", lesion_sql("pred", "gt"))
@@ -129,9 +137,9 @@ def v11(spark, d):
     return _lesions(spark, d, "gt", "pred")
 
 
-@query("v12_image_metrics", VOX + comp_sql("gt", 2, "g") + comp_sql("pred", 2, "p") + f", c as (select case_id, {CONF}, avg(case when gt = 1 then unc_pct / 100 end) as ul, sum(case when gt = 0 then unc_pct / 100 end) / ({GRID} - count(*) filter (gt = 1)) as ub from fx_vox group by 1) select c.case_id, tp, fp, fn, {GRID} - tp - fp - fn as tn, coalesce(g.n, 0) as gt_lesions, coalesce(p.n, 0) as pred_lesions, round(ul, 6) as unc_lesion, round(ub, 6) as unc_background, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as dice, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as sensitivity, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as ppv, ((tp + fn) * 16 / 10)::double as gt_volume, ((tp + fp) * 16 / 10)::double as pred_volume from c left join (select case_id, max(comp) as n from cc_g group by 1) g using (case_id) left join (select case_id, max(comp) as n from cc_p group by 1) p using (case_id)")
+@query("v12_image_metrics", VOX + comp_sql("gt", 2, "g") + comp_sql("pred", 2, "p") + f", c as (select case_id, {CONF}, avg(case when gt = 1 then unc_pct / 100 end) as ul, sum(case when gt = 0 then unc_pct / 100 end) / ({GRID} - count(*) filter (gt = 1)) as ub, avg(case when gt = 1 then p1_pct / 100 end) as pl, sum(case when gt = 0 then p1_pct / 100 end) / ({GRID} - count(*) filter (gt = 1)) as pb from fx_vox group by 1) select c.case_id, tp, fp, fn, {GRID} - tp - fp - fn as tn, coalesce(g.n, 0) as gt_lesions, coalesce(p.n, 0) as pred_lesions, round(ul, 6) as unc_lesion, round(ub, 6) as unc_background, round(pl, 6) as prob_lesion, round(pb, 6) as prob_background, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as dice, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as sensitivity, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as ppv, ((tp + fn) * 16 / 10)::double as gt_volume, ((tp + fp) * 16 / 10)::double as pred_volume from c left join (select case_id, max(comp) as n from cc_g group by 1) g using (case_id) left join (select case_id, max(comp) as n from cc_p group by 1) p using (case_id)")
 def v12(spark, d):
-    return _r(V.image_metrics(_vox(spark, d), VOXEL_ML, GRID), "unc_lesion", "unc_background", "dice", "sensitivity", "ppv", "gt_volume", "pred_volume")
+    return _r(V.image_metrics(_vox(spark, d), VOXEL_ML, GRID), "unc_lesion", "unc_background", "prob_lesion", "prob_background", "dice", "sensitivity", "ppv", "gt_volume", "pred_volume")
 
 
 @query("v13_slice_background", VOX + ", s as (select distinct case_id, z from fx_vox where gt = 1), r as (select v.case_id, count(distinct v.z) * 256 - count(*) filter (gt = 1) as background, coalesce(sum(case when gt = 0 then unc_pct / 100 end), 0) as t from fx_vox v semi join s on s.case_id = v.case_id and s.z = v.z group by 1) select case_id, background, round(t / background, 6) as unc from r")
@@ -185,10 +193,10 @@ def v20(spark, d):
     return _r(out, "dice").select("case_id", "label", "name", "voxels", "gt_mm3", "pred_mm3", "hr_ground", "hr_pred", "dice", "fp_lesions", "fn_lesions")
 
 
-@query("v21_high_risk_sensitivity", REG + OVER + " select case_id, is_bone, round(coalesce(count(*) filter (hr_ground and hr_pred) / nullif(count(*) filter (hr_ground), 0), 0), 6) as sensitivity from fl join fx_regions using (label) group by 1, 2")
+@query("v21_high_risk_sensitivity", REG + OVER + ", k as (select fl.*, unnest(list_filter(['All', case when is_bone then 'Bone' when description like 'liver%' or description like 'lung%' then 'Organ' end], lambda x: x is not null)) as kind from fl join fx_regions using (label)) select case_id, kind, round(coalesce(count(*) filter (hr_ground and hr_pred) / nullif(count(*) filter (hr_ground), 0), 0), 6) as sensitivity from k group by 1, 2")
 def v21(spark, d):
     rows = _flags(spark, d).join(F.broadcast(fixture(spark, d, "fx_regions")), "label")
-    return _r(V.high_risk_sensitivity(rows, ["case_id", "is_bone"]), "sensitivity")
+    return _r(V.high_risk_sensitivity(rows, ["case_id"]), "sensitivity")
 
 
 @query("v22_mask_region_overlap", REG + " select case_id, (count(*) filter (is_bone) * 16 / 10)::double as bone_ml, (count(*) filter (not is_bone) * 16 / 10)::double as organ_ml, round(count(*) filter (is_bone) * 100 / count(*), 6) as bone_percent from fx_vox join fx_regions on ts = label where pred = 1 group by 1")
@@ -196,11 +204,14 @@ def v22(spark, d):
     return _r(V.mask_region_overlap(_vox(spark, d), fixture(spark, d, "fx_regions"), VOXEL_ML), "bone_ml", "organ_ml", "bone_percent")
 
 
-@query("v23_compare_masks", VOX + " select case_id, count(*) filter (gt = pred) as same, count(*) filter (gt <> pred) as different, case when count(*) filter (gt <> pred) = 0 then 'equal' else 'different' end as status from fx_vox where gt = 1 or pred = 1 group by 1")
+SIDE = lambda c: f"case when count(*) filter ({c}) > 0 then concat_ws('x', max(x + 1) filter ({c}), max(y + 1) filter ({c}), max(z + 1) filter ({c})) end"
+
+
+@query("v23_compare_masks", VOX + f", m as (select case_id, x, y, z, case when case_id % 9 <> 0 then gt else 0 end as a, case when case_id % 7 <> 0 then pred else 0 end as b from fx_vox), o as (select case_id, count(*) filter (a = b) as same, count(*) filter (a <> b) as different, {SIDE('a = 1')} as shape_a, {SIDE('b = 1')} as shape_b from m where a = 1 or b = 1 group by 1) select *, case when shape_a is null or shape_b is null then 'missing' when different = 0 then 'equal' else 'different' end as status from o")
 def v23(spark, d):
     v = _vox(spark, d)
-    pick = lambda c: v.where(f"{c} = 1").select("case_id", "x", "y", "z", F.col(c).alias("v"))
-    return V.compare_masks(pick("gt"), pick("pred"))
+    pick = lambda c, k: v.where(f"{c} = 1 and case_id % {k} <> 0").select("case_id", "x", "y", "z", F.col(c).alias("v"))
+    return V.compare_masks(pick("gt", 9), pick("pred", 7))
 
 
 @query("v24_crop", VOX + " select case_id, x - 2 as x, y - 3 as y, z - 1 as z, gt from fx_vox where x >= 2 and x < 10 and y >= 3 and y < 12 and z >= 1 and z < 5")
@@ -220,6 +231,15 @@ def v26(spark, d):
     return V.permute_axes(_vox(spark, d), (2, 1, 0)).select("case_id", "x", "y", "z", "gt")
 
 
+@query("v26_align_axes", VOX + " select case_id, case case_id % 4 when 0 then x when 1 then z when 2 then z end as x, case case_id % 4 when 0 then y when 1 then y when 2 then x end as y, case case_id % 4 when 0 then z when 1 then x when 2 then y end as z, gt from fx_vox")
+def v26a(spark, d):
+    v = _vox(spark, d).select("case_id", "x", "y", "z", "gt")
+    triple = lambda *n: F.array(*[F.lit(k) for k in n])
+    kind = F.col("case_id") % 4
+    target = F.when(kind == 0, triple(16, 12, 7)).when(kind == 1, triple(7, 12, 16)).when(kind == 2, triple(7, 16, 12)).otherwise(triple(9, 9, 9))
+    return V.align_axes(v, v.select("case_id", triple(16, 12, 7).alias("shape"), target.alias("target")).distinct())
+
+
 @query("v27_uncertainty_summary", VOX + f""" select case_id, round(sum(unc_pct) / 100 / {GRID}, 6) as "all", round(avg(case when unc_pct > 0 then unc_pct end) / 100, 6) as above_zero, round(avg(case when pred = 1 then unc_pct end) / 100, 6) as predicted, round(coalesce(sum(case when pred = 0 then unc_pct end), 0) / 100 / ({GRID} - count(*) filter (pred = 1)), 6) as non_predicted from fx_vox group by 1""")
 def v27(spark, d):
     return _r(V.uncertainty_summary(_vox(spark, d), GRID), "all", "above_zero", "predicted", "non_predicted")
@@ -232,9 +252,14 @@ def _samples(spark, d):
     return _vox(spark, d).select("case_id", "x", "y", "z", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"), "p1_pct", "unc_pct").selectExpr("case_id", "x", "y", "z", "(p1_pct * 5 + unc_pct * k) / 100D as p")
 
 
-@query("v28_decompose_uncertainty", VOX + SAMPLES + ", m as (select case_id, x, y, z, avg(p) as m, avg(case when p > 0 and p < 1 then -(p * ln(p) + (1 - p) * ln(1 - p)) else 0 end) as a from s group by 1, 2, 3, 4) select case_id, x, y, z, round(a, 6) as aleatoric, round(case when m > 0 and m < 1 then -(m * ln(m) + (1 - m) * ln(1 - m)) else 0 end, 6) as total, round(case when m > 0 and m < 1 then -(m * ln(m) + (1 - m) * ln(1 - m)) else 0 end - a, 6) as epistemic from m")
+H = "case when m > 0 and m < 1 then -(m * ln(m) + (1 - m) * ln(1 - m)) else 0 end"
+SCALED = ", ".join(f"round({n}, 6) as {n}, round(({n} - min({n}) over ()) / nullif(max({n}) over () - min({n}) over (), 0), 6) as {n}_scaled" for n in ("aleatoric", "total", "epistemic"))
+
+
+@query("v28_decompose_uncertainty", VOX + SAMPLES + f", m as (select case_id, x, y, z, avg(p) as m, avg(case when p > 0 and p < 1 then -(p * ln(p) + (1 - p) * ln(1 - p)) else 0 end) as aleatoric from s group by 1, 2, 3, 4), t as (select *, {H} as total, {H} - aleatoric as epistemic from m) select case_id, x, y, z, {SCALED} from t")
 def v28(spark, d):
-    return _r(V.decompose_uncertainty(_samples(spark, d)), "aleatoric", "total", "epistemic")
+    out = V.decompose_uncertainty(_samples(spark, d))
+    return _r(out, *[n for n, t in out.dtypes if t == "double"])
 
 
 @query("v29_ensemble_mean", VOX + SAMPLES + " select case_id, x, y, z, round(avg(p), 6) as p, case when round(avg(p), 9) > 0.25 then 1 else 0 end as label from s group by 1, 2, 3, 4")
@@ -248,6 +273,8 @@ def e1(spark, d):
     return V.project_volume(v, "p1_pct", "mean", SHAPE[0]).select("case_id", "y", "z", F.round("v", 6).alias("mean_v")).join(V.project_volume(v, "p1_pct", "max", SHAPE[0]).withColumnRenamed("v", "max_v"), ["case_id", "y", "z"])
 
 
-@query("e2_scale_uint8", VOX + ", i as (select case_id, y, z, cast(max(p1_pct) as double) as v from fx_vox group by 1, 2, 3), e as (select case_id, min(v) as lo, max(v) as hi from i group by 1) select case_id, y, z, v, cast(case when hi > lo then floor((v - lo) / (hi - lo) * 255) end as int) as v8 from i join e using (case_id)")
+@query("e2_scale_uint8", VOX + ", i as (select case_id, y, z, cast(max(p1_pct) as double) as v from fx_vox group by 1, 2, 3), e as (select case_id, min(v) as lo, max(v) as hi, avg(v) as mean, stddev_pop(v) as sd from i group by 1) select case_id, y, z, v, cast(case when hi > lo then floor((v - lo) / (hi - lo) * 255) end as int) as v8, cast(floor(v) as int) as plain, round(case when hi > lo then (v - mean) / sd end, 6) as z_score from i join e using (case_id)")
 def e2(spark, d):
-    return V.scale_uint8(V.project_volume(_vox(spark, d), "p1_pct", "max", SHAPE[0]))
+    images = V.project_volume(_vox(spark, d), "p1_pct", "max", SHAPE[0])
+    out = V.scale_uint8(V.scale_uint8(images, "zscore").withColumn("z_score", F.round("v8", 6)).drop("v8"), "cast").withColumnRenamed("v8", "plain")
+    return V.scale_uint8(out).select("case_id", "y", "z", "v", "v8", "plain", "z_score")
