@@ -172,3 +172,10 @@ def method_disagreement(df: DataFrame, a: str, b: str, columns: list[str]) -> Da
     n = sum((F.col(k).isNotNull().cast("int") for k in diffs), F.lit(0))
     mean = F.try_divide(sum((F.coalesce(k, F.lit(0.0)) for k in diffs), F.lit(0.0)), n.cast("double"))
     return out.withColumns({"disagreement": mean, "dice_mean": (F.col("dice_a") + F.col("dice_b")) / 2, "dice_diff": F.abs(F.col("dice_a") - F.col("dice_b"))}).select("case_id", *diffs, "disagreement", "dice_mean", "dice_diff")
+
+
+def similar_and_dissimilar(disagreement: DataFrame, least_dice: float, k: int) -> DataFrame:
+    """kind, case_id, disagreement: among cases with a mean dice above `least_dice` the k that the methods agree on most (similar) and least (dissimilar); ties by id."""
+    good = disagreement.where((F.col("dice_mean") > least_dice) & F.col("disagreement").isNotNull()).select("case_id", "disagreement")
+    end = lambda kind, order: good.orderBy(order, "case_id").limit(k).select(F.lit(kind).alias("kind"), "case_id", "disagreement")
+    return end("similar", F.asc("disagreement")).unionByName(end("dissimilar", F.desc("disagreement")))

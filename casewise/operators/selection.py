@@ -146,10 +146,19 @@ def pool_tokens(tokens: DataFrame) -> DataFrame:
     return rows.groupBy("case_id", "dim").agg(F.max(F.when(F.col("token_idx") == 0, F.col("v"))).alias("cls"), F.avg(patch).alias("patch_mean"), F.stddev_pop(patch).alias("patch_std"))
 
 
-def embedding_metadata(cases: DataFrame) -> DataFrame:
-    """Least, greatest, mean and population deviation of each vector's components."""
-    rows = cases.select("case_id", F.explode(F.col("embedding").cast("array<double>")).alias("v"))
-    return rows.groupBy("case_id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+def embedding_metadata(cases: DataFrame, batch: str) -> DataFrame:
+    """case_id, low and high of the image's values, mean and population deviation (std) of the embedding; batch_mean, batch_std: their means over the case's batch.
+
+    cases: case_id, image, embedding (arrays) and the batch column. Array
+    functions only; the batch means are the one shuffle.
+    """
+    v, x = F.col("embedding").cast("array<double>"), F.col("image").cast("array<double>")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e)
+    rows = cases.select("case_id", batch, F.array_min(x).alias("low"), F.array_max(x).alias("high"), v.alias("v")).withColumn("mean", F.try_divide(total(F.col("v")), F.size("v").cast("double")))
+    std = F.sqrt(F.try_divide(F.aggregate("v", F.lit(0.0), lambda s, e: s + (e - F.col("mean")) * (e - F.col("mean"))), F.size("v").cast("double")))
+    rows = rows.withColumn("std", std).drop("v")
+    means = rows.groupBy(batch).agg(F.avg("mean").alias("batch_mean"), F.avg("std").alias("batch_std"))
+    return rows.join(means, batch)
 
 
 def distance_histogram(distances: DataFrame, bins: int, by: list[str] | None = None) -> DataFrame:

@@ -319,6 +319,14 @@ def t11(spark, d):
     return _r(T.method_disagreement(_un(spark, d), "m1", "m2", UCOLS))
 
 
+ENDS = "select '{kind}' as kind, case_id, d as disagreement from (select * from g order by d {way}, case_id limit 5)"
+
+
+@query("t11_similar_dissimilar", DIS + ", g as (select case_id, round((d1 + d2) / 2, 6) as d from t where round(dm, 6) > 0.2::double) " + ENDS.format(kind="similar", way="asc") + " union all " + ENDS.format(kind="dissimilar", way="desc"))
+def t11s(spark, d):
+    return T.similar_and_dissimilar(_r(T.method_disagreement(_un(spark, d), "m1", "m2", UCOLS)), 0.2, 5)
+
+
 @query("w5_top_k", DIS + " select case_id, round(dd, 6) as dice_diff from t order by round(dd, 6) desc, case_id limit 5")
 def w5(spark, d):
     return _r(T.method_disagreement(_un(spark, d), "m1", "m2", UCOLS)).select("case_id", "dice_diff").orderBy(F.desc("dice_diff"), "case_id").limit(5)
@@ -424,13 +432,13 @@ def s1(spark, d):
     return S.read_splits(spark, path)
 
 
-@query("s3_read_summaries", "select cast(regexp_extract(props, '\"k\": *(\\d+)', 1) as bigint) as tp, event_id % 7 as fp, event_id % 5 as fn, case when event_id % 3 = 0 then null else 0.5::double end as dice, event_id from events")
+@query("s3_read_summaries", "select 1::int as dataset, 'test' as split, (event_id % 3)::int as fold, 'fdg_' || event_id as \"case\", cast(regexp_extract(props, '\"k\": *(\\d+)', 1) as bigint) as tp, event_id % 7 as fp, event_id % 5 as fn, case when event_id % 3 = 0 then null else 0.5::double end as dice, 0.25::double as foreground_dice from events")
 def s3(spark, d):
     e = fixture(spark, d, "events")
-    one = F.format_string('{"metric_per_case": [{"prediction_file": "a/%d.nii.gz", "metrics": {"1": {"TP": %d, "FP": %d, "FN": %d, "Dice": %s}}}]}', "event_id", F.get_json_object("props", "$.k").cast("long"), F.col("event_id") % 7, F.col("event_id") % 5, F.when(F.col("event_id") % 3 == 0, "NaN").otherwise("0.5"))
-    m = e.select("event_id", F.explode(S.parse_summaries(one)["metric_per_case"]).alias("m"))
-    v = F.element_at("m.metrics", F.lit("1"))
-    return m.select("event_id", v["TP"].alias("tp"), v["FP"].alias("fp"), v["FN"].alias("fn"), F.nanvl(v["Dice"], F.lit(None)).alias("dice"))
+    one = F.format_string('{"foreground_mean": {"Dice": 0.25}, "metric_per_case": [{"prediction_file": "a/fdg_%d.nii.gz", "metrics": {"1": {"TP": %d, "FP": %d, "FN": %d, "Dice": %s}}}]}', "event_id", F.get_json_object("props", "$.k").cast("long"), F.col("event_id") % 7, F.col("event_id") % 5, F.when(F.col("event_id") % 3 == 0, "NaN").otherwise("0.5"))
+    path = S.scratch(spark, "summaries") + "/Dataset001/test"
+    e.select(one.alias("value"), F.concat(F.lit("fold_"), (F.col("event_id") % 3).cast("string")).alias("fold")).write.partitionBy("fold").text(path)
+    return S.read_summaries(spark, f"{path}/*", lines=True)
 
 
 @query("s4_s11_case_csvs", CM + " select case_name, tracer, fold_num, num_gt_lesions from fx_case_metrics")
@@ -440,15 +448,20 @@ def s4(spark, d):
     return S.read_case_csvs(spark, path, "case_name long, num_gt_lesions long, tracer string, fold_num int").select("case_name", "tracer", "fold_num", "num_gt_lesions")
 
 
-@query("s5_strip_extension", CAS + " select case_id, replace(filename, '.nii.gz', '') as k from fx_cases")
+@query("s5_read_lesion_metrics", CAS + " select replace(filename, '.nii.gz', '') as case_name, (case_id % 9)::int as num_gt_lesions from fx_cases")
 def s5(spark, d):
-    return fixture(spark, d, "fx_cases").select("case_id", S.strip_extension(F.col("filename")).alias("k"))
+    path = S.scratch(spark, "lesions")
+    fixture(spark, d, "fx_cases").select(F.col("filename").alias("case_name"), (F.col("case_id") % 9).alias("num_gt_lesions")).write.option("header", True).csv(path)
+    return S.read_lesion_metrics(spark, path, "case_name string, num_gt_lesions int")
 
 
-@query("s6_diagnosis", CAS + " select distinct 'fdg_' || label_pid || '_' || scan as k from (select (case_id % 50)::varchar as label_pid, (case_id % 3)::varchar as scan from fx_cases)")
+@query("s6_diagnosis", CAS + " select distinct 'fdg_' || (case_id % 50)::varchar || '_' || (case_id % 3)::varchar as case_key, case when case_id % 50 < 20 then 'NEGATIVE' else 'LYMPHOMA' end as diagnosis from fx_cases")
 def s6(spark, d):
-    loc = F.concat(F.lit("./data/PETCT_"), (F.col("case_id") % 50).cast("string"), F.lit("/"), (F.col("case_id") % 3).cast("string"), F.lit("/x"))
-    return fixture(spark, d, "fx_cases").select(S.diagnosis_key(loc).alias("k")).dropDuplicates()
+    pid = F.col("case_id") % 50
+    location = F.concat(F.lit("./data/PETCT_"), pid.cast("string"), F.lit("/"), (F.col("case_id") % 3).cast("string"), F.lit("/x"))
+    path = S.scratch(spark, "diagnosis")
+    fixture(spark, d, "fx_cases").select(location.alias("file_location"), F.when(pid < 20, "NEGATIVE").otherwise("LYMPHOMA").alias("diagnosis")).write.option("header", True).csv(path)
+    return S.read_diagnosis(spark, path)
 
 
 @query("s7_region_lookup", REG + " select label, description, is_bone from fx_regions")
@@ -461,8 +474,9 @@ def s7(spark, d):
 @query("s9_case_inventory", CAS + " select case_id, case when case_id % 4 <> 0 then 'img/' || filename end as image, case when case_id % 6 <> 0 then 'ts/' || filename end as anatomy, concat_ws(',', case when case_id % 4 = 0 then 'image' end, case when case_id % 6 = 0 then 'anatomy' end) as missing from fx_cases")
 def s9(spark, d):
     c = fixture(spark, d, "fx_cases")
-    pick = lambda p, k: c.where(f"case_id % {k} <> 0").select("case_id", F.concat(F.lit(p), "filename").alias("path"))
-    return S.case_inventory(c, {"image": pick("img/", 4), "anatomy": pick("ts/", 6)}).withColumn("missing", F.concat_ws(",", "missing"))
+    pick = lambda p, k: c.where(f"case_id % {k} <> 0").select(F.concat(F.lit(p), "filename").alias("path"))
+    found = S.case_inventory(c.select("case_id", F.col("filename").alias("name")), {"image": pick("img/", 4), "anatomy": pick("ts/", 6)}, r"((?:fdg|psma)_\d+)")
+    return found.withColumn("missing", F.concat_ws(",", "missing"))
 
 
 @query("s10_log_metric", "select doc_id as name, cast(regexp_extract(text, '(\\d{3,9})', 1) as bigint) as value from documents where regexp_extract(text, '(\\d{3,9})', 1) <> ''")
@@ -470,9 +484,19 @@ def s10(spark, d):
     return S.extract_log_metric(fixture(spark, d, "documents").select(F.col("doc_id").alias("name"), "text"), r"(\d{3,9})")
 
 
-@query("s12_case_metrics_json", CM + " select case_name, '{\"fold_num\":' || fold_num || ',\"num_gt_lesions\":' || num_gt_lesions || '}' as json from fx_case_metrics")
+JCOLS = [*UCOLS, "dice"]
+
+
+def _json_sql() -> str:
+    digits = lambda e: f"round({e}, 6)::decimal(18,6)::varchar"
+    value = {"m1": lambda c: f"a.{c}", "m2": lambda c: f"b.{c}", "difference": lambda c: f"abs(a.{c} - b.{c})"}
+    parts = ["'\"" + n + "\":{' || " + " || ',' || ".join("'\"" + c + "\":' || " + digits(f(c)) for c in JCOLS) + " || '}'" for n, f in value.items()]
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+@query("s12_case_metrics_json", UN + f" select case_id, {_json_sql()} as json from (select * from fx_uncertainty where method = 'm1') a join (select * from fx_uncertainty where method = 'm2') b using (case_id)")
 def s12(spark, d):
-    return S.case_metrics_json(_cm(spark, d), "case_name", ["fold_num", "num_gt_lesions"])
+    return S.case_metrics_json(_un(spark, d), "m1", "m2", JCOLS)
 
 
 @query("i1_pending_cases", CAS + " select case_id from fx_cases where case_id % 3 <> 0")

@@ -139,9 +139,11 @@ def e3(spark, d):
     return _r(S.pool_tokens(fixture(spark, d, "fx_tokens")), "cls", "patch_mean", "patch_std")
 
 
-@query("e4_embedding_metadata", CASES + ", t as (select case_id, unnest(embedding::double[]) as v from fx_cases) select case_id, round(min(v), 6) as low, round(max(v), 6) as high, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std from t group by case_id")
+@query("e4_embedding_metadata", CASES + ", t as (select case_id, case_id % 8 as batch, unnest(embedding::double[]) as v from fx_cases), m as (select case_id, batch, min(v * 255) as low, max(v * 255) as high, avg(v) as mean, stddev_pop(v) as std from t group by 1, 2) select case_id, batch, round(low, 6) as low, round(high, 6) as high, round(mean, 6) as mean, round(std, 6) as std, round(avg(mean) over (partition by batch), 6) as batch_mean, round(avg(std) over (partition by batch), 6) as batch_std from m")
 def e4(spark, d):
-    return _r(S.embedding_metadata(fixture(spark, d, "fx_cases")), "low", "high", "mean", "std")
+    image = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 255)
+    cases = fixture(spark, d, "fx_cases").withColumns({"image": image, "batch": F.col("case_id") % 8})
+    return _r(S.embedding_metadata(cases, "batch"), "low", "high", "mean", "std", "batch_mean", "batch_std")
 
 
 @query("e14_kernel_pca")

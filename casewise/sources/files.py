@@ -48,12 +48,31 @@ def parse_summaries(text: Column) -> Column:
     return F.from_json(text, f"struct<{SUMMARY.replace(' map', ':map').replace(' array', ':array').replace(', metric', ',metric')}>", {"allowNonNumericNumbers": "true"})
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """fold, case, tp, fp, fn, dice of label "1", from summary.json files; the fold is in the path."""
-    rows = spark.read.option("multiLine", True).option("allowNonNumericNumbers", True).schema(SUMMARY).json(path).select("*", "_metadata.file_path")
-    rows = rows.select(F.regexp_extract("file_path", r"fold_(\d+)", 1).cast("int").alias("fold"), F.explode("metric_per_case").alias("m"))
+def read_summaries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """dataset, split, fold, case, tp, fp, fn, dice of label "1", foreground_dice of the file, from summary.json files.
+
+    Data set (Dataset<n>), split (validation or test) and fold (fold_<n>) are in
+    the path, null where it does not say. `lines` reads files with one summary
+    a line; otherwise a file is one summary.
+    """
+    rows = spark.read.option("multiLine", not lines).option("allowNonNumericNumbers", True).schema(SUMMARY).json(path).select("*", "_metadata.file_path")
+    place = lambda pattern: F.nullif(F.regexp_extract("file_path", pattern, 1), F.lit(""))
+    where = [place(r"Dataset(\d+)").cast("int").alias("dataset"), place(r"(validation|test)").alias("split"), place(r"fold_(\d+)").cast("int").alias("fold")]
+    whole = F.element_at("foreground_mean", F.lit("Dice"))
+    rows = rows.select(*where, F.nanvl(whole, F.lit(None)).alias("foreground_dice"), F.explode("metric_per_case").alias("m"))
     one = F.element_at("m.metrics", F.lit("1"))
-    return rows.select("fold", F.regexp_replace(F.substring_index("m.prediction_file", "/", -1), r"\.nii\.gz$", "").alias("case"), one["TP"].alias("tp"), one["FP"].alias("fp"), one["FN"].alias("fn"), F.nanvl(one["Dice"], F.lit(None)).alias("dice"))
+    return rows.select("dataset", "split", "fold", strip_extension(F.substring_index("m.prediction_file", "/", -1)).alias("case"), one["TP"].alias("tp"), one["FP"].alias("fp"), one["FN"].alias("fn"), F.nanvl(one["Dice"], F.lit(None)).alias("dice"), "foreground_dice")
+
+
+def read_lesion_metrics(spark: SparkSession, path: str, schema: str, name: str = "case_name") -> DataFrame:
+    """Per-file lesion CSVs, the case name without its file suffix."""
+    return read_case_csvs(spark, path, schema).withColumn(name, strip_extension(F.col(name)))
+
+
+def read_diagnosis(spark: SparkSession, path: str, location: str = "file_location", diagnosis: str = "diagnosis") -> DataFrame:
+    """case_key, diagnosis from a metadata CSV; rows of one key with the same diagnosis count once."""
+    rows = spark.read.option("header", True).schema(f"`{location}` string, `{diagnosis}` string").csv(path)
+    return rows.select(diagnosis_key(F.col(location)).alias("case_key"), F.col(diagnosis).alias("diagnosis")).dropDuplicates()
 
 
 def write_results(df: DataFrame, path: str, by: list[str]) -> None:
@@ -80,12 +99,18 @@ def read_region_lookup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).schema("label int, description string, is_bone boolean").csv(path)
 
 
-def case_inventory(labels: DataFrame, listings: dict[str, DataFrame]) -> DataFrame:
-    """Per label case the smallest path of each listing (case_id, path) and the names of the listings that lack it."""
-    out = labels.select("case_id").distinct()
+def case_inventory(labels: DataFrame, listings: dict[str, DataFrame], pattern: str) -> DataFrame:
+    """Per label case the smallest path of each listing whose file name contains the case's key, and the names of the listings that lack it.
+
+    labels: case_id, name; listings: path. The key is what the pattern's group
+    finds in the last part of a name or path, so "contained in" is an equi-join;
+    names without a key match nothing.
+    """
+    key = lambda c: F.nullif(F.regexp_extract(F.substring_index(F.lower(c), "/", -1), pattern, 1), F.lit(""))
+    out = labels.select("case_id", key("name").alias("_key")).distinct()
     for name, rows in listings.items():
-        out = out.join(rows.groupBy("case_id").agg(F.min("path").alias(name)), "case_id", "left")
-    return out.withColumn("missing", F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in listings])))
+        out = out.join(rows.select(key("path").alias("_key"), "path").groupBy("_key").agg(F.min("path").alias(name)), "_key", "left")
+    return out.drop("_key").withColumn("missing", F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in listings])))
 
 
 def extract_log_metric(logs: DataFrame, pattern: str) -> DataFrame:
@@ -94,5 +119,11 @@ def extract_log_metric(logs: DataFrame, pattern: str) -> DataFrame:
     return rows.select("name", F.col("v").cast("long").alias("value"))
 
 
-def case_metrics_json(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    return df.select(key, F.to_json(F.struct(*columns)).alias("json"))
+def case_metrics_json(df: DataFrame, a: str, b: str, columns: list[str]) -> DataFrame:
+    """case_id, json: per case the figures of both methods and their absolute differences, nested; six digits. Rows: case_id, method and the columns."""
+    digits = lambda c: F.round(c, 6).cast("decimal(18,6)")
+    side = lambda m: df.where(F.col("method") == m).select("case_id", *[F.col(c).alias(f"{c}_{m}") for c in columns])
+    both = side(a).join(side(b), "case_id")
+    parts = [F.struct(*[digits(F.col(f"{c}_{m}")).alias(c) for c in columns]).alias(m) for m in (a, b)]
+    gaps = F.struct(*[digits(F.abs(F.col(f"{c}_{a}") - F.col(f"{c}_{b}"))).alias(c) for c in columns]).alias("difference")
+    return both.select("case_id", F.to_json(F.struct(*parts, gaps)).alias("json"))
