@@ -7,25 +7,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, number: str, then: list[str], name: str = "rn", buckets: int = 64) -> DataFrame:
-    """Adds 1, 2, ... in order of a numeric column (nulls last) and tie-breaking columns.
+#: Cut points for values that are cosine distances.
+DISTANCE_EDGES = [k / 2048 for k in range(1, 4096)]
 
-    Rows are bucketed by approximate quantiles of the column; each bucket is
-    numbered on its own and shifted by the sizes of those before it (a table
-    of at most buckets + 1 rows).
+
+def numbered(df: DataFrame, number: str, then: list[str], name: str = "rn", buckets: int = 64, by: tuple[str, ...] = (), edges: list[float] | None = None) -> DataFrame:
+    """Adds 1, 2, ... in order of a numeric column (nulls last) and tie-breaking columns, on its own for every value of `by`.
+
+    Rows are bucketed by approximate quantiles of the column, or by given cut
+    points, which saves the pass that finds them; each bucket is numbered on its
+    own and shifted by the sizes of those before it (a table of at most one row
+    per bucket and value of `by`).
     """
     value = F.col(number).cast("double")
-    cuts = sorted(set(df.select(value.alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 0.002)))
+    if edges is None:
+        edges = df.select(value.alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 0.002)
+    cuts = sorted(set(edges))
     rows = df.withColumn("_v", value)
     if cuts:
         rows = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_v", outputCol="_b", handleInvalid="keep").transform(rows)
     else:
         rows = rows.withColumn("_b", F.lit(0.0))
-    rows = rows.withColumn("_b", F.coalesce("_b", F.lit(float(buckets + 1))))
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_s"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.asc_nulls_last("_v"), *then))
-    return rows.withColumn("_r", inside).join(F.broadcast(starts), "_b").withColumn(name, F.col("_r") + F.col("_s")).drop("_v", "_b", "_r", "_s")
+    rows = rows.withColumn("_b", F.coalesce("_b", F.lit(float(len(cuts) + 2))))
+    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
+    starts = sizes.select(*by, "_b", (F.sum("_n").over(before) - F.col("_n")).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.asc_nulls_last("_v"), *then))
+    return rows.withColumn("_r", inside).join(F.broadcast(starts), [*by, "_b"]).withColumn(name, F.col("_r") + F.col("_s")).drop("_v", "_b", "_r", "_s")
+
+
+def furthest_first(df: DataFrame, distance: str, then: list[str], name: str = "rn", by: tuple[str, ...] = ()) -> DataFrame:
+    """numbered() by a cosine distance, the greatest first."""
+    rows = numbered(df.withColumn("_far", -F.col(distance)), "_far", then, name, by=by, edges=[-e for e in DISTANCE_EDGES])
+    return rows.drop("_far")
 
 
 def quantile_group(df: DataFrame, number: str, then: list[str], groups: int, name: str) -> DataFrame:

@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewise.operators.ordering import furthest_first, numbered
+
 BLOCK = 4096
 
 
@@ -89,9 +91,10 @@ def extremes(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     return found.groupBy("tracer", "kind").agg(F.min(F.struct(sign.alias("s"), "case_a", "case_b", "distance")).alias("m")).select("tracer", "kind", "m.case_a", "m.case_b", "m.distance")
 
 
-def distance_table(distances: DataFrame) -> DataFrame:
-    """Adds the place of each case inside its tracer, from 0."""
-    return distances.withColumn("index", F.row_number().over(Window.partitionBy("tracer").orderBy("case_id")) - 1)
+def distance_table(distances: DataFrame, pool: DataFrame) -> DataFrame:
+    """Adds the place of each case inside its tracer, from 0; cases are numbered on the pool, before distances are known."""
+    places = numbered(pool.select("case_id", "tracer"), "case_id", [], "index", by=("tracer",))
+    return distances.join(places.select("case_id", (F.col("index") - 1).cast("int").alias("index")), "case_id")
 
 
 def _share(n: Column, percent: float) -> Column:
@@ -107,15 +110,14 @@ def top_percent(distances: DataFrame, percent: float) -> DataFrame:
 
 def top_percent_by_tracer(distances: DataFrame, percent: float, totals: dict[str, int] | None = None) -> DataFrame:
     """The furthest share of each tracer, of its pool or of given totals (then possibly none)."""
-    order = Window.partitionBy("tracer").orderBy(F.desc("dist_to_labelled"), "case_id")
     rows = distances.dropDuplicates(["case_id"]) if totals else distances
-    size = F.count("*").over(Window.partitionBy("tracer"))
     if totals:
         size = F.coalesce(*[F.when(F.col("tracer") == k, F.lit(v)) for k, v in totals.items()], F.lit(0))
-        most = F.ceil(F.round(size * F.lit(percent), 9))
+        rows = rows.withColumn("most", F.ceil(F.round(size * F.lit(percent), 9)))
     else:
-        most = _share(size, percent)
-    return rows.withColumn("rn", F.row_number().over(order)).withColumn("most", most).where("rn <= most").drop("rn", "most")
+        sizes = rows.groupBy("tracer").agg(_share(F.count("*"), percent).alias("most"))
+        rows = rows.join(F.broadcast(sizes), "tracer")  # one row per tracer
+    return furthest_first(rows, "dist_to_labelled", ["case_id"], by=("tracer",)).where("rn <= most").drop("rn", "most")
 
 
 def rank_by_diversity(chosen: DataFrame) -> DataFrame:
@@ -130,20 +132,32 @@ def rank_by_diversity(chosen: DataFrame) -> DataFrame:
     sizes = rows.groupBy("tracer").agg(F.count("*").alias("n"))
     out = rows.join(sums, "tracer").join(sizes, "tracer")
     mean = F.when(F.col("n") > 1, 1 - dot(F.col("u"), F.transform("s", lambda x: x["s"])) / F.col("n"))
-    out = out.withColumn("avg_dist_to_top_subset", mean)
-    return out.withColumn("diversity_rank", F.row_number().over(Window.partitionBy("tracer").orderBy(F.desc(F.round("avg_dist_to_top_subset", 9)), "case_id"))).drop("u", "s", "n")
+    out = out.withColumn("avg_dist_to_top_subset", mean).withColumn("_far", F.round("avg_dist_to_top_subset", 9)).drop("u", "s", "n")
+    ranked = furthest_first(out, "_far", ["case_id"], "diversity_rank", by=("tracer",))
+    return ranked.withColumn("diversity_rank", F.col("diversity_rank").cast("int")).drop("_far")
 
 
 def worst_covered(distances: DataFrame, k: int = 5) -> DataFrame:
-    order = Window.partitionBy("tracer").orderBy(F.desc("dist_to_labelled"), "case_id")
-    return distances.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    """The k furthest cases of each tracer with their place; rows are numbered by bucket, not by tracer."""
+    rows = furthest_first(distances, "dist_to_labelled", ["case_id"], "place", by=("tracer",))
+    return rows.withColumn("place", F.col("place").cast("int")).where(F.col("place") <= k)
 
 
 def pool_tokens(tokens: DataFrame) -> DataFrame:
-    """case_id, dim, cls (token 0), patch_mean and patch_std (population) of the others, by dimension."""
-    rows = tokens.select("case_id", "token_idx", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v"))
-    patch = F.when(F.col("token_idx") > 0, F.col("v"))
-    return rows.groupBy("case_id", "dim").agg(F.max(F.when(F.col("token_idx") == 0, F.col("v"))).alias("cls"), F.avg(patch).alias("patch_mean"), F.stddev_pop(patch).alias("patch_std"))
+    """case_id, cls (token 0), patch_mean and patch_std (population, by dimension) of the other tokens; arrays, null without any.
+
+    A token travels as one row; a case's tokens (a fixed number per image) meet
+    in one array.
+    """
+    v = F.col("embedding").cast("array<double>")
+    rows = tokens.groupBy("case_id").agg(F.first(F.when(F.col("token_idx") == 0, v), ignorenulls=True).alias("cls"), F.collect_list(F.when(F.col("token_idx") > 0, v)).alias("patch"))
+    zero = F.transform(F.get("patch", F.lit(0)), lambda x: F.lit(0.0))
+    n = F.size("patch").cast("double")
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    rows = rows.withColumn("patch_mean", F.transform(F.aggregate("patch", zero, add), lambda x: x / n))
+    apart = lambda r: F.zip_with(r, F.col("patch_mean"), lambda x, m: (x - m) * (x - m))
+    rows = rows.withColumn("patch_std", F.transform(F.aggregate("patch", zero, lambda s, r: add(s, apart(r))), lambda x: F.sqrt(x / n)))
+    return rows.drop("patch")
 
 
 def embedding_metadata(cases: DataFrame, batch: str) -> DataFrame:

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.operators.ordering import quantile_group
+from casewise.operators.ordering import furthest_first, numbered, quantile_group
+
+
+def _with_sizes(rows: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(rows.groupBy("tracer").agg(F.count("*").alias("n"))), "tracer")  # one row per tracer
 
 
 def prefix_splits(cases: DataFrame, percents: list[int]) -> DataFrame:
     """percent, tracer, case_id: per tracer the first floor(n * p / 100) cases in order of id; nested."""
-    w = Window.partitionBy("tracer")
-    rows = cases.select("case_id", "tracer").withColumn("rn", F.row_number().over(w.orderBy("case_id"))).withColumn("n", F.count("*").over(w))
+    rows = numbered(_with_sizes(cases.select("case_id", "tracer")), "case_id", [], by=("tracer",))
     rows = rows.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
     return rows.where(F.col("rn") * 100 <= F.col("n") * F.col("percent")).select("percent", "tracer", "case_id")
 
 
 def selection_splits(base: DataFrame, ranked: DataFrame, percents: list[int]) -> DataFrame:
     """percent, case_id: the base cases and, per tracer, the furthest share of the ranked pool (at least one case)."""
-    w = Window.partitionBy("tracer")
-    rows = ranked.withColumn("rn", F.row_number().over(w.orderBy(F.desc("dist_to_labelled"), "case_id"))).withColumn("n", F.count("*").over(w))
+    rows = furthest_first(_with_sizes(ranked), "dist_to_labelled", ["case_id"], by=("tracer",))
     every = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
     most = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("percent") / 100))
     chosen = rows.select("*", every).where(F.col("rn") <= most).select("percent", "case_id")
@@ -38,9 +40,9 @@ def random_splits(pool: DataFrame, sizes: DataFrame, seeds: list[int], base: Dat
     `existing` (tracer, case_id) is taken over as seed 0.
     """
     every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
-    rows = pool.select("case_id", "tracer", every)
-    order = Window.partitionBy("seed", "tracer").orderBy(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("case_id").cast("string"))), "case_id")
-    picks = rows.withColumn("rn", F.row_number().over(order)).join(F.broadcast(sizes), "tracer").where("rn <= n").select("seed", "tracer", "case_id")
+    rows = pool.select("case_id", "tracer", every).withColumn("h", F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("case_id").cast("string"))))
+    rows = rows.withColumn("start", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))  # hashes are even, so are buckets of their start
+    picks = numbered(rows, "start", ["h", "case_id"], by=("seed", "tracer"), edges=list(range(64, 65536, 64))).join(F.broadcast(sizes), "tracer").where("rn <= n").select("seed", "tracer", "case_id")
     out = picks.unionByName(base.select("tracer", "case_id", every))
     if existing is not None:
         out = out.unionByName(existing.select("tracer", "case_id", F.lit(0).alias("seed")))

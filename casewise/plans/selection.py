@@ -102,7 +102,7 @@ def e7(spark, d):
 
 @query("e8_distance_table", DIST + " select case_id, tracer, round(d, 6) as dist_to_labelled, cast(row_number() over (partition by tracer order by case_id) - 1 as int) as index from dist")
 def e8(spark, d):
-    return _r(S.distance_table(_dist(spark, d)), "dist_to_labelled")
+    return _r(S.distance_table(_dist(spark, d), _pool(spark, d)), "dist_to_labelled")
 
 
 @query("e9_top_percent", DIST + " select case_id, tracer, round(d, 6) as dist_to_labelled from (select *, row_number() over (order by d desc, case_id) as r, count(*) over () as n from dist) where r <= greatest(1, ceil(n * 5 / 100))")
@@ -136,7 +136,9 @@ def e13(spark, d):
 
 @query("e3_pool_tokens", ctes("fx_tokens") + ", t as (select case_id, token_idx, unnest(embedding::double[]) as v, generate_subscripts(embedding, 1) - 1 as dim from fx_tokens) select case_id, cast(dim as int) as dim, round(max(case when token_idx = 0 then v end), 6) as cls, round(avg(case when token_idx > 0 then v end), 6) as patch_mean, round(stddev_pop(case when token_idx > 0 then v end), 6) as patch_std from t group by case_id, dim")
 def e3(spark, d):
-    return _r(S.pool_tokens(fixture(spark, d, "fx_tokens")), "cls", "patch_mean", "patch_std")
+    pooled = S.pool_tokens(fixture(spark, d, "fx_tokens"))
+    rows = pooled.select("case_id", F.posexplode(F.arrays_zip("cls", "patch_mean", "patch_std")).alias("dim", "t"))
+    return _r(rows.select("case_id", "dim", "t.cls", "t.patch_mean", "t.patch_std"), "cls", "patch_mean", "patch_std")
 
 
 @query("e4_embedding_metadata", CASES + ", t as (select case_id, case_id % 8 as batch, unnest(embedding::double[]) as v from fx_cases), m as (select case_id, batch, min(v * 255) as low, max(v * 255) as high, avg(v) as mean, stddev_pop(v) as std from t group by 1, 2) select case_id, batch, round(low, 6) as low, round(high, 6) as high, round(mean, 6) as mean, round(std, 6) as std, round(avg(mean) over (partition by batch), 6) as batch_mean, round(avg(std) over (partition by batch), 6) as batch_std from m")
