@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from casewise.operators.ordering import furthest_first, numbered
 
 BLOCK = 4096
+#: A side whose vectors take no more bytes than this is sent to every task; a larger one is dealt in blocks.
+SMALL_BYTES = 64 << 20
 
 
 def unit(embedding: Column) -> Column:
@@ -52,8 +54,51 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _blocks(left, nl).withColumnRenamed("block", "i").withColumn("j", every(nr)), _blocks(right, nr).withColumnRenamed("block", "j").withColumn("i", every(nl))
 
 
+def _small_side(df: DataFrame) -> dict | None:
+    """Ids and unit vectors by tracer where they take at most SMALL_BYTES, else None; their size is added up before any row is fetched."""
+    rows = df.select("tracer", "case_id", unit(F.col("embedding")).alias("u")).where("u is not null")
+    if (rows.agg(F.sum(F.size("u").cast("long") * 8)).first()[0] or 0) > SMALL_BYTES:
+        return None
+    out: dict = {}
+    for r in rows.collect():
+        out.setdefault(r.tracer, ([], []))
+        out[r.tracer][0].append(r.case_id)
+        out[r.tracer][1].append(r.u)
+    return {k: (np.asarray(ids), np.asarray(v, np.float64)) for k, (ids, v) in out.items()}
+
+
+def _chunks(batch: pa.RecordBatch, small: dict):
+    """tracer, row numbers, vectors of a batch, in pieces that keep a distance matrix below four million numbers; rows of a tracer without a small side are left out."""
+    tracers, u = np.asarray(batch.column("tracer").to_pylist(), object), batch.column("u")
+    there = np.asarray(u.is_valid())
+    for t, (ids, _) in small.items():
+        at = np.flatnonzero((tracers == t) & there)
+        step = max(1, 4_000_000 // len(ids))
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            yield t, part, np.asarray(u.take(pa.array(part)).to_pylist(), np.float64)
+
+
 def min_distance_to_labelled(pool: DataFrame, seed: DataFrame) -> DataFrame:
-    """case_id, tracer, dist_to_labelled: cosine distance to the nearest labelled case of the tracer, 0 where there is none."""
+    """case_id, tracer, dist_to_labelled: cosine distance to the nearest labelled case of the tracer, 0 where there is none; case_id is unique.
+
+    A labelled side of bounded size goes to every task and the pool is read
+    once, without a shuffle; beyond that both sides are dealt in blocks.
+    """
+    small = _small_side(seed)
+    if small is not None:
+        shared = pool.sparkSession.sparkContext.broadcast(small)
+
+        def scan(batches):
+            for b in batches:
+                d = np.zeros(b.num_rows)
+                for t, at, x in _chunks(b, shared.value):
+                    d[at] = (1 - x @ shared.value[t][1].T).min(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("case_id"), b.column("tracer"), pa.array(d)], names=["case_id", "tracer", "dist_to_labelled"])
+
+        kinds = dict(pool.dtypes)
+        rows = pool.select("case_id", "tracer", unit(F.col("embedding")).alias("u"))
+        return rows.mapInArrow(scan, f"case_id {kinds['case_id']}, tracer {kinds['tracer']}, dist_to_labelled double")
     a, b = _sides(pool, seed)
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -66,27 +111,53 @@ def min_distance_to_labelled(pool: DataFrame, seed: DataFrame) -> DataFrame:
     return pool.select("case_id", "tracer").join(best, "case_id", "left").select("case_id", "tracer", F.coalesce("d", F.lit(0.0)).alias("dist_to_labelled"))
 
 
+def _ends(tracer, p: np.ndarray, q: np.ndarray, d: np.ndarray, ok: np.ndarray | None = None) -> list[tuple]:
+    """The closest and the furthest pair of a block of distances; ties go to the smallest ids."""
+    rows = []
+    if d.size and (ok is None or ok.any()):
+        for kind, key in (("closest", d), ("furthest", -d)):
+            key = key if ok is None else np.where(ok, key, np.inf)
+            i, j = min(np.argwhere(key == key.min()).tolist(), key=lambda k: (p[k[0]], q[k[1]]))
+            rows.append((tracer, kind, int(p[i]), int(q[j]), float(d[i, j])))
+    return rows
+
+
+def _ends_table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("tracer", "kind", "case_a", "case_b", "distance"), cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+
 def extremes(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """tracer, kind (closest or furthest), case_a, case_b, distance; over pairs of one set, or across two. Ties go to the smallest ids."""
+    """tracer, kind (closest or furthest), case_a, case_b, distance; over pairs of one set, or across two. Ties go to the smallest ids.
+
+    Across two sets a right side of bounded size goes to every task, as in
+    min_distance_to_labelled.
+    """
     same = right is None
-    a, b = _sides(left, left if same else right)
+    schema = "tracer string, kind string, case_a long, case_b long, distance double"
+    small = None if same else _small_side(right)
+    if small is not None:
+        shared = left.sparkSession.sparkContext.broadcast(small)
 
-    def ends(x: pa.Table, y: pa.Table) -> pa.Table:
-        rows = []
-        if x.num_rows and y.num_rows:
-            d = 1 - _matrix(x) @ _matrix(y).T
+        def scan(batches):
+            for b in batches:
+                p = np.asarray(b.column("case_id").to_pylist())
+                for t, at, x in _chunks(b, shared.value):
+                    q, y = shared.value[t]
+                    yield from _ends_table(_ends(t, p[at], q, 1 - x @ y.T)).to_batches()
+
+        found = left.select("case_id", "tracer", unit(F.col("embedding")).alias("u")).mapInArrow(scan, schema)
+    else:
+        a, b = _sides(left, left if same else right)
+
+        def ends(x: pa.Table, y: pa.Table) -> pa.Table:
+            if not x.num_rows or not y.num_rows:
+                return _ends_table([])
             p, q = (np.asarray(t.column("case_id").to_pylist()) for t in (x, y))
-            ok = p[:, None] < q[None, :] if same else np.ones(d.shape, bool)
-            if ok.any():
-                for kind, pick in (("closest", np.where(ok, d, np.inf)), ("furthest", np.where(ok, -d, np.inf))):
-                    at = np.argwhere(pick == pick.min())
-                    i, j = min(at.tolist(), key=lambda k: (p[k[0]], q[k[1]]))
-                    rows.append((x.column("tracer")[0].as_py(), kind, int(p[i]), int(q[j]), float(d[i, j])))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("tracer", "kind", "case_a", "case_b", "distance"), cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
+            return _ends_table(_ends(x.column("tracer")[0].as_py(), p, q, 1 - _matrix(x) @ _matrix(y).T, p[:, None] < q[None, :] if same else None))
 
-    keys = ["tracer", "i", "j"]
-    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(ends, "tracer string, kind string, case_a long, case_b long, distance double")
+        keys = ["tracer", "i", "j"]
+        found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(ends, schema)
     sign = F.when(F.col("kind") == "closest", F.col("distance")).otherwise(-F.col("distance"))
     return found.groupBy("tracer", "kind").agg(F.min(F.struct(sign.alias("s"), "case_a", "case_b", "distance")).alias("m")).select("tracer", "kind", "m.case_a", "m.case_b", "m.distance")
 

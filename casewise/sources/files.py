@@ -51,13 +51,13 @@ def parse_summaries(text: Column) -> Column:
 def read_summaries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """dataset, split, fold, case, tp, fp, fn, dice of label "1", foreground_dice of the file, from summary.json files.
 
-    Data set (Dataset<n>), split (validation or test) and fold (fold_<n>) are in
+    Data set (Dataset<n>), split (a folder validation or test) and fold (fold_<n>) are in
     the path, null where it does not say. `lines` reads files with one summary
     a line; otherwise a file is one summary.
     """
     rows = spark.read.option("multiLine", not lines).option("allowNonNumericNumbers", True).schema(SUMMARY).json(path).select("*", "_metadata.file_path")
     place = lambda pattern: F.nullif(F.regexp_extract("file_path", pattern, 1), F.lit(""))
-    where = [place(r"Dataset(\d+)").cast("int").alias("dataset"), place(r"(validation|test)").alias("split"), place(r"fold_(\d+)").cast("int").alias("fold")]
+    where = [place(r"Dataset(\d+)").cast("int").alias("dataset"), place(r"/(validation|test)/").alias("split"), place(r"fold_(\d+)").cast("int").alias("fold")]
     whole = F.element_at("foreground_mean", F.lit("Dice"))
     rows = rows.select(*where, F.nanvl(whole, F.lit(None)).alias("foreground_dice"), F.explode("metric_per_case").alias("m"))
     one = F.element_at("m.metrics", F.lit("1"))

@@ -186,3 +186,70 @@ def test_noninferiority_verdict(spark):
     wide, tight = (paired.noninferiority(df, ["metric"], m).first() for m in (0.05, 0.001))
     assert wide.noninferior and not tight.noninferior
     assert wide.ucl == pytest.approx(2.0150484 * wide.se, abs=1e-6)
+
+
+def test_small_and_large_labelled_sides_agree(spark, monkeypatch):
+    x, df = cases(spark)
+    pool, seed = df.where("case_id >= 9"), df.where("case_id < 9")
+    other = pool.withColumn("tracer", F.when(F.col("case_id") == 20, "none").otherwise(F.col("tracer")))
+    run = lambda: (sorted(map(tuple, selection.min_distance_to_labelled(other, seed).collect())), sorted(map(tuple, selection.extremes(pool, seed).collect())))
+    near, ends = run()
+    monkeypatch.setattr(selection, "SMALL_BYTES", -1)
+    monkeypatch.setattr(selection, "BLOCK", 7)
+    far_near, far_ends = run()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (1 - u[9:] @ u[:9].T).min(axis=1)
+    want[11] = 0
+    for got in (near, far_near):
+        assert [r[0] for r in got] == list(range(9, 40))
+        assert [r[2] for r in got] == pytest.approx(want.tolist())
+    assert [r[:4] for r in ends] == [r[:4] for r in far_ends] and [r[4] for r in ends] == pytest.approx([r[4] for r in far_ends])
+
+
+def test_summaries_and_diagnoses_from_files(spark, tmp_path):
+    import json
+
+    from casewise.sources import files
+
+    folder = tmp_path / "Dataset007_x" / "fold_2" / "validation"
+    folder.mkdir(parents=True)
+    one = {"foreground_mean": {"Dice": 0.5}, "metric_per_case": [{"prediction_file": "p/fdg_1.nii.gz", "metrics": {"1": {"TP": 3, "FP": 1, "FN": 0, "Dice": float("nan")}}}]}
+    (folder / "summary.json").write_text(json.dumps(one, indent=1))
+    got = files.read_summaries(spark, f"file://{tmp_path}/*/fold_*/*/summary.json").collect()
+    assert [tuple(r) for r in got] == [(7, "validation", 2, "fdg_1", 3, 1, 0, None, 0.5)]
+    (tmp_path / "meta.csv").write_text("file_location,diagnosis\n./d/PETCT_ab/s1/x,LYMPHOMA\n./d/PETCT_ab/s1/y,LYMPHOMA\n")
+    assert [tuple(r) for r in files.read_diagnosis(spark, f"file://{tmp_path}/meta.csv").collect()] == [("fdg_ab_s1", "LYMPHOMA")]
+
+
+def test_stream_goes_on_after_an_interruption(spark, tmp_path):
+    from casewise.streaming import incremental
+
+    schema = "case_id long, x int, y int, z int, gt int, pred int"
+    row = lambda i: spark.createDataFrame([(i, 0, 0, 1, 1, 1), (i, 1, 0, 1, 1, i % 2)], schema).coalesce(1)
+    src, out, mark = (f"file://{tmp_path}/{n}" for n in ("in", "out", "mark"))
+    go = lambda: incremental.stream_case_metrics(spark, src, out, mark, schema, 1.0, 100, 1)
+    row(1).write.parquet(src)
+    go()
+    row(2).write.mode("append").parquet(src)
+    go()
+    go()
+    got = spark.read.parquet(out).select("case_id", "dice", "batch").orderBy("case_id").collect()
+    assert [(r.case_id, round(r.dice, 6)) for r in got] == [(1, 1.0), (2, round(2 / 3, 6))]
+    assert len({r.batch for r in got}) == 2
+
+
+def test_align_axes_and_shapes_that_disagree(spark):
+    v = spark.createDataFrame([(1, 4, 5, 6), (2, 4, 5, 6), (3, 4, 5, 6), (4, 4, 5, 6)], "case_id long, x int, y int, z int")
+    shapes = spark.createDataFrame([(1, [7, 8, 9], [7, 8, 9]), (2, [7, 8, 9], [9, 8, 7]), (3, [7, 8, 9], [9, 7, 8]), (4, [7, 8, 9], [1, 1, 1])], "case_id long, shape array<int>, target array<int>")
+    got = {r.case_id: (r.x, r.y, r.z) for r in voxels.align_axes(v, shapes).collect()}
+    assert got == {1: (4, 5, 6), 2: (6, 5, 4), 3: (6, 4, 5), 4: (None, None, None)}
+
+
+def test_numbered_by_group(spark):
+    from casewise.operators.ordering import furthest_first, numbered
+
+    rows = [(g, i, [0.5, None, 0.25, 0.5, 2.0, 0.0][i % 6]) for g in ("a", "b") for i in range(6 if g == "a" else 3)]
+    df = spark.createDataFrame(rows, "g string, i long, d double")
+    for name, f, key in (("up", lambda: numbered(df, "d", ["i"], by=("g",), buckets=3), lambda r: (r[2] is None, r[2] or 0, r[1])), ("down", lambda: furthest_first(df, "d", ["i"], by=("g",)), lambda r: (r[2] is None, -(r[2] or 0), r[1]))):
+        want = {(g, r[1]): k + 1 for g in ("a", "b") for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=key))}
+        assert {(r.g, r.i): r.rn for r in f().collect()} == want, name
