@@ -93,12 +93,10 @@ def wilcoxon(pairs: DataFrame, by: list[str], sign: Column | None = None) -> Dat
     return out.drop("tie_term", "zeros", "up", "down")
 
 
-def _portable_uniform(seed: int) -> Column:
-    """A number in [0, 1) of (seed, draw, case_name) by squarings modulo a prime; SQL engines without xxhash64 can repeat it."""
+def _portable_uniform(h: Column, draw: Column) -> Column:
+    """A number in [0, 1) of a pair's hash and a draw by squarings modulo a prime; SQL engines without xxhash64 can repeat it."""
     prime = F.lit(2_147_483_647)
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_name").cast("string"))), 1, 7), 16, 10).cast("long")
-    draw = F.col("draw").cast("long")
-    x = (h + draw * 1_000_003) % prime
+    x = (h + draw.cast("long") * 1_000_003) % prime
     x = (x * x + h) % prime
     return ((x * x + draw) % prime).cast("double") / prime.cast("double")
 
@@ -110,7 +108,8 @@ def bootstrap_ci(pairs: DataFrame, by: list[str], draws: int = 10_000, seed: int
     at six, so that no index is joined and each pair meets each draw once.
     `portable` takes the hash from md5 instead of xxhash64.
     """
-    u = _portable_uniform(seed) if portable else F.pmod(F.xxhash64(F.lit(seed), "draw", "case_name"), F.lit(1_000_003)) / 1_000_003
+    pairs = pairs.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_name").cast("string"))), 1, 7), 16, 10).cast("long") if portable else F.lit(0))
+    u = _portable_uniform(F.col("h"), F.col("draw")) if portable else F.pmod(F.xxhash64(F.lit(seed), "draw", "case_name"), F.lit(1_000_003)) / 1_000_003
     weight = F.expr("0")
     for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582):
         weight = weight + F.when(F.col("u") >= c, 1).otherwise(0)

@@ -391,9 +391,11 @@ def _arm_pairs(spark, d):
     return long(0).withColumnRenamed("v", "a").join(long(2).withColumnRenamed("v", "b"), ["case_name", "k", "metric"]).where("a is not null and b is not null").withColumn("diff", F.col("b") - F.col("a"))
 
 
-@query("t6_arm_tests", ARM + TL.t_columns("k, metric") + f" select k, metric, {TL.T_OUT} from tt")
+@query("t6_arm_tests", ARM + TL.t_columns("k, metric") + TL.rank_columns("k, metric") + " select k, metric, tt.n, round(mean, 6) as mean, round(sd, 6) as sd, round(t, 6) as t, round(tt.p, 6) as p, round(tt.p_better, 6) as p_better, round(w_plus, 6) as w_plus, round(z, 6) as z, round(wx.p, 6) as w_p, round(wx.p_better, 6) as w_p_better from tt left join wx using (k, metric)")
 def t6(spark, d):
-    return _r(T.paired_t(_arm_pairs(spark, d), ["k", "metric"], sign=T.direction()))
+    by, pairs = ["k", "metric"], _arm_pairs(spark, d)
+    ranks = T.wilcoxon(pairs, by, T.direction()).select(*by, "w_plus", "z", F.col("p").alias("w_p"), F.col("p_better").alias("w_p_better"))
+    return _r(T.paired_t(pairs, by, sign=T.direction()).join(ranks, by, "left"))
 
 
 CASE = "(select distinct case_name, tracer, diseased from fx_case_metrics)"
