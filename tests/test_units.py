@@ -253,3 +253,17 @@ def test_numbered_by_group(spark):
     for name, f, key in (("up", lambda: numbered(df, "d", ["i"], by=("g",), buckets=3), lambda r: (r[2] is None, r[2] or 0, r[1])), ("down", lambda: furthest_first(df, "d", ["i"], by=("g",)), lambda r: (r[2] is None, -(r[2] or 0), r[1]))):
         want = {(g, r[1]): k + 1 for g in ("a", "b") for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=key))}
         assert {(r.g, r.i): r.rn for r in f().collect()} == want, name
+
+
+def test_dpp_with_quality_against_weighted_kernel(spark):
+    x, df = cases(spark, 20, 6)
+    q = 1.0 + np.arange(20) % 5
+    got = [r.case_id for r in selection.dpp_greedy(df.withColumn("q", 1 + F.col("case_id") % 5), 4, "q").orderBy("pick").collect()]
+    u = x / np.linalg.norm(x, axis=1)[:, None] * (q / q.max())[:, None]
+    kernel, chosen = u @ u.T, []
+    for _ in range(4):
+        rest = kernel[np.ix_(chosen, chosen)] + 1e-6 * np.eye(len(chosen))
+        gain = np.array([kernel[i, i] - (kernel[i, chosen] @ np.linalg.solve(rest, kernel[chosen, i]) if chosen else 0) for i in range(20)])
+        gain[chosen] = -np.inf
+        chosen.append(int(np.round(gain, 9).argmax()))
+    assert got == chosen
