@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,8 @@ from casewise.llm.common import stored, table
 
 SPECIAL = "<|endoftext|>"
 CACHE = 400_000
+#: A space after other white space.
+AFTER_SPACE = re.compile(r"[^\S ] ")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, open_used int"
 
 
@@ -42,8 +45,9 @@ def encoder(json_path: str, ranks_path: str) -> Callable[[str], bytes]:
 
     The rank file holds the same vocabulary, so ordinary text goes through it;
     texts that spell the special token go through the JSON tokenizer. No match
-    of the split pattern crosses into a single space from its left, so a text
-    without double spaces is encoded by space-led words, from a bounded cache.
+    of the split pattern crosses into a space from a character that is no white
+    space, so a text in which no space follows white space is encoded by space-led
+    words, from a bounded cache.
     """
     import tiktoken
 
@@ -71,7 +75,7 @@ def encoder(json_path: str, ranks_path: str) -> Callable[[str], bytes]:
 
                 special.append(Tokenizer.from_file(json_path))
             return np.asarray(special[0].encode(text, add_special_tokens=False).ids, np.uint32).astype("<u4").tobytes()
-        if "  " in text:
+        if "  " in text or AFTER_SPACE.search(text):
             return raw(text)
         head, *rest = text.split(" ")
         return raw(head) + b"".join([words[w] for w in rest])

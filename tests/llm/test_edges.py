@@ -263,6 +263,15 @@ def test_special_text_is_encoded_as_the_library_does():
     assert [encode(t) for t in texts] == [np.asarray(x[:-1], "<u4").tobytes() for x in tokens(texts)]
 
 
+def test_spaces_after_other_white_space_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(2)
+    encode, whole = packing.encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(path)
+    for text in ["\xa0 \xa0b", *["".join(rng.choice(list("ab\n\t \xa0\u2028 "), rng.integers(0, 30))) for _ in range(5000)]]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_jaccard(spark, docs, none):
     out = {r.doc_id: r for r in jaccard.near_duplicates(docs).collect()}
     sets = {r[0]: set(shingles(r[1]).tolist()) for r in TEXTS}
