@@ -1,9 +1,11 @@
 """Masks as sparse voxel tables (case_id, x, y, z, gt, pred, ts, ...): components, overlaps, lesions and regions.
 
 A row is an occupied voxel; everything else of a case's grid is background, so
-means over background and true negatives come from the grid's size. A case is
-one scan of bounded extent: its voxels fit in one task, and component search
-runs per case on coordinate arrays; all else is grouping and equi-joins.
+means over background and true negatives come from the grid's size. Where a case
+is one scan whose voxels fit in one task, component search runs per case on
+coordinate arrays; with `tile` it runs per tile of the grid, and labels that meet
+across tiles are merged by joins, so a volume may be larger than any task. All
+else is grouping and equi-joins.
 """
 
 from __future__ import annotations
@@ -12,9 +14,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewise.operators.graph import merged
+from casewise.operators.ordering import numbered
+from casewise.sources.files import stored
+
 XYZ = ["x", "y", "z"]
 #: Volume from which a region counts as high risk, in cubic millimetres.
 HIGH_RISK_MM3 = 4180.0
@@ -59,10 +65,26 @@ def _labels(c: np.ndarray, half: list[tuple[int, int, int]], region: np.ndarray
     return comp
 
 
-def connected_components(vox: DataFrame, mask: str, connectivity: int = 18, by: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """`by`, x, y, z, comp of the voxels whose mask is above 0; comp numbers from 1 in order of the first voxel by (z, y, x)."""
+#: Coordinates within this of 0 fit the whole number that names a voxel.
+FAR = 1 << 20
+
+
+def voxel_key(z: Column, y: Column, x: Column) -> Column:
+    """One whole number per voxel, in order of (z, y, x)."""
+    part = lambda c, bits: F.shiftleft((c + FAR).cast("long"), bits)
+    return F.shiftleft((z + FAR).cast("long"), 42) + part(y, 21) + part(x, 0)
+
+
+def connected_components(vox: DataFrame, mask: str, connectivity: int = 18, by: tuple[str, ...] = ("case_id",), tile: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """`by`, x, y, z, comp and `carry` of the voxels whose mask is above 0; comp numbers from 1 in order of the first voxel by (z, y, x).
+
+    Without `tile` a group's voxels are one task's; with it a task has those of a
+    cube of that many voxels a side.
+    """
+    if tile:
+        return _tiled(vox.where(F.col(mask) > 0).select(*by, *XYZ, *carry), connectivity, by, tile)
     half = [o for o in offsets(connectivity) if o[::-1] > (0, 0, 0)]
-    rows = vox.where(F.col(mask) > 0).select(*by, *XYZ)
+    rows = vox.where(F.col(mask) > 0).select(*by, *XYZ, *carry)
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", comp int"
 
     def label(t: pa.Table) -> pa.Table:
@@ -72,6 +94,61 @@ def connected_components(vox: DataFrame, mask: str, connectivity: int = 18, by:
     return rows.groupBy(*by).applyInArrow(label, schema)
 
 
+def _tiled(rows: DataFrame, connectivity: int, by: tuple[str, ...], tile: int) -> DataFrame:
+    """Components by tiles: each tile is labelled on its own, a label being the first voxel's key; voxels on either side of a border give edges between labels, which merge by rounds of joins."""
+    half = [o for o in offsets(connectivity) if o[::-1] > (0, 0, 0)]
+    names = rows.columns
+    tiles = {f"_t{k}": F.floor(F.col(k) / tile).cast("int") for k in XYZ}
+    rows = rows.withColumns({"_key": voxel_key(F.col("z"), F.col("y"), F.col("x")), **tiles})
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", _label long"
+
+    def label(t: pa.Table) -> pa.Table:
+        c = np.asarray([t.column(k).to_numpy() for k in XYZ], np.int64)
+        if np.abs(c).max() >= FAR:
+            raise ValueError(f"coordinates of {FAR} and more have no voxel key")
+        key, comp = t.column("_key").to_numpy(), _labels(c, half) - 1
+        first = np.full(comp.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, comp, key)
+        return t.append_column("_label", pa.array(first[comp], pa.int64()))
+
+    labelled = stored(rows.groupBy(*by, *tiles).applyInArrow(label, schema), "labels")
+    at = {k: F.pmod(F.col(k), F.lit(tile)) for k in XYZ}
+    edge = F.lit(False)
+    for k in XYZ:
+        edge = edge | (at[k] == 0) | (at[k] == tile - 1)
+    border = labelled.where(edge)
+    across = []
+    for o in half:
+        away = F.lit(False)
+        for k, d in zip(XYZ, o, strict=True):
+            away = away | ((at[k] == 0) if d < 0 else (at[k] == tile - 1) if d > 0 else F.lit(False))
+        across.append(F.when(away, F.struct(*[(F.col(k) + d).alias(k) for k, d in zip(XYZ, o, strict=True)])))
+    want = border.select(*by, F.col("_label").alias("_a"), F.explode(F.array_compact(F.array(*across))).alias("_p")).select(*by, "_a", voxel_key(F.col("_p.z"), F.col("_p.y"), F.col("_p.x")).alias("_key"))
+    edges = want.join(border.select(*by, "_key", F.col("_label").alias("_b")), [*by, "_key"])
+    roots = stored(merged(edges, "_a", "_b", by).withColumnsRenamed({"label": "_label", "root": "_root"}), "roots")
+    labels = labelled.select(*by, "_label").distinct().join(roots, [*by, "_label"], "left").withColumn("_root", F.coalesce("_root", "_label"))
+    firsts = numbered(labels.where("_root = _label").select(*by, "_root"), "_root", ["_root"], "_comp", by=by)
+    comps = labels.join(firsts, [*by, "_root"]).select(*by, "_label", F.col("_comp").cast("int").alias("comp"))
+    return labelled.join(comps, [*by, "_label"]).select(*names, "comp")
+
+
+def with_components(vox: DataFrame, masks: dict[str, str], connectivity: int = 18) -> DataFrame:
+    """All voxels and columns, and for each mask a column of the given name with its component's number, null off the mask; one call per case."""
+    half = [o for o in offsets(connectivity) if o[::-1] > (0, 0, 0)]
+    schema = ", ".join(f"`{n}` {t}" for n, t in vox.dtypes) + "".join(f", {n} int" for n in masks.values())
+
+    def label(t: pa.Table) -> pa.Table:
+        c = np.asarray([t.column(k).to_numpy() for k in XYZ], np.int64)
+        for mask, name in masks.items():
+            at, comp = np.flatnonzero(np.nan_to_num(t.column(mask).to_numpy()) > 0), np.zeros(t.num_rows, np.int32)
+            if len(at):
+                comp[at] = _labels(c[:, at], half)
+            t = t.append_column(name, pa.array(comp, pa.int32(), mask=comp == 0))
+        return t
+
+    return vox.groupBy("case_id").applyInArrow(label, schema)
+
+
 def confusion_counts(vox: DataFrame, grid: int, by: tuple[str, ...] = ("case_id",)) -> DataFrame:
     g, p = F.col("gt") > 0, F.col("pred") > 0
     out = vox.groupBy(*by).agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
@@ -126,9 +203,14 @@ def component_counts(vox: DataFrame, pairs: tuple[tuple[str, str], ...], connect
     return found.withColumn("region", F.col("region").cast(dict(vox.dtypes)[within])).withColumnRenamed("region", within)
 
 
-def unmatched_components(vox: DataFrame, mask: str, other: str, connectivity: int = 18, within: str | None = None) -> DataFrame:
-    """case_id, `within`, n_components, n_unmatched, unmatched_voxels: components of `mask` that no voxel of `other` touches."""
-    return component_counts(vox, ((mask, other),), connectivity, within).drop("mask")
+def unmatched_components(vox: DataFrame, mask: str, other: str, connectivity: int = 18, within: str | None = None, tile: int | None = None) -> DataFrame:
+    """case_id, `within`, n_components, n_unmatched, unmatched_voxels: components of `mask` that no voxel of `other` touches; with `tile` by tiles of the grid."""
+    if not tile:
+        return component_counts(vox, ((mask, other),), connectivity, within).drop("mask")
+    by = ("case_id", *([within] if within else []))
+    found = connected_components(vox.withColumn("_hit", F.coalesce(F.col(other) > 0, F.lit(False))), mask, connectivity, by, tile, ("_hit",))
+    per = found.groupBy(*by, "comp").agg(F.count("*").alias("n"), F.bool_or("_hit").alias("hit"))
+    return per.groupBy(*by).agg(F.count("*").alias("n_components"), F.count_if(~F.col("hit")).alias("n_unmatched"), F.sum(F.when(F.col("hit"), 0).otherwise(F.col("n"))).alias("unmatched_voxels"))
 
 
 def _both_sides(vox: DataFrame, voxel_ml: float, names: dict[str, tuple[str, str, str]], within: str | None = None) -> DataFrame:
@@ -173,59 +255,63 @@ def close_mask(vox: DataFrame, mask: str, spacing: tuple[float, float, float], s
     return present.where(F.col("n") == F.size(F.filter(around, inside))).drop("n")
 
 
-def lesion_candidates(vox: DataFrame, mask: str, spacing: tuple, shape: tuple) -> DataFrame:
-    """Closed mask in 26-connected components."""
-    return connected_components(close_mask(vox, mask, spacing, shape).withColumn("m", F.lit(1)), "m", 26)
+def lesion_candidates(vox: DataFrame, mask: str, spacing: tuple, shape: tuple, tile: int | None = None) -> DataFrame:
+    """Closed mask in 26-connected components; with `tile` found by tiles of the grid."""
+    return connected_components(close_mask(vox, mask, spacing, shape).withColumn("m", F.lit(1)), "m", 26, tile=tile)
 
 
 #: Maps whose means a lesion table holds: both probabilities and the three uncertainties.
 MAPS = ("p0", "p1", "total", "epistemic", "aleatoric")
 
 
-def lesions(vox: DataFrame, mask: str, other: str, voxel_ml: float, maps: tuple[str, ...] = MAPS, listed: str = "total") -> DataFrame:
+def lesions(vox: DataFrame, mask: str, other: str, voxel_ml: float, maps: tuple[str, ...] = MAPS, listed: str = "total", scale: int = 1) -> DataFrame:
     """One row per component of `mask`: sizes, volumes, overlap with `other`, its components hit, found or not.
 
     For every map its mean over the lesion, over the part that `other` meets
     (_hit) and over the rest (_false), null where a part is empty; the rest's
-    values of `listed`, sorted, in `false_values`.
+    values of `listed`, sorted, in `false_values`. Maps in whole numbers of
+    1 / `scale` are summed as such and divided once, so the means don't depend on
+    the order of rows. Both masks are labelled in one call per case.
     """
-    own = connected_components(vox, mask).withColumnRenamed("comp", "lesion")
-    theirs = connected_components(vox, other).withColumnRenamed("comp", "hit")
-    rows = own.join(theirs, ["case_id", *XYZ], "left").join(vox.select("case_id", *XYZ, *maps), ["case_id", *XYZ])
+    rows = with_components(vox.select("case_id", *XYZ, mask, other, *maps), {mask: "lesion", other: "hit"}).where("lesion is not null")
     miss = F.col("hit").isNull()
-    means = [F.avg(c).alias(f"{m}_{k}") for m in maps for k, c in (("mean", F.col(m)), ("hit", F.when(~miss, F.col(m))), ("false", F.when(miss, F.col(m))))]
-    per = rows.groupBy("case_id", "lesion").agg(F.count("*").alias("voxels"), F.count("hit").alias("tp_voxels"), F.array_sort(F.collect_set("hit")).alias("ids"), *means, F.array_sort(F.collect_list(F.when(miss, F.col(listed)))).alias("false_values"))
+    mean = lambda c: F.sum(c).cast("double") / (F.count(c) * scale).cast("double")
+    means = [F.when(F.count(c) > 0, mean(c)).alias(f"{m}_{k}") for m in maps for k, c in (("mean", F.col(m)), ("hit", F.when(~miss, F.col(m))), ("false", F.when(miss, F.col(m))))]
+    false_values = F.transform(F.array_sort(F.collect_list(F.when(miss, F.col(listed)))), lambda x: x / F.lit(float(scale)))
+    per = rows.groupBy("case_id", "lesion").agg(F.count("*").alias("voxels"), F.count("hit").alias("tp_voxels"), F.array_sort(F.collect_set("hit")).alias("ids"), *means, false_values.alias("false_values"))
     percent = F.col("tp_voxels") * 100.0 / F.col("voxels")
     false = F.col("voxels") - F.col("tp_voxels")
     return per.withColumns({"false_voxels": false, "volume": F.col("voxels") * voxel_ml, "tp_volume": F.col("tp_voxels") * voxel_ml, "false_volume": false * voxel_ml, "overlap_percent": percent, "found": percent > OVERLAP_PERCENT, "ids": F.when(percent > OVERLAP_PERCENT, F.col("ids"))})
 
 
 def image_metrics(vox: DataFrame, voxel_ml: float, grid: int) -> DataFrame:
-    c = confusion_counts(vox, grid)
-    g, p = connected_components(vox, "gt").groupBy("case_id").agg(F.max("comp").alias("gt_lesions")), connected_components(vox, "pred").groupBy("case_id").agg(F.max("comp").alias("pred_lesions"))
-    bg = F.col("gt") == 0
-    mean = lambda c, name: [F.avg(F.when(~bg, F.col(c) / 100)).alias(f"{name}_lesion"), (F.sum(F.when(bg, F.col(c) / 100)) / (F.lit(grid) - F.count_if(~bg))).alias(f"{name}_background")]
-    means = vox.groupBy("case_id").agg(*mean("unc_pct", "unc"), *mean("p1_pct", "prob"))
-    out = c.join(g, "case_id", "left").join(p, "case_id", "left").join(means, "case_id")
+    """Per case: confusion counts, lesions of both masks, mean uncertainty and probability (in hundredths, summed as whole numbers) in and off the ground truth, dice, sensitivity, ppv, volumes. One labelling call and one aggregate."""
+    g, p, bg = F.col("gt") > 0, F.col("pred") > 0, F.col("gt") == 0
+    rows = with_components(vox.select("case_id", *XYZ, "gt", "pred", "unc_pct", "p1_pct"), {"gt": "_g", "pred": "_p"})
+    share = lambda s, n: s.cast("double") / (n * 100).cast("double")
+    inside = lambda c: F.when(F.count_if(~bg) > 0, share(F.sum(F.when(~bg, F.col(c))), F.count_if(~bg)))
+    outside = lambda c: share(F.sum(F.when(bg, F.col(c))), F.lit(grid) - F.count_if(~bg))
+    means = [f(c).alias(f"{name}_{k}") for c, name in (("unc_pct", "unc"), ("p1_pct", "prob")) for k, f in (("lesion", inside), ("background", outside))]
+    lesions_of = [F.coalesce(F.max(c), F.lit(0)).alias(n) for c, n in (("_g", "gt_lesions"), ("_p", "pred_lesions"))]
+    out = rows.groupBy("case_id").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"), *lesions_of, *means)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     zero = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    return out.withColumns({"dice": dice(tp, fp, fn, 0.0), "sensitivity": zero(tp, tp + fn), "ppv": zero(tp, tp + fp), "gt_volume": (tp + fn) * voxel_ml, "pred_volume": (tp + fp) * voxel_ml}).na.fill(0, ["gt_lesions", "pred_lesions"])
+    return out.withColumns({"tn": F.lit(grid) - tp - fp - fn, "dice": dice(tp, fp, fn, 0.0), "sensitivity": zero(tp, tp + fn), "ppv": zero(tp, tp + fp), "gt_volume": (tp + fn) * voxel_ml, "pred_volume": (tp + fp) * voxel_ml})
 
 
 def slice_background(vox: DataFrame, slice_size: int) -> DataFrame:
     """case_id, background voxels and mean uncertainty of the background in slices that hold ground truth."""
     slices = vox.where("gt > 0").select("case_id", "z").distinct()
-    rows = vox.join(slices, ["case_id", "z"], "left_semi").groupBy("case_id").agg(F.countDistinct("z").alias("k"), F.count_if(F.expr("gt > 0")).alias("fg"), F.sum(F.when(F.col("gt") == 0, F.col("unc_pct") / 100)).alias("s"))
+    rows = vox.join(slices, ["case_id", "z"], "left_semi").groupBy("case_id").agg(F.countDistinct("z").alias("k"), F.count_if(F.expr("gt > 0")).alias("fg"), F.sum(F.when(F.col("gt") == 0, F.col("unc_pct"))).alias("s"))
     n = F.col("k") * slice_size - F.col("fg")
-    return rows.select("case_id", n.alias("background"), (F.coalesce("s", F.lit(0.0)) / n).alias("unc"))
+    return rows.select("case_id", n.alias("background"), (F.coalesce("s", F.lit(0)).cast("double") / (n * 100).cast("double")).alias("unc"))
 
 
 def suppress_uncertain(vox: DataFrame, cutoff: float) -> DataFrame:
-    """The voxels with pred set to 0 in predicted components whose mean uncertainty exceeds the cutoff."""
-    comp = connected_components(vox, "pred").join(vox.select("case_id", *XYZ, "unc_pct"), ["case_id", *XYZ])
-    bad = comp.groupBy("case_id", "comp").agg((F.avg("unc_pct") / 100).alias("u")).where(F.col("u") > cutoff)
-    gone = comp.join(bad, ["case_id", "comp"], "left_semi").select("case_id", *XYZ).withColumn("gone", F.lit(True))
-    return vox.join(gone, ["case_id", *XYZ], "left").withColumn("pred", F.when(F.col("gone"), 0).otherwise(F.col("pred"))).drop("gone")
+    """The voxels with pred set to 0 in predicted components whose mean uncertainty exceeds the cutoff; the label travels with the voxel, so nothing is joined back."""
+    rows = with_components(vox, {"pred": "_comp"})
+    mean = F.avg("unc_pct").over(Window.partitionBy("case_id", "_comp")) / 100
+    return rows.withColumn("pred", F.when(F.col("_comp").isNotNull() & (mean > cutoff), 0).otherwise(F.col("pred"))).drop("_comp")
 
 
 def region_counts(vox: DataFrame, regions: DataFrame) -> DataFrame:
@@ -333,10 +419,12 @@ def align_axes(vox: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def uncertainty_summary(vox: DataFrame, grid: int) -> DataFrame:
-    """Mean uncertainty over the grid, above 0, in predicted and in other voxels; absent voxels are 0."""
+    """Mean uncertainty (given in hundredths, summed as whole numbers) over the grid, above 0, in predicted and in other voxels; absent voxels are 0."""
     u, p = F.col("unc_pct"), F.col("pred") > 0
-    out = vox.groupBy("case_id").agg(F.sum(u).alias("s"), (F.avg(F.when(u > 0, u)) / 100).alias("above_zero"), (F.avg(F.when(p, u)) / 100).alias("predicted"), F.sum(F.when(~p, u)).alias("rest"), F.count_if(p).alias("n"))
-    return out.select("case_id", (F.col("s") / 100 / grid).alias("all"), "above_zero", "predicted", (F.coalesce("rest", F.lit(0)) / 100 / (F.lit(grid) - F.col("n"))).alias("non_predicted"))
+    share = lambda s, n: F.try_divide(s.cast("double"), (n * 100).cast("double"))
+    mean = lambda c: share(F.sum(F.when(c, u)), F.count_if(c))
+    rest = share(F.coalesce(F.sum(F.when(~p, u)), F.lit(0)), F.lit(grid) - F.count_if(p))
+    return vox.groupBy("case_id").agg(share(F.sum(u), F.lit(grid)).alias("all"), mean(u > 0).alias("above_zero"), mean(p).alias("predicted"), rest.alias("non_predicted"))
 
 
 def ensemble_mean(samples: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewise.operators import voxels as V
+from casewise.sources.files import scratch
 from casewise.sources.fixtures import SHAPE, SPACING, VOXEL_ML, ctes, fixture
+from casewise.sources.volumes import read_cases, read_volumes, write_volumes
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -98,6 +100,16 @@ cells as (select t.case_id, t.x, t.y, t.z, count(*) filter (t.x + dx between 0 a
 closed as (select case_id, x, y, z from cells where want = has)"""
 
 
+@query("v3_tiled_components", VOX + comp_sql("gt", 2, "g") + " select case_id, x, y, z, comp from cc_g")
+def v3t(spark, d):
+    return V.connected_components(_vox(spark, d), "gt", tile=8)
+
+
+@query("v4_tiled_unmatched", VOX + un_sql("pred", "gt", "p") + " select * from un_p")
+def v4t(spark, d):
+    return V.unmatched_components(_vox(spark, d), "pred", "gt", tile=8)
+
+
 @query("v8_close_mask", VOX + CLOSE + " select * from closed")
 def v8(spark, d):
     return V.close_mask(_vox(spark, d), "gt", SPACING, SHAPE)
@@ -108,23 +120,63 @@ def v9(spark, d):
     return V.lesion_candidates(_vox(spark, d), "gt", SPACING, SHAPE)
 
 
-MAPCOLS = "1 - p1_pct / 100 as p0, p1_pct / 100 as p1, unc_pct / 100 as total, (p1_pct % 4) * unc_pct / 400 as epistemic, unc_pct / 100 - (p1_pct % 4) * unc_pct / 400 as aleatoric"
-MEANS = {f"{m}_{k}": f"avg({m}){w}" for m in V.MAPS for k, w in (("mean", ""), ("hit", " filter (hit is not null)"), ("false", " filter (hit is null)"))}
+@query("v9_tiled_candidates", VOX + CLOSE + comp_sql("m", 3, "c", source="closed", where="true") + " select case_id, x, y, z, comp from cc_c")
+def v9t(spark, d):
+    return V.lesion_candidates(_vox(spark, d), "gt", SPACING, SHAPE, tile=8)
+
+
+def _grid(spark, d):
+    """The shape and spacing of every case."""
+    cases = fixture(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"))
+    return cases.withColumns({**{f"n{k}": F.lit(n) for k, n in zip("xyz", SHAPE, strict=True)}, **{f"s{k}": F.lit(v) for k, v in zip("xyz", SPACING, strict=True)}})
+
+
+@query("s13_volume_files", VOX + " select case_id, x, y, z, gt, pred from fx_vox")
+def s13(spark, d):
+    """Voxels as volumes (1 for an occupied one, 2 more for gt, 4 more for pred), written and read back."""
+    vox, path = _vox(spark, d).selectExpr("case_id", "x", "y", "z - 1 as z", "1 + 2 * gt + 4 * pred as v"), scratch(spark, "volumes")
+    write_volumes(vox, _grid(spark, d), path, "v")
+    v = F.col("v").cast("int")
+    back = read_volumes(spark, path).where("v > 0")
+    return back.select(F.col("case_id").cast("long"), "x", "y", (F.col("z") + 1).alias("z"), (F.shiftright(v, 1) % 2).alias("gt"), F.shiftright(v, 2).alias("pred"))
+
+
+@query("s14_volume_headers", f"select s_suppkey as case_id, {SHAPE[0]} as nx, {SHAPE[1]} as ny, {SHAPE[2]} as nz, {SPACING[0]}::double * {SPACING[1]} * {SPACING[2]} as voxel_mm3, 'int16' as kind, 'ok' as status from supplier")
+def s14(spark, d):
+    """Every case has a volume, also one without lesions; figures are from the headers alone."""
+    path = scratch(spark, "volumes")
+    write_volumes(_vox(spark, d).where("gt = 1 and z < 0"), _grid(spark, d), path, "gt", kind="int16")
+    return read_cases(spark, path).select(F.col("case_id").cast("long"), "nx", "ny", "nz", (F.col("sx") * F.col("sy") * F.col("sz")).alias("voxel_mm3"), "kind", "status")
+
+
+@query("v9_mask_volumes", VOX + CLOSE + comp_sql("m", 3, "c", source="closed", where="true") + " select case_id, x, y, z, comp from cc_c")
+def v9m(spark, d):
+    """Lesion candidates written as numbered mask volumes and read back."""
+    path = scratch(spark, "masks")
+    found = V.lesion_candidates(_vox(spark, d), "gt", SPACING, SHAPE).withColumn("z", F.col("z") - 1)
+    write_volumes(found, _grid(spark, d), path, "comp", kind="uint16")
+    back = read_volumes(spark, path).where("v > 0")
+    return back.select(F.col("case_id").cast("long"), "x", "y", (F.col("z") + 1).alias("z"), F.col("v").cast("int").alias("comp"))
+
+
+# Maps as whole numbers of 1 / 400: sums are exact in both engines and divided once, so the means are left unrounded.
+MAPCOLS = "400 - 4 * p1_pct as p0, 4 * p1_pct as p1, 4 * unc_pct as total, (p1_pct % 4) * unc_pct as epistemic, 4 * unc_pct - (p1_pct % 4) * unc_pct as aleatoric"
+MEANS = {f"{m}_{k}": f"sum({m}){w}::double / (400 * count({m}){w})::double" for m in V.MAPS for k, w in (("mean", ""), ("hit", " filter (hit is not null)"), ("false", " filter (hit is null)"))}
 
 
 def lesion_sql(mask: str, other: str) -> str:
+    means = ", ".join(f"case when count({n.split('_')[0]}){w} > 0 then {e} end as {n}" for (n, e), w in zip(MEANS.items(), ("", " filter (hit is not null)", " filter (hit is null)") * len(V.MAPS), strict=True))
     return VOX + comp_sql(mask, 2, "a") + comp_sql(other, 2, "b") + f""", j as (select a.case_id, a.comp as lesion, b.comp as hit, v.unc_pct, {MAPCOLS} from cc_a a left join cc_b b on a.case_id = b.case_id and a.v = b.v join fx_vox v on v.case_id = a.case_id and v.x = a.x and v.y = a.y and v.z = a.z),
-k as (select case_id, lesion, count(*) as voxels, count(hit) as tp_voxels, {", ".join(f"round({e}, 6) as {n}" for n, e in MEANS.items())}, array_to_string(list_sort(list(unc_pct) filter (hit is null)), ',') as fv, list_sort(list(distinct hit) filter (hit is not null)) as ids from j group by 1, 2)
+k as (select case_id, lesion, count(*) as voxels, count(hit) as tp_voxels, {means}, array_to_string(list_sort(list(unc_pct) filter (hit is null)), ',') as fv, list_sort(list(distinct hit) filter (hit is not null)) as ids from j group by 1, 2)
 select case_id, lesion, voxels, tp_voxels, voxels - tp_voxels as false_voxels, (voxels * 16 / 10)::double as volume, (tp_voxels * 16 / 10)::double as tp_volume, ((voxels - tp_voxels) * 16 / 10)::double as false_volume, round(tp_voxels * 100 / voxels, 6) as overlap_percent, tp_voxels * 100 / voxels > 1 as found, case when tp_voxels * 100 / voxels > 1 then array_to_string(ids, ',') end as ids, {", ".join(MEANS)}, coalesce(fv, '') as false_values from k"""
 
 
 def _lesions(spark, d, mask, other):
     v = _vox(spark, d)
-    p, u = F.col("p1_pct") / 100, F.col("unc_pct") / 100
-    part = (F.col("p1_pct") % 4) * F.col("unc_pct") / 400
-    out = V.lesions(v.withColumns({"p0": 1 - p, "p1": p, "total": u, "epistemic": part, "aleatoric": u - part}), mask, other, VOXEL_ML)
+    p, u, part = 4 * F.col("p1_pct"), 4 * F.col("unc_pct"), (F.col("p1_pct") % 4) * F.col("unc_pct")
+    out = V.lesions(v.withColumns({"p0": 400 - p, "p1": p, "total": u, "epistemic": part, "aleatoric": u - part}), mask, other, VOXEL_ML, scale=400)
     out = out.withColumn("false_values", F.array_join(F.transform("false_values", lambda x: F.round(x * 100).cast("long").cast("string")), ","))
-    return _r(out, "volume", "tp_volume", "false_volume", "overlap_percent", *MEANS).withColumn("ids", F.array_join("ids", ","))
+    return _r(out, "volume", "tp_volume", "false_volume", "overlap_percent").withColumn("ids", F.array_join("ids", ","))
 
 
 @query("v10_predicted_lesions", lesion_sql("pred", "gt"))
@@ -137,14 +189,14 @@ def v11(spark, d):
     return _lesions(spark, d, "gt", "pred")
 
 
-@query("v12_image_metrics", VOX + comp_sql("gt", 2, "g") + comp_sql("pred", 2, "p") + f", c as (select case_id, {CONF}, avg(case when gt = 1 then unc_pct / 100 end) as ul, sum(case when gt = 0 then unc_pct / 100 end) / ({GRID} - count(*) filter (gt = 1)) as ub, avg(case when gt = 1 then p1_pct / 100 end) as pl, sum(case when gt = 0 then p1_pct / 100 end) / ({GRID} - count(*) filter (gt = 1)) as pb from fx_vox group by 1) select c.case_id, tp, fp, fn, {GRID} - tp - fp - fn as tn, coalesce(g.n, 0) as gt_lesions, coalesce(p.n, 0) as pred_lesions, round(ul, 6) as unc_lesion, round(ub, 6) as unc_background, round(pl, 6) as prob_lesion, round(pb, 6) as prob_background, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as dice, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as sensitivity, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as ppv, ((tp + fn) * 16 / 10)::double as gt_volume, ((tp + fp) * 16 / 10)::double as pred_volume from c left join (select case_id, max(comp) as n from cc_g group by 1) g using (case_id) left join (select case_id, max(comp) as n from cc_p group by 1) p using (case_id)")
+@query("v12_image_metrics", VOX + comp_sql("gt", 2, "g") + comp_sql("pred", 2, "p") + f", c as (select case_id, {CONF}, sum(unc_pct) filter (gt = 1)::double / (100 * count(*) filter (gt = 1))::double as ul, sum(unc_pct) filter (gt = 0)::double / (100 * ({GRID} - count(*) filter (gt = 1)))::double as ub, sum(p1_pct) filter (gt = 1)::double / (100 * count(*) filter (gt = 1))::double as pl, sum(p1_pct) filter (gt = 0)::double / (100 * ({GRID} - count(*) filter (gt = 1)))::double as pb from fx_vox group by 1) select c.case_id, tp, fp, fn, {GRID} - tp - fp - fn as tn, coalesce(g.n, 0) as gt_lesions, coalesce(p.n, 0) as pred_lesions, ul as unc_lesion, ub as unc_background, pl as prob_lesion, pb as prob_background, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as dice, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as sensitivity, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as ppv, ((tp + fn) * 16 / 10)::double as gt_volume, ((tp + fp) * 16 / 10)::double as pred_volume from c left join (select case_id, max(comp) as n from cc_g group by 1) g using (case_id) left join (select case_id, max(comp) as n from cc_p group by 1) p using (case_id)")
 def v12(spark, d):
-    return _r(V.image_metrics(_vox(spark, d), VOXEL_ML, GRID), "unc_lesion", "unc_background", "prob_lesion", "prob_background", "dice", "sensitivity", "ppv", "gt_volume", "pred_volume")
+    return _r(V.image_metrics(_vox(spark, d), VOXEL_ML, GRID), "dice", "sensitivity", "ppv", "gt_volume", "pred_volume")
 
 
-@query("v13_slice_background", VOX + ", s as (select distinct case_id, z from fx_vox where gt = 1), r as (select v.case_id, count(distinct v.z) * 256 - count(*) filter (gt = 1) as background, coalesce(sum(case when gt = 0 then unc_pct / 100 end), 0) as t from fx_vox v semi join s on s.case_id = v.case_id and s.z = v.z group by 1) select case_id, background, round(t / background, 6) as unc from r")
+@query("v13_slice_background", VOX + ", s as (select distinct case_id, z from fx_vox where gt = 1), r as (select v.case_id, count(distinct v.z) * 256 - count(*) filter (gt = 1) as background, coalesce(sum(case when gt = 0 then unc_pct end), 0) as t from fx_vox v semi join s on s.case_id = v.case_id and s.z = v.z group by 1) select case_id, background, t::double / (100 * background)::double as unc from r")
 def v13(spark, d):
-    return _r(V.slice_background(_vox(spark, d), 256), "unc")
+    return V.slice_background(_vox(spark, d), 256)
 
 
 @query("v14_suppress_uncertain", VOX + comp_sql("pred", 2, "p") + f", bad as (select c.case_id, comp from cc_p c join fx_vox v on v.case_id = c.case_id and v.x = c.x and v.y = c.y and v.z = c.z group by 1, 2 having avg(unc_pct) / 100 > 0.05::double), w as (select v.case_id, v.gt, case when b.comp is not null then 0 else v.pred end as pred from fx_vox v left join cc_p c on v.case_id = c.case_id and v.x = c.x and v.y = c.y and v.z = c.z left join bad b on b.case_id = c.case_id and b.comp = c.comp) select case_id, {CONF}, {GRID} - count(*) filter (gt = 1 or pred = 1) as tn from w group by 1")
@@ -240,9 +292,9 @@ def v26a(spark, d):
     return V.align_axes(v, v.select("case_id", triple(16, 12, 7).alias("shape"), target.alias("target")).distinct())
 
 
-@query("v27_uncertainty_summary", VOX + f""" select case_id, round(sum(unc_pct) / 100 / {GRID}, 6) as "all", round(avg(case when unc_pct > 0 then unc_pct end) / 100, 6) as above_zero, round(avg(case when pred = 1 then unc_pct end) / 100, 6) as predicted, round(coalesce(sum(case when pred = 0 then unc_pct end), 0) / 100 / ({GRID} - count(*) filter (pred = 1)), 6) as non_predicted from fx_vox group by 1""")
+@query("v27_uncertainty_summary", VOX + f""" select case_id, sum(unc_pct)::double / (100 * {GRID})::double as "all", sum(unc_pct) filter (unc_pct > 0)::double / nullif(100 * count(*) filter (unc_pct > 0), 0)::double as above_zero, sum(unc_pct) filter (pred = 1)::double / nullif(100 * count(*) filter (pred = 1), 0)::double as predicted, coalesce(sum(unc_pct) filter (pred = 0), 0)::double / (100 * ({GRID} - count(*) filter (pred = 1)))::double as non_predicted from fx_vox group by 1""")
 def v27(spark, d):
-    return _r(V.uncertainty_summary(_vox(spark, d), GRID), "all", "above_zero", "predicted", "non_predicted")
+    return V.uncertainty_summary(_vox(spark, d), GRID)
 
 
 SAMPLES = ", s as (select case_id, x, y, z, (p1_pct * 5 + unc_pct * k) / 100 as p from fx_vox, (select unnest([1, 2, 3]) as k))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,23 @@ SUMMARY = "foreground_mean map<string,double>, metric_per_case array<struct<pred
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    """A fresh path in spark.checkpoint.dir; in local mode in a folder of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The rows written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_splits(splits: DataFrame, path: str) -> None:
     """Long rows (split_id, role, pos, case) as a JSON list of {train, val} in order of split and position; split_id counts from 0.
 
