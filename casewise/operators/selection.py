@@ -1,7 +1,8 @@
 """Choosing cases from embeddings: distances, extremes, top shares, diversity, kernel PCA, greedy determinantal selection.
 
 No operator emits pairs of cases: distances are computed between blocks of
-unit vectors inside tasks, and only each block's minima or extremes come out.
+unit vectors inside tasks, and only each block's minima or extremes come out
+(see ``cells``).
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewise.operators.cells import cosine_distances, extreme_pairs, nearest
 from casewise.operators.ordering import furthest_first, numbered
 
-BLOCK = 4096
-#: A side whose vectors take no more bytes than this is sent to every task; a larger one is dealt in blocks.
+#: A side whose vectors take no more bytes than this is sent to every task; a larger one is dealt in cells.
 SMALL_BYTES = 64 << 20
 
 
@@ -39,24 +40,14 @@ def labelled(cases: DataFrame, labelled: DataFrame) -> DataFrame:
     return cases.join(labelled.select("case_id").distinct(), "case_id", "left_semi")
 
 
-def _blocks(df: DataFrame, n: int) -> DataFrame:
-    return df.select("tracer", "case_id", unit(F.col("embedding")).alias("u")).where("u is not null").withColumn("block", F.pmod(F.xxhash64("case_id"), F.lit(n)).cast("int"))
-
-
-def _matrix(t: pa.Table) -> np.ndarray:
-    return np.asarray(t.column("u").to_pylist(), np.float64).reshape(t.num_rows, -1)
-
-
-def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides dealt so that every left block meets every right block of its tracer once."""
-    nl, nr = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return _blocks(left, nl).withColumnRenamed("block", "i").withColumn("j", every(nr)), _blocks(right, nr).withColumnRenamed("block", "j").withColumn("i", every(nl))
+def _units(df: DataFrame) -> DataFrame:
+    """tracer, case_id, u (the unit vector) of the vectors that have a direction."""
+    return df.select("tracer", "case_id", unit(F.col("embedding")).alias("u")).where("u is not null")
 
 
 def _small_side(df: DataFrame) -> dict | None:
     """Ids and unit vectors by tracer where they take at most SMALL_BYTES, else None; their size is added up before any row is fetched."""
-    rows = df.select("tracer", "case_id", unit(F.col("embedding")).alias("u")).where("u is not null")
+    rows = _units(df)
     if (rows.agg(F.sum(F.size("u").cast("long") * 8)).first()[0] or 0) > SMALL_BYTES:
         return None
     out: dict = {}
@@ -64,7 +55,7 @@ def _small_side(df: DataFrame) -> dict | None:
         out.setdefault(r.tracer, ([], []))
         out[r.tracer][0].append(r.case_id)
         out[r.tracer][1].append(r.u)
-    return {k: (np.asarray(ids), np.asarray(v, np.float64)) for k, (ids, v) in out.items()}
+    return {k: (ids, np.asarray(v, np.float64)) for k, (ids, v) in out.items()}
 
 
 def _chunks(batch: pa.RecordBatch, small: dict):
@@ -80,10 +71,12 @@ def _chunks(batch: pa.RecordBatch, small: dict):
 
 
 def min_distance_to_labelled(pool: DataFrame, seed: DataFrame) -> DataFrame:
-    """case_id, tracer, dist_to_labelled: cosine distance to the nearest labelled case of the tracer, 0 where there is none; case_id is unique.
+    """case_id, tracer, dist_to_labelled: cosine distance to the nearest labelled case of the tracer, 0 where there is none; case_id is unique, of any type.
 
     A labelled side of bounded size goes to every task and the pool is read
-    once, without a shuffle; beyond that both sides are dealt in blocks.
+    once, without a shuffle; beyond that both sides go into cells and a pool
+    vector visits only cells that may hold a nearer one. Vectors without a
+    direction have 0.
     """
     small = _small_side(seed)
     if small is not None:
@@ -93,73 +86,24 @@ def min_distance_to_labelled(pool: DataFrame, seed: DataFrame) -> DataFrame:
             for b in batches:
                 d = np.zeros(b.num_rows)
                 for t, at, x in _chunks(b, shared.value):
-                    d[at] = (1 - x @ shared.value[t][1].T).min(axis=1)
+                    d[at] = cosine_distances(x, shared.value[t][1]).min(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column("case_id"), b.column("tracer"), pa.array(d)], names=["case_id", "tracer", "dist_to_labelled"])
 
         kinds = dict(pool.dtypes)
         rows = pool.select("case_id", "tracer", unit(F.col("embedding")).alias("u"))
         return rows.mapInArrow(scan, f"case_id {kinds['case_id']}, tracer {kinds['tracer']}, dist_to_labelled double")
-    a, b = _sides(pool, seed)
-
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"case_id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        return pa.table({"case_id": left.column("case_id"), "d": (1 - _matrix(left) @ _matrix(right).T).min(axis=1)})
-
-    keys = ["tracer", "i", "j"]
-    best = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(nearest, "case_id long, d double").groupBy("case_id").agg(F.min("d").alias("d"))
-    return pool.select("case_id", "tracer").join(best, "case_id", "left").select("case_id", "tracer", F.coalesce("d", F.lit(0.0)).alias("dist_to_labelled"))
-
-
-def _ends(tracer, p: np.ndarray, q: np.ndarray, d: np.ndarray, ok: np.ndarray | None = None) -> list[tuple]:
-    """The closest and the furthest pair of a block of distances; ties go to the smallest ids."""
-    rows = []
-    if d.size and (ok is None or ok.any()):
-        for kind, key in (("closest", d), ("furthest", -d)):
-            key = key if ok is None else np.where(ok, key, np.inf)
-            i, j = min(np.argwhere(key == key.min()).tolist(), key=lambda k: (p[k[0]], q[k[1]]))
-            rows.append((tracer, kind, int(p[i]), int(q[j]), float(d[i, j])))
-    return rows
-
-
-def _ends_table(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("tracer", "kind", "case_a", "case_b", "distance"), cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
+    best = nearest(_units(pool), _units(seed))[0].select("case_id", "ub")
+    return pool.select("case_id", "tracer").join(best, "case_id", "left").select("case_id", "tracer", F.coalesce("ub", F.lit(0.0)).alias("dist_to_labelled"))
 
 
 def extremes(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """tracer, kind (closest or furthest), case_a, case_b, distance; over pairs of one set, or across two. Ties go to the smallest ids.
+    """tracer, kind (closest or furthest), case_a, case_b, distance, compared; over pairs of one set, or across two.
 
-    Across two sets a right side of bounded size goes to every task, as in
-    min_distance_to_labelled.
+    Distances count by nine digits; ties go to the smallest ids, which may be of
+    any type. `compared` says how many pairs of the tracer were compared: those
+    that cells around pivots cannot rule out.
     """
-    same = right is None
-    schema = "tracer string, kind string, case_a long, case_b long, distance double"
-    small = None if same else _small_side(right)
-    if small is not None:
-        shared = left.sparkSession.sparkContext.broadcast(small)
-
-        def scan(batches):
-            for b in batches:
-                p = np.asarray(b.column("case_id").to_pylist())
-                for t, at, x in _chunks(b, shared.value):
-                    q, y = shared.value[t]
-                    yield from _ends_table(_ends(t, p[at], q, 1 - x @ y.T)).to_batches()
-
-        found = left.select("case_id", "tracer", unit(F.col("embedding")).alias("u")).mapInArrow(scan, schema)
-    else:
-        a, b = _sides(left, left if same else right)
-
-        def ends(x: pa.Table, y: pa.Table) -> pa.Table:
-            if not x.num_rows or not y.num_rows:
-                return _ends_table([])
-            p, q = (np.asarray(t.column("case_id").to_pylist()) for t in (x, y))
-            return _ends_table(_ends(x.column("tracer")[0].as_py(), p, q, 1 - _matrix(x) @ _matrix(y).T, p[:, None] < q[None, :] if same else None))
-
-        keys = ["tracer", "i", "j"]
-        found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(ends, schema)
-    sign = F.when(F.col("kind") == "closest", F.col("distance")).otherwise(-F.col("distance"))
-    return found.groupBy("tracer", "kind").agg(F.min(F.struct(sign.alias("s"), "case_a", "case_b", "distance")).alias("m")).select("tracer", "kind", "m.case_a", "m.case_b", "m.distance")
+    return extreme_pairs(_units(left), None if right is None else _units(right))
 
 
 def distance_table(distances: DataFrame, pool: DataFrame) -> DataFrame:

@@ -87,17 +87,17 @@ def e5(spark, d):
     return _r(_dist(spark, d), "dist_to_labelled")
 
 
-PAIRS = " select tracer, 'closest' as kind, a as case_a, b as case_b, round(d, 6) as distance from (select *, row_number() over (partition by tracer order by d, a, b) as r from p) where r = 1 union all select tracer, 'furthest', a, b, round(d, 6) from (select *, row_number() over (partition by tracer order by d desc, a, b) as r from p) where r = 1"
+PAIRS = " select tracer, 'closest' as kind, a as case_a, b as case_b, round(d, 6) as distance from (select *, row_number() over (partition by tracer order by round(d, 9), a, b) as r from p) where r = 1 union all select tracer, 'furthest', a, b, round(d, 6) from (select *, row_number() over (partition by tracer order by round(d, 9) desc, a, b) as r from p) where r = 1"
 
 
 @query("e6_pairwise_extremes", CASES + ", p as (select x.tracer, x.case_id as a, y.case_id as b, list_cosine_distance(x.embedding::double[], y.embedding::double[]) as d from fx_cases x join fx_cases y on x.tracer = y.tracer and x.case_id < y.case_id)" + PAIRS)
 def e6(spark, d):
-    return _r(S.extremes(fixture(spark, d, "fx_cases")), "distance")
+    return _r(S.extremes(fixture(spark, d, "fx_cases")), "distance").drop("compared")
 
 
 @query("e7_cross_extremes", CASES + ", p as (select x.tracer, x.case_id as a, y.case_id as b, list_cosine_distance(x.embedding::double[], y.embedding::double[]) as d from fx_cases x join fx_cases y on x.tracer = y.tracer and not x.is_seed and y.is_seed)" + PAIRS)
 def e7(spark, d):
-    return _r(S.extremes(_pool(spark, d), _seed(spark, d)), "distance")
+    return _r(S.extremes(_pool(spark, d), _seed(spark, d)), "distance").drop("compared")
 
 
 @query("e8_distance_table", DIST + " select case_id, tracer, round(d, 6) as dist_to_labelled, cast(row_number() over (partition by tracer order by case_id) - 1 as int) as index from dist")

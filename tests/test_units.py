@@ -189,13 +189,16 @@ def test_noninferiority_verdict(spark):
 
 
 def test_small_and_large_labelled_sides_agree(spark, monkeypatch):
+    from casewise.operators import cells
+
     x, df = cases(spark)
     pool, seed = df.where("case_id >= 9"), df.where("case_id < 9")
     other = pool.withColumn("tracer", F.when(F.col("case_id") == 20, "none").otherwise(F.col("tracer")))
     run = lambda: (sorted(map(tuple, selection.min_distance_to_labelled(other, seed).collect())), sorted(map(tuple, selection.extremes(pool, seed).collect())))
     near, ends = run()
     monkeypatch.setattr(selection, "SMALL_BYTES", -1)
-    monkeypatch.setattr(selection, "BLOCK", 7)
+    monkeypatch.setattr(cells, "BLOCK", 3)
+    monkeypatch.setattr(cells, "CELL", 5)
     far_near, far_ends = run()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = (1 - u[9:] @ u[:9].T).min(axis=1)
