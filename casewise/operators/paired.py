@@ -133,18 +133,44 @@ def noninferiority(pairs: DataFrame, by: list[str], margin: float, alpha: float
     return out.withColumn("ucl", ucl).select(*by, "n", "mean", "se", "t_margin", "ucl", (F.col("ucl") < margin).alias("noninferior"))
 
 
+def arm_pairs(df: DataFrame, metrics: list[str], offset: int = 2) -> DataFrame:
+    """case_name, k, metric, a (fold k), b (fold k + offset), diff of every case in two matched folds; complete pairs only.
+
+    A volume of missed lesions means something only where there are lesions, so
+    false_neg_vol pairs are those of cases diseased in both folds, whatever value
+    a healthy case has.
+    """
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
+    long = lambda k, v: df.select("case_name", (F.col("fold_num") - k).alias("k"), "diseased", F.explode(pairs).alias("p")).select("case_name", "k", F.col("diseased").alias(f"diseased_{v}"), "p.metric", F.col("p.v").alias(v))
+    rows = long(0, "a").join(long(offset, "b"), ["case_name", "k", "metric"]).where("a is not null and b is not null")
+    rows = rows.where("metric <> 'false_neg_vol' or (diseased_a and diseased_b)")
+    return rows.select("case_name", "k", "metric", "a", "b", (F.col("b") - F.col("a")).alias("diff"))
+
+
+def arm_tests(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The t test and the signed-rank test of every group side by side, two-sided and in the metric's better direction."""
+    ranks = wilcoxon(pairs, by, direction()).select(*by, "w_plus", "z", F.col("p").alias("w_p"), F.col("p_better").alias("w_p_better"))
+    return paired_t(pairs, by, sign=direction()).join(ranks, by, "left")
+
+
 def subgroup_members(pairs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Each pair once per subgroup: overall, its tracer, its tracer with disease state."""
-    tags = F.array(F.lit("overall"), F.col("tracer"), F.concat_ws("/", "tracer", F.when(F.col("diseased"), "diseased").otherwise("healthy")))
+    """Each pair once per subgroup: overall, its tracer, its tracer with disease state, its disease state over all tracers."""
+    state = F.when(F.col("diseased"), "diseased").otherwise("healthy")
+    tags = F.array(F.lit("overall"), F.col("tracer"), F.concat_ws("/", "tracer", state), F.concat(state, F.lit(" (all)")))
     return pairs.join(cases.select("case_name", "tracer", "diseased").distinct(), "case_name").withColumn("subgroup", F.explode(tags))
 
 
 def subgroup_summary(members: DataFrame, by: list[str], least: int = 3, least_p: int = 5) -> DataFrame:
-    """n, mean, median, quartiles, win rate and signed-rank p by group; differences up to 1e-9 are left out, groups below `least` skipped, p null below `least_p`."""
+    """n, mean, median, quartiles, win rate and signed-rank p by group, whose keys hold the metric; differences up to 1e-9 are left out, groups below `least` skipped, both p null below `least_p`.
+
+    A win is a difference in the metric's better direction, downwards for volumes
+    and counts of errors; p is two-sided, p_better one-sided in that direction.
+    """
     d = members.where(F.abs("diff") > 1e-9)
     q = lambda p: F.percentile("diff", F.lit(p))
-    out = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.avg((F.col("diff") > 0).cast("int")).alias("win_rate")).where(F.col("n") >= least)
-    p = wilcoxon(d, by).where(F.col("n") >= least_p).select(*by, "p")
+    won = F.avg((direction() * F.col("diff") > 0).cast("int"))
+    out = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), won.alias("win_rate")).where(F.col("n") >= least)
+    p = wilcoxon(d, by, direction()).where(F.col("n") >= least_p).select(*by, "p", "p_better")
     return out.join(p, by, "left")
 
 

@@ -7,18 +7,24 @@ unit vectors inside tasks, and only each block's minima or extremes come out
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewise.operators.cells import cosine_distances, extreme_pairs, nearest
+from casewise.operators.cells import by_tracer, cosine_distances, extreme_pairs, nearest, vectors_of
 from casewise.operators.ordering import furthest_first, numbered
+from casewise.sources.files import stored
 
 #: A side whose vectors take no more bytes than this is sent to every task; a larger one is dealt in cells.
 SMALL_BYTES = 64 << 20
+#: Bytes of the vectors that one scan brings a tracer's greedy selection.
+POOL_BYTES = 16 << 20
 
 
 def unit(embedding: Column) -> Column:
@@ -201,7 +207,8 @@ def distance_histogram(distances: DataFrame, bins: int, by: list[str] | None = N
 
 def kmeans_clusters(cases: DataFrame, k: int, starts: int = 10) -> DataFrame:
     """case_id, cluster by the best of several seeded starts on the raw embeddings."""
-    rows = cases.select("case_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
+    rows = cases.select("case_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    rows = stored(rows, "features")
     models = [KMeans(k=k, seed=s).fit(rows) for s in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select("case_id", F.col("prediction").alias("cluster"))
@@ -238,42 +245,74 @@ def cosine_kernel_pca(fit_on: DataFrame, apply_to: DataFrame, components: int =
     return apply_to.select("case_id", F.array(*pcs).alias("pc"))
 
 
+def _best_gains(batches: Iterator[pa.RecordBatch], inverse: dict, chosen: set, most: int, epsilon: float) -> Iterator[pa.RecordBatch]:
+    """tracer, case_id, gain of a task's `most` + 1 best rows of each tracer in `inverse`, the greatest gains (by twelve digits) first, then the least ids."""
+    best: dict = {t: [] for t in inverse}
+    kind, tracer_kind = None, None
+    for b in batches:
+        kind, tracer_kind = b.schema.field("case_id").type, b.schema.field("tracer").type
+        for t, at in by_tracer(b):
+            if t in inverse:
+                x, ids = vectors_of(b.column("u"), at), b.column("case_id").take(pa.array(at)).to_pylist()
+                g = np.einsum("ij,ij->i", x, x) if inverse[t] is None else epsilon * np.einsum("ij,ij->i", x @ inverse[t], x)
+                rows = [(-v, i) for v, i in zip(np.round(g, 12).tolist(), ids, strict=True) if (t, i) not in chosen]
+                best[t] = sorted(best[t] + rows)[: most + 1]
+    rows = [(t, i, -v) for t, part in best.items() for v, i in part]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (tracer_kind, kind, pa.float64()), strict=True)], names=["tracer", "case_id", "gain"])
+
+
 def dpp_greedy(cases: DataFrame, k: int, quality: str | None = None, epsilon: float = 1e-6) -> DataFrame:
     """tracer, pick (from 1), case_id, gain: greedy determinantal selection with the cosine kernel.
 
-    The gain of x given the chosen rows X is e * x'(X'X + eI)^-1 x, so the
-    driver keeps one d x d matrix per tracer and every step is one scan with an
-    aggregate. Ties go to the smallest case_id.
+    The gain of x given the chosen rows X is e * x'(X'X + eI)^-1 x, so the driver
+    keeps one d x d matrix per tracer. Gains only fall as rows are chosen, so one
+    scan serves many picks: it brings each tracer's best POOL_BYTES of vectors and
+    the gain of the best row left out. Rows of the pool are refreshed from a heap,
+    and a pick stands while its gain is above that of all rows outside; else the
+    next scan brings a new pool. Ties, by twelve digits, go to the smallest
+    case_id.
     """
     u = unit(F.col("embedding"))
     rows = cases.withColumn("u", u).where("u is not null")
     if quality:
         top = rows.agg(F.max(quality)).first()[0]
-        rows = rows.withColumn("u", F.transform("u", lambda x: x * F.col(quality) / F.lit(float(top))))
-    rows = rows.select("tracer", "case_id", "u").cache()
-    spark, picks = cases.sparkSession, []
-    tracers = [r.tracer for r in rows.select("tracer").distinct().collect()]
-    state: dict[str, np.ndarray] = {}
+        rows = rows.withColumn("u", F.transform("u", lambda x: x * F.col(quality) / F.lit(float(top if top is not None else 1))))
+    rows = stored(rows.select("tracer", "case_id", "u"), "units")
+    spark, kinds = cases.sparkSession, dict(cases.dtypes)
+    tracers = {r.tracer: r.d for r in rows.groupBy("tracer").agg(F.max(F.size("u")).alias("d")).collect()}
+    inverse: dict = dict.fromkeys(tracers)
+    picks: dict = {t: [] for t in tracers}
     chosen: set = set()
-    for step in range(1, k + 1):
-        inverse = dict(state)
-
-        def gains(batches, inverse=inverse):
-            for b in batches:
-                if b.num_rows:
-                    x = np.asarray(b.column(2).to_pylist(), np.float64)
-                    g = np.asarray([epsilon * v @ inverse[t] @ v if t in inverse else v @ v for t, v in zip(b.column(0).to_pylist(), x, strict=True)])
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g), b.column(2)], names=["tracer", "case_id", "gain", "u"])
-
-        left = rows.where(~F.col("case_id").isin(list(chosen))) if chosen else rows
-        best = left.mapInArrow(gains, "tracer string, case_id long, gain double, u array<double>").groupBy("tracer").agg(F.max_by(F.struct("case_id", "gain", "u"), F.struct(F.round("gain", 12), -F.col("case_id"))).alias("b")).collect()
-        for r in best:
-            x = np.asarray(r.b.u)
-            m = state.get(r.tracer, np.eye(len(x)) / epsilon)
-            y = m @ x
-            state[r.tracer] = m - np.outer(y, y) / (1 + x @ y)
-            chosen.add(r.b.case_id)
-            picks.append((r.tracer, step, r.b.case_id, float(r.b.gain)))
-    rows.unpersist()
-    assert tracers or not picks
-    return spark.createDataFrame(picks, "tracer string, pick int, case_id long, gain double")
+    most = max(2, POOL_BYTES // (8 * max(tracers.values(), default=1)))
+    while active := [t for t in tracers if len(picks[t]) < k]:
+        state = spark.sparkContext.broadcast(({t: inverse[t] for t in active}, set(chosen)))
+        scanned = rows.mapInArrow(lambda batches, state=state: _best_gains(batches, *state.value, most, epsilon), f"tracer {kinds['tracer']}, case_id {kinds['case_id']}, gain double")
+        order = Window.partitionBy("tracer").orderBy(F.desc("gain"), "case_id")
+        pool = scanned.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1)
+        found = pool.join(rows, ["tracer", "case_id"]).select("tracer", "case_id", "gain", "place", "u").collect()  # a pool is bounded by POOL_BYTES
+        for t in active:
+            mine = [r for r in found if r.tracer == t]
+            outside = max((r.gain for r in mine if r.place > most), default=-np.inf)
+            vectors = {r.case_id: np.asarray(r.u) for r in mine if r.place <= most}
+            heap = [(-r.gain, r.case_id, len(picks[t])) for r in mine if r.place <= most]
+            heapq.heapify(heap)
+            first = True
+            while heap and len(picks[t]) < k:
+                gain, i, age = heap[0]
+                x = vectors[i]
+                if age < len(picks[t]):
+                    heapq.heapreplace(heap, (-round(float(epsilon * (x @ inverse[t] @ x)), 12), i, len(picks[t])))
+                    continue
+                if not first and -gain <= outside:
+                    break
+                heapq.heappop(heap)
+                first = False
+                m = np.eye(len(x)) / epsilon if inverse[t] is None else inverse[t]
+                y = m @ x
+                inverse[t] = m - np.outer(y, y) / (1 + x @ y)
+                chosen.add((t, i))
+                picks[t].append((t, len(picks[t]) + 1, i, -gain))
+            if not heap and outside == -np.inf:
+                tracers.pop(t)  # all its rows are chosen
+    return spark.createDataFrame([p for part in picks.values() for p in part], f"tracer {kinds['tracer']}, pick int, case_id {kinds['case_id']}, gain double")

@@ -382,20 +382,16 @@ def t5(spark, d):
     return _r(T.noninferiority(_pairs(spark, d), ["metric"], 0.05))
 
 
-ARM = CM + ", pt as (" + " union all ".join(f"select a.fold_num as k, '{m}' as metric, a.case_name, a.{m} as a, b.{m} - a.{m} as diff from fx_case_metrics a join fx_case_metrics b on a.case_name = b.case_name and b.fold_num = a.fold_num + 2 where a.{m} is not null and b.{m} is not null" for m in METRICS) + ")"
+ARM = CM + ", pt as (" + " union all ".join(f"select a.fold_num as k, '{m}' as metric, a.case_name, a.{m} as a, b.{m} - a.{m} as diff from fx_case_metrics a join fx_case_metrics b on a.case_name = b.case_name and b.fold_num = a.fold_num + 2 where a.{m} is not null and b.{m} is not null{' and a.diseased and b.diseased' if m == 'false_neg_vol' else ''}" for m in METRICS) + ")"
 
 
 def _arm_pairs(spark, d):
-    c = _cm(spark, d)
-    long = lambda k: c.select("case_name", (F.col("fold_num") - k).alias("k"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])).alias("p")).select("case_name", "k", "p.metric", "p.v")
-    return long(0).withColumnRenamed("v", "a").join(long(2).withColumnRenamed("v", "b"), ["case_name", "k", "metric"]).where("a is not null and b is not null").withColumn("diff", F.col("b") - F.col("a"))
+    return T.arm_pairs(_cm(spark, d), METRICS)
 
 
 @query("t6_arm_tests", ARM + TL.t_columns("k, metric") + TL.rank_columns("k, metric") + " select k, metric, tt.n, round(mean, 6) as mean, round(sd, 6) as sd, round(t, 6) as t, round(tt.p, 6) as p, round(tt.p_better, 6) as p_better, round(w_plus, 6) as w_plus, round(z, 6) as z, round(wx.p, 6) as w_p, round(wx.p_better, 6) as w_p_better from tt left join wx using (k, metric)")
 def t6(spark, d):
-    by, pairs = ["k", "metric"], _arm_pairs(spark, d)
-    ranks = T.wilcoxon(pairs, by, T.direction()).select(*by, "w_plus", "z", F.col("p").alias("w_p"), F.col("p_better").alias("w_p_better"))
-    return _r(T.paired_t(pairs, by, sign=T.direction()).join(ranks, by, "left"))
+    return _r(T.arm_tests(_arm_pairs(spark, d), ["k", "metric"]))
 
 
 CASE = "(select distinct case_name, tracer, diseased from fx_case_metrics)"
@@ -407,10 +403,10 @@ def t9(spark, d):
     return _r(T.run_many(_pairs(spark, d).join(c, "case_name"), ["dataset", "metric"], sign=T.direction(), portable=True))
 
 
-MEMBERS = f", mb as (select p.*, unnest(['overall', c.tracer, c.tracer || '/' || case when diseased then 'diseased' else 'healthy' end]) as subgroup from pt p join {CASE} c using (case_name))"
+MEMBERS = f", mb as (select p.*, unnest(['overall', c.tracer, c.tracer || '/' || case when diseased then 'diseased' else 'healthy' end, case when diseased then 'diseased (all)' else 'healthy (all)' end]) as subgroup from pt p join {CASE} c using (case_name))"
 
 
-@query("t7_subgroup_tests", PAIRS + MEMBERS + ", sb as (select * from mb where abs(diff) > 1e-9::double)" + TL.rank_columns("metric, subgroup", "sb") + ", s as (select metric, subgroup, count(*) as n, round(avg(diff), 6) as mean, round(quantile_cont(diff, 0.5), 6) as median, round(quantile_cont(diff, 0.25), 6) as q1, round(quantile_cont(diff, 0.75), 6) as q3, round(avg((diff > 0)::int), 6) as win_rate from sb group by 1, 2 having count(*) >= 3) select s.*, case when wx.n >= 5 then round(p, 6) end as p from s left join wx using (metric, subgroup)")
+@query("t7_subgroup_tests", PAIRS + MEMBERS + ", sb as (select * from mb where abs(diff) > 1e-9::double)" + TL.rank_columns("metric, subgroup", "sb") + f", s as (select metric, subgroup, count(*) as n, round(avg(diff), 6) as mean, round(quantile_cont(diff, 0.5), 6) as median, round(quantile_cont(diff, 0.25), 6) as q1, round(quantile_cont(diff, 0.75), 6) as q3, round(avg((diff * {TL.SIGN} > 0)::int), 6) as win_rate from sb group by 1, 2 having count(*) >= 3) select s.*, case when wx.n >= 5 then round(p, 6) end as p, case when wx.n >= 5 then round(p_better, 6) end as p_better from s left join wx using (metric, subgroup)")
 def t7(spark, d):
     return _r(T.subgroup_summary(T.subgroup_members(_pairs(spark, d), _cm(spark, d)), ["metric", "subgroup"]))
 

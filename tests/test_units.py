@@ -270,3 +270,63 @@ def test_dpp_with_quality_against_weighted_kernel(spark):
         gain[chosen] = -np.inf
         chosen.append(int(np.round(gain, 9).argmax()))
     assert got == chosen
+
+
+@pytest.mark.parametrize("pool_bytes", [1 << 20, 6 * 8 * 5])
+def test_lazy_picks_are_the_greedy_ones(spark, monkeypatch, pool_bytes):
+    monkeypatch.setattr(selection, "POOL_BYTES", pool_bytes)
+    x, df = cases(spark, n=60)
+    df = df.withColumns({"case_id": F.format_string("c%02d", F.col("case_id")), "tracer": F.lit("FDG")})
+    df = df.union(df.withColumns({"case_id": F.concat("case_id", F.lit("b")), "tracer": F.lit("PSMA")})).union(df.where("case_id = 'c05'").withColumn("case_id", F.lit("c05x")))
+    sc, k = spark.sparkContext, 5
+    sc.setJobGroup(f"lazy {pool_bytes}", "")
+    got = selection.dpp_greedy(df, k).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup(f"lazy {pool_bytes}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    m, want = np.eye(6) / 1e-6, []
+    for _ in range(k):
+        gains = np.round(1e-6 * np.einsum("ij,jk,ik->i", u, m, u), 12)
+        best = int(gains.argmax())
+        y = m @ u[best]
+        m = m - np.outer(y, y) / (1 + u[best] @ y)
+        want.append((f"c{best:02d}", gains[best]))
+    for tracer, end in (("FDG", ""), ("PSMA", "b")):
+        own = sorted((r for r in got if r.tracer == tracer), key=lambda r: r.pick)
+        assert [(r.pick, r.case_id) for r in own] == [(n + 1, c + end) for n, (c, _) in enumerate(want)]
+        assert [r.gain for r in own] == pytest.approx([g for _, g in want], abs=1e-9)
+    few = selection.dpp_greedy(df.where("case_id in ('c01', 'c02')"), 9).collect()
+    assert len(few) == 2 and selection.dpp_greedy(df.where("false"), 3).count() == 0
+    if pool_bytes > 1000:
+        many = f"many {pool_bytes}"
+        sc.setJobGroup(many, "")
+        assert selection.dpp_greedy(df.drop("embedding").withColumn("embedding", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.hash("case_id", i).cast("double"))), 60).count() == 120
+        assert len(sc.statusTracker().getJobIdsForGroup(many)) < 60 / 5
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def arms(spark):
+    """Twelve cases in folds 0 and 2; healthy ones have zeros, not nulls, for missed volume; fold 2 has less error."""
+    rows = [(c, f, "FDG" if c % 2 else "PSMA", c % 3 > 0 and not (c == 4 and f == 2), 0.1 * c + 0.01 * f * c, 20.0 + c - f * (1 + c / 9), (5.0 + c - f * (2 + c / 7)) if c % 3 else 0.0) for c in range(12) for f in (0, 2)]
+    return spark.createDataFrame(rows, "case_name long, fold_num int, tracer string, diseased boolean, dice double, false_pos_vol double, false_neg_vol double")
+
+
+def test_missed_volume_is_compared_on_cases_diseased_in_both(spark):
+    pairs = paired.arm_pairs(arms(spark), ["dice", "false_pos_vol", "false_neg_vol"])
+    who = lambda m: sorted(r.case_name for r in pairs.where(F.col("metric") == m).collect())
+    assert who("dice") == who("false_pos_vol") == list(range(12))
+    assert who("false_neg_vol") == [1, 2, 5, 7, 8, 10, 11]
+    assert {r.metric: r.n for r in paired.arm_tests(pairs, ["k", "metric"]).collect()} == {"dice": 12, "false_pos_vol": 12, "false_neg_vol": 7}
+
+
+def test_wins_go_by_the_metric_s_direction(spark):
+    df = arms(spark)
+    pairs = paired.arm_pairs(df, ["dice", "false_pos_vol"])
+    members = paired.subgroup_members(pairs, df.where("fold_num = 0"))
+    assert {r.subgroup for r in members.select("subgroup").distinct().collect()} == {"overall", "FDG", "PSMA", "FDG/diseased", "FDG/healthy", "PSMA/diseased", "PSMA/healthy", "diseased (all)", "healthy (all)"}
+    out = {(r.metric, r.subgroup): r for r in paired.subgroup_summary(members, ["metric", "subgroup"]).collect()}
+    volume, dice = out["false_pos_vol", "overall"], out["dice", "overall"]
+    assert volume.win_rate == 1.0 and volume.mean < 0 and dice.win_rate == 1.0 and dice.mean > 0
+    assert volume.p_better == pytest.approx(2**-12) and dice.p_better == pytest.approx(2**-11) and volume.p == pytest.approx(2 * volume.p_better)
+    assert ("false_pos_vol", "FDG/healthy") not in out
+    assert out["false_pos_vol", "healthy (all)"].n == 4 and out["false_pos_vol", "healthy (all)"].p_better is None
