@@ -517,3 +517,16 @@ def i2(spark, d):
     v.repartition(4, "case_id").write.parquet(src)
     I.stream_case_metrics(spark, src, out, mark, "case_id long, x int, y int, z int, gt int, pred int", VOXEL_ML, GRID, 2)
     return _r(spark.read.parquet(out).select("case_id", "dice"))
+
+
+@query("i3_split_case_stream", ctes("fx_vox") + " select case_id, 'ok' as status, round(coalesce(2.0 * sum(gt * pred) / nullif(sum(gt) + sum(pred), 0), 0), 6) as dice from fx_vox group by 1")
+def i3(spark, d):
+    """Every case in three files; two runs, each with some of them."""
+    src, out, mark = (S.scratch(spark, n) for n in ("arrivals", "metrics", "progress"))
+    vox = fixture(spark, d, "fx_vox").selectExpr("case_id", "z % 3 as part", "3 as parts", "x", "y", "z", "gt", "pred")
+    empty = vox.select("case_id").distinct().selectExpr("case_id", "explode(array(0, 1, 2)) as part", "3 as parts", *[f"cast(null as int) as {c}" for c in ("x", "y", "z", "gt", "pred")])
+    v = vox.unionByName(empty)  # also for parts without voxels
+    for run in (0, 1):
+        v.where(f"(case_id + part) % 2 = {run}").repartition(2, "part").write.mode("append").parquet(src)
+        I.stream_split_cases(spark, src, out, mark, "long", VOXEL_ML, GRID, files_per_batch=2)
+    return _r(spark.read.parquet(out).select("case_id", "status", "dice"))

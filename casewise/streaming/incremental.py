@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from casewise.operators.voxels import case_metrics
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def pending_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
     """Cases that have no result yet."""
@@ -31,3 +38,72 @@ def stream_case_metrics(spark: SparkSession, folder: str, out: str, checkpoint:
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     rows.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class WholeCases(StatefulProcessor):
+    """Keeps the parts of a case in keyed state and lets its voxels out when all parts are there, or `wait_ms` after the first one came.
+
+    Rows: case_id, part (from 0), parts (how many the case has), x, y, z, gt,
+    pred; out: the voxels and `whole`. A part comes whole in one file; one that
+    comes again counts once. A part without voxels is one row with x null. Parts
+    that come after their case was given up begin it anew.
+    """
+
+    columns = ("x", "y", "z", "gt", "pred")
+
+    def __init__(self, wait_ms: int) -> None:
+        self.wait_ms = wait_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "part int", "rows binary, parts int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came, new = pd.concat(list(rows)), not self.parts.exists()
+        for part, own in came.groupby("part"):
+            if not self.parts.containsKey((int(part),)):
+                packed = io.BytesIO()
+                own[list(self.columns)].drop_duplicates().to_parquet(packed, index=False)
+                self.parts.updateValue((int(part),), (packed.getvalue(), int(own["parts"].max())))
+        if len(list(self.parts.keys())) >= int(came["parts"].max()):
+            yield self._out(key, True)
+        elif new:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.parts.exists():
+            yield self._out(key, False)
+
+    def _out(self, key, whole: bool) -> pd.DataFrame:
+        found = pd.concat([pd.read_parquet(io.BytesIO(bytes(rows))) for rows, _ in self.parts.values()], ignore_index=True)
+        self.parts.clear()
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        found = found[found["x"].notna()] if found["x"].notna().any() else found[:1]
+        return found.assign(case_id=key[0], whole=whole)[["case_id", *self.columns, "whole"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_split_cases(spark: SparkSession, folder: str, out: str, checkpoint: str, case_type: str, voxel_ml: float, grid: int, wait_ms: int = 86_400_000, files_per_batch: int = 100) -> None:
+    """Evaluates cases that arrive in several files, in any order and over several runs, and returns when what has arrived is read; a later call goes on from the checkpoint.
+
+    Files: case_id, part, parts, x, y, z, gt, pred as Parquet. Parts wait in the
+    checkpoint's state store, by case. Results are those of case_metrics with a
+    status, ok or incomplete (the wait was over, which is looked at whenever files
+    arrive), one row per case and batch.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else timers ask for batches without end
+    schema = f"case_id {case_type}, part int, parts int, x int, y int, z int, gt int, pred int"
+    shown = f"case_id {case_type}, x int, y int, z int, gt int, pred int, whole boolean"
+
+    def evaluate(batch: DataFrame, number: int) -> None:
+        status = batch.groupBy("case_id").agg(F.when(F.bool_and("whole"), "ok").otherwise("incomplete").alias("status"))
+        voxels = batch.where("x is not null").drop("whole")
+        case_metrics(voxels, status, voxel_ml, grid).join(status, "case_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder).where("case_id is not null and part is not null")
+    whole = rows.groupBy("case_id").transformWithStateInPandas(WholeCases(wait_ms), shown, "append", "ProcessingTime")
+    whole.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -241,6 +241,29 @@ def test_stream_goes_on_after_an_interruption(spark, tmp_path):
     assert len({r.batch for r in got}) == 2
 
 
+def test_a_case_in_several_files_waits_for_all_of_them(spark, tmp_path):
+    from casewise.streaming import incremental
+
+    schema = "case_id string, part int, parts int, x int, y int, z int, gt int, pred int"
+    src, out, mark = (f"file://{tmp_path}/{n}" for n in ("in", "out", "mark"))
+
+    def arrive(*rows, wait=10**9):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental.stream_split_cases(spark, src, out, mark, "string", 1.0, 100, wait)
+
+    def got():
+        return sorted((r.case_id, r.status, round(r.dice, 6), r.gt_lesions) for r in spark.read.parquet(out).collect())
+
+    arrive(("a", 0, 3, 0, 0, 1, 1, 1), ("b", 0, 1, 5, 5, 1, 1, 0), ("c", 0, 2, 0, 0, 1, 1, 1), wait=1)
+    assert got() == [("b", "ok", 0.0, 1)]
+    arrive(("a", 2, 3, 1, 0, 1, 1, 0), ("a", 0, 3, 0, 0, 1, 1, 1))  # a part that comes again; c has waited too long
+    assert ("c", "incomplete", 1.0, 1) in got() and not any(r[0] == "a" and r[1] == "ok" for r in got())
+    arrive(("d", 0, 2, None, None, None, None, None), ("d", 1, 2, None, None, None, None, None), ("e", 0, 3, 9, 9, 9, 1, 1))
+    arrive(("e", 1, 3, 9, 8, 9, 1, 1), ("e", 1, 3, 9, 8, 9, 1, 1))
+    arrive(("e", 2, 3, None, None, None, None, None))
+    assert [r for r in got() if r[0] in "de"] == [("d", "ok", 0.0, 0), ("e", "ok", 1.0, 1)]
+
+
 def test_align_axes_and_shapes_that_disagree(spark):
     v = spark.createDataFrame([(1, 4, 5, 6), (2, 4, 5, 6), (3, 4, 5, 6), (4, 4, 5, 6)], "case_id long, x int, y int, z int")
     shapes = spark.createDataFrame([(1, [7, 8, 9], [7, 8, 9]), (2, [7, 8, 9], [9, 8, 7]), (3, [7, 8, 9], [9, 7, 8]), (4, [7, 8, 9], [1, 1, 1])], "case_id long, shape array<int>, target array<int>")
