@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from casewise.functions.stats import normal_sf, t_quantile, t_sf, wilcoxon_exact_sf
+from casewise.operators.ordering import mean_ranks
 from casewise.operators.rollups import rank_quartile, ranked
+from casewise.sources.files import stored
 
 #: Signed-rank p is exact up to this many pairs.
 EXACT_PAIRS = 50
@@ -64,21 +69,22 @@ def paired_t(pairs: DataFrame, by: list[str], least: int = 2, sign: Column | Non
 def wilcoxon(pairs: DataFrame, by: list[str], sign: Column | None = None) -> DataFrame:
     """n, w_plus, z of the signed-rank test by group, two-sided p, and with `sign` the one-sided p_better.
 
-    Zeros are dropped, tied ranks averaged; z and p are null where nothing is
+    Zeros are dropped, tied ranks averaged; no group is ordered as a whole (see
+    mean_ranks); z and p are null where nothing is
     left to vary. p is exact for up to 50 pairs without ties or zeros, else from
     the normal tail.
     """
-    rows = pairs.withColumn("size", F.round(F.abs("diff"), 9)).withColumn("zero", F.col("size") == 0)
-    same, level = Window.partitionBy(*by, "size"), Window.partitionBy(*by, "zero").orderBy("size")
-    rows = rows.withColumn("ties", F.count("*").over(same)).withColumn("rank", F.rank().over(level) + (F.col("ties") - 1) / 2)
-    t, some = F.col("ties").cast("double"), ~F.col("zero")
-    out = rows.groupBy(*by).agg(
-        F.count_if(some).alias("n"),
-        F.count_if("zero").alias("zeros"),
-        F.sum(F.when(some & (F.col("diff") > 0), F.col("rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(some, t * t - 1).otherwise(0.0)).alias("tie_term"),
+    sizes = pairs.where("diff is not null").select(*by, "diff", F.round(F.abs("diff"), 9).alias("size"))
+    ranks = mean_ranks(sizes, "size", tuple(by), {"above": F.count_if(F.col("diff") > 0)})
+    some, t = F.col("size") > 0, F.col("ties").cast("double")
+    out = ranks.groupBy(*by).agg(
+        F.sum(F.when(some, F.col("ties")).otherwise(0)).alias("n"),
+        F.sum(F.when(some, 0).otherwise(F.col("ties"))).alias("zeros"),  # they stand before all others, which move down by them
+        F.sum(F.when(some, F.col("above") * F.col("rank")).otherwise(0.0)).alias("_sum"),
+        F.sum(F.when(some, F.col("above")).otherwise(0)).alias("_above"),
+        F.sum(F.when(some, t * (t * t - 1)).otherwise(0.0)).alias("tie_term"),
     )
-    out = out.where("n > 0")
+    out = out.where("n > 0").withColumn("w_plus", F.col("_sum") - F.col("zeros") * F.col("_above")).drop("_sum", "_above")
     n = F.col("n").cast("double")
     most = n * (n + 1) / 2
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
@@ -93,36 +99,78 @@ def wilcoxon(pairs: DataFrame, by: list[str], sign: Column | None = None) -> Dat
     return out.drop("tie_term", "zeros", "up", "down")
 
 
-def _portable_uniform(h: Column, draw: Column) -> Column:
-    """A number in [0, 1) of a pair's hash and a draw by squarings modulo a prime; SQL engines without xxhash64 can repeat it."""
-    prime = F.lit(2_147_483_647)
-    x = (h + draw.cast("long") * 1_000_003) % prime
-    x = (x * x + h) % prime
-    return ((x * x + draw) % prime).cast("double") / prime.cast("double")
+#: Least u of weight 1, 2, ...: the Poisson(1) distribution, cut at six.
+POISSON_CUTS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+PRIME = 2_147_483_647
+#: Partial sums that one task adds up.
+FAN_IN = 64
 
 
-def bootstrap_ci(pairs: DataFrame, by: list[str], draws: int = 10_000, seed: int = 0, portable: bool = False) -> DataFrame:
-    """low, high: 2.5 and 97.5 percentiles of resampled means by group.
+def draw_weights(h: np.ndarray, draws: int) -> np.ndarray:
+    """pairs x draws weights from the pairs' hashes, by squarings modulo a prime: whole numbers that SQL engines can repeat."""
+    b = np.arange(1, draws + 1, dtype=np.int64)[None, :]
+    h = h.astype(np.int64)[:, None]
+    x = (h + b * 1_000_003) % PRIME
+    x = (x * x + h) % PRIME
+    return np.searchsorted(np.asarray(POISSON_CUTS), ((x * x + b) % PRIME) / PRIME, side="right")
 
-    Draw b gives pair i a weight from a hash of (seed, b, i): Poisson(1), cut
-    at six, so that no index is joined and each pair meets each draw once.
-    `portable` takes the hash from md5 instead of xxhash64.
-    """
-    pairs = pairs.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_name").cast("string"))), 1, 7), 16, 10).cast("long") if portable else F.lit(0))
-    u = _portable_uniform(F.col("h"), F.col("draw")) if portable else F.pmod(F.xxhash64(F.lit(seed), "draw", "case_name"), F.lit(1_000_003)) / 1_000_003
-    weight = F.expr("0")
-    for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582):
-        weight = weight + F.when(F.col("u") >= c, 1).otherwise(0)
-    rows = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("w", weight)
-    means = rows.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("diff")), F.sum("w").cast("double")).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
+def bootstrap_ci(pairs: DataFrame, by: list[str], draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """low, high: 2.5 and 97.5 percentiles of resampled means by group.
 
-def run_many(pairs: DataFrame, by: list[str], draws: int = 10_000, sign: Column | None = None, portable: bool = False) -> DataFrame:
+    Draw b gives a pair a weight from a hash of (seed, case_name) and b, Poisson(1),
+    so no index is joined and each pair meets each draw once. A task keeps, by
+    group, one sum of weights and one of weighted differences per draw; only
+    these vectors travel and are added up, whatever the number of pairs.
+    """
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_name").cast("string"))), 1, 7), 16, 10).cast("long")
+    rows = pairs.where("diff is not null").select(*by, h.alias("h"), F.col("diff").cast("double").alias("diff"))
+    keys = ", ".join(f"{k} {t}" for k, t in rows.select(*by).dtypes)
+
+    def add(batches):
+        state: dict = {}
+        for batch in batches:
+            group, names = np.zeros(batch.num_rows, np.int64), {(): 0}
+            if by:
+                told = list(zip(*[batch.column(k).to_pylist() for k in by], strict=True))
+                names = {k: n for n, k in enumerate(dict.fromkeys(told))}
+                group = np.asarray([names[k] for k in told], np.int64)
+            h, diff = batch.column("h").to_numpy(), batch.column("diff").to_numpy()
+            for name, g in names.items():
+                at = np.flatnonzero(group == g)
+                sums = state.setdefault(name, np.zeros((2, draws)))
+                for k in range(0, len(at), 256):
+                    w = draw_weights(h[at[k : k + 256]], draws)
+                    sums += np.stack([w.sum(axis=0), diff[at[k : k + 256]] @ w])
+        if state:
+            kinds = {f.name: f.type for f in batch.schema}
+            columns = {k: pa.array([name[i] for name in state], kinds[k]) for i, k in enumerate(by)}
+            yield pa.RecordBatch.from_pydict(columns | {"part": pa.array([TaskContext.get().partitionId()] * len(state), pa.int64()), "sums": pa.array([s.tobytes() for s in state.values()], pa.binary())})
+
+    def total(t: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(x.as_py()).reshape(2, draws) for x in t.sort_by("part").column("sums"))
+
+    def merge(t: pa.Table) -> pa.Table:
+        return t.slice(0, 1).select(by).append_column("part", t.column("part")[:1]).append_column("sums", pa.array([total(t).tobytes()], pa.binary()))
+
+    def ends(t: pa.Table) -> pa.Table:
+        w, s = total(t)
+        found = np.percentile(s[w > 0] / w[w > 0], [2.5, 97.5]).tolist() if (w > 0).any() else [None, None]
+        out = t.slice(0, 1).select(by)
+        for name, v in zip(("low", "high"), found, strict=True):
+            out = out.append_column(name, pa.array([v], pa.float64()))
+        return out
+
+    parts = rows.mapInArrow(add, f"{keys}, part long, sums binary")
+    parts = parts.groupBy(*by, F.pmod("part", F.lit(FAN_IN)).alias("_few")).applyInArrow(merge, f"{keys}, part long, sums binary")
+    return parts.groupBy(*by).applyInArrow(ends, f"{keys}, low double, high double")
+
+
+def run_many(pairs: DataFrame, by: list[str], draws: int = 10_000, sign: Column | None = None) -> DataFrame:
     """The t test, the signed-rank test and the bootstrap interval of every group side by side; the data set is one of the keys."""
     t = paired_t(pairs, by, sign=sign).withColumnsRenamed({"p": "t_p", "p_better": "t_p_better"})
     w = wilcoxon(pairs, by, sign).select(*by, "w_plus", "z", F.col("p").alias("w_p"), *([F.col("p_better").alias("w_p_better")] if sign is not None else []))
-    return t.join(w, by, "left").join(bootstrap_ci(pairs, by, draws, portable=portable), by, "left")
+    return t.join(w, by, "left").join(bootstrap_ci(pairs, by, draws), by, "left")
 
 
 def noninferiority(pairs: DataFrame, by: list[str], margin: float, alpha: float = 0.05) -> DataFrame:
@@ -181,8 +229,9 @@ def stratified_improvement(members: DataFrame, by: list[str], least: int = 8) ->
     better; groups below `least` pairs are skipped.
     """
     rows = members.withColumn("gain", direction() * F.col("diff")).withColumn("level", F.round(direction() * F.col("a"), 9))
-    rows = ranked(rows, by, "level", "case_name").withColumn("c", F.count("*").over(Window.partitionBy(*by))).where(F.col("c") >= least)
-    rows = rows.withColumn("q", rank_quartile(F.col("rank"), F.col("c")))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    rows = ranked(stored(rows.join(F.broadcast(sizes), by), "strata"), by, "level", "case_name")  # sizes: one row per group
+    rows = stored(rows.withColumn("q", rank_quartile(F.col("rank"), F.col("c"))), "strata")
     keys = [*by, "q"]
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("gain", F.lit(0.5)).alias("median"), (F.avg((F.col("gain") > 0).cast("int")) * 100).alias("win"), F.percentile("a", F.lit(0.5)).alias("baseline"))
     return out.join(wilcoxon(rows.drop("rank").withColumn("diff", F.col("gain")), keys).select(*keys, "p"), keys, "left")

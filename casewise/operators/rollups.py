@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewise.operators.ordering import numbered
+
 #: Training cases per fold, by tracer; fixed values.
 TRAIN_SIZES = {
     "FDG": [6, 33, 66, 72, 99, 132, 199, 265, 332, 398, 464, 664],
@@ -214,8 +216,9 @@ def mm3_to_cm3(df: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, by: list[str], metric: str, then: str, descending: bool = False) -> DataFrame:
-    order = F.desc(metric) if descending else F.asc(metric)
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, then)))
+    """Adds rank, 1, 2, ... by the metric and then by `then`, nulls last; a group is ordered bucket by bucket, not in one task."""
+    rows = df.withColumn("_key", -F.col(metric) if descending else F.col(metric))
+    return numbered(rows, "_key", [then], "rank", by=tuple(by)).drop("_key")
 
 
 def rank_quartile(rank: Column, n: Column) -> Column:

@@ -1,6 +1,7 @@
 """Choosing cases from embeddings: distances, extremes, top shares, diversity, kernel PCA, greedy determinantal selection.
 
-No operator emits pairs of cases: distances are computed between blocks of
+Distances that are ordered or counted as well as returned are written once to the
+shared folder, so they are computed once. No operator emits pairs of cases: distances are computed between blocks of
 unit vectors inside tasks, and only each block's minima or extremes come out
 (see ``cells``).
 """
@@ -124,6 +125,7 @@ def _share(n: Column, percent: float) -> Column:
 
 def top_percent(distances: DataFrame, percent: float) -> DataFrame:
     """The furthest share of all cases: at least one, ties by id. A sort and a limit, so each task keeps only its own top."""
+    distances = stored(distances, "distances")
     n = distances.count()
     most = max(1, int(np.ceil(round(n * percent, 9))))
     return distances.orderBy(F.desc("dist_to_labelled"), "case_id").limit(most)
@@ -131,7 +133,7 @@ def top_percent(distances: DataFrame, percent: float) -> DataFrame:
 
 def top_percent_by_tracer(distances: DataFrame, percent: float, totals: dict[str, int] | None = None) -> DataFrame:
     """The furthest share of each tracer, of its pool or of given totals (then possibly none)."""
-    rows = distances.dropDuplicates(["case_id"]) if totals else distances
+    rows = stored(distances.dropDuplicates(["case_id"]) if totals else distances, "distances")
     if totals:
         size = F.coalesce(*[F.when(F.col("tracer") == k, F.lit(v)) for k, v in totals.items()], F.lit(0))
         rows = rows.withColumn("most", F.ceil(F.round(size * F.lit(percent), 9)))
@@ -147,20 +149,20 @@ def rank_by_diversity(chosen: DataFrame) -> DataFrame:
     The mean of distances is 1 - u . S / n with S the sum of the unit vectors,
     so no pair is formed.
     """
-    rows = chosen.withColumn("u", unit(F.col("embedding")))
+    rows = stored(chosen.withColumn("u", unit(F.col("embedding"))), "chosen")
     parts = rows.select("tracer", F.posexplode("u").alias("k", "v")).groupBy("tracer", "k").agg(F.sum("v").alias("s"))
     sums = parts.groupBy("tracer").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("s"))
     sizes = rows.groupBy("tracer").agg(F.count("*").alias("n"))
     out = rows.join(sums, "tracer").join(sizes, "tracer")
     mean = F.when(F.col("n") > 1, 1 - dot(F.col("u"), F.transform("s", lambda x: x["s"])) / F.col("n"))
     out = out.withColumn("avg_dist_to_top_subset", mean).withColumn("_far", F.round("avg_dist_to_top_subset", 9)).drop("u", "s", "n")
-    ranked = furthest_first(out, "_far", ["case_id"], "diversity_rank", by=("tracer",))
+    ranked = furthest_first(stored(out, "spread"), "_far", ["case_id"], "diversity_rank", by=("tracer",))
     return ranked.withColumn("diversity_rank", F.col("diversity_rank").cast("int")).drop("_far")
 
 
 def worst_covered(distances: DataFrame, k: int = 5) -> DataFrame:
     """The k furthest cases of each tracer with their place; rows are numbered by bucket, not by tracer."""
-    rows = furthest_first(distances, "dist_to_labelled", ["case_id"], "place", by=("tracer",))
+    rows = furthest_first(stored(distances, "distances"), "dist_to_labelled", ["case_id"], "place", by=("tracer",))
     return rows.withColumn("place", F.col("place").cast("int")).where(F.col("place") <= k)
 
 
@@ -198,7 +200,7 @@ def embedding_metadata(cases: DataFrame, batch: str) -> DataFrame:
 
 def distance_histogram(distances: DataFrame, bins: int, by: list[str] | None = None) -> DataFrame:
     """Counts in equal-width bins from the least to the greatest distance; the last bin is closed."""
-    by = by or []
+    by, distances = by or [], stored(distances, "distances")
     ends = distances.groupBy(*by).agg(F.min("dist_to_labelled").alias("low"), F.max("dist_to_labelled").alias("high"))
     rows = distances.join(F.broadcast(ends), by) if by else distances.crossJoin(F.broadcast(ends))  # one row per group
     place = F.least(F.floor((F.col("dist_to_labelled") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.operators.ordering import furthest_first, numbered, quantile_group
+from casewise.sources.files import stored
 
 
 def _with_sizes(rows: DataFrame) -> DataFrame:
@@ -21,7 +24,7 @@ def prefix_splits(cases: DataFrame, percents: list[int]) -> DataFrame:
 
 def selection_splits(base: DataFrame, ranked: DataFrame, percents: list[int]) -> DataFrame:
     """percent, case_id: the base cases and, per tracer, the furthest share of the ranked pool (at least one case)."""
-    rows = furthest_first(_with_sizes(ranked), "dist_to_labelled", ["case_id"], by=("tracer",))
+    rows = furthest_first(_with_sizes(stored(ranked, "distances")), "dist_to_labelled", ["case_id"], by=("tracer",))
     every = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
     most = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("percent") / 100))
     chosen = rows.select("*", every).where(F.col("rn") <= most).select("percent", "case_id")
@@ -57,12 +60,30 @@ def quartile_splits(base: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def overlap_matrix(splits: DataFrame) -> DataFrame:
-    """i, j, n: training cases that splits i and j share, zeros included; one co-occurrence row per case."""
+    """i, j, n: training cases that splits i and j share, zeros included.
+
+    Cases get whole numbers, and a split is a bitmap per 32,768 of them. A task
+    counts the common bits of all splits in one such range with one product of
+    matrices, so a range gives splits x splits numbers, however many cases it has.
+    """
     t = splits.where("role = 'train'").select("split_id", "case_id").distinct()
-    per = t.groupBy("case_id").agg(F.collect_set("split_id").alias("s"))
-    pairs = per.select(F.explode("s").alias("i"), "s").select("i", F.explode("s").alias("j")).groupBy("i", "j").agg(F.count("*").alias("n"))
+    cases = numbered(t.select("case_id").distinct().withColumn("_h", F.xxhash64("case_id")), "_h", ["case_id"], "_no").select("case_id", "_no")
+    maps = t.join(cases, "case_id").groupBy("split_id", F.bitmap_bucket_number("_no").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("bits"))
+    kind = dict(splits.dtypes)["split_id"]
+
+    def count(t: pa.Table) -> pa.Table:
+        ids, n = t.column("split_id").combine_chunks(), t.num_rows
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(n, -1)
+        shared = np.zeros((n, n), np.int64)
+        for k in range(0, bits.shape[1], 256):
+            part = np.unpackbits(bits[:, k : k + 256], axis=1).astype(np.float32)
+            shared += (part @ part.T).astype(np.int64)
+        i, j = np.nonzero(shared)
+        return pa.table({"i": ids.take(pa.array(i)), "j": ids.take(pa.array(j)), "n": shared[i, j]})
+
+    pairs = maps.groupBy("bucket").applyInArrow(count, f"i {kind}, j {kind}, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     ids = t.select("split_id").distinct()
-    every = ids.select(F.col("split_id").alias("i")).crossJoin(F.broadcast(ids.select(F.col("split_id").alias("j"))))  # splits x splits
+    every = ids.select(F.col("split_id").alias("i")).crossJoin(ids.select(F.col("split_id").alias("j")))  # the result has a row for each
     return every.join(pairs, ["i", "j"], "left").select("i", "j", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -339,9 +339,8 @@ def w2(spark, d):
 
 @query("w3_rank_quartile", CM + ", r as (select case_name, fold, row_number() over (partition by fold order by false_pos_vol, case_name) as r, count(*) over (partition by fold) as n from fx_case_metrics) select case_name, fold, cast(greatest(1, ((r - 1) * 4 + n - 2) // greatest(n - 1, 1)) as int) as q from r")
 def w3q(spark, d):
-    from pyspark.sql import Window
-
-    r = A.ranked(_cm(spark, d), ["fold"], "false_pos_vol", "case_name").withColumn("n", F.count("*").over(Window.partitionBy("fold")))
+    sizes = _cm(spark, d).groupBy("fold").agg(F.count("*").alias("n"))
+    r = A.ranked(_cm(spark, d), ["fold"], "false_pos_vol", "case_name").join(F.broadcast(sizes), "fold")  # one row per fold
     return r.select("case_name", "fold", A.rank_quartile(F.col("rank"), F.col("n")).alias("q"))
 
 
@@ -368,7 +367,7 @@ def t3(spark, d):
     return _r(T.wilcoxon(_pairs(spark, d), ["metric"], T.direction()))
 
 
-@query("t4_bootstrap_ci")
+@query("t4_bootstrap_ci", PAIRS + TL.bootstrap("metric", "pt", 10_000) + " select metric, round(low, 6) as low, round(high, 6) as high from bt")
 def t4(spark, d):
     return _r(T.bootstrap_ci(_pairs(spark, d), ["metric"]))
 
@@ -400,7 +399,7 @@ CASE = "(select distinct case_name, tracer, diseased from fx_case_metrics)"
 @query("t9_run_many", PAIRS + f", ds as (select p.*, tracer as dataset from pt p join {CASE} c using (case_name))" + TL.t_columns("dataset, metric", "ds") + TL.rank_columns("dataset, metric", "ds") + TL.bootstrap("dataset, metric", "ds", 10_000) + " select dataset, metric, tt.n, round(mean, 6) as mean, round(sd, 6) as sd, round(t, 6) as t, round(tt.p, 6) as t_p, round(tt.p_better, 6) as t_p_better, round(w_plus, 6) as w_plus, round(z, 6) as z, round(wx.p, 6) as w_p, round(wx.p_better, 6) as w_p_better, round(low, 6) as low, round(high, 6) as high from tt left join wx using (dataset, metric) left join bt using (dataset, metric)")
 def t9(spark, d):
     c = _cm(spark, d).select("case_name", F.col("tracer").alias("dataset")).distinct()
-    return _r(T.run_many(_pairs(spark, d).join(c, "case_name"), ["dataset", "metric"], sign=T.direction(), portable=True))
+    return _r(T.run_many(_pairs(spark, d).join(c, "case_name"), ["dataset", "metric"], sign=T.direction()))
 
 
 MEMBERS = f", mb as (select p.*, unnest(['overall', c.tracer, c.tracer || '/' || case when diseased then 'diseased' else 'healthy' end, case when diseased then 'diseased (all)' else 'healthy (all)' end]) as subgroup from pt p join {CASE} c using (case_name))"

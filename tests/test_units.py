@@ -1,5 +1,6 @@
 """Hand-built cases: masks, names, tails, kernel PCA and greedy selection against direct computation."""
 
+import hashlib
 import itertools
 import math
 
@@ -115,11 +116,13 @@ def test_bootstrap_takes_ten_thousand_draws(spark, sf):
 
     data = [(f"case{i}", m, float(i * i % 7) + k) for i in range(5) for k, m in enumerate(("dice", "vol"))]
     got = {r.metric: (r.low, r.high) for r in paired.bootstrap_ci(spark.createDataFrame(data, "case_name string, metric string, diff double"), ["metric"]).collect()}
-    cases = spark.createDataFrame([(f"case{i}",) for i in range(5)], "case_name string")
-    hashed = spark.range(1, 10_001).select(F.col("id").cast("int").alias("draw")).crossJoin(cases).select("draw", "case_name", F.pmod(F.xxhash64(F.lit(0), "draw", "case_name"), F.lit(1_000_003)).alias("u")).toPandas()
-    u = hashed.pivot(index="draw", columns="case_name", values="u").to_numpy() / 1_000_003
-    steps = np.round(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(6)]), 8)
-    w = np.searchsorted(steps, u, side="right")
+    h = np.array([int(hashlib.md5(f"0:case{i}".encode()).hexdigest()[:7], 16) for i in range(5)], object)
+    p, w = 2**31 - 1, []
+    for draw in range(1, 10_001):
+        x = [(v + draw * 1_000_003) % p for v in h]
+        u = [(((y * y + v) % p) ** 2 + draw) % p / p for y, v in zip(x, h, strict=True)]
+        w.append(np.searchsorted(np.round(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(6)]), 8), u, side="right"))
+    w = np.array(w)
     for k, m in enumerate(("dice", "vol")):
         diff = np.array([float(i * i % 7) + k for i in range(5)])
         means = (w @ diff)[w.sum(axis=1) > 0] / w.sum(axis=1)[w.sum(axis=1) > 0]
@@ -176,8 +179,8 @@ def test_bootstrap_against_resampling(spark):
     d = rng.normal(0.3, 1.0, 120)
     df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(d)], "metric string, case_name long, diff double")
     want = np.percentile(d[rng.integers(0, len(d), (20_000, len(d)))].mean(axis=1), [2.5, 97.5])
-    for portable in (False, True):
-        r = paired.bootstrap_ci(df, ["metric"], 4000, portable=portable).first()
+    for parts in (1, 7):  # one state and merged ones
+        r = paired.bootstrap_ci(df.repartition(parts), ["metric"], 4000).first()
         assert np.abs(np.array([r.low, r.high]) - want).max() < 0.03
 
 
@@ -295,6 +298,31 @@ def test_dpp_with_quality_against_weighted_kernel(spark):
     assert got == chosen
 
 
+def test_mean_ranks_and_ties_over_buckets(spark):
+    from casewise.operators.ordering import mean_ranks
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in ("a", "b") for v in np.round(rng.normal(size=400), 1)] + [("c", 2.0)] * 50
+    out = mean_ranks(spark.createDataFrame(rows, "g string, v double"), "v", ("g",), {"n": F.count("*")}, buckets=9).collect()
+    for g in "abc":
+        values = np.sort([v for h, v in rows if h == g])
+        want = {v: (np.flatnonzero(values == v) + 1).mean() for v in values}
+        assert {r.v: r["rank"] for r in out if r.g == g} == want and sum(r.n for r in out if r.g == g) == len(values)
+    plan = paired.wilcoxon(spark.createDataFrame([("m", 1.0)], "metric string, diff double"), ["metric"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "rank(size" not in plan
+
+
+def test_overlaps_of_a_thousand_splits(spark):
+    from casewise.operators import splits
+
+    df = spark.range(1000).selectExpr("id as split_id", "explode(sequence(0, 19)) as k").selectExpr("split_id", "'train' as role", "concat('c', (split_id * 7 + k * k) % 300) as case_id")
+    has = {}
+    for r in df.collect():
+        has.setdefault(r.split_id, set()).add(r.case_id)
+    out = splits.overlap_matrix(df).where("i in (0, 17, 999)").collect()
+    assert len(out) == 3000 and all(r.n == len(has[r.i] & has[r.j]) for r in out)
+
+
 @pytest.mark.parametrize("pool_bytes", [1 << 20, 6 * 8 * 5])
 def test_lazy_picks_are_the_greedy_ones(spark, monkeypatch, pool_bytes):
     monkeypatch.setattr(selection, "POOL_BYTES", pool_bytes)
