@@ -2,13 +2,14 @@
 
 Documents with equal texts are linked. Every round joins each linked document
 with the votes of its group (bytes by shard, summed with partial aggregation)
-and moves documents to the shard that most of the group is in, as far as that
-shard's quota allows; groups move whole unless one is large against a shard.
-Then linked documents beyond a shard's capacity, groups still apart and all
-unlinked documents fill the
-shards' remaining room along one line of cumulative bytes, so sizes differ by
-less than two documents. All sums run over buckets of keys; only tables of at
-most shards x buckets rows are joined by broadcast.
+and moves documents to the shard with room that most of the group is in, as far as
+that shard's quota allows; groups move whole unless one is large against a shard. A
+group that got no place asks again in the next round, until none moves. Where
+propagation leaves documents, there they stay: only groups beyond a shard's
+capacity and unlinked documents fill the shards' remaining room, along one line of
+cumulative bytes, so sizes differ by less than two documents. All sums run over
+buckets of keys; only tables of at most shards x buckets rows are joined by
+broadcast.
 
 Defined results: a null text has size 1 and the checksum of nothing; repeated
 rows are rows of their own; ties go to the smaller shard; an empty table gives
@@ -43,8 +44,15 @@ def _running(df: DataFrame, by: list[str], value: Column, name: str) -> DataFram
 def propagate(linked: DataFrame, groups: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
     """linked: key, doc_id, nth, size, large, shard; groups: key, large. The same rows with their shard after the given number of rounds."""
     for k in range(rounds):
-        votes = linked.groupBy("key", "shard").agg(F.sum("size").alias("w"))
-        want = votes.groupBy("key").agg(F.max_by("shard", F.struct("w", -F.col("shard"))).alias("want"))
+        votes = stored(linked.groupBy("key", "shard").agg(F.sum("size").alias("w")), "counts")
+        full = {r.shard: r.w for r in votes.groupBy("shard").agg(F.sum("w").alias("w")).collect()}  # one row per shard
+        free = [t for t in range(shards) if full.get(t, 0) < capacity] or [0]
+        # only shards with room are wished for; a group that is apart in full ones wishes for one of the others
+        some = F.array(*[F.lit(t) for t in free])
+        best = F.max_by(F.when(F.col("shard").isin(free), F.col("shard")), F.struct(F.col("shard").isin(free), "w", -F.col("shard")))
+        want = votes.groupBy("key").agg(best.alias("want"), F.count("*").alias("n"), F.max("shard").alias("at"))
+        other = F.element_at(some, (F.pmod(F.xxhash64("key", F.lit(k)), F.lit(len(free))) + 1).cast("int"))
+        want = want.select("key", F.coalesce("want", F.when(F.col("n") > 1, other).otherwise(F.col("at"))).alias("want"))
         # large groups are fewer than 128, so their wishes go by broadcast and a hot group is not one task's
         big = want.join(groups.where("large").select("key"), "key", "left_semi")
         rows = linked.where("large").join(F.broadcast(big), "key").unionByName(linked.where("not large").join(want, "key"))
@@ -64,7 +72,7 @@ def propagate(linked: DataFrame, groups: DataFrame, shards: int, capacity: float
     return linked
 
 
-def balanced_shards(documents: DataFrame, shards: int = 8, rounds: int = 3) -> DataFrame:
+def balanced_shards(documents: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row, under the law `bytes`."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("nth"))
@@ -77,14 +85,13 @@ def balanced_shards(documents: DataFrame, shards: int = 8, rounds: int = 3) -> D
     rows = stored(rows.withColumn("bucket", F.pmod(F.col("key"), F.lit(BUCKETS))), "linked")
     start = F.pmod(F.xxhash64("doc_id", "nth"), F.lit(shards)).cast("int")
     linked = propagate(rows.where("large is not null").withColumn("shard", start), groups, shards, capacity, rounds)
-    # small groups that quotas have left apart give up their places and fill in as wholes, by key
-    apart = linked.where("not large").groupBy("key").agg((F.min("shard") < F.max("shard")).alias("apart")).where("apart")
-    linked = stored(linked.join(apart, "key", "left"), "rounds")
-    loose = linked.where("apart is not null").drop("apart", "shard")
-    held = stored(_running(linked.where("apart is null").drop("apart"), ["shard"], F.col("size"), "upto"), "held")
-    keeps = (F.col("upto") + F.col("size")) <= F.lit(capacity)
+    held = stored(_running(stored(linked, "rounds"), ["shard"], F.col("size"), "upto"), "held")
+    end = F.col("upto") + F.col("size")
+    whole = held.where("not large").withColumn("end", F.max(end).over(Window.partitionBy("shard", "key")))  # of small groups; they lose their place as wholes
+    held = whole.unionByName(held.where("large").withColumn("end", end))
+    keeps = F.col("end") <= F.lit(capacity)
     used = {r.shard: r.w for r in held.where(keeps).groupBy("shard").agg(F.sum("size").alias("w")).collect()}  # one row per shard
-    free = rows.where("large is null").unionByName(held.where(~keeps).drop("shard", "upto")).unionByName(loose)
+    free = rows.where("large is null").unionByName(held.where(~keeps).drop("shard", "upto", "end"))
     edges, at = [], 0.0
     for t in range(shards - 1):
         at += max(0.0, capacity - used.get(t, 0))
@@ -92,7 +99,7 @@ def balanced_shards(documents: DataFrame, shards: int = 8, rounds: int = 3) -> D
     line = _running(free.withColumn("one", F.lit(0)), ["one"], F.col("size"), "upto")
     middle = F.col("upto") + F.col("size") / 2
     filled = line.withColumn("shard", sum((F.when(middle >= F.lit(x), 1).otherwise(0) for x in edges), F.lit(0)))
-    placed = stored(held.where(keeps).drop("upto").unionByName(filled.drop("upto", "one")), "placed")
+    placed = stored(held.where(keeps).drop("upto", "end").unionByName(filled.drop("upto", "one")), "placed")
     slots = _running(placed, ["shard"], F.lit(1).cast("long"), "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

@@ -473,6 +473,19 @@ def test_sharding_keeps_groups_together(spark):
     assert np.mean([len(s) > 1 for s in shards.values()]) < 0.2
 
 
+def test_sharding_is_the_work_of_propagation(spark):
+    data = [(i, f"g{i % 500} " * 20 if i < 1500 else f"own {i} " * 15, "en", "s", 1) for i in range(4000)]
+    docs, text, cut = spark.createDataFrame(data, SCHEMA), {r[0]: r[1] for r in data}, {}
+    for rounds in (0, 1, 8):
+        shards, size = collections.defaultdict(set), collections.Counter()
+        for r in sharding.balanced_shards(docs, rounds=rounds).collect():
+            shards[text[r.doc_id]].add(r.shard)
+            size[r.shard] += r["size"]
+        cut[rounds] = sum(len(s) > 1 for s in shards.values())
+        assert max(size.values()) - min(size.values()) <= 2 * 300
+    assert cut[0] > 450 and cut[8] <= 8 and cut[8] <= cut[1] < cut[0] / 4
+
+
 def test_warc(spark):
     big, small = "<p>é" + "x" * 200, "tiny"
     data = [(1, "http://a/ b\n", big), (2, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", ""), (0, "u", "y" * 100), (7, "u", "y" * 100), (7, "u", "y" * 100), (None, "u", big)]
