@@ -400,6 +400,72 @@ def resample_nearest(vox: DataFrame, source: tuple[int, int, int], target: tuple
     return out
 
 
+def _reach(k: str, order: int) -> Column:
+    """Array of (_i, _w): the target indices that an axis' source index reaches and their whole weights, of a sum of max(m - 1, 1) each for order 1.
+
+    Target i stands at i * (n - 1) / (m - 1) of the source axis, as the corners
+    of both grids coincide. Everything is whole numbers, so no rounding decides.
+    """
+    n, m, s = (F.col(c).cast("long") for c in ("_n" + k, "_m" + k, k))
+    d = F.greatest(m - 1, F.lit(1))
+    step = F.greatest(n - 1, F.lit(1))
+    low = F.when(n > 1, F.greatest(F.floor((s - 1) * d / step), F.lit(0))).otherwise(0)
+    high = F.when(n > 1, F.least(F.ceil((s + 1) * d / step), m - 1)).otherwise(m - 1)
+    near = F.when((s >= 0) & (s < n) & (low <= high), F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    if order == 0:
+        weight = lambda i: F.when(F.floor((i * (n - 1) * 2 + d) / (d * 2)) == s, 1).otherwise(0)
+    else:
+        weight = lambda i: F.greatest(d - F.abs(i * (n - 1) - s * d), F.lit(0))
+    return F.filter(F.transform(near, lambda i: F.struct(i.cast("int").alias("_i"), weight(i).cast("long").alias("_w"))), lambda t: t["_w"] > 0)
+
+
+def resample(vox: DataFrame, shapes: DataFrame, values: tuple[str, ...], order: int = 1) -> DataFrame:
+    """case_id, x, y, z and values on each case's own target grid: order 0 takes the nearest voxel, order 1 is linear in all three axes.
+
+    shapes: case_id, source and target (arrays of the three lengths). Coordinates
+    count from 0. A voxel that is not listed, or whose value is null, is 0; rows
+    outside the source grid, repeated rows of a case in `shapes` and cases without
+    lengths are left out (of repeated rows the smallest lengths stay). A row comes out for every target voxel that a
+    listed voxel reaches with a weight above 0. Order 1 sums value * whole weight
+    and divides once, so whole numbers give the same digits in any order of rows.
+
+    Axis by axis: a voxel spreads to 2 m / n places of a row of the grid and is
+    added up there before the next axis, not to their cube. The first two axes need
+    one shuffle by slice, the third one more; no key is larger than a slice.
+    """
+    if order not in (0, 1):
+        raise ValueError("order is 0 (nearest) or 1 (linear)")
+    lengths = F.struct(*[F.col(side)[j].alias(f"_{c}{k}") for side, c in (("source", "n"), ("target", "m")) for j, k in enumerate(XYZ)])
+    per = shapes.where(F.size("source") == 3).where(F.size("target") == 3).groupBy("case_id").agg(F.min(lengths).alias("_s")).select("case_id", "_s.*")
+    ends = [F.col(f"_m{k}") for k in XYZ]
+    rows = vox.select("case_id", *XYZ, *values).join(per, "case_id").repartition("case_id", "z")
+    names = [c for c in rows.columns if c not in XYZ and c not in values]
+    for k in XYZ:
+        rows = rows.select("*", F.inline(_reach(k, order)))
+        if order == 0:
+            rows = rows.withColumn(k, F.col("_i")).drop("_i", "_w")
+            continue
+        here = [F.col("_i").alias(k) if c == k else F.col(c) for c in XYZ]
+        rows = rows.groupBy(*names, *here).agg(*[F.sum(F.coalesce(F.col(v), F.lit(0)) * F.col("_w")).alias(v) for v in values])
+    whole = F.lit(1)
+    for m in ends:
+        whole = whole * F.greatest(m.cast("long") - 1, F.lit(1))
+    out = [F.coalesce(F.col(v), F.lit(0)).alias(v) if order == 0 else (F.col(v) / whole).alias(v) for v in values]
+    return rows.select("case_id", *XYZ, *out)
+
+
+def to_training_grid(labels: DataFrame, boxes: DataFrame, target: DataFrame, value: str) -> DataFrame:
+    """case_id, x, y, z, value: a label volume with axes reversed, cut to its case's box and taken to the shape of the case's image.
+
+    boxes as for `crop`, in the reversed axes; target: case_id, target (array of
+    three). A box as large as the target is only cut. Voxels of value 0 or null
+    are left out, as the table is sparse.
+    """
+    cut = crop(permute_axes(labels.select("case_id", *XYZ, value).where(F.col(value) != 0), (2, 1, 0)), boxes)
+    size = F.array(*[F.col(k + "1") - F.col(k + "0") for k in XYZ])
+    return resample(cut, boxes.select("case_id", size.alias("source")).join(target, "case_id"), (value,), order=0)
+
+
 def permute_axes(vox: DataFrame, order: tuple[int, int, int]) -> DataFrame:
     """Axis j of the result is axis order[j] of the input."""
     return vox.withColumns({XYZ[j]: F.col(XYZ[i]) for j, i in enumerate(order)})

@@ -420,15 +420,28 @@ def t10(spark, d):
     return _r(T.paired_t(_arm_pairs(spark, d).where("metric = 'false_pos_vol'"), ["k", "metric"], sign=T.direction()).drop("metric"))
 
 
-@query("s1_s2_split_files", SPL + ", p as (select split_id, role, cast(row_number() over (partition by split_id, role order by case_id) - 1 as int) as pos, filename as case from fx_splits) select * from p".replace("as case from", 'as "case" from'))
-def s1(spark, d):
+def _split_rows(spark, d):
     from pyspark.sql import Window
 
     rows = fixture(spark, d, "fx_splits").withColumn("pos", F.row_number().over(Window.partitionBy("split_id", "role").orderBy("case_id")) - 1)
-    S.write_splits(rows.select("split_id", "role", "pos", F.col("filename").alias("case")), path := S.scratch(spark, "splits"))
+    return rows.select("split_id", "role", "pos", F.col("filename").alias("case"))
+
+
+SPLIT_ROWS = SPL + ', p as (select split_id, role, cast(row_number() over (partition by split_id, role order by case_id) - 1 as int) as pos, filename as "case" from fx_splits) select * from p'
+
+
+@query("s1_s2_split_files", SPLIT_ROWS)
+def s1(spark, d):
+    S.write_splits(_split_rows(spark, d), path := S.scratch(spark, "splits"))
     return S.read_splits(spark, path)
 
 
+@query("s2_split_parts", SPLIT_ROWS)
+def s2_parts(spark, d):
+    S.write_split_parts(_split_rows(spark, d), path := S.scratch(spark, "split-parts"))
+    return S.read_split_parts(spark, path)
+
+
 @query("s3_read_summaries", "select 1::int as dataset, 'test' as split, (event_id % 3)::int as fold, 'fdg_' || event_id as \"case\", cast(regexp_extract(props, '\"k\": *(\\d+)', 1) as bigint) as tp, event_id % 7 as fp, event_id % 5 as fn, case when event_id % 3 = 0 then null else 0.5::double end as dice, 0.25::double as foreground_dice from events")
 def s3(spark, d):
     e = fixture(spark, d, "events")

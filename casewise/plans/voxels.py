@@ -278,6 +278,32 @@ def v25(spark, d):
     return V.resample_nearest(_vox(spark, d).select("case_id", "x", "y", "z", "ts"), SHAPE, (8, 8, 4), (0, 0, 1))
 
 
+@query("v25_resample_linear", VOX + """, sh as (select distinct case_id, [16, 16, 7] as n, case case_id % 3 when 0 then [8, 8, 4] when 1 then [21, 16, 13] else [5, 1, 7] end as m from fx_vox),
+ax as (select case_id, k, i, i * (n[k] - 1) // greatest(m[k] - 1, 1) as lo, i * (n[k] - 1) % greatest(m[k] - 1, 1) as r, greatest(m[k] - 1, 1) as d from sh, range(1, 4) a(k), range(21) b(i) where i < m[k]),
+w as (select case_id, k, i, lo as s, d - r as w, d from ax union all select case_id, k, i, lo + 1, r, d from ax where r > 0)
+select v.case_id, cast(a.i as int) as x, cast(b.i as int) as y, cast(c.i as int) as z, cast(sum(v.p1_pct * a.w * b.w * c.w) as double) / max(a.d * b.d * c.d) as p1, cast(sum(v.gt * a.w * b.w * c.w) as double) / max(a.d * b.d * c.d) as gt
+from fx_vox v join w a on a.case_id = v.case_id and a.k = 1 and a.s = v.x join w b on b.case_id = v.case_id and b.k = 2 and b.s = v.y join w c on c.case_id = v.case_id and c.k = 3 and c.s = v.z - 1 group by 1, 2, 3, 4""")
+def v25_linear(spark, d):
+    v = _vox(spark, d).select("case_id", "x", "y", (F.col("z") - 1).alias("z"), F.col("p1_pct").alias("p1"), "gt")
+    triple = lambda *n: F.array(*[F.lit(k) for k in n])
+    target = F.when(F.col("case_id") % 3 == 0, triple(8, 8, 4)).when(F.col("case_id") % 3 == 1, triple(21, 16, 13)).otherwise(triple(5, 1, 7))
+    shapes = v.select("case_id").distinct().select("case_id", triple(*SHAPE).alias("source"), target.alias("target"))
+    return V.resample(v, shapes, ("p1", "gt"))
+
+
+@query("v25_training_grid", VOX + """, bx as (select distinct case_id, case_id % 2 as z0, 6 + case_id % 2 as z1, 2 as y0, 12 + case_id % 5 as y1, case_id % 3 as x0, 16 as x1, [9 + case_id % 4, 11, 10] as m from fx_vox),
+sh as (select *, [z1 - z0, y1 - y0, x1 - x0] as n from bx),
+ax as (select case_id, k, i, cast(floor((2 * i * (n[k] - 1) + greatest(m[k] - 1, 1)) / (2 * greatest(m[k] - 1, 1))) as int) as s from sh, range(1, 4) a(k), range(12) b(i) where i < m[k])
+select v.case_id, cast(a.i as int) as x, cast(b.i as int) as y, cast(c.i as int) as z, v.ts from fx_vox v join sh on sh.case_id = v.case_id and v.x >= x0 and v.x < x1 and v.y >= y0 and v.y < y1 and v.z - 1 >= z0 and v.z - 1 < z1
+join ax a on a.case_id = v.case_id and a.k = 1 and a.s = v.z - 1 - z0 join ax b on b.case_id = v.case_id and b.k = 2 and b.s = v.y - y0 join ax c on c.case_id = v.case_id and c.k = 3 and c.s = v.x - x0""")
+def v25_grid(spark, d):
+    v = _vox(spark, d).select("case_id", "x", "y", (F.col("z") - 1).alias("z"), "ts")
+    case = F.col("case_id").cast("int")
+    cases = v.select("case_id").distinct()
+    boxes = cases.select("case_id", (case % 2).alias("x0"), (case % 2 + 6).alias("x1"), F.lit(2).alias("y0"), (case % 5 + 12).alias("y1"), (case % 3).alias("z0"), F.lit(16).alias("z1"))
+    return V.to_training_grid(v, boxes, cases.select("case_id", F.array(case % 4 + 9, F.lit(11), F.lit(10)).alias("target")), "ts")
+
+
 @query("v26_permute_axes", VOX + " select case_id, z as x, y, x as z, gt from fx_vox")
 def v26(spark, d):
     return V.permute_axes(_vox(spark, d), (2, 1, 0)).select("case_id", "x", "y", "z", "gt")

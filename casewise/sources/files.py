@@ -53,6 +53,26 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("split_id", "role", F.posexplode("cases").alias("pos", "case"))
 
 
+def write_split_parts(splits: DataFrame, path: str, block: int = 10_000) -> None:
+    """Long rows (split_id, role, pos, case) as JSON lines in a folder for each split: split_id=<n>/, lines of role, first place and up to `block` cases in order.
+
+    The form for splits of any size: no row holds more than a block, and a reader
+    of one split opens its folder only. The one document of `write_splits` stays
+    for readers that ask for it.
+    """
+    first = (F.floor(F.col("pos") / block) * block).cast("long").alias("first")
+    places = F.array_sort(F.collect_list(F.struct("pos", "case")))
+    lines = splits.groupBy("split_id", "role", first).agg(places.alias("p"))
+    lines.select("split_id", "role", F.transform("p", lambda x: x["pos"] - F.col("first")).alias("places"), "first", F.transform("p", lambda x: x["case"]).alias("cases")).write.partitionBy("split_id").option("ignoreNullFields", False).json(path)
+
+
+def read_split_parts(spark: SparkSession, path: str) -> DataFrame:
+    """split_id, role, pos, case from the folders of `write_split_parts`, as `read_splits` gives them; gaps between places are kept."""
+    rows = spark.read.schema("role string, places array<int>, first long, cases array<string>, split_id int").json(path)
+    each = rows.select("split_id", "role", "first", F.explode(F.arrays_zip("places", "cases")).alias("c"))
+    return each.select("split_id", "role", (F.col("first") + F.col("c.places")).cast("int").alias("pos"), F.col("c.cases").alias("case"))
+
+
 def parse_summaries(text: Column) -> Column:
     """Model summary JSON as a struct; NaN becomes null on use."""
     return F.from_json(text, f"struct<{SUMMARY.replace(' map', ':map').replace(' array', ':array').replace(', metric', ',metric')}>", {"allowNonNumericNumbers": "true"})

@@ -12,6 +12,7 @@ from casewise.functions import stats
 from casewise.functions.names import case_key, tracer_of
 from casewise.operators import paired, selection, voxels
 from casewise.operators.ordering import quantile_group
+from casewise.sources import files
 
 
 def vox(spark, cells):
@@ -381,3 +382,59 @@ def test_wins_go_by_the_metric_s_direction(spark):
     assert volume.p_better == pytest.approx(2**-12) and dice.p_better == pytest.approx(2**-11) and volume.p == pytest.approx(2 * volume.p_better)
     assert ("false_pos_vol", "FDG/healthy") not in out
     assert out["false_pos_vol", "healthy (all)"].n == 4 and out["false_pos_vol", "healthy (all)"].p_better is None
+
+
+def dense_linear(a, target):
+    """Linear interpolation of a dense array, one axis after another, by numpy.interp on coinciding corners."""
+    for axis, m in enumerate(target):
+        n = a.shape[axis]
+        at = np.arange(m) * ((n - 1) / (m - 1)) if m > 1 else np.zeros(1)
+        a = np.apply_along_axis(lambda line: np.interp(at, np.arange(n), line), axis, a)
+    return a
+
+
+def dense_nearest(a, target):
+    for axis, m in enumerate(target):
+        n = a.shape[axis]
+        a = np.take(a, [(2 * i * (n - 1) + max(m - 1, 1)) // (2 * max(m - 1, 1)) for i in range(m)], axis)
+    return a
+
+
+GRIDS = [((4, 5, 3), (7, 5, 2)), ((4, 5, 3), (1, 11, 3)), ((1, 6, 2), (5, 3, 9)), ((3, 1, 1), (2, 1, 4)), ((9, 2, 7), (4, 2, 13))]
+
+
+@pytest.mark.parametrize("order", [0, 1])
+def test_resampled_grids_against_numpy(spark, order):
+    rng = np.random.default_rng(3)
+    volumes = {f"case_{i}": rng.integers(0, 6, n) for i, (n, _) in enumerate(GRIDS)}
+    rows = [(c, x, y, z, int(v), float(v) / 4, "extra") for c, a in volumes.items() for (x, y, z), v in np.ndenumerate(a) if v]
+    rows += [("case_0", 9, 0, 0, 5, 5.0, "outside"), ("case_0", -1, 0, 0, 5, 5.0, "outside"), ("no_shape", 0, 0, 0, 5, 5.0, "")]
+    cells = spark.createDataFrame(rows, "case_id string, x int, y int, z int, v long, f double, i string")
+    shapes = spark.createDataFrame([(f"case_{i}", list(n), list(m)) for i, (n, m) in enumerate(GRIDS)] * 2 + [("no_voxels", [2, 2, 2], [3, 3, 3]), ("no_shape", None, [1, 1, 1])], "case_id string, source array<int>, target array<int>")
+    got = {(r.case_id, r.x, r.y, r.z): (r.v, r.f) for r in voxels.resample(cells, shapes, ("v", "f"), order).collect()}
+    way = dense_linear if order else dense_nearest
+    want = {}
+    for i, (_, m) in enumerate(GRIDS):
+        a = way(volumes[f"case_{i}"].astype(float), m)
+        want |= {(f"case_{i}", *p): v for p, v in np.ndenumerate(a) if v > 1e-12}
+    assert set(got) == set(want)
+    assert all(abs(got[k][0] - want[k]) < 1e-9 and abs(got[k][1] - want[k] / 4) < 1e-9 for k in want)
+
+
+def test_resampling_of_nothing_and_nulls(spark):
+    cells = spark.createDataFrame([("a", 0, 0, 0, None), ("a", 1, 0, 0, 4)], "case_id string, x int, y int, z int, v int")
+    shapes = spark.createDataFrame([("a", [2, 1, 1], [3, 1, 1])], "case_id string, source array<int>, target array<int>")
+    assert sorted((r.x, r.v) for r in voxels.resample(cells, shapes, ("v",)).collect()) == [(0, 0.0), (1, 2.0), (2, 4.0)]
+    assert sorted((r.x, r.v) for r in voxels.resample(cells, shapes, ("v",), 0).collect()) == [(0, 0), (1, 4), (2, 4)]
+    assert voxels.resample(cells.limit(0), shapes, ("v",)).count() == 0
+    with pytest.raises(ValueError):
+        voxels.resample(cells, shapes, ("v",), 3)
+
+
+def test_split_parts_keep_places_and_blocks(spark, tmp_path):
+    rows = [(s, role, p, f"c{s}_{p}" if p != 7 else None) for s in range(3) for role, n in (("train", 25), ("val", 3)) for p in range(n) if p != 12]
+    files.write_split_parts(spark.createDataFrame(rows, "split_id int, role string, pos int, case string"), str(tmp_path / "parts"), block=10)
+    back = files.read_split_parts(spark, str(tmp_path / "parts"))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    lines = spark.read.schema("cases array<string>").json(str(tmp_path / "parts")).selectExpr("size(cases) n").collect()
+    assert max(r.n for r in lines) == 10 and len(lines) == 3 * 4
