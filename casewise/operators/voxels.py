@@ -424,21 +424,24 @@ def resample(vox: DataFrame, shapes: DataFrame, values: tuple[str, ...], order:
 
     shapes: case_id, source and target (arrays of the three lengths). Coordinates
     count from 0. A voxel that is not listed, or whose value is null, is 0; rows
-    outside the source grid, repeated rows of a case in `shapes` and cases without
-    lengths are left out (of repeated rows the smallest lengths stay). A row comes out for every target voxel that a
-    listed voxel reaches with a weight above 0. Order 1 sums value * whole weight
+    outside the source grid and cases without lengths are left out; of several
+    lengths for a case the smallest hold. A row comes out for every target voxel
+    that a listed voxel reaches with a weight above 0. Order 1 sums value * whole weight
     and divides once, so whole numbers give the same digits in any order of rows.
 
     Axis by axis: a voxel spreads to 2 m / n places of a row of the grid and is
     added up there before the next axis, not to their cube. The first two axes need
-    one shuffle by slice, the third one more; no key is larger than a slice.
+    one shuffle by slice, the third one more; no key is larger than a slice. Order 0
+    adds nothing up and needs no shuffle beyond that of the lengths.
     """
     if order not in (0, 1):
         raise ValueError("order is 0 (nearest) or 1 (linear)")
     lengths = F.struct(*[F.col(side)[j].alias(f"_{c}{k}") for side, c in (("source", "n"), ("target", "m")) for j, k in enumerate(XYZ)])
     per = shapes.where(F.size("source") == 3).where(F.size("target") == 3).groupBy("case_id").agg(F.min(lengths).alias("_s")).select("case_id", "_s.*")
     ends = [F.col(f"_m{k}") for k in XYZ]
-    rows = vox.select("case_id", *XYZ, *values).join(per, "case_id").repartition("case_id", "z")
+    rows = vox.select("case_id", *XYZ, *values).join(per, "case_id")
+    if order == 1:
+        rows = rows.repartition("case_id", "z")
     names = [c for c in rows.columns if c not in XYZ and c not in values]
     for k in XYZ:
         rows = rows.select("*", F.inline(_reach(k, order)))
