@@ -7,7 +7,12 @@ budget is within the share of at least one block. So every block is
 range-joined on its own: vectors go to the grid cell of the block's first
 coordinates and, as guests, to every cell within the block's radius; inside a
 cell the whole block's distance is compared, and the union of the candidates
-is verified in double precision on the vectors as given.
+is verified exactly: copies carry the turned vector in 16 bits a coordinate,
+whose rounding moves a distance by at most a known amount. Pairs further than
+that from the threshold are decided by it; the vectors of the others' members
+are fetched, and those pairs are decided in double precision on the vectors as
+given. A vector has ``most_blocks`` blocks at most, wider ones where it is long, so
+its copies do not grow with its length.
 
 Pairs never become rows: a pair is decided where the vector with the smaller
 number is at home, in the first block whose share it keeps, and a cell
@@ -130,17 +135,23 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Layout:
     """How vectors of any length are turned, cut into blocks and put into cells; travels to the tasks."""
 
-    def __init__(self, budget: float, block_dims: int, grid_dims: int) -> None:
-        self.budget, self.block_dims, self.grid_dims = budget, block_dims, grid_dims
+    def __init__(self, budget: float, block_dims: int, grid_dims: int, most_blocks: int = 8) -> None:
+        self.budget, self.block_dims, self.grid_dims, self.most_blocks = budget, block_dims, grid_dims, most_blocks
 
     def bounds(self, dims: int) -> list[tuple[int, int]]:
-        return [(s, min(dims, s + self.block_dims)) for s in range(0, dims, self.block_dims)]
+        width = max(self.block_dims, -(-dims // self.most_blocks))
+        return [(s, min(dims, s + width)) for s in range(0, dims, width)]
 
     def shares(self, dims: int) -> list[float]:
         return [self.budget * (e - s) / dims + SLACK for s, e in self.bounds(dims)]
 
-    def placed(self, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, bool]]:
-        """(their places in the batch, raw and turned vectors of one length, block, of these the rows that reach some cells, those cells, whether they are home)."""
+    def certain(self, dims: int) -> tuple[float, float]:
+        """Squared distances of turned vectors in 16 bits up to which a pair is within the budget, and above which it is not."""
+        most = sqrt(dims) / SCALE + 1e-9  # each vector is within half a step of its own in every coordinate
+        return max(0.0, sqrt(self.budget) - most) ** 2, (sqrt(self.budget) + most) ** 2
+
+    def placed(self, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, bool]]:
+        """(their places in the batch, turned vectors of one length, block, of these the rows that reach some cells, those cells, whether they are home)."""
         lens = np.asarray([len(v) for v in vectors])
         for dims in np.unique(lens).tolist():
             at = np.flatnonzero(lens == dims)
@@ -151,7 +162,7 @@ class Layout:
             for b, ((s, e), share) in enumerate(zip(self.bounds(dims), self.shares(dims), strict=True)):
                 for rows, cell, home in _cells(turned[:, s:e][:, : self.grid_dims] / SCALE, sqrt(share), 2 * sqrt(share)):
                     if len(rows):
-                        yield at, raw, turned, b, rows, _cell_names(cell, dims, b), home
+                        yield at, turned, b, rows, _cell_names(cell, dims, b), home
 
 
 def _cell_sizes(found: DataFrame, layout: Layout) -> DataFrame:
@@ -166,14 +177,14 @@ def _cell_sizes(found: DataFrame, layout: Layout) -> DataFrame:
     return found.select("embedding").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _laid_out(found: DataFrame, budget: float, block_dims: int, most_grid_dims: int, chunk: int) -> tuple[Layout, dict[int, int]]:
+def _laid_out(found: DataFrame, budget: float, block_dims: int, most_grid_dims: int, chunk: int, most_blocks: int) -> tuple[Layout, dict[int, int]]:
     """The layout that makes fewest rows, and the parts of cells that hold more than a chunk.
 
     Cells are few by geometry: at most (1 / radius + 1) ** grid_dims a block.
     """
     best = None
     for grid_dims in range(2, most_grid_dims + 1):
-        layout = Layout(budget, block_dims, grid_dims)
+        layout = Layout(budget, block_dims, grid_dims, most_blocks)
         sizes = stored(_cell_sizes(found, layout), "cells")
         made = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / chunk))).first()[0] or 0
         if best and made >= best[0]:
@@ -185,7 +196,7 @@ def _laid_out(found: DataFrame, budget: float, block_dims: int, most_grid_dims:
     return best[1], {r.cell: r.parts for r in parts.collect()}
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int = 16, most_grid_dims: int = 3, chunk: int = 32_768) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int = 16, most_grid_dims: int = 3, chunk: int = 32_768, most_blocks: int = 8) -> DataFrame:
     """vec_id, n_links, component_id, kept, class_id: one row per vector; links join vectors whose cosine is at least `cosine`."""
     value = F.col("embedding").cast("array<double>")
     finite = F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(value, lambda v: v != 0)
@@ -195,34 +206,36 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int =
     classes = rows.groupBy("c").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"), F.any_value("embedding").alias("embedding"))
     classes = stored(classes, "classes")
     found = classes.where("embedding is not null")
-    layout, parts = _laid_out(found, 2 - 2 * cosine, block_dims, most_grid_dims, chunk)
+    layout, parts = _laid_out(found, 2 - 2 * cosine, block_dims, most_grid_dims, chunk, most_blocks)
     parts = embeddings.sparkSession.sparkContext.broadcast(parts)
-    given = np.float32 if dict(embeddings.dtypes)["embedding"] == "array<float>" else np.float64
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, size = (batch.column(k).to_numpy() for k in (0, 1))
-            for at, raw, turned, b, rows_, names, home in layout.placed(batch.column(2)):
+            for at, turned, b, rows_, names, home in layout.placed(batch.column(2)):
                 many = np.asarray([parts.value.get(k, 1) for k in names.tolist()])
                 own = ids[at[rows_]] % many
                 for other in range(int(many.max())):  # a part of a large cell meets itself and every other
                     k = np.flatnonzero(other < many)
-                    raw_, turned_ = (_bytes_of(x[rows_[k]]) for x in (raw.astype(given), turned))
                     columns = {"cell": names[k], "i": np.minimum(own[k], other), "j": np.maximum(own[k], other), "own": own[k], "b": np.full(len(k), b), "home": np.full(len(k), home)}
-                    columns |= {"c": ids[at[rows_[k]]], "size": size[at[rows_[k]]], "raw": raw_, "turned": turned_}
+                    columns |= {"c": ids[at[rows_[k]]], "size": size[at[rows_[k]]], "turned": _bytes_of(turned[rows_[k]])}
                     yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "cell long, i long, j long, own long, b long, home boolean, c long, size long, raw binary, turned binary"
-    placed = found.select("c", "size", "embedding").mapInArrow(place, schema)
+    member = "cell long, i long, j long, own long, b long, home boolean, c long, size long, turned binary"
+    names = ["links", "root", *(f.split()[0] for f in member.split(", "))]
+    placed = found.select("c", "size", "embedding").mapInArrow(place, member)
 
     def join(t: pa.Table) -> pa.Table:
+        """Links of a cell. Where members come without their vectors: those that 16 bits decide, and (links is null) the members of the pairs left open."""
         t = t.sort_by("c")
         home, ids, size, own = (t.column(k).to_numpy() for k in ("home", "c", "size", "own"))
         b, i, j = (t.column(k)[0].as_py() for k in ("b", "i", "j"))
-        raw, turned = _rows_of(t.column("raw"), given), _rows_of(t.column("turned"), "<i2")
-        bounds, share = layout.bounds(raw.shape[1]), layout.shares(raw.shape[1])
+        turned, whole = _rows_of(t.column("turned"), "<i2"), "embedding" in t.column_names
+        raw = np.asarray(t.column("embedding").to_pylist(), np.float64) if whole else None
+        dims = turned.shape[1]
+        bounds, share, (sure, most) = layout.bounds(dims), layout.shares(dims), layout.certain(dims)
         block = (turned[:, slice(*bounds[b])] / SCALE).astype(np.float32)
-        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        links, parent, unsure = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(len(ids), bool)
         sides = [(home, np.ones(len(ids), bool))] if i == j else [(home & (own == x), own == y) for x, y in ((i, j), (j, i))]
         for homes, others in (map(np.flatnonzero, x) for x in sides):
             for left, right in _close(block, homes, others, share[b] + SLACK) if len(homes) else ():
@@ -232,15 +245,29 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, block_dims: int =
                     d = ((turned[left, s:e].astype(np.int64) - turned[right, s:e]) ** 2).sum(axis=1) / SCALE**2
                     keep = d <= share[k] if k == b else d > share[k]
                     left, right = left[keep], right[keep]
-                if len(left):
+                if not len(left):
+                    continue
+                d = ((turned[left].astype(np.int64) - turned[right]) ** 2).sum(axis=1) / SCALE**2
+                between = (d > sure) & (d <= most)
+                if whole:
+                    left, right = left[between], right[between]
                     linked = _cosines(raw[left], raw[right]) >= cosine
-                    left, right = left[linked], right[linked]
-                    links += (np.bincount(left, size[right], len(ids)) + np.bincount(right, size[left], len(ids))).astype(np.int64)
-                    _union(parent, left, right)
+                else:
+                    unsure[left[between]] = unsure[right[between]] = True
+                    linked = d <= sure
+                left, right = left[linked], right[linked]
+                links += (np.bincount(left, size[right], len(ids)) + np.bincount(right, size[left], len(ids))).astype(np.int64)
+                _union(parent, left, right)
         hit = np.flatnonzero(links)
-        return pa.table({"c": ids[hit], "links": links[hit], "root": ids[parent[hit]]})
-
-    links = stored(placed.groupBy("cell", "i", "j").applyInArrow(join, "c long, links long, root long"), "links")
+        out = pa.table({"c": ids[hit], "links": links[hit], "root": ids[parent[hit]]})
+        waiting = t.take(pa.array(np.flatnonzero(unsure)))
+        return pa.concat_tables([out, waiting], promote_options="default").select(names)
+
+    result = f"links long, root long, {member}"
+    links = stored(placed.groupBy("cell", "i", "j").applyInArrow(join, result), "links")
+    waiting = links.where("links is null").drop("links", "root").join(found.select("c", "embedding"), "c")
+    more = stored(waiting.groupBy("cell", "i", "j").applyInArrow(join, result), "links")
+    links = links.unionByName(more).where("links is not null").select("c", "links", "root")
     counts = links.groupBy("c").agg(F.sum("links").alias("links"))
     groups = stored(connected(links, "c", "root").select(F.col("id").alias("c"), F.col("component_id").alias("component")), "groups")
     low = groups.join(classes.select("c", "class_id"), "c").groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -5,11 +5,14 @@ hash is a difference of two entries, any two spans compare in constant time,
 and the longest common extension of two positions is a binary search. The
 fingerprint of a text is its length, its whole hash under two bases, and for
 each of 64 classes of span hashes the least member: equal slots estimate the
-share of common spans.
+share of common spans. Texts of fewer than 256 code points have the least
+members of short spans too, by which two such texts are compared: an edit leaves
+few long spans of a short text whole.
 
 Defined results: null is the empty text; two empty texts are alike (1.0), an
 empty and a non-empty one are not (0.0); texts shorter than a span are one
-span; rows with equal doc_id follow one another in order of their text's hash;
+span; texts of any length are hashed whole, a block of spans at a time; equal
+texts (ties) have equal fingerprints; rows with equal doc_id follow one another in order of their text's hash;
 a null doc_id comes last; one row alone is its own next document; an empty
 table gives no rows; further columns are ignored.
 """
@@ -30,6 +33,8 @@ from casewise.llm.common import table
 PRIME = (1 << 31) - 1
 BASES = (1_000_003_579, 748_932_203)
 SPAN, SLOTS, BLOCK = 32, 64, 1 << 18
+#: The span for texts of fewer code points than SHORT_TEXT.
+SHORT_SPAN, SHORT_TEXT = 4, 256
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 BUCKET_LIMIT = 4096
 
@@ -97,24 +102,30 @@ class Prefix:
             out = np.minimum(out, got)
         return out
 
-    def sketch(self) -> np.ndarray:
+    def sketch(self, span: int = SPAN) -> np.ndarray:
         if self.n == 0:
             return np.full(SLOTS, EMPTY)
-        return self.least(0, max(1, self.n - SPAN + 1), min(SPAN, self.n))
+        return self.least(0, max(1, self.n - span + 1), min(span, self.n))
+
+
+def slots(sketch: np.ndarray) -> str:
+    return "".join("...." if x == EMPTY else f"{int(x) >> 20 & 0xFFFF:04x}" for x in sketch)
 
 
 def written(p: Prefix, sketch: np.ndarray) -> str:
-    """length, whole hash, and four hexadecimal digits for each slot; .... where a slot has no span."""
+    """length, whole hash, and four hexadecimal digits for each slot, .... where a slot has no span; for a short text the slots of short spans too."""
     whole = "".join(f"{x:08x}" for x in p.span(0, p.n))
-    slots = "".join("...." if x == EMPTY else f"{int(x) >> 20 & 0xFFFF:04x}" for x in sketch)
-    return f"{p.n:x}-{whole}-{slots}"
+    short = f"-{slots(p.sketch(SHORT_SPAN))}" if p.n < SHORT_TEXT else ""
+    return f"{p.n:x}-{whole}-{slots(sketch)}{short}"
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1 from two fingerprints: 1 where they are equal, else the share of equal slots among those either fills."""
+    """0 to 1 from two fingerprints: 1 where they are equal, else the share of equal slots among those either fills; of short spans where both have them."""
     if a == b:
         return 1.0
-    x, y = a.rpartition("-")[2], b.rpartition("-")[2]
+    x, y = (f.split("-")[2:] for f in (a, b))
+    k = min(len(x), len(y)) - 1
+    x, y = x[k], y[k]
     pairs = [(x[k : k + 4], y[k : k + 4]) for k in range(0, 4 * SLOTS, 4)]
     filled = [p for p in pairs if p != ("....", "....")]
     return sum(p[0] == p[1] for p in filled) / len(filled) if filled else 0.0

@@ -14,7 +14,8 @@ whole text. Labels come from the learning folds alone.
 
 Defined results: null and empty texts score by the intercept alone; without
 confirmed toxic rows every score is the prior (0.0 where there is no label at
-all); repeated rows score alike; a null label counts as unlabelled; an empty
+all); repeated rows score alike; a score equal to the
+threshold (ties) is predicted 1; texts of any length are counted whole; a null label counts as unlabelled; an empty
 table gives no rows; only doc_id and text are read from the documents.
 """
 

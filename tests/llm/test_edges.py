@@ -121,6 +121,27 @@ def test_embedding_links_are_all_found(spark):
         assert {r.vec_id: r.n_links for r in got if r.vec_id} == {i: n for i, n in enumerate(want.tolist()) if i % 7}
 
 
+def test_long_vectors_have_few_copies_and_exact_links(spark, monkeypatch):
+    """768 dimensions, pairs at the threshold (a cosine of 0.95 to the last digits) and beside it, against direct cosines."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(rng.normal(size=(120, 768)))
+    other = rng.normal(size=base.shape)
+    other = unit(other - (other * base).sum(axis=1, keepdims=True) * base)
+    cosine = 0.95 + np.linspace(-3e-4, 3e-4, 120)[:, None]
+    cosine[::4] = 0.95
+    v = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * other])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    written, exact = [], embeddings.stored
+    monkeypatch.setattr(embeddings, "stored", lambda d, name="stored": written.append(exact(d, name)) or written[-1])
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    same = lambda a, b: int(embeddings._cosines(a[None], b[None])[0] >= 0.95)
+    assert got == {i: same(v[i % 120], v[i % 120 + 120]) for i in range(240)} and 0 < sum(got.values()) < 240
+    first, second = [d for d in written if "links" in d.columns]
+    assert not first.where("links is null").isEmpty() and second.where("links is null").isEmpty()
+    assert all(len(embeddings.Layout(0.1, 16, 3).bounds(d)) <= 8 for d in (64, 768, 4096))
+
+
 def test_secrets(spark, docs, none):
     more = spark.createDataFrame([(100 + i, f"card 4{i:015d} mail a{i}@mail4.example.com key AKIA{hashlib.sha256(str(i).encode()).hexdigest()[:16].upper()} x password={hashlib.md5(str(i).encode()).hexdigest()[:18]} y", "en", "s", 1) for i in range(60)], SCHEMA)
     both = docs.select(*more.columns).union(more)
@@ -197,6 +218,16 @@ def test_prefix_hashes():
     assert fingerprints.likeness(fingerprints.written(p, p.sketch()), fingerprints.written(q, q.sketch())) < 1
 
 
+def test_edits_of_short_texts_are_alike():
+    texts = ["a short note", "call me at noon, please", "The mill stands by the river and turns all day, as it has done since the war."]
+    mark = lambda t: (p := fingerprints.Prefix(fingerprints.codes(t))) and fingerprints.written(p, p.sketch())
+    for k, t in enumerate(texts):
+        after = texts[(k + 1) % 3]
+        assert fingerprints.likeness(mark(t), mark(fingerprints.edited(t, after)[0])) > 0.2 > fingerprints.likeness(mark(t), mark(after))
+    assert fingerprints.likeness(mark("a short note"), mark("")) == 0.0 and fingerprints.likeness(mark(""), mark("")) == 1.0
+    assert fingerprints.likeness(mark("x" * 300), mark("a short note")) == 0.0
+
+
 def tokens(texts):
     from tokenizers import Tokenizer
 
