@@ -45,7 +45,7 @@ def random_splits(pool: DataFrame, sizes: DataFrame, seeds: list[int], base: Dat
     every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
     rows = pool.select("case_id", "tracer", every).withColumn("h", F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("case_id").cast("string"))))
     rows = rows.withColumn("start", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))  # hashes are even, so are buckets of their start
-    picks = numbered(rows, "start", ["h", "case_id"], by=("seed", "tracer"), edges=list(range(64, 65536, 64))).join(F.broadcast(sizes), "tracer").where("rn <= n").select("seed", "tracer", "case_id")
+    picks = numbered(rows, "start", ["h", "case_id"], by=("seed", "tracer"), edges=list(range(64, 65536, 64))).join(sizes, "tracer").where("rn <= n").select("seed", "tracer", "case_id")
     out = picks.unionByName(base.select("tracer", "case_id", every))
     if existing is not None:
         out = out.unionByName(existing.select("tracer", "case_id", F.lit(0).alias("seed")))

@@ -317,7 +317,7 @@ def suppress_uncertain(vox: DataFrame, cutoff: float) -> DataFrame:
 def region_counts(vox: DataFrame, regions: DataFrame) -> DataFrame:
     """case_id, label, kind, name, voxels for every case and region, 0 where a region is absent."""
     n = vox.groupBy("case_id", F.col("ts").alias("label")).agg(F.count("*").alias("voxels"))
-    every = vox.select("case_id").distinct().crossJoin(F.broadcast(regions))  # regions: a fixed anatomy lookup
+    every = vox.select("case_id").distinct().crossJoin(regions)  # the result has a row for each; Spark sends the smaller side where it is below its own limit
     kind = F.when(F.col("is_bone"), "Bone").when(F.col("description").rlike("^(liver|lung)"), "Organ").otherwise("Other")
     return every.join(n, ["case_id", "label"], "left").select("case_id", "label", kind.alias("kind"), F.col("description").alias("name"), F.coalesce("voxels", F.lit(0)).alias("voxels"))
 
@@ -362,7 +362,7 @@ def high_risk_sensitivity(flags: DataFrame, by: list[str]) -> DataFrame:
 
 def mask_region_overlap(vox: DataFrame, regions: DataFrame, voxel_ml: float) -> DataFrame:
     """Volume of the prediction in bone and in the rest, and as percent of the prediction."""
-    rows = vox.where("pred > 0").join(F.broadcast(regions), vox.ts == regions.label)
+    rows = vox.where("pred > 0").join(regions, vox.ts == regions.label)
     out = rows.groupBy("case_id").agg(F.count("*").alias("n"), F.count_if(F.expr("is_bone")).alias("bone"))
     return out.select("case_id", (F.col("bone") * voxel_ml).alias("bone_ml"), ((F.col("n") - F.col("bone")) * voxel_ml).alias("organ_ml"), (F.col("bone") * 100.0 / F.col("n")).alias("bone_percent"))
 

@@ -78,7 +78,7 @@ def a4(spark, d):
 
 @query("a5_high_risk_summary", REG + OVER + f", p as (select case_id, is_bone, count(*) filter (hr_ground) as hr_gt, count(*) filter (hr_pred) as hr_pr, coalesce(count(*) filter (hr_ground and hr_pred) / nullif(count(*) filter (hr_ground), 0), 0) as hr_sens from fl join fx_regions using (label) group by 1, 2) select is_bone, {ci('hr_gt')}, {ci('hr_pr')}, {ci('hr_sens')} from p group by 1")
 def a5(spark, d):
-    return _r(A.high_risk_summary(_flags(spark, d).join(F.broadcast(fixture(spark, d, "fx_regions")), "label"), ["is_bone"]))
+    return _r(A.high_risk_summary(_flags(spark, d).join(fixture(spark, d, "fx_regions"), "label"), ["is_bone"]))
 
 
 @query("a6_liver_summary", REG + OVER + " select case_id % 3 as g, round(avg(hr_ground::int) * 100, 6) as hr_gt_percent, round(avg(hr_pred::int) * 100, 6) as hr_pred_percent, round(count(*) filter (hr_ground and hr_pred) / nullif(count(*) filter (hr_ground), 0), 6) as sensitivity, round(avg(gt_mm3), 6) as gt_mean, round(stddev_samp(gt_mm3), 6) as gt_std from fl where label = 5 group by 1")
@@ -105,7 +105,7 @@ TAGS = ", tg as (select m.*, o.gt_mm3, o.pred_mm3, description, is_bone, hr_grou
 
 def _tagged(spark, d):
     v = fixture(spark, d, "fx_vox")
-    rows = V.region_metrics(v, VOXEL_ML).withColumnRenamed("ts", "label").join(_flags(spark, d).drop("n"), ["case_id", "label"]).join(F.broadcast(fixture(spark, d, "fx_regions")), "label")
+    rows = V.region_metrics(v, VOXEL_ML).withColumnRenamed("ts", "label").join(_flags(spark, d).drop("n"), ["case_id", "label"]).join(fixture(spark, d, "fx_regions"), "label")
     return rows.withColumn("tags", A.region_tags(F.col("description"), F.col("is_bone"), F.col("hr_ground")))
 
 
@@ -270,7 +270,7 @@ def p5(spark, d):
 
 @query("p7_label_segments", REG + " select case_id, x, y, z, case when is_bone then 'Bone' when description like 'liver%' or description like 'lung%' then 'Organ' else 'Other' end as kind, coalesce(description, ts::varchar) as name from fx_vox left join fx_regions on ts = label")
 def p7(spark, d):
-    v = fixture(spark, d, "fx_vox").join(F.broadcast(fixture(spark, d, "fx_regions")), F.col("ts") == F.col("label"), "left")
+    v = fixture(spark, d, "fx_vox").join(fixture(spark, d, "fx_regions"), F.col("ts") == F.col("label"), "left")
     kind = F.when(F.col("is_bone"), "Bone").when(F.col("description").rlike("^(liver|lung)"), "Organ").otherwise("Other")
     return v.select("case_id", "x", "y", "z", kind.alias("kind"), F.coalesce("description", F.col("ts").cast("string")).alias("name"))
 

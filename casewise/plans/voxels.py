@@ -247,7 +247,7 @@ def v20(spark, d):
 
 @query("v21_high_risk_sensitivity", REG + OVER + ", k as (select fl.*, unnest(list_filter(['All', case when is_bone then 'Bone' when description like 'liver%' or description like 'lung%' then 'Organ' end], lambda x: x is not null)) as kind from fl join fx_regions using (label)) select case_id, kind, round(coalesce(count(*) filter (hr_ground and hr_pred) / nullif(count(*) filter (hr_ground), 0), 0), 6) as sensitivity from k group by 1, 2")
 def v21(spark, d):
-    rows = _flags(spark, d).join(F.broadcast(fixture(spark, d, "fx_regions")), "label")
+    rows = _flags(spark, d).join(fixture(spark, d, "fx_regions"), "label")
     return _r(V.high_risk_sensitivity(rows, ["case_id"]), "sensitivity")
 
 

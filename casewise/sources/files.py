@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPLIT = "array<struct<train:array<string>,val:array<string>>>"
+#: Paths that `scratch` gave out.
+WRITTEN: list[str] = []
 SUMMARY = "foreground_mean map<string,double>, metric_per_case array<struct<prediction_file:string,metrics:map<string,struct<TP:long,FP:long,FN:long,Dice:double>>>>"
 
 
@@ -21,7 +23,9 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
@@ -31,6 +35,19 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes the paths that this driver has taken in the shared folder so far; returns how many there were.
+
+    For a caller that has written its results: DataFrames returned earlier read
+    from these paths and are of no use afterwards.
+    """
+    found = 0
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        found += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found
+
+
 def write_splits(splits: DataFrame, path: str) -> None:
     """Long rows (split_id, role, pos, case) as a JSON list of {train, val} in order of split and position; split_id counts from 0.
 

@@ -17,7 +17,7 @@ def plain(v):
     if type(v).__name__ == "Decimal":
         v = float(v)
     if isinstance(v, float):
-        return str(int(v)) if v == int(v) else str(round(v, 5))
+        return str(int(v)) if v == int(v) else str(round(v, 6))
     return str(v)
 
 

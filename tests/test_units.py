@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -438,3 +439,13 @@ def test_split_parts_keep_places_and_blocks(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
     lines = spark.read.schema("cases array<string>").json(str(tmp_path / "parts")).selectExpr("size(cases) n").collect()
     assert max(r.n for r in lines) == 10 and len(lines) == 3 * 4
+
+
+def test_stored_tables_can_be_cleared(spark, tmp_path):
+    files.clear_stored(spark)
+    kept = str(tmp_path / "kept")
+    rows = files.stored(spark.range(5).withColumnRenamed("id", "n"))
+    rows.write.parquet(kept)
+    path = files.WRITTEN[-1]
+    assert files.clear_stored(spark) == 1 and files.clear_stored(spark) == 0
+    assert not os.path.exists(path.removeprefix("file://")) and spark.read.parquet(kept).count() == 5
