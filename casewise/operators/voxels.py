@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.operators.graph import merged
-from casewise.operators.ordering import numbered
+from casewise.operators.ordering import dealt, numbered
 from casewise.sources.files import stored
 
 XYZ = ["x", "y", "z"]
@@ -431,8 +431,9 @@ def resample(vox: DataFrame, shapes: DataFrame, values: tuple[str, ...], order:
 
     Axis by axis: a voxel spreads to 2 m / n places of a row of the grid and is
     added up there before the next axis, not to their cube. The first two axes need
-    one shuffle by slice, the third one more; no key is larger than a slice. Order 0
-    adds nothing up and needs no shuffle beyond that of the lengths.
+    one shuffle by slice, the third one more, before its voxels spread; no key is
+    larger than a slice. A task keeps its sums in memory, so partitions are many.
+    Order 0 adds nothing up and needs no shuffle beyond that of the lengths.
     """
     if order not in (0, 1):
         raise ValueError("order is 0 (nearest) or 1 (linear)")
@@ -440,10 +441,10 @@ def resample(vox: DataFrame, shapes: DataFrame, values: tuple[str, ...], order:
     per = shapes.where(F.size("source") == 3).where(F.size("target") == 3).groupBy("case_id").agg(F.min(lengths).alias("_s")).select("case_id", "_s.*")
     ends = [F.col(f"_m{k}") for k in XYZ]
     rows = vox.select("case_id", *XYZ, *values).join(per, "case_id")
-    if order == 1:
-        rows = rows.repartition("case_id", "z")
     names = [c for c in rows.columns if c not in XYZ and c not in values]
     for k in XYZ:
+        if order == 1 and k != "y":
+            rows = dealt(rows, "case_id", "z" if k == "x" else "x")
         rows = rows.select("*", F.inline(_reach(k, order)))
         if order == 0:
             rows = rows.withColumn(k, F.col("_i")).drop("_i", "_w")
