@@ -1,5 +1,7 @@
 """Steps that grow with the tables: what a task gets, what travels."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from casewise.operators import voxels as V
@@ -18,3 +20,25 @@ def test_resampling_deals_slices_into_many_tasks(spark):
     out = V.resample(vox, shapes, ("v",)).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in out) == 300 * 8 * 7 * 6
     assert max(r["count"] for r in out) < 300 * 8 * 7 * 6 / 20
+
+
+@pytest.mark.parametrize("tile", [4, 128])
+def test_closing_by_tiles_equals_the_definition(spark, tile):
+    """Against sets of points, with voxels on and beyond the borders of tiles and grid; fewer rows travel than a voxel has neighbours."""
+    draw, shape = np.random.default_rng(5), (11, 9, 7)
+    cases = {c: {tuple(p) for p in draw.integers((-2, -2, -1), (14, 12, 10), (n, 3)).tolist()} for c, n in ((0, 200), (1, 60), (2, 1))}
+    rows = spark.createDataFrame([(c, *p, 1) for c, s in cases.items() for p in s] + [(3, 1, 1, 1, 0), (4, 10**6, 0, 0, 1)], "case_id long, x int, y int, z int, gt int")
+    got = V.close_mask(rows, "gt", (2.4, 2.4, 1.0), shape, 1, tile=tile)
+    element = [(dx, dy, 0) for dx in range(-2, 3) for dy in range(-2, 3) if dx * dx + dy * dy <= 4] + [(0, 0, -1), (0, 0, 1)]
+    inside = lambda p: 0 <= p[0] < 11 and 0 <= p[1] < 9 and 1 <= p[2] < 8
+    around = lambda p: {q for d in element if inside(q := tuple(a + b for a, b in zip(p, d, strict=True)))}
+    want = set()
+    for c, s in cases.items():
+        grown = set().union(*map(around, s))
+        want |= {(c, *p) for p in set().union(*map(around, grown)) if around(p) <= grown}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_closing_takes_one_shuffle(spark):
+    plan = V.close_mask(grid(spark, 2), "v", (4.0, 4.0, 1.0), (6, 6, 6), 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
