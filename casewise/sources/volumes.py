@@ -1,7 +1,7 @@
 """Volume files as a Spark data source: NIfTI-1 (.nii, .nii.gz) and .npy, read into voxel rows and written from them.
 
-Files are listed once on the driver; small ones share a partition, a large one
-has its own. A task parses a file's header from its first bytes and then streams
+Files are listed once on the driver; small ones share a partition, at most 512 of
+them, a large one has its own; batches go on from file to file. A task parses a file's header from its first bytes and then streams
 it slab by slab (one index of the slowest axis), so it holds one slab whatever
 the volume's size. Conditions on the value, the coordinates and the case go down
 to the reader: only voxels that pass become rows, and files of other cases are
@@ -22,6 +22,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
+from casewise.operators.ordering import dealt
+
 NAME = "voxel_files"
 VOXELS = "case_id string, x int, y int, z int, v double"
 CASES = "case_id string, path string, nx int, ny int, nz int, channels int, sx double, sy double, sz double, kind string, status string"
-#: Bytes of small files that share a partition.
+#: Bytes of small files that share a partition; bytes that a file counts as at least, since opening one takes time; rows of a batch.
 SHARE_BYTES = 32 << 20
+FILE_BYTES = 64 << 10
+BATCH_ROWS = 1 << 14
+#: Files renamed at the same time.
+MOVES = 16
 SUFFIXES = (".nii.gz", ".nii", ".npy")
 #: NIfTI-1 data types by code: fixed values of the format.
 KINDS = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -182,23 +189,33 @@ class VolumeReader(ds.DataSourceReader):
             files = [x for x in files if case_of(x.path) in wanted]
         groups, size = [], self.share
         for f in sorted(files, key=lambda f: f.path):
-            if not groups or size + f.size > self.share:
+            counted = max(f.size, FILE_BYTES)
+            if not groups or size + counted > self.share:
                 groups.append([])
                 size = 0
             groups[-1].append(f.path)
-            size += f.size
+            size += counted
         return [ds.InputPartition(g) for g in groups]
 
     def read(self, partition: ds.InputPartition) -> Iterator[pa.RecordBatch]:
         system = fs.FileSystem.from_uri(self.path)[0]
+        small, rows = [], 0
         for path in partition.value:
             try:
-                yield from self._case(system, path) if self.table == "cases" else self._voxels(system, path)
+                for batch in self._case(system, path) if self.table == "cases" else self._voxels(system, path):
+                    small.append(batch)
+                    rows += batch.num_rows
+                    if rows >= BATCH_ROWS:
+                        yield _joined(small)
+                        small, rows = [], 0
             except (ValueError, OSError, EOFError) as e:
                 if self.table == "cases":
-                    yield _cases_row(path, None, f"{type(e).__name__}: {e}")
+                    small.append(_cases_row(path, None, f"{type(e).__name__}: {e}"))
+                    rows += 1
                 elif not self.skip:
                     raise ValueError(f"{path}: {e}") from e
+        if small:
+            yield _joined(small)
 
     def _case(self, system: fs.FileSystem, path: str) -> Iterator[pa.RecordBatch]:
         yield _cases_row(path, open_volume(system, path)[1], "ok")
@@ -218,6 +235,10 @@ class VolumeReader(ds.DataSourceReader):
                     yield pa.RecordBatch.from_arrays([pa.array([case_of(path)] * n), *[pa.array(c[keep], pa.int32()) for c in at], pa.array(v[keep])], names=["case_id", "x", "y", "z", "v"])
 
 
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def _cases_row(path: str, h: Header | None, status: str) -> pa.RecordBatch:
     told = [*h.shape, h.channels, *map(float, h.spacing), h.kind.name] if h else [None] * 8
     kinds = [pa.string()] * 2 + [pa.int32()] * 4 + [pa.float64()] * 3 + [pa.string()] * 2
@@ -319,8 +340,8 @@ class VolumeWriter(ds.DataSourceArrowWriter):
             for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
                 if f.is_file and f.path.endswith(SUFFIXES):
                     system.delete_file(f.path)
-        for temporary, final in files:
-            system.move(temporary, final)
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda pair: system.move(*pair), files))
         self._clean(system, base)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -368,11 +389,11 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def write_volumes(vox: DataFrame, cases: DataFrame, path: str, value: str, kind: str = "uint8", mode: str = "append", suffix: str = ".nii.gz") -> None:
     """A volume per row of `cases` (case_id, nx, ny, nz, sx, sy, sz), 0 where `vox` (case_id, x, y, z and the value) has no row; coordinates count from 0.
 
-    Cases meet their voxels in one shuffle by case, and a task streams its cases
-    one after the other. Of several rows of one voxel the greatest value counts.
+    Cases meet their voxels in one shuffle by case into many tasks, and a task streams
+    its cases one after the other. Of several rows of one voxel the greatest value counts.
     """
     _ready(vox.sparkSession)
     voxels = vox.where(F.col(value).isNotNull()).select("case_id", *[F.col(k).cast("int").alias(k) for k in "xyz"], F.col(value).cast("double").alias("v"))
     dims = cases.select("case_id", *[F.col(k).cast("int").alias(k) for k in ("nx", "ny", "nz")], *[F.col(k).cast("double").alias(k) for k in ("sx", "sy", "sz")])
-    rows = dims.join(voxels, "case_id", "left").repartition("case_id").sortWithinPartitions("case_id", "z", "y", "x", "v")
+    rows = dealt(dims.join(voxels, "case_id", "left"), "case_id").sortWithinPartitions("case_id", "z", "y", "x", "v")
     rows.withColumn("case_id", F.col("case_id").cast("string")).write.format(NAME).option("kind", kind).option("suffix", suffix).mode(mode).save(path)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewise.operators import voxels as V
+from casewise.sources import volumes
 
 
 def grid(spark, cases):
@@ -42,3 +43,15 @@ def test_closing_by_tiles_equals_the_definition(spark, tile):
 def test_closing_takes_one_shuffle(spark):
     plan = V.close_mask(grid(spark, 2), "v", (4.0, 4.0, 1.0), (6, 6, 6), 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_small_volumes_are_read_by_many_tasks_in_few_batches(tmp_path, monkeypatch):
+    """Files of some hundred bytes: a partition has a bounded number of them, and one batch has the voxels of several."""
+    for k in range(1100):
+        np.save(tmp_path / f"{k:04d}.npy", np.full((2, 2, 2), 3, np.uint8))
+    reader = volumes.VolumeReader({"path": f"file://{tmp_path}"})
+    parts = reader.partitions()
+    assert [len(p.value) for p in parts] == [512, 512, 76]
+    batches = list(reader.read(parts[2]))
+    assert len(batches) == 1 and batches[0].num_rows == 76 * 8
+    assert batches[0].column("case_id").to_pylist()[::8] == [f"{k:04d}" for k in range(1024, 1100)]
