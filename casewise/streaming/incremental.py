@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from casewise.operators.voxels import case_metrics
+from casewise.sources.files import stored
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,50 +41,60 @@ def stream_case_metrics(spark: SparkSession, folder: str, out: str, checkpoint:
     rows.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-class WholeCases(StatefulProcessor):
-    """Keeps the parts of a case in keyed state and lets its voxels out when all parts are there, or `wait_ms` after the first one came.
+#: What waits for a case: its parts, the voxels of each as whole numbers, and when the wait is over (ms).
+WAITING = "part array<int>, voxels array<binary>, until long"
+COLUMNS = ["x", "y", "z", "gt", "pred"]
+#: Stands for null in packed voxels.
+NOTHING = -(1 << 31)
 
-    Rows: case_id, part (from 0), parts (how many the case has), x, y, z, gt,
-    pred; out: the voxels and `whole`. A part comes whole in one file; one that
-    comes again counts once. A part without voxels is one row with x null. Parts
-    that come after their case was given up begin it anew.
-    """
-
-    columns = ("x", "y", "z", "gt", "pred")
 
-    def __init__(self, wait_ms: int) -> None:
-        self.wait_ms = wait_ms
+def _packed(rows: np.ndarray) -> bytes:
+    """The different rows of a part."""
+    rows = np.ascontiguousarray(rows, np.int32)
+    return np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1])))).tobytes()
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.parts = handle.getMapState("parts", "part int", "rows binary, parts int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came, new = pd.concat(list(rows)), not self.parts.exists()
-        for part, own in came.groupby("part"):
-            if not self.parts.containsKey((int(part),)):
-                packed = io.BytesIO()
-                own[list(self.columns)].drop_duplicates().to_parquet(packed, index=False)
-                self.parts.updateValue((int(part),), (packed.getvalue(), int(own["parts"].max())))
-        if len(list(self.parts.keys())) >= int(came["parts"].max()):
-            yield self._out(key, True)
-        elif new:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+def whole_cases(wait_ms: int):
+    """A function of (key, pandas frames, state) that gathers the parts of a case and gives them out once all are there, or once wait_ms have passed since the first.
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.parts.exists():
-            yield self._out(key, False)
-
-    def _out(self, key, whole: bool) -> pd.DataFrame:
-        found = pd.concat([pd.read_parquet(io.BytesIO(bytes(rows))) for rows, _ in self.parts.values()], ignore_index=True)
-        self.parts.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        found = found[found["x"].notna()] if found["x"].notna().any() else found[:1]
-        return found.assign(case_id=key[0], whole=whole)[["case_id", *self.columns, "whole"]]
+    Rows: case_id, part (from 0), parts (how many the case has), x, y, z, gt,
+    pred; out: the voxels and `whole`. A part comes whole in one file; one that
+    comes again counts once. A part without voxels is one row with x null. Parts
+    that come after their case was given up begin it anew. State goes to the
+    worker and back with the rows of many cases, not by a call for each.
+    """
 
-    def close(self) -> None:
-        pass
+    def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        part, voxels, until = state.get if state.exists else ([], [], None)
+        held = dict(zip(part, map(bytes, voxels), strict=True))
+        if state.hasTimedOut:
+            state.remove()
+            yield out(key, held, False)
+            return
+        came = pd.concat(list(frames))
+        parts, rows = came["part"].to_numpy(), came[COLUMNS].to_numpy("float64", na_value=np.nan)
+        rows = np.where(np.isnan(rows), NOTHING, rows).astype(np.int32)
+        for p in np.unique(parts).tolist():
+            if p not in held:
+                held[p] = _packed(rows[parts == p])
+        now = state.getCurrentProcessingTimeMs()
+        until, all_there = until or now + wait_ms, len(held) >= came["parts"].max()
+        if all_there or (state.exists and until <= now):
+            if state.exists:
+                state.remove()
+            yield out(key, held, bool(all_there))
+        else:
+            state.update((list(held), list(held.values()), until))
+            state.setTimeoutDuration(max(1, until - now))
+
+    def out(key: tuple, held: dict[int, bytes], whole: bool) -> pd.DataFrame:
+        found = np.frombuffer(b"".join(held.values()), np.int32).reshape(-1, len(COLUMNS))
+        there = found[:, 0] != NOTHING
+        found = (found[there] if there.any() else found[:1]).astype(np.float64)
+        found[found == NOTHING] = np.nan
+        return pd.DataFrame(found, columns=COLUMNS).assign(case_id=key[0], whole=whole)[["case_id", *COLUMNS, "whole"]]
+
+    return gather
 
 
 def stream_split_cases(spark: SparkSession, folder: str, out: str, checkpoint: str, case_type: str, voxel_ml: float, grid: int, wait_ms: int = 86_400_000, files_per_batch: int = 100) -> None:
@@ -100,10 +111,11 @@ def stream_split_cases(spark: SparkSession, folder: str, out: str, checkpoint: s
     shown = f"case_id {case_type}, x int, y int, z int, gt int, pred int, whole boolean"
 
     def evaluate(batch: DataFrame, number: int) -> None:
+        batch = stored(batch, "batch")  # read several times; the state is gone through once
         status = batch.groupBy("case_id").agg(F.when(F.bool_and("whole"), "ok").otherwise("incomplete").alias("status"))
         voxels = batch.where("x is not null").drop("whole")
         case_metrics(voxels, status, voxel_ml, grid).join(status, "case_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder).where("case_id is not null and part is not null")
-    whole = rows.groupBy("case_id").transformWithStateInPandas(WholeCases(wait_ms), shown, "append", "ProcessingTime")
+    whole = rows.groupBy("case_id").applyInPandasWithState(whole_cases(wait_ms), shown, WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
     whole.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

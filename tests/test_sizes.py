@@ -1,11 +1,13 @@
 """Steps that grow with the tables: what a task gets, what travels."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from casewise.operators import voxels as V
 from casewise.sources import volumes
+from casewise.streaming import incremental
 
 
 def grid(spark, cases):
@@ -55,3 +57,36 @@ def test_small_volumes_are_read_by_many_tasks_in_few_batches(tmp_path, monkeypat
     batches = list(reader.read(parts[2]))
     assert len(batches) == 1 and batches[0].num_rows == 76 * 8
     assert batches[0].column("case_id").to_pylist()[::8] == [f"{k:04d}" for k in range(1024, 1100)]
+
+
+class Kept:
+    """A group's state as Spark keeps it between batches."""
+
+    exists, get, hasTimedOut, now = False, None, False, 1000
+
+    def update(self, row):
+        self.exists, self.get = True, row
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutDuration(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+
+def test_a_waiting_case_takes_one_state_row_and_keeps_its_deadline():
+    gather, state = incremental.whole_cases(500), Kept()
+    part = lambda k, *rows: pd.DataFrame([(7, k, 3, *r) for r in rows], columns=["case_id", "part", "parts", *incremental.COLUMNS])
+    come = lambda *frames: [f.values.tolist() for f in gather((7,), iter(frames), state)]
+    assert come(part(0, (1, 2, 3, 1, 0), (1, 2, 3, 1, 0)), part(2, (None,) * 5)) == []
+    assert state.ms == 500 and len(state.get[0]) == 2
+    state.now = 1400
+    assert come(part(0, (9, 9, 9, 1, 1))) == [] and state.ms == 100
+    (done,) = come(part(1, (4, 4, 4, 0, 1)))
+    assert sorted(done) == [[7, 1, 2, 3, 1, 0, True], [7, 4, 4, 4, 0, 1, True]] and not state.exists
+    come(part(0, (1, 1, 1, 1, 1)))
+    state.hasTimedOut = True
+    assert come() == [[[7, 1, 1, 1, 1, 1, False]]] and not state.exists
