@@ -10,10 +10,12 @@ else is grouping and equi-joins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,48 @@ def connected_components(vox: DataFrame, mask: str, connectivity: int = 18, by:
     return rows.groupBy(*by).applyInArrow(label, schema)
 
 
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Which rows begin a group, in a table sorted by keys; nulls are one group."""
+    new = np.ones(t.num_rows, bool)
+    new[1:] = False
+    for k in keys:
+        c = pc.dictionary_encode(t.column(k).combine_chunks(), null_encoding="encode").indices.to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, many where they are small, from batches sorted by keys; the last group of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = held and not _starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]), keys)[1]
+        starts = np.flatnonzero(_starts(pa.Table.from_batches([batch]), keys))
+        cut = int(starts[-1])
+        if same and not cut:  # all of it belongs to the group that waits
+            held.append(batch)
+            continue
+        if held or cut:
+            yield pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def label_tiles(t: pa.Table, keys: list[str], tile: int, half: list[tuple[int, int, int]]) -> pa.Table:
+    """Adds _label, the least _key of each voxel's component within its tile; tiles stand one behind the other with a gap, so one search labels all."""
+    c = np.asarray([t.column(k).to_numpy() for k in XYZ], np.int64)
+    if np.abs(c).max() >= FAR:
+        raise ValueError(f"coordinates of {FAR} and more have no voxel key")
+    c %= tile
+    c[2] += (np.cumsum(_starts(t, keys)) - 1) * (tile + 1)
+    key, comp = t.column("_key").to_numpy(), _labels(c, half) - 1
+    first = np.full(comp.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, comp, key)
+    return t.append_column("_label", pa.array(first[comp], pa.int64()))
+
+
 def _tiled(rows: DataFrame, connectivity: int, by: tuple[str, ...], tile: int) -> DataFrame:
     """Components by tiles: each tile is labelled on its own, a label being the first voxel's key; voxels on either side of a border give edges between labels, which merge by rounds of joins."""
     half = [o for o in offsets(connectivity) if o[::-1] > (0, 0, 0)]
@@ -102,16 +146,13 @@ def _tiled(rows: DataFrame, connectivity: int, by: tuple[str, ...], tile: int) -
     rows = rows.withColumns({"_key": voxel_key(F.col("z"), F.col("y"), F.col("x")), **tiles})
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", _label long"
 
-    def label(t: pa.Table) -> pa.Table:
-        c = np.asarray([t.column(k).to_numpy() for k in XYZ], np.int64)
-        if np.abs(c).max() >= FAR:
-            raise ValueError(f"coordinates of {FAR} and more have no voxel key")
-        key, comp = t.column("_key").to_numpy(), _labels(c, half) - 1
-        first = np.full(comp.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, comp, key)
-        return t.append_column("_label", pa.array(first[comp], pa.int64()))
-
-    labelled = stored(rows.groupBy(*by, *tiles).applyInArrow(label, schema), "labels")
+    keys = [*by, *tiles]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, keys):
+            yield from label_tiles(t, keys, tile, half).to_batches()
+
+    labelled = stored(dealt(rows, *keys).sortWithinPartitions(*keys).mapInArrow(label, schema), "labels")
     at = {k: F.pmod(F.col(k), F.lit(tile)) for k in XYZ}
     edge = F.lit(False)
     for k in XYZ:

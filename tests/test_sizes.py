@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,23 @@ def test_a_waiting_case_takes_one_state_row_and_keeps_its_deadline():
     come(part(0, (1, 1, 1, 1, 1)))
     state.hasTimedOut = True
     assert come() == [[[7, 1, 1, 1, 1, 1, False]]] and not state.exists
+
+
+def test_small_tiles_are_labelled_by_few_calls():
+    """Groups cut by batches are put together; neighbours in different tiles or cases get labels of their own."""
+    draw, half = np.random.default_rng(2), [o for o in V.offsets(18) if o[::-1] > (0, 0, 0)]
+    sizes = {("a", 0): 30, ("a", 1): 1, (None, 0): 25, ("b", 0): 90}
+    rows = [(case, t, *p) for (case, t), n in sizes.items() for p in sorted({tuple(q) for q in draw.integers(0, 4, (n, 3)).tolist()})]
+    table = pa.table({k: [r[j] for r in rows] for j, k in enumerate(("case_id", "_t", "x", "y", "z"))}).append_column("_key", pa.array([(r[4] * 4 + r[3]) * 4 + r[2] for r in rows]))
+    for size in (1, 7, 1000):
+        groups = list(V.whole_groups(iter(table.to_batches(max_chunksize=size)), ["case_id", "_t"]))
+        assert pa.concat_tables(groups).equals(table)
+        assert size < 1000 or len(groups) == 2  # all but the last group, which waits for more
+        assert all(len({(a, b) for a, b in zip(*(g.column(k).to_pylist() for k in ("case_id", "_t")), strict=True)} & {(a, b) for a, b in zip(*(h.column(k).to_pylist() for k in ("case_id", "_t")), strict=True)}) == 0 for g in groups for h in groups if g is not h)
+        got = [x for g in groups for x in V.label_tiles(g, ["case_id", "_t"], 4, half).column("_label").to_pylist()]
+        want = []
+        for case, t in sizes:
+            own = [r for r in rows if r[:2] == (case, t)]
+            comp, keys = V._labels(np.asarray([r[2:] for r in own]).T, half), [(r[4] * 4 + r[3]) * 4 + r[2] for r in own]
+            want += [min(k for k, d in zip(keys, comp, strict=True) if d == c) for c in comp]
+        assert got == want
